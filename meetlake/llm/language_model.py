@@ -36,7 +36,7 @@ class Settings:
     folds: int = 7
     held_out: int = 2  #: the fold that is never learned from
     tuning: int = 6  #: the training fold on which the mixture weights are learned
-    chunk_bytes: int = 12 << 20  #: text that a task counts and scores at a time
+    chunk_bytes: int = 5 << 20  #: text that a task counts and scores at a time
     steps: int = 60
 
 
@@ -246,7 +246,7 @@ def score(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select("doc_id", fold("doc_id", s.folds).cast("int").alias("fold"), "text")
     # ranges grow with the operator's partitions, so that a range's keys fit a task
-    parts = 1 << (16 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+    parts = 1 << (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
     counted = rows.mapInArrow(counter(parts, s), COUNTED)
     totals = staged(counted.groupBy("part").applyInArrow(summed, SUMMED), "totals")
     f = totals.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "other_tokens", "other_types"))).first()
