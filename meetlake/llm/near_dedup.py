@@ -28,7 +28,7 @@ WORDS = 5
 PERCENT = 85
 TREES, LEVELS = 12, 4
 SMALL = 16  #: documents of a node that is not branched further
-BLOCK = 256  #: documents of a block in a large node
+BLOCK = 1024  #: documents of a block in a large node
 #: Equal bytes of two sketches from which a pair is confirmed: five deviations below what similarity 0.85 gives.
 SKETCH_LEAST = 28
 #: Salt of the comparisons with one document, and ids up to which a semi-join is broadcast.
@@ -119,16 +119,46 @@ def alike(left: str, right: str):
 
 
 def across(group: pa.Table) -> pa.Table:
-    """Pairs of a block that are in different components and whose sketches are alike enough."""
-    doc, comp = group.column("doc").to_numpy(), group.column("comp").to_numpy()
+    """Members of a block for which another component has a member with a sketch alike enough."""
+    comp = group.column("comp").to_numpy()
     sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, len(_A))
-    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    found = np.zeros(len(comp), bool)
+    for i in range(len(comp) - 1):
+        near = ((sketch[i + 1 :] == sketch[i]).sum(1) >= SKETCH_LEAST) & (comp[i + 1 :] != comp[i])
+        found[i] |= near.any()
+        found[i + 1 :] |= near
+    return group.select(["node", "x", "y", "doc", "comp"]).filter(pa.array(found))
+
+
+def compared(group: pa.Table) -> pa.Table:
+    """Confirmed links that join the components of a block; pairs of one component are not compared."""
+    doc, comp = group.column("doc").to_pylist(), group.column("comp").to_pylist()
+    words = dict(docs_words(text_bytes(group.column("text"))))
+    sets = [shingles(words.get(i, np.empty(0, U64))) for i in range(len(doc))]
+    size = np.array([len(s) for s in sets])
+    _, flat = np.unique(np.concatenate([*sets, np.zeros(1, U64)]), return_inverse=True)
+    flat, starts = flat[:-1], np.cumsum(size) - size
+    owner, up = np.repeat(np.arange(len(doc)), size), {c: c for c in comp}
+
+    def root(c):
+        while up[c] != c:
+            up[c] = up[up[c]]
+            c = up[c]
+        return c
+
+    mark, links = np.zeros(len(flat) + 1, bool), []
     for i in range(len(doc) - 1):
-        other = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
-        other = other[(sketch[other] == sketch[i]).sum(1) >= SKETCH_LEAST]
-        a.append(np.minimum(doc[i], doc[other]))
-        b.append(np.maximum(doc[i], doc[other]))
-    return pa.table([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+        own = flat[starts[i] : starts[i] + size[i]]
+        mark[own] = True
+        rest = slice(starts[i] + size[i], None)
+        both = np.bincount(owner[rest], mark[flat[rest]], len(doc))[i + 1 :]
+        mark[own] = False
+        for j in (np.flatnonzero(100 * both >= PERCENT * (size[i + 1 :] + size[i] - both)) + i + 1).tolist():
+            if both[j - i - 1] and root(comp[i]) != root(comp[j]):
+                links.append((min(doc[i], doc[j]), max(doc[i], doc[j])))
+                up[root(comp[i])] = root(comp[j])
+    a, b = zip(*links, strict=True) if links else ((), ())
+    return pa.Table.from_batches([pairs_arrow(a, b)])
 
 
 def linked(batches):
@@ -161,11 +191,15 @@ def only(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("_id"), "left_semi")
 
 
+def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, text for each of the distinct ids; of rows that repeat an id the largest text."""
+    texts = only(docs.select("doc_id", "text").where("doc_id IS NOT NULL"), staged(ids, "ids"), "id")
+    return staged(texts.groupBy("doc_id").agg(F.max("text").alias("text")) if docs_repeat(docs) else texts, "texts")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) that are similar enough on their full sets."""
-    ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    texts = only(docs.select("doc_id", "text").where("doc_id IS NOT NULL"), ids, "id")
-    texts = staged(texts.groupBy("doc_id").agg(F.max("text").alias("text")) if docs_repeat(docs) else texts, "texts")
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs)
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("salts"))
     members = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
     own = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("b"))
@@ -243,10 +277,11 @@ def marked(docs: DataFrame) -> DataFrame:
     labels = components(links)
 
     labelled = members.join(labels, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    rest = blocks(labelled).groupBy("node", "x", "y").applyInArrow(across, PAIRS).distinct()
-    rest = staged(rest, "rest")
+    rest = staged(blocks(labelled).groupBy("node", "x", "y").applyInArrow(across, "node long, x int, y int, doc long, comp long"), "rest")
     if not rest.isEmpty():
-        more = staged(confirm(rest, docs), "more")
+        texts = texts_of(rest.select(F.col("doc").alias("id")).distinct(), docs)
+        rest = rest.join(texts, F.col("doc") == F.col("doc_id")).select("node", "x", "y", "doc", "comp", "text")
+        more = staged(rest.groupBy("node", "x", "y").applyInArrow(compared, PAIRS).distinct(), "more")
         if not more.isEmpty():
             labels = components(links.unionByName(more))
 
