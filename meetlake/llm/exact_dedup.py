@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meetlake.llm.common import shared_dir, staged
+from meetlake.llm.common import free, shared_dir, staged
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -60,11 +60,12 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return slim, changes.groupBy("digest").agg(last).select("digest", "s.*")
 
 
-def same_digest(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Rows of docs whose (doc_id, digest) is in marks, with their digest; rows are dealt out by id, evenly."""
-    with_digest = docs.withColumn("digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    wanted = marks.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    return with_digest.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left_semi")
+def same_digest(docs: DataFrame, marks: DataFrame, digest: str = "digest") -> DataFrame:
+    """Rows of docs whose (doc_id, digest) is in marks, with their digest in a new column; rows are dealt out by id, evenly."""
+    with_digest = docs.withColumn(digest, F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    own, other = free(with_digest, "_id", "_digest")
+    wanted = marks.select(F.col("doc_id").alias(own), F.col("digest").alias(other)).distinct()
+    return with_digest.join(wanted, F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(digest) == F.col(other)), "left_semi")
 
 
 def unequal(docs: DataFrame, marks: DataFrame) -> DataFrame:
@@ -92,8 +93,9 @@ def mark(docs: DataFrame) -> DataFrame:
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, in their own columns: one of each group of equal texts."""
     marks = mark(docs).where("kept")
-    stay = same_digest(docs, marks)
+    (digest,) = free(docs, "digest")
+    stay = same_digest(docs, marks, digest)
     repeated = marks.groupBy("doc_id", "digest").count().where("count > 1")
     if not repeated.isEmpty():
-        stay = stay.dropDuplicates(["doc_id", "digest"])
+        stay = stay.dropDuplicates(["doc_id", digest])
     return stay.select(*docs.columns)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meetlake.llm.common import WORD
+from meetlake.llm.common import WORD, free
 
 #: Ranges of keys in a source.
 RANGES = 4096
@@ -86,10 +86,10 @@ def label_weights(labels: DataFrame) -> DataFrame:
 
 def draw(docs: DataFrame, weights: DataFrame | None = None, limit: float = 3.0) -> DataFrame:
     """The mix itself: each row of docs, in its own columns, as often as it is taken."""
-    copies = mix(docs, weights, limit).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), (F.col("taken") / F.col("size")).cast("int").alias("_n"))
+    id_, source, size, n, rows, own, copy = free(docs, "_id", "_source", "_size", "_n", "_rows", "_words", "_copy")
+    taken = mix(docs, weights, limit).where("taken > 0")
     # rows that repeat id, source and size are drawn with the same counts in sum; each copy below stands for one
-    copies = copies.groupBy("_id", "_source", "_size").agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_rows"))
-    own = docs.withColumn("_words", words("text"))
-    joined = own.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")))
-    times = F.ceil(F.col("_n") / F.col("_rows")).cast("int")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    copies = taken.groupBy(F.col("doc_id").alias(id_), F.col("source").alias(source), F.col("size").alias(size)).agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias(n), F.count(F.lit(1)).alias(rows))
+    joined = docs.withColumn(own, words("text")).join(copies, F.col("doc_id").eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(own) == F.col(size)))
+    times = F.ceil(F.col(n) / F.col(rows)).cast("int")
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)

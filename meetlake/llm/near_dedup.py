@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meetlake.llm.common import U64, discard, docs_words, mix, staged, text_bytes
+from meetlake.llm.common import U64, discard, docs_words, free, mix, staged, text_bytes
 
 WORDS = 5
 PERCENT = 85
@@ -309,5 +309,6 @@ def keep(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, in their own columns: of each component the document with the smallest id."""
     dropped = staged(marked(docs).where(~F.col("kept")).select("doc_id").distinct(), "dropped")
     few = dropped.count() <= BROADCAST_IDS
-    ids = dropped.select(F.col("doc_id").alias("_id"))
-    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("_id"), "left_anti")
+    (own,) = free(docs, "_id")
+    ids = dropped.select(F.col("doc_id").alias(own))
+    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col(own), "left_anti")
