@@ -18,7 +18,12 @@ from pyspark.sql import functions as F
 
 from meetlake.llm.common import free, shared_dir, staged
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; no preallocated files, as a cluster has very many small stores, and changes rather than snapshots at each commit.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def arrivals(docs: DataFrame) -> DataFrame:
@@ -29,18 +34,19 @@ def arrivals(docs: DataFrame) -> DataFrame:
 def keep_state(stream: DataFrame, checkpoint: str, out: str) -> None:
     """Run a stream of arrivals to its end; the state lives on below checkpoint, and later arrivals may follow there."""
     spark = stream.sparkSession
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, ROCKSDB)
+    before = {name: spark.conf.get(name, None) for name in STATE}
+    for name, value in STATE.items():
+        spark.conf.set(name, value)
     try:
         state = stream.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.max_by("locator", F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("locator"))
         write = lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")
         state.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(write).start().awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
