@@ -19,10 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meetlake.llm.common import WORD, free
+from meetlake.llm.common import WORD, free, staged
 
 #: Ranges of keys in a source.
 RANGES = 4096
+#: Sources up to which their table (some 100 bytes a row) is broadcast, and parts of a source's rows in a join beyond.
+BROADCAST_SOURCES, SALTS = 50_000, 256
 
 
 def words(text: str) -> Column:
@@ -58,6 +60,16 @@ def targets(rows: DataFrame, limit: float) -> DataFrame:
     return s.withColumn("target", F.when(F.col("capped"), F.col("cap")).otherwise(level * F.col("w"))).select("source", "source_size", "target")
 
 
+def with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows with the plan of their source: a broadcast of few sources; of many, a join by parts of a source's rows."""
+    plan = staged(plan, "sources")
+    same = F.col("source").eqNullSafe(F.col("_source"))
+    if plan.count() <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(plan), same).drop("_source")
+    parts = plan.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "key"), F.lit(SALTS))).join(parts, same & (F.col("_salt") == F.col("_part"))).drop("_source", "_salt", "_part")
+
+
 def mix(docs: DataFrame, weights: DataFrame | None = None, limit: float = 3.0) -> DataFrame:
     """doc_id, source, size, source_size, target, taken for every row of docs; taken is a multiple of size."""
     rows = sizes(docs, weights)
@@ -69,7 +81,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, limit: float = 3.0) -
     # the range in which the budget of the source ends, and the words before it
     ends = ranges.join(plan, F.col("source").eqNullSafe(F.col("_source"))).where("before <= budget AND before + n > budget").groupBy("_source").agg(F.min("range").alias("end"), F.min_by("before", "range").alias("before"))
     plan = plan.join(ends.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    rows = with_plan(rows, plan)
     plain, last = rows.where("range <> end OR end IS NULL"), rows.where("range = end")
     order = Window.partitionBy("source").orderBy("key", "doc_id", "size")
     sum_before = F.col("before") + F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
