@@ -204,9 +204,16 @@ def cut_out(text: bytes, first: np.ndarray, last: np.ndarray) -> tuple[int, int,
     return len(text) - len(rest), len(a), hashlib.sha256(rest).hexdigest(), rest
 
 
+def few_rows(batches, rows: int = 256):
+    """The batches in slices, so that a worker holds few texts and spans as Python values at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def settle(batches):
     """For mapInArrow: texts with the rows that belong to them; those without open ones are finished here."""
-    for batch in batches:
+    for batch in few_rows(batches):
         out = []
         for doc_id, key, crc, text, rows in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "crc", "text", "rows")), strict=True):
             data = text.encode()
@@ -227,7 +234,7 @@ SLICES = "key long, crc int, kind int, anchor long, place int, first int, passag
 def slices(batches):
     """For mapInArrow: the bytes of each open run, and where its anchor lies in its first passage."""
     names = ["key", "crc", "kind", "anchor", "place", "first", "passage"]
-    for batch in batches:
+    for batch in few_rows(batches):
         out = []
         for key, crc, text, kinds, anchors, firsts, lasts in zip(*(batch.column(c).to_pylist() for c in ("key", "crc", "text", "open_kind", "open_anchor", "open_first", "open_last")), strict=True):
             data = text.encode()
@@ -241,7 +248,7 @@ def slices(batches):
 
 def single(batches):
     """For mapInArrow: slices as rows of one passage each; the anchor becomes a hash of the passage."""
-    for batch in batches:
+    for batch in few_rows(batches):
         key, crc, kind, first, data = (batch.column(c).to_pylist() for c in ("key", "crc", "kind", "first", "passage"))
         out = []
         for k, c, d, f, s in zip(key, crc, kind, first, data, strict=True):
@@ -299,7 +306,7 @@ def finish(with_text: bool):
     """For mapInArrow: open texts with all their repeated passages become their results."""
 
     def run(batches):
-        for batch in batches:
+        for batch in few_rows(batches):
             out = []
             for doc_id, n, text, first, last, more in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "text", "first", "last", "more")), strict=True):
                 spans = np.array([*zip(first, last, strict=True), *((r["first"], r["last"]) for r in more or ())], np.int64).reshape(-1, 2)
