@@ -137,13 +137,10 @@ def first_digit(parts: int):
                 extra = head[(n > 1) & (rank[head] >= 2)]  # an example that others must be able to meet
                 rows = [(order[send], send_kind, n[group[send]]), (order[more], np.full(len(more), UNDECIDED), np.ones(len(more), np.int64)), (order[extra], np.full(len(extra), UNDECIDED), np.ones(len(extra), np.int64))]
                 at, kinds, counts = (np.concatenate(x) for x in zip(*rows, strict=True))
-                again = np.sort(order[np.flatnonzero(kind == REPEATED)])
-                spans = []
-                for p in np.unique(place_[again]):
-                    own = again[place_[again] == p]
-                    a, b = joined(first[own], last[own])
-                    spans.append(np.column_stack((np.full(len(a), p), a, b)))
-                spans = np.concatenate([np.empty((0, 3), np.int64), *spans]).astype(np.int64)
+                again = np.sort(order[np.flatnonzero(kind == REPEATED)])  # by text, then by place in it
+                base = place_[again].astype(np.int64) << 32
+                a, b = joined(base + first[again], base + last[again])
+                spans = np.column_stack((a >> 32, a & 0xFFFFFFFF, b & 0xFFFFFFFF))
                 zero = np.zeros(len(spans), np.int64)
                 key = np.concatenate((keys[place_[at]], keys[spans[:, 0]]))
                 own_anchor = np.concatenate((anchor[at].view(np.int64), zero))
@@ -217,11 +214,11 @@ def settle(batches):
         out = []
         for doc_id, key, crc, text, rows in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "crc", "text", "rows")), strict=True):
             data = text.encode()
-            done = [(r["first"], r["last"]) for r in rows or () if r["kind"] == REPEATED]
+            done = [(r["first"], r["last"]) for r in rows or () if r["kind"] == REPEATED or r["twice"]]
             open_ = [r for r in rows or () if r["kind"] in (UNDECIDED, EXAMPLE)]
             spans = np.array(done, np.int64).reshape(-1, 2)
             if open_:
-                out.append((doc_id, key, crc, len(data), None, None, None, text, spans[:, 0].tolist(), spans[:, 1].tolist(), [r["kind"] for r in open_], [r["anchor"] for r in open_], [r["first"] for r in open_], [r["last"] for r in open_]))
+                out.append((doc_id, key, crc, len(data), None, None, None, text, spans[:, 0].tolist(), spans[:, 1].tolist(), [EXAMPLE if r["twice"] else r["kind"] for r in open_], [r["anchor"] for r in open_], [r["first"] for r in open_], [r["last"] for r in open_]))
             else:
                 out.append((doc_id, key, crc, len(data), *cut_out(data, spans[:, 0], spans[:, 1])[:3], None, None, None, None, None, None, None))
         if out:
@@ -327,7 +324,9 @@ def remove(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("key"), (F.crc32(text.cast("binary")) - F.lit(1 << 31)).cast("int").alias("crc"))
     runs = rows.select("key", "crc", "text").where(F.octet_length("text") >= LENGTH).mapInArrow(first_digit(parts), ROWS)
     found = runs.groupBy("part").applyInArrow(decided, DECIDED)
-    by_text = found.groupBy("key", "crc").agg(F.collect_list(F.struct("kind", "anchor", "first", "last")).alias("rows"))
+    # rows of equal texts are one; an undecided run that two of them have is repeated, and still an example to others
+    once = found.groupBy("key", "crc", "kind", "anchor", "first", "last").agg(((F.col("kind") == UNDECIDED) & (F.count(F.lit(1)) > 1)).alias("twice"))
+    by_text = once.groupBy("key", "crc").agg(F.collect_list(F.struct("kind", "anchor", "first", "last", "twice")).alias("rows"))
     met = rows.join(by_text.hint("shuffle_hash"), ["key", "crc"], "left")
     settled = staged(met.select("doc_id", "key", "crc", "text", "rows").mapInArrow(settle, SETTLED), "settled")
     open_ = settled.where("text IS NOT NULL")
