@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing names."""
 
 import hashlib
+import random
 from collections import Counter
 
 from meetlake.llm import ann, exact_dedup, language_model, mixing, near_dedup, packing, quality, queries, suffix_dedup, toxicity, warc
@@ -87,3 +88,22 @@ def test_large_group_of_near_copies(spark):
     rows = [(i, " ".join([*base[:30], f"x{i}", *base[31:], *(f"y{j}" for j in range(120))]), "en", "a", 1) for i in range(1500)]
     got = near_dedup.marked(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
     assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
+
+
+def test_copies_with_a_shared_passage(spark):
+    """Copies in several partitions, runs that share an anchor, and one text that shares a passage with a copied one."""
+    draw = random.Random(2)
+    letters = lambda n: "".join(draw.choices("abcdefghij ", k=n))
+    core = letters(150)
+    variants = [letters(400) + core + letters(400) for _ in range(6)]
+    other = letters(250) + variants[3][380:700] + letters(250)
+    texts = [*variants * 3, other, letters(900), letters(120) + core + letters(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    starts = Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
+    for parts in (1, 3, 7):
+        got = {r.doc_id: r for r in suffix_dedup.remove(docs.repartitionByRange(parts, "doc_id")).collect()}
+        for d, t in enumerate(texts):
+            gone = {j for i in range(len(t) - 199) if starts[t[i : i + 200]] > 1 for j in range(i, i + 200)}
+            left = "".join(c for j, c in enumerate(t) if j not in gone)
+            assert (got[d].n_removed, got[d].kept_sha256) == (len(gone), hashlib.sha256(left.encode()).hexdigest())
+        assert got[18].n_removed >= 320 and got[19].n_removed == 0
