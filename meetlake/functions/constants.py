@@ -28,3 +28,11 @@ METRICS = ["wpm", "articulation_wpm", "filled_pauses_per_min", "crutch_words_per
 FILLERS = [("^er+$", "er"), ("^ha+$", "ha"), ("^th$", "th")]
 CRUTCHES = [("of the", False), ("to the", False), ("in the", False), ("it is", False), ("the", True), ("and", True), ("is", True)]
 STARTERS = ["that", "was", "this", "for", "que"]
+
+
+# Training tasks (id, metric, seconds) in their order, and the weight of a metric that has none.
+TASKS = [
+    ("elevator_60", "wpm", 60), ("pause_instead", "filled_pauses_per_min", 120), ("no_crutches", "crutch_words_per_min", 120), ("hold_the_pause", "structural_pauses_per_min", 90),
+    ("plan_then_speak", "hesitation_pauses_per_min", 120), ("short_sentences", "long_sentences_share", 120), ("listen_back", "talk_ratio", 180), ("let_them_finish", "interruptions_by_me", 180),
+]
+OTHER_WEIGHT = 3.0

@@ -33,3 +33,14 @@ def bad_side_z(value: Column, mean: Column, std: Column, better: Column, low: Co
     inside = F.when(low.isNotNull() & high.isNotNull(), F.greatest(F.lit(0.0), F.when(value >= (low + high) / 2, z).otherwise(-z))).otherwise(F.abs(z))
     own = F.when(better == "lower", F.greatest(F.lit(0.0), z)).when(better == "higher", F.greatest(F.lit(0.0), -z)).otherwise(inside)
     return F.when(value.isNull() | (std <= 0), 0.0).otherwise(own)
+
+
+def sane(c: Column) -> Column:
+    """The value, null where it is not a finite number."""
+    return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+
+
+def delta_direction(delta: Column, better: Column, unit: float) -> Column:
+    """better, worse or same: a change of less than half a display unit is none; where inside is better, it has no direction."""
+    sign = F.when(better == "higher", F.sign(delta)).when(better == "lower", -F.sign(delta)).otherwise(0.0)
+    return F.when(delta.isNull() | (F.abs(delta) < unit / 2) | (sign == 0), "same").when(sign > 0, "better").otherwise("worse")

@@ -48,3 +48,42 @@ def short_title(text: Column, limit: int = 60) -> Column:
 
 def plural(n: Column, one: str, few: str, many: str) -> Column:
     return F.when((n % 10 == 1) & (n % 100 != 11), one).when((n % 10).between(2, 4) & ~(n % 100).between(12, 14), few).otherwise(many)
+
+
+def parse_timecode(c: Column) -> Column:
+    """Seconds of 83, 83,5, 1:23, [01:23] or 1:02:03; 0 for anything else."""
+    parts = F.transform(F.split(F.translate(F.trim(F.translate(c, "[]()", "")), ",", "."), ":"), lambda x: F.trim(x).try_cast("double"))
+    whole = F.aggregate(parts, F.lit(0.0), lambda a, x: a * 60 + x)
+    return F.when(c.isNull() | F.exists(parts, lambda x: x.isNull()), 0.0).otherwise(whole)
+
+
+def slug(c: Column) -> Column:
+    return F.regexp_replace(F.trim(F.lower(F.coalesce(c, F.lit("")))), r"[\s-]+", "_")
+
+
+def as_enum(c: Column, names: list[str], aliases: dict[str, str], fallback: str) -> Column:
+    """The name that a loose value means: itself, an alias, else the fallback."""
+    own = slug(c)
+    known = F.when(own.isin(names), own)
+    for alias, name in aliases.items():
+        known = known.when(own == alias, name)
+    return known.otherwise(fallback)
+
+
+def json_block(c: Column) -> Column:
+    """JSON in a reply: the inside of a fence, else from the first { to the last }; null without either."""
+    fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    bare = F.regexp_extract(c, r"(?s)(\{.*\})", 1)
+    return F.nullif(F.when(fenced != "", fenced).otherwise(bare), F.lit(""))
+
+
+def seconds_label(ms: Column, unit: str = "s", comma: str = ",") -> Column:
+    """Tenths of a second, ties to even, with a decimal comma."""
+    tenths = F.rint(F.abs(ms) / 100).cast("long")
+    return F.concat(F.when((ms < 0) & (tenths > 0), "-").otherwise(""), F.floor(tenths / 10).cast("string"), F.lit(comma), (tenths % 10).cast("string"), F.lit(" " + unit))
+
+
+def range_label(low: Column, high: Column) -> Column:
+    """A reference range as text: 100-130, up to 2, from 4, or a dash without bounds."""
+    text = lambda c: F.regexp_replace(c.cast("decimal(18,2)").cast("string"), r"\.?0+$", "")
+    return F.when(low.isNotNull() & high.isNotNull(), F.concat_ws("–", text(low), text(high))).when(high.isNotNull(), F.concat(F.lit("≤ "), text(high))).when(low.isNotNull(), F.concat(F.lit("≥ "), text(low))).otherwise("—")

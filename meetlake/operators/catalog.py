@@ -55,3 +55,59 @@ def changes(rows: DataFrame, keys: list[str], order: list[str], value: str) -> D
 def recovered(catalog: DataFrame) -> DataFrame:
     """After a crash: what was being recorded or analysed counts as recorded."""
     return catalog.withColumn("status", F.when(F.col("status").isin("recording", "analyzing"), "recorded").otherwise(F.col("status")))
+
+
+def applied(catalog: DataFrame, reports: DataFrame) -> DataFrame:
+    """catalog with what newer reports say: score replaced, value only where given, type only where the user did not set it.
+
+    reports: meeting_id, new_score, new_value, new_type; one row for a meeting.
+    """
+    both = catalog.join(reports, "meeting_id", "left")
+    found = F.col("new_score").isNotNull()
+    return both.select(
+        "meeting_id", F.when(found, F.col("new_score")).otherwise(F.col("score")).alias("score"), F.coalesce("new_value", "value").alias("value"),
+        F.when(found & (F.col("type_source") == "default"), F.coalesce("new_type", "type")).otherwise(F.col("type")).alias("type"), "type_source",
+    )
+
+
+def edited(catalog: DataFrame, edits: DataFrame) -> DataFrame:
+    """catalog with a user's edits: a blank title is none, a given type is the user's. edits: meeting_id, new_title, new_type."""
+    both = catalog.join(edits.withColumn("_e", F.lit(True)), "meeting_id", "left")
+    title = F.when(F.col("_e"), F.nullif(F.trim("new_title"), F.lit(""))).otherwise(F.col("title"))
+    return both.select("meeting_id", title.alias("title"), F.coalesce("new_type", "type").alias("type"), F.when(F.col("new_type").isNotNull(), "user").otherwise(F.col("type_source")).alias("type_source"))
+
+
+def groups_of_days(catalog: DataFrame) -> DataFrame:
+    """Each meeting with the number of its group: meetings next to each other on one day."""
+    order = Window.partitionBy("speaker").orderBy("started_at", "meeting_id")
+    day = F.to_date("started_at")
+    new = F.coalesce((day != F.lag(day).over(order)).cast("int"), F.lit(1))
+    return catalog.withColumn("_new", new).withColumn("group", F.sum("_new").over(order)).drop("_new")
+
+
+def rate_limited(rows: DataFrame, allowed: int, window_s: int, key: str = "user_id") -> DataFrame:
+    """rows (key, ts, event_id) with `allowed`: at most so many in a sliding window by key; refused ones do not count.
+
+    The decision depends on those before it. Each task walks its sorted rows and keeps the last `allowed` times of one
+    key, so that memory does not grow with a key's rows.
+    """
+
+    def walk(frames):
+        from collections import deque
+
+        held, last = deque(), None
+        for f in frames:
+            ok = []
+            for k, t in zip(f[key], f["at"], strict=True):
+                if k != last:
+                    held, last = deque(), k
+                while held and t - held[0] >= window_s * 1_000_000:
+                    held.popleft()
+                ok.append(len(held) < allowed)
+                if ok[-1]:
+                    held.append(t)
+            yield f[["event_id", key]].assign(allowed=ok)
+
+    at = F.unix_micros(F.col("ts").cast("timestamp")).alias("at")
+    dealt = rows.where(F.col("ts").isNotNull()).select("event_id", key, at).repartition(key).sortWithinPartitions(key, "at", "event_id")
+    return dealt.mapInPandas(walk, f"event_id {dict(rows.dtypes)['event_id']}, {key} {dict(rows.dtypes)[key]}, allowed boolean")

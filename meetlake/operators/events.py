@@ -92,3 +92,34 @@ def dedup(found: DataFrame, known: DataFrame, share: float = 0.5) -> DataFrame:
     alone = found.join(near.select("meeting_id", "id").distinct(), ["meeting_id", "id"], "left_anti").withColumn("source", F.lit("detector"))
     columns = ["meeting_id", "id", "start_ms", "end_ms", "source"]
     return kept.select(columns).unionByName(alone.select(columns))
+
+
+def filler_candidates(speech: DataFrame, words: DataFrame, least_ms: int = 250, most_ms: int = 2000, share: float = 0.3, margin_ms: int = 150) -> DataFrame:
+    """Where a filler may be: short speech spans with few words in them, and holes between words in the other spans. All of one track, by meeting."""
+    on = ["meeting_id"]
+    said = S.normalize(words, on)
+    seg = S.overlap_sums(speech, said, on, ["meeting_id", "start_ms"], "said_ms")
+    length = F.col("end_ms") - F.col("start_ms")
+    whole = length.between(least_ms, most_ms) & (F.col("said_ms") <= share * length)
+    padded = said.withColumns({"start_ms": F.col("start_ms") - margin_ms, "end_ms": F.col("end_ms") + margin_ms})
+    holes = S.subtract(seg.where(~whole), padded, on).where(length.between(least_ms, most_ms))
+    return S.normalize(seg.where(whole).select("meeting_id", "start_ms", "end_ms").unionByName(holes), on)
+
+
+def nearest(points: DataFrame, marks: DataFrame, value: str, by: list[str], within_ms: int) -> DataFrame:
+    """points (meeting_id, start_ms, by) with the value of the mark that begins nearest within the distance, the earlier of two; others go."""
+    around = points.select("meeting_id", *by, F.col("start_ms").alias("_at"), (F.col("start_ms") - within_ms).alias("start_ms"), (F.col("start_ms") + within_ms + 1).alias("end_ms"))
+    spots = marks.select("meeting_id", "start_ms", (F.col("start_ms") + 1).alias("end_ms"))
+    best = S.overlapping(around, spots, ["meeting_id"]).groupBy("meeting_id", *by, "_at").agg(F.min(F.struct(F.abs(F.col("b_start") - F.col("_at")).alias("d"), F.col("b_start").alias("s"))).alias("m"))
+    values = marks.groupBy("meeting_id", F.col("start_ms").alias("_s")).agg(F.min(value).alias(value))
+    return best.select("meeting_id", *by, F.col("_at").alias("start_ms"), F.col("m.s").alias("_s")).join(values, ["meeting_id", "_s"]).drop("_s")
+
+
+def hallucinated(segments: DataFrame, speech: DataFrame, phrases: list[str]) -> DataFrame:
+    """segments with suspicious (little speech under them, or a recogniser in doubt) and dropped (suspicious, and a known phrase or deep doubt)."""
+    by = ["meeting_id", "track", "sentence_i"]
+    out = S.overlap_sums(segments, speech, S.KEYS, by, "said_ms")
+    doubt = (F.col("no_speech") > 0.6) | (F.col("logprob") < -1.0) | (F.col("compression") > 2.4)
+    out = out.withColumn("suspicious", (F.col("said_ms") < 0.5 * (F.col("end_ms") - F.col("start_ms"))) | doubt)
+    known = F.lower("text").rlike("|".join(phrases)) if phrases else F.lit(False)
+    return out.withColumn("dropped", F.col("suspicious") & (known | ((F.col("no_speech") > 0.85) & (F.col("logprob") < -1.0))))

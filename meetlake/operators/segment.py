@@ -61,3 +61,12 @@ def transcript(sentences: DataFrame) -> DataFrame:
     line = F.concat(F.lit("["), T.timecode(F.floor(F.col("start_ms") / 1000)), F.lit("] "), F.when(other, "> ").otherwise(""), F.col("text"))
     rows = sentences.select("meeting_id", F.struct("start_ms", other.alias("o"), "sentence_i", line.alias("line")).alias("s"))
     return rows.groupBy("meeting_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda x: x["line"]), "\n").alias("text"))
+
+
+def merge_tokens(tokens: DataFrame) -> DataFrame:
+    """Sub-word tokens to words: a token without a leading space continues the one before; prob is the least of its tokens'."""
+    first = F.row_number().over(order()) == 1
+    grouped = tokens.withColumn("_g", F.sum((first | F.col("text").startswith(" ")).cast("int")).over(order()))
+    text = F.trim(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), ""))
+    out = grouped.groupBy("meeting_id", "track", "_g").agg(text.alias("text"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.min("prob").alias("prob"))
+    return out.select("meeting_id", "track", (F.col("_g") - 1).cast("int").alias("i"), "text", "start_ms", "end_ms", "prob")

@@ -35,3 +35,22 @@ def pitch(frames: DataFrame, least: int = 10) -> DataFrame:
     st = semitones(F.col("f0"))
     out = frames.where("f0 > 0").groupBy("meeting_id").agg(F.count(F.lit(1)).alias("n"), F.percentile("f0", 0.5).alias("pitch_median_hz"), (F.percentile(st, 0.9) - F.percentile(st, 0.1)).alias("r"))
     return out.select("meeting_id", "pitch_median_hz", F.when(F.col("n") >= least, F.col("r")).alias("pitch_range_st"))
+
+
+def frame_p95(rows: DataFrame, key: str, samples: str, size: int) -> DataFrame:
+    """key, p95_db: 95th percentile of the levels of a row's frames of `size` samples; the last may be shorter."""
+    frames = F.transform(F.sequence(F.lit(0), F.floor((F.size(samples) - 1) / size).cast("int")), lambda k: F.slice(samples, k * size + 1, F.lit(size)))
+    return rows.where(F.size(samples) > 0).select(key, F.explode(frames).alias("_f")).groupBy(key).agg(F.percentile(dbfs(F.col("_f")), 0.95).alias("p95_db"))
+
+
+def downmix(samples: Column, channels: int) -> Column:
+    """Mean of the channels of interleaved samples; a last incomplete group is dropped."""
+    n = F.floor(F.size(samples) / channels).cast("int")
+    one = lambda k: F.aggregate(F.slice(samples, k * channels + 1, F.lit(channels)), F.lit(0.0), lambda a, x: a + x.cast("double")) / channels
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), one)).otherwise(F.array().cast("array<double>"))
+
+
+def aligned(samples: Column, offset_ms: Column, rate: int, least_ms: int = 20, most_ms: int = 600_000) -> Column:
+    """Samples after silence as long as the track began late; offsets out of (least, most] leave them as they are."""
+    silence = F.array_repeat(F.lit(0.0), (offset_ms * rate / 1000).cast("int"))
+    return F.when((offset_ms > least_ms) & (offset_ms <= most_ms), F.concat(silence, samples)).otherwise(samples)

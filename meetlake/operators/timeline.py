@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meetlake.operators import spans as S
@@ -52,3 +52,10 @@ def by_minute(events: DataFrame, durations: DataFrame) -> DataFrame:
     minutes = durations.withColumn("last", last).withColumn("minute", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
     own = events.join(durations.withColumn("last", last).select("meeting_id", "last"), "meeting_id").groupBy("meeting_id", F.least(F.floor(F.col("start_ms") / 60000), "last").alias("minute")).agg(F.count(F.lit(1)).alias("n"))
     return minutes.select("meeting_id", "minute").join(own, ["meeting_id", "minute"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def runs(points: DataFrame, step: int = STEP) -> DataFrame:
+    """Runs of windows that follow each other at the step: start_ms, end_ms, n_windows."""
+    place = F.row_number().over(Window.partitionBy("meeting_id").orderBy("a"))
+    marked = points.withColumn("_run", F.floor(F.col("a") / step) - place)
+    return marked.groupBy("meeting_id", "_run").agg(F.min("a").alias("start_ms"), F.max("b").alias("end_ms"), F.count(F.lit(1)).alias("n_windows")).drop("_run")
