@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meetlake.functions import text as T
+from meetlake.operators.events import nearest
 
 # Items that fill a checklist.
 CHECKLIST = ["goal of the meeting", "first sentence", "two facts", "likely question", "next step"]
@@ -89,22 +90,26 @@ def first_at(found: DataFrame) -> DataFrame:
 
 
 def anchor(questions: DataFrame, sentences: DataFrame, least: float = 0.5, bonus: float = 0.1, within_ms: int = 20_000) -> DataFrame:
-    """meeting_id, question_id, sentence_i, score: the sentence that holds the largest share of a question's words, questions preferred, then the nearest in time.
+    """meeting_id, question_id, sentence_i, score: the sentence with the largest share of a question's words, the nearest of equal ones.
 
-    Sentences meet questions by meeting and word, never by meeting alone; a question that shares too little goes to the
-    nearest question within the distance, then the nearest sentence.
+    A sentence that asks gets a bonus. Sentences meet questions by meeting and word, never by meeting alone; a question
+    of which no sentence holds enough goes to the nearest sentence that asks within the distance, then to the nearest
+    sentence (score null); one that has none stays out.
     """
     split = lambda c: F.array_distinct(F.filter(F.transform(F.split(c, r"\s+"), T.match_key), lambda k: k != ""))
     q = questions.select("meeting_id", "question_id", F.col("start_ms").alias("at"), split("question").alias("qk"))
     asked = q.select("meeting_id", "question_id", "at", F.size("qk").alias("nq"), F.explode("qk").alias("k"))
     said = sentences.select("meeting_id", "sentence_i", "start_ms", "is_question", F.explode(split("text")).alias("k"))
-    shared = asked.join(said, ["meeting_id", "k"]).groupBy("meeting_id", "question_id", "at", "nq", "sentence_i", "start_ms", "is_question").agg(F.count(F.lit(1)).alias("n"))
-    share = F.col("n") / F.col("nq")
-    near = F.abs(F.col("start_ms") - F.col("at"))
-    score = F.when(share >= least, share + F.when(F.col("is_question"), bonus).otherwise(0.0)).when((near <= within_ms) & F.col("is_question"), 0.0).when(near <= within_ms, -1.0)
-    rank = F.struct(score.alias("score"), (-near).alias("near"), (-F.col("sentence_i")).alias("i"))
-    best = shared.where(score.isNotNull()).groupBy("meeting_id", "question_id").agg(F.max_by(F.struct("sentence_i", score.alias("score")), rank).alias("b"))
-    return best.select("meeting_id", "question_id", "b.sentence_i", F.round("b.score", 6).alias("score"))
+    shared = asked.join(said, ["meeting_id", "k"]).groupBy("meeting_id", "question_id", "at", "nq", "sentence_i", "start_ms", "is_question").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least * F.col("nq"))
+    score = F.round(F.col("n") / F.col("nq") + F.when(F.col("is_question"), bonus).otherwise(0.0), 6)
+    rank = F.struct(score.alias("score"), (-F.abs(F.col("start_ms") - F.col("at"))).alias("near"), (-F.col("sentence_i")).alias("i"))
+    best = shared.groupBy("meeting_id", "question_id").agg(F.max_by(F.struct("sentence_i", score.alias("score")), rank).alias("b")).select("meeting_id", "question_id", "b.*")
+    keys = ["meeting_id", "question_id"]
+    for marks in (sentences.where("is_question"), sentences):
+        left = questions.select(*keys, "start_ms").join(best, keys, "left_anti")
+        found = nearest(left, marks, "sentence_i", ["question_id"], within_ms)
+        best = best.unionByName(found.select(*keys, "sentence_i", F.lit(None).cast("double").alias("score")))
+    return best
 
 
 def checklist(items: Column, least: int = 5, most: int = 8) -> Column:

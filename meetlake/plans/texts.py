@@ -64,7 +64,8 @@ def parse_event(spark, sf):
 def coerce_values(spark, sf):
     """Loose values: shares clamped to 0 to 1 (a half where no number), whole minutes to 1 to 30, empty text to null."""
     raw = F.when(F.col("event_id") % 6 == 0, "n/a").otherwise((F.col("value") / 200).cast("string"))
-    share = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw.try_cast("double"))), F.lit(0.5))
+    number = raw.try_cast("double")
+    share = F.when(number.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)))
     minutes = F.greatest(F.lit(1.0), F.least(F.lit(30.0), F.rint(F.col("value") / 10))).cast("int")
     name = F.nullif(F.trim(F.when(F.col("event_id") % 7 == 0, " ").otherwise(F.col("event_type"))), F.lit(""))
     return D.table(spark, sf, "events").select("event_id", share.alias("share"), minutes.alias("minutes"), name.alias("name"))
@@ -99,9 +100,9 @@ def things_validate(spark, sf):
 
 @query()
 def anchor_question(spark, sf):
-    """The other party's questions by their last words, anchored to the sentence they come from."""
+    """Every fifth sentence of the other party without its first word, anchored to where it comes from."""
     s = G.sentences(sentenced(spark, sf)).where("track = 'system'")
-    asked = s.where("is_question").select("meeting_id", F.col("sentence_i").alias("question_id"), "start_ms", F.regexp_replace("text", r"^\S+\s+", "").alias("question"))
+    asked = s.where("sentence_i % 5 = 0").select("meeting_id", F.col("sentence_i").alias("question_id"), "start_ms", F.regexp_replace("text", r"^\S+\s+", "").alias("question"))
     return Q.anchor(asked, s)
 
 
