@@ -118,10 +118,12 @@ def track_align(spark, sf):
     return e.select("vec_id", F.size(aligned).alias("n"), F.round(aligned[0], 6).alias("first"))
 
 
-@query("SELECT o_custkey AS speaker, round(sum(o_totalprice * (o_orderkey % 30 + 1)) / sum(o_orderkey % 30 + 1), 1) AS mean FROM orders GROUP BY 1")
+@query("SELECT o_custkey AS speaker, round(sum(round(o_totalprice * 100)::BIGINT * (o_orderkey % 30 + 1))::DOUBLE / (sum(o_orderkey % 30 + 1) * 100)::DOUBLE, 4) AS mean FROM orders GROUP BY 1")
 def weighted_mean(spark, sf):
-    weight = F.col("o_orderkey") % 30 + 1
-    return D.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("speaker")).agg(F.round(F.sum(F.col("o_totalprice") * weight) / F.sum(weight), 1).alias("mean"))
+    """In whole cents, so that the sum does not depend on the order of rows."""
+    weight, cents = F.col("o_orderkey") % 30 + 1, F.round(F.col("o_totalprice") * 100).cast("long")
+    mean = F.sum(cents * weight).cast("double") / (F.sum(weight) * 100).cast("double")
+    return D.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("speaker")).agg(F.round(mean, 4).alias("mean"))
 
 
 @query(over("""SELECT meeting_id, place FROM (SELECT meeting_id, kind, start_ms, (SELECT count(*) FROM frames f WHERE f.meeting_id = e.meeting_id AND f.t_ms BETWEEN e.start_ms - 350 + 1 AND e.start_ms + 350 - 1) AS place FROM inter e) WHERE place > 0""").replace("SELECT meeting_id, place FROM", "SELECT meeting_id, kind, start_ms, place AS n_near FROM"))
