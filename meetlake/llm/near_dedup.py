@@ -2,8 +2,9 @@
 
 A document is the set of its shingles. In each of several independent trees documents branch by the minwise token of
 their set under the hash of tree and level; a node that is small is compared exhaustively, a larger one branches on, at
-most LEVELS times. Two sets of similarity s share a first branch with probability s and a last one with s**LEVELS, so
-with 12 trees and s = 0.85 a pair is missed with a chance of 1.3e-10 in small nodes and 1.5e-4 in the largest.
+most LEVELS times. Two sets of similarity s share a first branch with probability s and a last one with s**LEVELS; the
+number of trees follows from the least similarity that links, so that a pair is missed with a chance of 1.5e-4 at most
+in the largest nodes: 12 trees at 0.85 (1.3e-10 in small nodes), 17 at 0.8 (1.3e-12).
 
 Equal sets are one representative from the start. What must be found is the connected components, so comparing stays
 near-linear in a node: first every member meets the node's first document and links are confirmed on full sets; only
@@ -17,6 +18,9 @@ one shingle; a null id keeps a null component; rows that repeat an id are one no
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,18 +29,38 @@ from pyspark.sql import functions as F
 from meetlake.llm.common import U64, discard, docs_words, free, mix, staged, text_bytes
 
 WORDS = 5
-PERCENT = 85
-TREES, LEVELS = 12, 4
+LEVELS = 4
+MISSED = 1.5e-4  #: chance at most that the trees miss a pair in the largest nodes
 SMALL = 16  #: documents of a node that is not branched further
 BLOCK = 1024  #: documents of a block in a large node
-#: Equal bytes of two sketches from which a pair is confirmed: five deviations below what similarity 0.85 gives.
-SKETCH_LEAST = 28
 #: Salt of the comparisons with one document, and ids up to which a semi-join is broadcast.
 MEMBERS, BROADCAST_IDS = 64, 200_000
 
-_RNG = np.random.default_rng(5)
-_A, _B = (_RNG.integers(1, 1 << 63, TREES * LEVELS, dtype=np.int64).astype(U64) * U64(2) + U64(1) for _ in range(2))
-_K = _RNG.integers(1, 1 << 63, WORDS, dtype=np.int64).astype(U64) * U64(2) + U64(1)
+_K, _D = (np.random.default_rng(i).integers(1, 1 << 63, n, dtype=np.int64).astype(U64) * U64(2) + U64(1) for i, n in ((6, WORDS), (7, 1)))
+
+
+@dataclass(frozen=True)
+class Settings:
+    percent: int  #: similarity from which two sets link
+
+    @property
+    def trees(self) -> int:
+        return math.ceil(math.log(MISSED) / math.log(1 - (self.percent / 100) ** LEVELS))
+
+    @property
+    def hashes(self) -> int:
+        return self.trees * LEVELS
+
+    @property
+    def least(self) -> int:
+        """Equal bytes of two sketches from which a pair is confirmed: five deviations below what the similarity gives."""
+        p = self.percent / 100 + (1 - self.percent / 100) / 256
+        return math.floor(self.hashes * p - 5 * math.sqrt(self.hashes * p * (1 - p)))
+
+    def functions(self) -> tuple[np.ndarray, np.ndarray]:
+        rng = np.random.default_rng(5)
+        a, b = (rng.integers(1, 1 << 63, self.hashes, dtype=np.int64).astype(U64) * U64(2) + U64(1) for _ in range(2))
+        return a, b
 
 
 def shingles(words: np.ndarray) -> np.ndarray:
@@ -50,33 +74,38 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return np.unique(mix(h + U64(n if n < WORDS else 0)))
 
 
-def minwise(s: np.ndarray) -> np.ndarray:
+def minwise(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least hash of a set under each function."""
-    out = np.full(len(_A), np.iinfo(U64).max, U64)
+    out = np.full(len(a), np.iinfo(U64).max, U64)
     for at in range(0, len(s), 2048):
-        np.minimum(out, ((s[None, at : at + 2048] ^ _B[:, None]) * _A[:, None]).min(1), out=out)
+        np.minimum(out, ((s[None, at : at + 2048] ^ b[:, None]) * a[:, None]).min(1), out=out)
     return out
 
 
-def signatures(batches):
-    """For mapInArrow: (doc_id, text) to the size and a 128-bit digest of its set, minwise hashes and sketch."""
-    for batch in batches:
-        n = batch.num_rows
-        size, digest, least = np.zeros(n, np.int64), np.zeros((2, n), U64), np.zeros((n, len(_A)), U64)
-        for place, words in docs_words(text_bytes(batch.column("text"))):
-            s = shingles(words)
-            size[place] = len(s)
-            digest[:, place] = mix(s).sum(), mix(s ^ _B[0]).sum()
-            least[place] = minwise(s)
-        sketch = (mix(least) & U64(255)).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"), pa.array(size), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)),
-                pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(_A)), pa.array(least.ravel().view(np.int64))),
-                pa.array([x.tobytes() for x in sketch], pa.binary()),
-            ],
-            ["doc_id", "n_shingles", "d1", "d2", "least", "sketch"],
-        )
+def signatures(settings: Settings):
+    """Function for mapInArrow: (doc_id, text) to the size and a 128-bit digest of its set, minwise hashes and sketch."""
+
+    def run(batches):
+        a, b = settings.functions()
+        for batch in batches:
+            n = batch.num_rows
+            size, digest, least = np.zeros(n, np.int64), np.zeros((2, n), U64), np.zeros((n, len(a)), U64)
+            for place, words in docs_words(text_bytes(batch.column("text"))):
+                s = shingles(words)
+                size[place] = len(s)
+                digest[:, place] = mix(s).sum(), mix(s ^ _D[0]).sum()
+                least[place] = minwise(s, a, b)
+            sketch = (mix(least) & U64(255)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"), pa.array(size), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(a)), pa.array(least.ravel().view(np.int64))),
+                    pa.array([x.tobytes() for x in sketch], pa.binary()),
+                ],
+                ["doc_id", "n_shingles", "d1", "d2", "least", "sketch"],
+            )
+
+    return run
 
 
 SIGNATURES = "doc_id long, n_shingles long, d1 long, d2 long, least array<long>, sketch binary"
@@ -87,9 +116,9 @@ def pairs_arrow(a, b) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def small_nodes(sets: DataFrame) -> DataFrame:
+def small_nodes(sets: DataFrame, settings: Settings) -> DataFrame:
     """node, doc: the nodes of all trees in which documents are compared; nodes with equal members are one."""
-    level = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.slice("least", t * LEVELS + 1, LEVELS))).alias("tree", "path")
+    level = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(settings.trees - 1)), lambda t: F.slice("least", t * LEVELS + 1, LEVELS))).alias("tree", "path")
     front = sets.select(F.col("doc_id").alias("doc"), level).select("doc", F.xxhash64("tree", F.col("path")[0]).alias("node"), "path")
     leaves = []
     for depth in range(1, LEVELS + 1):
@@ -106,82 +135,94 @@ def small_nodes(sets: DataFrame) -> DataFrame:
     return all_.join(one.select("node", "n", "pivot"), "node")
 
 
-def alike(left: str, right: str):
+def alike(left: str, right: str, settings: Settings):
     """Function for mapInArrow: pairs (a, b) whose sketches are alike enough."""
 
     def run(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, len(_A)) for c in (left, right))
-            near = pa.array((x == y).sum(1) >= SKETCH_LEAST)
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, settings.hashes) for c in (left, right))
+            near = pa.array((x == y).sum(1) >= settings.least)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(near) for c in ("a", "b")], ["a", "b"])
 
     return run
 
 
-def across(group: pa.Table) -> pa.Table:
-    """Members of a block for which another component has a member with a sketch alike enough."""
-    comp = group.column("comp").to_numpy()
-    sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, len(_A))
-    found = np.zeros(len(comp), bool)
-    for i in range(len(comp) - 1):
-        near = ((sketch[i + 1 :] == sketch[i]).sum(1) >= SKETCH_LEAST) & (comp[i + 1 :] != comp[i])
-        found[i] |= near.any()
-        found[i + 1 :] |= near
-    return group.select(["node", "x", "y", "doc", "comp"]).filter(pa.array(found))
-
-
-def compared(group: pa.Table) -> pa.Table:
-    """Confirmed links that join the components of a block; pairs of one component are not compared."""
-    doc, comp = group.column("doc").to_pylist(), group.column("comp").to_pylist()
-    words = dict(docs_words(text_bytes(group.column("text"))))
-    sets = [shingles(words.get(i, np.empty(0, U64))) for i in range(len(doc))]
-    size = np.array([len(s) for s in sets])
-    _, flat = np.unique(np.concatenate([*sets, np.zeros(1, U64)]), return_inverse=True)
-    flat, starts = flat[:-1], np.cumsum(size) - size
-    owner, up = np.repeat(np.arange(len(doc)), size), {c: c for c in comp}
-
-    def root(c):
-        while up[c] != c:
-            up[c] = up[up[c]]
-            c = up[c]
-        return c
-
-    mark, links = np.zeros(len(flat) + 1, bool), []
-    for i in range(len(doc) - 1):
-        own = flat[starts[i] : starts[i] + size[i]]
-        mark[own] = True
-        rest = slice(starts[i] + size[i], None)
-        both = np.bincount(owner[rest], mark[flat[rest]], len(doc))[i + 1 :]
-        mark[own] = False
-        for j in (np.flatnonzero(100 * both >= PERCENT * (size[i + 1 :] + size[i] - both)) + i + 1).tolist():
-            if both[j - i - 1] and root(comp[i]) != root(comp[j]):
-                links.append((min(doc[i], doc[j]), max(doc[i], doc[j])))
-                up[root(comp[i])] = root(comp[j])
-    a, b = zip(*links, strict=True) if links else ((), ())
-    return pa.Table.from_batches([pairs_arrow(a, b)])
-
-
-def linked(batches):
-    """For mapInArrow: rows (a, salt, b, text), those of an (a, salt) together and a's own first, to confirmed links."""
-    pivot, own = None, None
-    for batch in batches:
-        a, salt, b = (batch.column(c).to_pylist() for c in ("a", "salt", "b"))
-        links = []
-        words = dict(docs_words(text_bytes(batch.column("text"))))
-        for i in range(batch.num_rows):
-            s = shingles(words[i]) if i in words else np.empty(0, U64)
-            if b[i] == a[i]:
-                pivot, own = (a[i], salt[i]), s
-                continue
-            if pivot != (a[i], salt[i]):
-                raise RuntimeError("comparison without its document")
-            if 100 * min(len(s), len(own)) < PERCENT * max(len(s), len(own)):
-                continue
-            both = len(np.intersect1d(own, s, assume_unique=True))
-            if 100 * both >= PERCENT * (len(own) + len(s) - both):
-                links.append((a[i], b[i]))
-        if links:
-            yield pairs_arrow(*zip(*links, strict=True))
+def across(settings: Settings):
+    """Function for applyInArrow: members of a block for which another component has a member with a sketch alike enough."""
+
+    def run(group: pa.Table) -> pa.Table:
+        comp = group.column("comp").to_numpy()
+        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, settings.hashes)
+        found = np.zeros(len(comp), bool)
+        for i in range(len(comp) - 1):
+            near = ((sketch[i + 1 :] == sketch[i]).sum(1) >= settings.least) & (comp[i + 1 :] != comp[i])
+            found[i] |= near.any()
+            found[i + 1 :] |= near
+        return group.select(["node", "x", "y", "doc", "comp"]).filter(pa.array(found))
+
+    return run
+
+
+def compared(settings: Settings):
+    """Function for applyInArrow: confirmed links that join the components of a block; pairs of one component are not compared."""
+
+    def run(group: pa.Table) -> pa.Table:
+        doc, comp = group.column("doc").to_pylist(), group.column("comp").to_pylist()
+        words = dict(docs_words(text_bytes(group.column("text"))))
+        sets = [shingles(words.get(i, np.empty(0, U64))) for i in range(len(doc))]
+        size = np.array([len(s) for s in sets])
+        _, flat = np.unique(np.concatenate([*sets, np.zeros(1, U64)]), return_inverse=True)
+        flat, starts = flat[:-1], np.cumsum(size) - size
+        owner, up = np.repeat(np.arange(len(doc)), size), {c: c for c in comp}
+
+        def root(c):
+            while up[c] != c:
+                up[c] = up[up[c]]
+                c = up[c]
+            return c
+
+        mark, links = np.zeros(len(flat) + 1, bool), []
+        for i in range(len(doc) - 1):
+            own = flat[starts[i] : starts[i] + size[i]]
+            mark[own] = True
+            rest = slice(starts[i] + size[i], None)
+            both = np.bincount(owner[rest], mark[flat[rest]], len(doc))[i + 1 :]
+            mark[own] = False
+            for j in (np.flatnonzero(100 * both >= settings.percent * (size[i + 1 :] + size[i] - both)) + i + 1).tolist():
+                if both[j - i - 1] and root(comp[i]) != root(comp[j]):
+                    links.append((min(doc[i], doc[j]), max(doc[i], doc[j])))
+                    up[root(comp[i])] = root(comp[j])
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.Table.from_batches([pairs_arrow(a, b)])
+
+    return run
+
+
+def linked(settings: Settings):
+    """Function for mapInArrow: rows (a, salt, b, text), those of an (a, salt) together and a's own first, to confirmed links."""
+
+    def run(batches):
+        pivot, own = None, None
+        for batch in batches:
+            a, salt, b = (batch.column(c).to_pylist() for c in ("a", "salt", "b"))
+            links = []
+            words = dict(docs_words(text_bytes(batch.column("text"))))
+            for i in range(batch.num_rows):
+                s = shingles(words[i]) if i in words else np.empty(0, U64)
+                if b[i] == a[i]:
+                    pivot, own = (a[i], salt[i]), s
+                    continue
+                if pivot != (a[i], salt[i]):
+                    raise RuntimeError("comparison without its document")
+                if 100 * min(len(s), len(own)) < settings.percent * max(len(s), len(own)):
+                    continue
+                both = len(np.intersect1d(own, s, assume_unique=True))
+                if 100 * both >= settings.percent * (len(own) + len(s) - both):
+                    links.append((a[i], b[i]))
+            if links:
+                yield pairs_arrow(*zip(*links, strict=True))
+
+    return run
 
 
 def only(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -197,7 +238,7 @@ def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
     return staged(texts.groupBy("doc_id").agg(F.max("text").alias("text")) if docs_repeat(docs) else texts, "texts")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
     """The pairs (a, b) that are similar enough on their full sets."""
     texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs)
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("salts"))
@@ -205,7 +246,7 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     own = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("b"))
     rows = members.unionByName(own).join(texts, F.col("b") == F.col("doc_id")).select("a", "salt", "b", "text")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b") != F.col("a"), "b")
-    return rows.mapInArrow(linked, PAIRS)
+    return rows.mapInArrow(linked(settings), PAIRS)
 
 
 def docs_repeat(docs: DataFrame) -> bool:
@@ -259,29 +300,30 @@ def blocks(nodes: DataFrame) -> DataFrame:
     return small.unionByName(large)
 
 
-def marked(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs."""
-    signed = staged(docs.select("doc_id", "text").mapInArrow(signatures, SIGNATURES), "signatures")
+def marked(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs; sets link from a similarity of percent hundredths on."""
+    settings = Settings(percent)
+    signed = staged(docs.select("doc_id", "text").mapInArrow(signatures(settings), SIGNATURES), "signatures")
     usable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     first = usable.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("first"))
     ones = first.select("first", F.col("n_shingles").alias("_n"), F.col("d1").alias("_1"), F.col("d2").alias("_2"))
     sets = usable.join(ones, (F.col("doc_id") == F.col("first")) & (F.col("n_shingles") == F.col("_n")) & (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2")), "left_semi")
     sets = staged(sets.select("doc_id", "least", "sketch").dropDuplicates(["doc_id"]), "sets")
-    nodes = staged(small_nodes(sets), "nodes")
+    nodes = staged(small_nodes(sets, settings), "nodes")
     sketch = sets.select(F.col("doc_id").alias("doc"), "sketch")
     members = staged(nodes.join(sketch, "doc"), "members")
 
     stars = members.where("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b"), "sketch").dropDuplicates(["a", "b"])
-    stars = stars.join(sketch.select(F.col("doc").alias("a"), F.col("sketch").alias("own")), "a").mapInArrow(alike("sketch", "own"), PAIRS)
-    links = staged(confirm(staged(stars, "stars"), docs), "links")
+    stars = stars.join(sketch.select(F.col("doc").alias("a"), F.col("sketch").alias("own")), "a").mapInArrow(alike("sketch", "own", settings), PAIRS)
+    links = staged(confirm(staged(stars, "stars"), docs, settings), "links")
     labels = components(links)
 
     labelled = members.join(labels, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    rest = staged(blocks(labelled).groupBy("node", "x", "y").applyInArrow(across, "node long, x int, y int, doc long, comp long"), "rest")
+    rest = staged(blocks(labelled).groupBy("node", "x", "y").applyInArrow(across(settings), "node long, x int, y int, doc long, comp long"), "rest")
     if not rest.isEmpty():
         texts = texts_of(rest.select(F.col("doc").alias("id")).distinct(), docs)
         rest = rest.join(texts, F.col("doc") == F.col("doc_id")).select("node", "x", "y", "doc", "comp", "text")
-        more = staged(rest.groupBy("node", "x", "y").applyInArrow(compared, PAIRS).distinct(), "more")
+        more = staged(rest.groupBy("node", "x", "y").applyInArrow(compared(settings), PAIRS).distinct(), "more")
         if not more.isEmpty():
             labels = components(links.unionByName(more))
 
@@ -305,9 +347,9 @@ def repeated_ids(usable: DataFrame, named: DataFrame) -> DataFrame:
     return named.join(labels, "component", "left").select("n_shingles", "d1", "d2", F.coalesce("comp", "component").alias("component"))
 
 
-def keep(docs: DataFrame) -> DataFrame:
+def keep(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The rows of docs that stay, in their own columns: of each component the document with the smallest id."""
-    dropped = staged(marked(docs).where(~F.col("kept")).select("doc_id").distinct(), "dropped")
+    dropped = staged(marked(docs, percent).where(~F.col("kept")).select("doc_id").distinct(), "dropped")
     few = dropped.count() <= BROADCAST_IDS
     (own,) = free(docs, "_id")
     ids = dropped.select(F.col("doc_id").alias(own))

@@ -32,7 +32,7 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.marked(table(spark, sf_dir, "documents"))
+    return near_dedup.marked(table(spark, sf_dir, "documents"), percent=85)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
