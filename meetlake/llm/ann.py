@@ -3,8 +3,10 @@
 Vectors are dealt by a hash of their id to shards of bounded size. A shard's index holds its distinct vectors, the ids of
 each, and for each layer a flat array of neighbours; layers are drawn by a hash, each about a sixteenth of the one below.
 Neighbours are the nearest in the layer, thinned so that none is nearer to a chosen one than to the vector itself, with
-links back. A search descends the layers with a beam and ends in the lowest; all queries of a block are advanced
-together. Each block of queries meets each shard once, and the best of all shards are merged. Scores are computed again
+links back. That alone leaves a tight group of near copies an island, so each node is also tied both ways to its nearest in
+the layer above, where a search comes from, thinned as well, and nodes that still cannot be reached from there get a link
+until there are none. A search scans the highest layer, descends the others with a beam and ends in the lowest; all
+queries of a block are advanced together. Each block of queries meets each shard once, and the best of all shards are merged. Scores are computed again
 in double precision from the original vectors.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part; only vectors of
@@ -31,6 +33,7 @@ class Settings:
     block_rows: int = 1_024  #: queries that are advanced together
     links: int = 16  #: in upper layers; twice as many in the lowest
     near: int = 24  #: nearest vectors from which links are chosen
+    ties: int = 2  #: nearest in the layer above to which a node is tied
     beam: int = 72
     upper_beam: int = 24
 
@@ -88,6 +91,44 @@ def layer(x: np.ndarray, nodes: np.ndarray, links: int, near: int) -> np.ndarray
     return np.where(out >= 0, nodes[out], -1).astype(np.int32)
 
 
+def tied(x: np.ndarray, nodes: np.ndarray, above: np.ndarray, table: np.ndarray, links: int, ties: int) -> np.ndarray:
+    """The links of a layer with ties to and from the layer above, and all nodes within reach of it."""
+    place = np.full(len(x), -1, np.int64)
+    place[nodes] = np.arange(len(nodes))
+    up, score = np.zeros((len(nodes), ties), np.int64), np.zeros((len(nodes), ties), np.float32)
+    for at in range(0, len(nodes), 512):
+        s = x[nodes[at : at + 512]] @ x[above].T
+        s[nodes[at : at + 512, None] == above] = -np.inf
+        up[at : at + 512] = top = np.argsort(-s, axis=1, kind="stable")[:, :ties]
+        score[at : at + 512] = np.take_along_axis(s, top, 1)
+    down, y = np.full((len(nodes), links), -1, np.int64), x[nodes]
+    who, owner, strength = np.repeat(np.arange(len(nodes)), ties), up.ravel(), score.ravel()
+    order = np.lexsort((-strength, owner))
+    bounds = np.searchsorted(owner[order], np.arange(len(above) + 1))
+    for i, own in enumerate(place[above]):
+        cell = order[bounds[i] : bounds[i + 1]][: 8 * links]
+        if len(cell):
+            got = thinned(y, np.array([own]), who[cell][None], strength[cell][None], links)[0]
+            down[own, : len(got)] = got
+    table = np.concatenate((table, above[up], np.where(down >= 0, nodes[down], -1)), 1).astype(np.int32)
+    while True:
+        reached = np.zeros(len(x) + 1, bool)
+        reached[-1], front = True, above
+        while len(front):
+            reached[front] = True
+            near = np.unique(table[place[front]])
+            front = near[~reached[near]]
+        lost = np.flatnonzero(~reached[nodes])
+        if not len(lost):
+            return table
+        # the strongest lost node of each node above; what hangs on it comes with it
+        lost = lost[np.lexsort((-score[lost, 0], up[lost, 0]))]
+        owners, first = np.unique(up[lost, 0], return_index=True)
+        more = np.full((len(nodes), 1), -1, np.int32)
+        more[place[above[owners]], 0] = nodes[lost[first]]
+        table = np.concatenate((table, more), 1)
+
+
 class Index:
     """Distinct vectors, their ids, and neighbours by layer from the lowest."""
 
@@ -107,14 +148,16 @@ class Index:
             if depth and len(nodes) <= s.upper_beam:
                 break
             self.layers.append((nodes, layer(x, nodes, s.links if depth else 2 * s.links, s.near)))
-        top = self.layers[-1][0]
-        self.entries = top[np.linspace(0, len(top) - 1, min(len(top), s.upper_beam)).astype(int)]
+        for depth in range(len(self.layers) - 1):
+            (nodes, table), above = self.layers[depth], self.layers[depth + 1][0]
+            self.layers[depth] = nodes, tied(x, nodes, above, table, s.links if depth else 2 * s.links, s.ties)
 
     def descend(self, q: np.ndarray, s: Settings) -> np.ndarray:
         """The places of the vectors found for each query, a row each; -1 fills up."""
         x = self.vectors.astype(np.float32)
         q32 = q.astype(np.float32)
-        found = np.tile(self.entries, (len(q), 1))
+        top = self.layers[-1][0]
+        found = top[np.argsort(-(q32 @ x[top].T), axis=1, kind="stable")[:, : s.upper_beam]]
         for depth in range(len(self.layers) - 1, -1, -1):
             nodes, links = self.layers[depth]
             found = beam(x, q32, nodes, links, found, s.upper_beam if depth else s.beam)

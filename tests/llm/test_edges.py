@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 from meetlake.llm import ann, exact_dedup, language_model, mixing, near_dedup, packing, quality, queries, suffix_dedup, toxicity, warc
 from pyspark.sql import functions as F
 from tests.llm.helpers import CLASHING, awkward, empty, labels
@@ -107,3 +108,26 @@ def test_copies_with_a_shared_passage(spark):
             left = "".join(c for j, c in enumerate(t) if j not in gone)
             assert (got[d].n_removed, got[d].kept_sha256) == (len(gone), hashlib.sha256(left.encode()).hexdigest())
         assert got[18].n_removed >= 320 and got[19].n_removed == 0
+
+
+def test_nearest_in_groups_of_near_copies(spark):
+    """Groups of 25 to 500 near copies in two shards: the queries of each group find their true neighbours."""
+    rng = np.random.default_rng(3)
+    unit = lambda a: a / np.linalg.norm(a, axis=-1, keepdims=True)
+    sizes = [0, *[25] * 4, *[60] * 12, *[100] * 4, 200, 500]
+    sizes[0] = 20_000 - sum(sizes)
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    centre = unit(rng.standard_normal((60, 64)))
+    x = np.where((group == 0)[:, None], centre[rng.integers(0, 60, len(group))], unit(rng.standard_normal((len(sizes), 64)))[group])
+    x = unit(x + np.where(group == 0, 0.12, 0.002)[:, None] * rng.standard_normal(x.shape))
+    ids = rng.permutation(len(x))
+    asked = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(asked, s=ann.Settings(shard_rows=10_000)).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = {}
+    for at in np.flatnonzero(ids % 20 == 0):
+        near = x @ x[at]
+        near[at] = -np.inf
+        hit.setdefault(group[at], []).append(len(got[ids[at]] & set(ids[np.argpartition(-near, 20)[:20]])) / 20)
+    assert min(np.mean(h) for h in hit.values()) >= 0.9
