@@ -92,15 +92,23 @@ def first_at(found: DataFrame) -> DataFrame:
 def anchor(questions: DataFrame, sentences: DataFrame, least: float = 0.5, bonus: float = 0.1, within_ms: int = 20_000) -> DataFrame:
     """meeting_id, question_id, sentence_i, score: the sentence with the largest share of a question's words, the nearest of equal ones.
 
-    A sentence that asks gets a bonus. Sentences meet questions by meeting and word, never by meeting alone; a question
-    of which no sentence holds enough goes to the nearest sentence that asks within the distance, then to the nearest
+    A sentence that asks gets a bonus. Sentences meet questions by meeting and word, never by meeting alone: by those of
+    a question's words that are rarest in the meeting, so many that a sentence without any of them holds too few of all;
+    a question of which no sentence holds enough goes to the nearest sentence that asks within the distance, then to the nearest
     sentence (score null); one that has none stays out.
     """
     split = lambda c: F.array_distinct(F.filter(F.transform(F.split(c, r"\s+"), T.match_key), lambda k: k != ""))
     q = questions.select("meeting_id", "question_id", F.col("start_ms").alias("at"), split("question").alias("qk"))
-    asked = q.select("meeting_id", "question_id", "at", F.size("qk").alias("nq"), F.explode("qk").alias("k"))
-    said = sentences.select("meeting_id", "sentence_i", "start_ms", "is_question", F.explode(split("text")).alias("k"))
-    shared = asked.join(said, ["meeting_id", "k"]).groupBy("meeting_id", "question_id", "at", "nq", "sentence_i", "start_ms", "is_question").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least * F.col("nq"))
+    said = sentences.select("meeting_id", "sentence_i", "start_ms", "is_question", split("text").alias("sk"))
+    uses = said.select("meeting_id", F.explode("sk").alias("k"))
+    often = uses.groupBy("meeting_id", "k").agg(F.count(F.lit(1)).alias("often"))
+    nq = F.size("qk")
+    asked = q.select("meeting_id", "question_id", (nq - F.ceil(least * nq) + 1).alias("rare"), F.explode("qk").alias("k")).join(often, ["meeting_id", "k"], "left")
+    place = F.row_number().over(Window.partitionBy("meeting_id", "question_id").orderBy(F.coalesce("often", F.lit(0)), "k"))
+    asked = asked.withColumn("place", place).where("place <= rare AND often IS NOT NULL")
+    met = asked.join(said.select("meeting_id", "sentence_i", F.explode("sk").alias("k")), ["meeting_id", "k"]).select("meeting_id", "question_id", "sentence_i").distinct()
+    shared = met.join(q.withColumn("nq", nq), ["meeting_id", "question_id"]).join(said, ["meeting_id", "sentence_i"])
+    shared = shared.withColumn("n", F.size(F.array_intersect("qk", "sk"))).where(F.col("n") >= least * F.col("nq"))
     score = F.round(F.col("n") / F.col("nq") + F.when(F.col("is_question"), bonus).otherwise(0.0), 6)
     rank = F.struct(score.alias("score"), (-F.abs(F.col("start_ms") - F.col("at"))).alias("near"), (-F.col("sentence_i")).alias("i"))
     best = shared.groupBy("meeting_id", "question_id").agg(F.max_by(F.struct("sentence_i", score.alias("score")), rank).alias("b")).select("meeting_id", "question_id", "b.*")

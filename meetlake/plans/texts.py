@@ -100,9 +100,9 @@ def things_validate(spark, sf):
 
 @query()
 def anchor_question(spark, sf):
-    """Every fifth sentence of the other party without its first word, anchored to where it comes from."""
+    """Every sentence of the other party without its first word, anchored to where it comes from."""
     s = G.sentences(sentenced(spark, sf)).where("track = 'system'")
-    asked = s.where("sentence_i % 5 = 0").select("meeting_id", F.col("sentence_i").alias("question_id"), "start_ms", F.regexp_replace("text", r"^\S+\s+", "").alias("question"))
+    asked = s.select("meeting_id", F.col("sentence_i").alias("question_id"), "start_ms", F.regexp_replace("text", r"^\S+\s+", "").alias("question"))
     return Q.anchor(asked, s)
 
 

@@ -6,6 +6,9 @@ from difflib import SequenceMatcher
 from meetlake.functions import text as T
 from meetlake.operators import catalog as K
 from meetlake.operators import quotes as Q
+from meetlake.operators import segment as G
+from meetlake.plans import texts
+from meetlake.plans.queries import sentenced
 from pyspark.sql import functions as F
 
 
@@ -60,3 +63,32 @@ def test_anchor(spark):
     said = spark.createDataFrame([(1, 0, 0, False, "we begin here"), (1, 1, 5000, True, "when is the launch date?"), (1, 2, 9000, False, "in the launch week")], "meeting_id long, sentence_i long, start_ms long, is_question boolean, text string")
     asked = spark.createDataFrame([(1, 0, 9000, "the launch date"), (1, 1, 9000, "unheard words"), (1, 2, 90_000, "unheard words")], "meeting_id long, question_id long, start_ms long, question string")
     assert {r.question_id: (r.sentence_i, r.score) for r in Q.anchor(asked, said).collect()} == {0: (1, 1.1), 1: (1, None)}
+
+
+def test_anchor_question_is_brute_force(spark, sf):
+    """Every sentence of the track against every sentence of its meeting."""
+    keys = lambda t: set(t) - {""}
+    s = G.sentences(sentenced(spark, sf)).where("track = 'system'").withColumn("ks", F.transform(F.split("text", r"\s+"), T.match_key))
+    s = s.withColumn("qs", F.transform(F.split(F.regexp_replace("text", r"^\S+\s+", ""), r"\s+"), T.match_key))
+    of = {}
+    for r in s.collect():
+        of.setdefault(r.meeting_id, []).append(r)
+    want, unsaid = {}, 0
+    for m, own in of.items():
+        for q in own:
+            d, qk, best = lambda r: abs(r.start_ms - q.start_ms), keys(q.qs), None  # noqa: B023, E731
+            for r in own:
+                n = len(qk & keys(r.ks))
+                if qk and n and 2 * n >= len(qk):
+                    rank = (round(n / len(qk) + 0.1 * r.is_question, 6), -d(r), -r.sentence_i)
+                    best = max(best or rank, rank)
+            if best:
+                want[m, q.sentence_i] = (-best[2], best[0])
+                continue
+            unsaid += 1
+            near = [r for r in own if r.is_question and d(r) <= 20_000] or [r for r in own if d(r) <= 20_000]
+            want[m, q.sentence_i] = (min(near, key=lambda r: (d(r), r.start_ms, r.sentence_i)).sentence_i, None)
+    got = {(r.meeting_id, r.question_id): (r.sentence_i, r.score) for r in texts.anchor_question(spark, sf).collect()}
+    assert set(got) == set(want) and len(want) > 5 * len(of)
+    for k, (i, score) in want.items():
+        assert got[k][0] == i and (got[k][1] is None) == (score is None) and (score is None or abs(got[k][1] - score) < 1e-6)
