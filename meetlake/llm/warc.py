@@ -8,7 +8,9 @@ Bundles are written by tasks under names of their own and moved into place when
 from the task that succeeded, so lost executors and repeated tasks leave nothing but an unreferenced file.
 
 Defined results: a null payload is empty; records of equal payloads of at least `revisit_from` bytes revisit the one with
-the smallest id, which is a response; smaller ones are all responses; the payload of a revisit is not stored again.
+the smallest id, which is a response; smaller ones are all responses; the payload of a revisit is not stored again. A
+record is known by id and payload together: rows that repeat both have a record each, all as the first one is; rows that
+repeat an id with other payloads are judged apart. A null id is a response and revisited by none.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meetlake.llm.common import shared_dir
@@ -182,17 +184,22 @@ RECORDS = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "
 RECORDS_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
+def payload_hash() -> Column:
+    return F.unhex(F.sha2(F.coalesce("html", F.lit("")), 256))
+
+
 def originals(pages: DataFrame, revisit_from: int) -> DataFrame:
-    """page_id, original: for pages with an equal payload under a smaller id, that smallest id."""
-    text = F.coalesce("html", F.lit(""))
-    slim = pages.select("page_id", F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).alias("n")).where(f"n >= {revisit_from} AND page_id IS NOT NULL")
-    first = slim.groupBy("digest").agg(F.min("page_id").alias("original"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
-    return slim.select("page_id", "digest").join(first, "digest").where("page_id <> original").select("page_id", "original").distinct()
+    """own, payload, original: for ids with a payload that also comes under a smaller id, that smallest id."""
+    size = F.octet_length(F.coalesce("html", F.lit("")))
+    slim = pages.where(F.col("page_id").isNotNull() & (size >= revisit_from)).select(F.col("page_id").alias("own"), payload_hash().alias("payload"))
+    first = slim.groupBy("payload").agg(F.min("own").alias("original"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
+    return slim.join(first, "payload").where("own <> original").distinct()
 
 
 def write(pages: DataFrame, root: str, revisit_from: int = 0) -> DataFrame:
     """Write pages (page_id, url, html) below root; the index of what was written. Nothing is written before it is read."""
-    rows = pages.select("page_id", "url", "html").join(originals(pages, revisit_from).withColumnRenamed("page_id", "_id"), F.col("page_id") == F.col("_id"), "left")
+    rows = pages.select("page_id", "url", "html", payload_hash().alias("_payload"))
+    rows = rows.join(originals(pages, revisit_from), (F.col("page_id") == F.col("own")) & (F.col("_payload") == F.col("payload")), "left")
     return rows.select("page_id", "url", "html", F.col("original").alias("refers_to")).mapInArrow(writer(root), INDEX)
 
 
