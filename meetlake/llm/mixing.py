@@ -72,7 +72,7 @@ def with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, limit: float = 3.0) -> DataFrame:
     """doc_id, source, size, source_size, target, taken for every row of docs; taken is a multiple of size."""
-    rows = sizes(docs, weights)
+    rows = staged(sizes(docs, weights), "sizes")  # texts are read once
     plan = targets(rows, limit).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     plan = plan.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size")).withColumnRenamed("source", "_source")
     ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("n"))
@@ -96,12 +96,39 @@ def label_weights(labels: DataFrame) -> DataFrame:
     return labels.where("quality IN (0, 1)").select("doc_id", F.when(F.col("quality") == 1, 2.0).otherwise(0.5).alias("quality_weight"))
 
 
+def numbered(rows: DataFrame, keys: list[str], number: str) -> DataFrame:
+    """rows with a number from 0 on among those of equal keys.
+
+    They are written first, so that a row's place is fixed; places are numbered in each part of the file and parts by
+    their counts, so that no task holds all rows of a key.
+    """
+    at, part, before, *own = free(rows, "_at", "_part", "_before", "_p", *(f"_k{i}" for i in range(len(keys))))
+    rows = staged(rows.withColumn(at, F.monotonically_increasing_id()), "repeated").withColumn(part, F.shiftright(at, 33))
+    counts = rows.groupBy(*(F.col(k).alias(c) for k, c in zip([part, *keys], own, strict=True))).agg(F.count(F.lit(1)).alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy(*own[1:]).orderBy(own[0]).rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*own, F.coalesce(earlier, F.lit(0)).alias(before))
+    same = F.col(part) == F.col(own[0])
+    for k, c in zip(keys, own[1:], strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(c))
+    place = F.row_number().over(Window.partitionBy(part, *keys).orderBy(at)) - 1
+    rows = rows.withColumn(number, place).join(counts, same)
+    return rows.withColumn(number, F.col(number) + F.col(before)).drop(*own, before, at, part)
+
+
 def draw(docs: DataFrame, weights: DataFrame | None = None, limit: float = 3.0) -> DataFrame:
-    """The mix itself: each row of docs, in its own columns, as often as it is taken."""
-    id_, source, size, n, rows, own, copy = free(docs, "_id", "_source", "_size", "_n", "_rows", "_words", "_copy")
-    taken = mix(docs, weights, limit).where("taken > 0")
-    # rows that repeat id, source and size are drawn with the same counts in sum; each copy below stands for one
-    copies = taken.groupBy(F.col("doc_id").alias(id_), F.col("source").alias(source), F.col("size").alias(size)).agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias(n), F.count(F.lit(1)).alias(rows))
-    joined = docs.withColumn(own, words("text")).join(copies, F.col("doc_id").eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(own) == F.col(size)))
-    times = F.ceil(F.col(n) / F.col(rows)).cast("int")
-    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    """The mix itself: each row of docs, in its own columns, as often as it is taken.
+
+    Rows that repeat id, source and size share their number of copies evenly; the first of them take what is left over.
+    """
+    id_, source, size, n, rows, own, copy, number = free(docs, "_id", "_source", "_size", "_n", "_rows", "_words", "_copy", "_number")
+    taken = mix(docs, weights, limit).where("size > 0")
+    copies = taken.groupBy(F.col("doc_id").alias(id_), F.col("source").alias(source), F.col("size").alias(size)).agg(F.sum(F.col("taken") / F.col("size")).cast("long").alias(n), F.count(F.lit(1)).alias(rows))
+    copies = staged(copies.where(F.col(n) > 0), "copies")
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(own) == F.col(size))
+    joined = docs.withColumn(own, words("text")).join(copies, same)
+    if copies.where(F.col(rows) > 1).isEmpty():
+        times = F.col(n)
+    else:
+        joined = joined.where(F.col(rows) == 1).withColumn(number, F.lit(0).cast("long")).unionByName(numbered(joined.where(F.col(rows) > 1), [id_, source, size], number))
+        times = F.floor(F.col(n) / F.col(rows)) + (F.col(number) < F.col(n) % F.col(rows)).cast("long")
+    return joined.withColumn(copy, times).where(F.col(copy) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copy)))).select(*docs.columns)
