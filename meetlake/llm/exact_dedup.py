@@ -1,10 +1,14 @@
 """Exact deduplication as a stateful stream.
 
-Arrivals (identifier, SHA-256 of the text, where its content lies) stream through state that is keyed by digest, kept on
-disk by RocksDB and never expires. For each digest the state retains the identifier that stays, the number of texts and
-the locator of the content. Each micro-batch writes the changed keys under its own number, so that a replayed batch
-overwrites itself. On hits the full bytes are compared with those at the keeper's locator; should two different texts
-ever share a digest, that digest's texts are grouped by their bytes instead.
+Contents arrive in the shared folder as files of rows; a row's locator is its file and its place there. A stream of
+(identifier, SHA-256 of the text, locator) runs over them in micro-batches through state that is keyed by digest, kept on
+disk by RocksDB and never expires: for each digest the identifier that stays, the number of texts, and the locator of the
+content that stays. `Store` keeps contents, state and changes below one folder, so that what arrives later meets what came
+before. Each micro-batch writes the changed keys under its own number; a replayed batch overwrites itself.
+
+A digest that came more than once is a hit: the content that stays is read at its locator, and the full bytes of every
+hit are compared with it. Should two different texts ever share a digest, that digest's texts are grouped by their bytes
+instead. Where hits meet what stays both sides are plain shuffles, so that Spark splits a digest with very many copies.
 
 Defined results: null text is empty text; of equal texts the largest id stays and a null id stays only if the whole
 group has none; rows that repeat id and text count each in group_size and are all marked as the id that stays (a filter
@@ -13,95 +17,138 @@ keeps one of them); an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meetlake.llm.common import free, shared_dir, staged
 
-#: State on disk; no preallocated files, as a cluster has very many small stores, and changes rather than snapshots at each commit.
+#: State on disk with a bound on the memory of all stores of an executor; no preallocated files, as a cluster has very many small stores, and changes rather than snapshots at each commit.
+_STATE = "spark.sql.streaming.stateStore"
 STATE = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    f"{_STATE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_STATE}.rocksdb.allowFAllocate": "false",
+    f"{_STATE}.rocksdb.changelogCheckpointing.enabled": "true",
+    f"{_STATE}.rocksdb.boundedMemoryUsage": "true",
+    f"{_STATE}.rocksdb.maxMemoryUsageMB": "96",
+    f"{_STATE}.rocksdb.writeBufferSizeMB": "2",
 }
-
-
-def arrivals(docs: DataFrame) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"), F.struct(F.input_file_name().alias("file"), F.col("doc_id").alias("row")).alias("locator"))
-
-
-def keep_state(stream: DataFrame, checkpoint: str, out: str) -> None:
-    """Run a stream of arrivals to its end; the state lives on below checkpoint, and later arrivals may follow there."""
-    spark = stream.sparkSession
-    before = {name: spark.conf.get(name, None) for name in STATE}
-    for name, value in STATE.items():
-        spark.conf.set(name, value)
-    try:
-        state = stream.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.max_by("locator", F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("locator"))
-        write = lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")
-        state.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(write).start().awaitTermination()
-    finally:
-        for name, value in before.items():
-            if value is None:
-                spark.conf.unset(name)
-            else:
-                spark.conf.set(name, value)
-
-
-def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The arrivals, and for each digest keep_id, group_size and locator when the stream has ended."""
-    spark = docs.sparkSession
-    root = shared_dir(spark, "dedup")
-    slim = arrivals(docs)
-    slim.write.parquet(f"{root}/arrivals")
-    slim = spark.read.schema(slim.schema).parquet(f"{root}/arrivals")
-    stream = spark.readStream.schema(slim.schema).parquet(f"{root}/arrivals")
-    keep_state(stream, f"{root}/state", f"{root}/changes")
-    schema = "digest binary, keep_id long, group_size long, locator struct<file string, row long>"
-    if slim.isEmpty():
-        return slim, spark.createDataFrame([], schema)
-    changes = spark.read.schema(schema + ", batch int").parquet(f"{root}/changes")
-    last = F.max_by(F.struct("keep_id", "group_size", "locator"), "batch").alias("s")
-    return slim, changes.groupBy("digest").agg(last).select("digest", "s.*")
-
-
-def same_digest(docs: DataFrame, marks: DataFrame, digest: str = "digest") -> DataFrame:
-    """Rows of docs whose (doc_id, digest) is in marks, with their digest in a new column; rows are dealt out by id, evenly."""
-    with_digest = docs.withColumn(digest, F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    own, other = free(with_digest, "_id", "_digest")
-    wanted = marks.select(F.col("doc_id").alias(own), F.col("digest").alias(other)).distinct()
-    return with_digest.join(wanted, F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(digest) == F.col(other)), "left_semi")
-
-
-def unequal(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Digests under which a text differs in its bytes from the text that stays."""
-    members = same_digest(docs.select("doc_id", "text"), marks.where("group_size > 1"))
-    members = staged(members.select("doc_id", "digest", F.coalesce("text", F.lit("")).alias("text")), "members")
-    one = marks.where("group_size > 1").select("digest", "keep_id").distinct()
-    keepers = members.join(one, (members.digest == one.digest) & members.doc_id.eqNullSafe(one.keep_id), "left_semi").dropDuplicates(["digest"])
-    hits = members.select("digest", "text").join(keepers.select("digest", F.col("text").alias("kept_text")), "digest")
-    return hits.where("text <> kept_text").select("digest").distinct()
+#: Micro-batches into which what arrives at once is dealt, at most.
+BATCHES = 3
+#: Rows of a locator table up to which it is broadcast (some 100 bytes each).
+BROADCAST_ROWS = 200_000
+LOCATOR = "struct<file:string,row:long>"
+CHANGES = f"digest binary, keep_id long, group_size long, locator {LOCATOR}, batch int"
+
+
+def sha(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def located(contents: DataFrame) -> Column:
+    return F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
+class Store:
+    """Contents, state and changes below a folder of the shared store; what arrives there later meets what came before.
+
+    Contents keep the columns of the documents under names of the store's own, so that no name clashes with its.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, columns: list[tuple[str, str]]):
+        """columns: (name, type) of the documents, doc_id and text among them."""
+        self.spark, self.root = spark, root
+        self.names = [n for n, _ in columns]
+        self.doc_id, self.text = (f"c{self.names.index(n)}" for n in ("doc_id", "text"))
+        self.schema = ", ".join([*(f"c{i} {kind}" for i, (_, kind) in enumerate(columns)), "digest binary"])
+        none = spark.createDataFrame([], CHANGES.removesuffix(", batch int"))
+        none.coalesce(1).write.mode("overwrite").parquet(f"{root}/changes/batch=-1")  # so that there is a table before the first batch
+
+    def arrive(self, docs: DataFrame, batches: int = BATCHES) -> int:
+        """Take in documents: write them, then run the stream over what it has not seen yet. The number of new files."""
+        contents = docs.select(*(F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(self.names)), sha(F.col("text")).alias("digest"))
+        folder = f"{self.root}/contents/arrival={uuid.uuid4().hex}"
+        contents.write.option("compression", "zstd").parquet(folder)
+        files = self.spark.read.schema(self.schema).parquet(folder).inputFiles()
+        if files:
+            self.run(-(-len(files) // batches))
+        return len(files)
+
+    def contents(self) -> DataFrame:
+        """The documents' columns as c0, c1, ..., digest and locator of all that arrived."""
+        rows = self.spark.read.schema(self.schema).parquet(f"{self.root}/contents/arrival=*")
+        return rows.withColumn("locator", located(rows))
+
+    def run(self, files: int) -> None:
+        """The stream over contents that it has not seen, so many files a micro-batch."""
+        spark = self.spark
+        before = {name: spark.conf.get(name, None) for name in STATE}
+        for name, value in STATE.items():
+            spark.conf.set(name, value)
+        try:
+            rows = spark.readStream.schema(self.schema).option("maxFilesPerTrigger", files).parquet(f"{self.root}/contents/arrival=*")
+            rows = rows.select(F.col(self.doc_id).alias("doc_id"), "digest", located(rows).alias("locator"))
+            last = F.max_by("locator", F.coalesce("doc_id", F.lit(-(1 << 63))))
+            state = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), last.alias("locator"))
+            write = lambda df, n: df.write.mode("overwrite").parquet(f"{self.root}/changes/batch={n}")
+            state.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{self.root}/state").foreachBatch(write).start().awaitTermination()
+        finally:
+            for name, value in before.items():
+                if value is None:
+                    spark.conf.unset(name)
+                else:
+                    spark.conf.set(name, value)
+
+    def groups(self) -> DataFrame:
+        """digest, keep_id, group_size, locator as of now: the last change of each digest."""
+        changes = self.spark.read.schema(CHANGES).parquet(f"{self.root}/changes")
+        last = F.max_by(F.struct("keep_id", "group_size", "locator"), "batch").alias("s")
+        return staged(changes.groupBy("digest").agg(last).select("digest", "s.*"), "groups")
+
+    def unequal(self, groups: DataFrame) -> DataFrame:
+        """Digests under which a hit differs in its bytes from the content at the locator that stays."""
+        hits = groups.where("group_size > 1")
+        text = F.coalesce(self.text, F.lit("")).alias("text")
+        met = staged(self.contents().select("digest", "locator", text).join(hits.select("digest"), "digest", "left_semi"), "hits")
+        at = hits.select(F.col("digest").alias("_d"), F.col("locator").alias("_l"))
+        stays = met.join(at, (F.col("locator.file") == F.col("_l.file")) & (F.col("locator.row") == F.col("_l.row"))).select("_d", F.col("text").alias("kept"))
+        stays = staged(stays, "stays")
+        return staged(met.join(stays, F.col("digest") == F.col("_d")).where("text <> kept").select("digest").distinct(), "collided")
+
+    def marks(self) -> DataFrame:
+        """doc_id, digest, locator, keep_id, group_size, keep_at of every row that arrived; keep_at is the locator that stays."""
+        groups = self.groups()
+        slim = self.contents().select(F.col(self.doc_id).alias("doc_id"), "digest", "locator")
+        marks = slim.join(groups.withColumnRenamed("locator", "keep_at"), "digest")
+        collided = self.unequal(groups)
+        if not collided.isEmpty():
+            texts = self.contents().select(F.col(self.doc_id).alias("doc_id"), "digest", "locator", F.coalesce(self.text, F.lit("")).alias("text")).join(F.broadcast(collided) if collided.count() <= BROADCAST_ROWS else collided, "digest", "left_semi")
+            last = F.max_by("locator", F.coalesce("doc_id", F.lit(-(1 << 63))))
+            own = texts.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), last.alias("keep_at"))
+            own = texts.join(own, ["digest", "text"]).select("digest", "doc_id", "locator", "keep_id", "group_size", "keep_at")
+            marks = marks.join(collided, "digest", "left_anti").unionByName(own)
+        return marks
+
+
+def stored(docs: DataFrame) -> Store:
+    """A store of its own, in which docs have arrived."""
+    store = Store(docs.sparkSession, shared_dir(docs.sparkSession, "dedup"), docs.dtypes)
+    store.arrive(docs)
+    return store
 
 
 def mark(docs: DataFrame) -> DataFrame:
     """doc_id, digest, keep_id, group_size, kept for every row of docs."""
-    slim, by_digest = groups(docs)
-    marks = staged(slim.select("doc_id", "digest").join(by_digest.drop("locator"), "digest"), "marks")
-    collided = staged(unequal(docs, marks), "collided")
-    if not collided.isEmpty():
-        texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest")).join(collided, "digest", "left_semi")
-        own = texts.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        marks = marks.join(collided, "digest", "left_anti").unionByName(texts.join(own, ["digest", "text"]).select("digest", "doc_id", "keep_id", "group_size"))
+    marks = stored(docs.select("doc_id", "text")).marks()
     return marks.select("doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, in their own columns: one of each group of equal texts."""
-    marks = mark(docs).where("kept")
-    (digest,) = free(docs, "digest")
-    stay = same_digest(docs, marks, digest)
-    repeated = marks.groupBy("doc_id", "digest").count().where("count > 1")
-    if not repeated.isEmpty():
-        stay = stay.dropDuplicates(["doc_id", digest])
-    return stay.select(*docs.columns)
+    """The rows of docs that stay, in their own columns: of each group of equal texts the one at the locator that stays."""
+    store = stored(docs)
+    gone = staged(store.marks().where("locator <> keep_at").select(F.col("locator.file").alias("_f"), F.col("locator.row").alias("_r")), "gone")
+    few = gone.count() <= BROADCAST_ROWS
+    rows = store.contents()
+    rows = rows.join(F.broadcast(gone) if few else gone, (F.col("locator.file") == F.col("_f")) & (F.col("locator.row") == F.col("_r")), "left_anti")
+    return rows.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(store.names)))
