@@ -5,9 +5,13 @@ each, and for each layer a flat array of neighbours; layers are drawn by a hash,
 Neighbours are the nearest in the layer, thinned so that none is nearer to a chosen one than to the vector itself, with
 links back. That alone leaves a tight group of near copies an island, so each node is also tied both ways to its nearest in
 the layer above, where a search comes from, thinned as well, and nodes that still cannot be reached from there get a link
-until there are none. A search scans the highest layer, descends the others with a beam and ends in the lowest; all
-queries of a block are advanced together. Each block of queries meets each shard once, and the best of all shards are merged. Scores are computed again
-in double precision from the original vectors.
+until there are none. A search scans the highest layer, descends the others with a beam and ends in the lowest; some
+queries are advanced together.
+
+An index is a table: a row for each shard with its vectors, ids and each layer's nodes and neighbours as flat arrays.
+Queries are dealt into blocks about as large as a shard's arrays; each block meets each shard once, so neither side is
+sent more often than the other needs, and the best of all shards are merged. Scores are computed again in double
+precision from the original vectors.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part; only vectors of
 one dimension are compared; equal vectors are one node and lose no id; rows that repeat an id are one vector (the
@@ -30,7 +34,8 @@ from meetlake.llm.common import U64, mix, staged
 class Settings:
     k: int = 20
     shard_rows: int = 16_384
-    block_rows: int = 1_024  #: queries that are advanced together
+    block_rows: int = 32_768  #: queries that meet a shard at a time
+    beam_rows: int = 1_024  #: queries that are advanced together
     links: int = 16  #: in upper layers; twice as many in the lowest
     near: int = 24  #: nearest vectors from which links are chosen
     ties: int = 2  #: nearest in the layer above to which a node is tied
@@ -129,28 +134,48 @@ def tied(x: np.ndarray, nodes: np.ndarray, above: np.ndarray, table: np.ndarray,
         table = np.concatenate((table, more), 1)
 
 
+def layers_of(x: np.ndarray, first_ids: np.ndarray, s: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Nodes and their neighbours for each layer from the lowest."""
+    u = (mix(first_ids.view(U64)) >> U64(11)).astype(float) / (1 << 53) + 1e-18
+    level = np.floor(-np.log(u) / np.log(s.links)).astype(int)
+    out = []
+    for depth in range(int(level.max()) + 1):
+        nodes = np.flatnonzero(level >= depth)
+        if depth and len(nodes) <= s.upper_beam:
+            break
+        out.append((nodes, layer(x, nodes, s.links if depth else 2 * s.links, s.near)))
+    for depth in range(len(out) - 1):
+        (nodes, table), above = out[depth], out[depth + 1][0]
+        out[depth] = nodes, tied(x, nodes, above, table, s.links if depth else 2 * s.links, s.ties)
+    return out
+
+
 class Index:
-    """Distinct vectors, their ids, and neighbours by layer from the lowest."""
+    """Distinct vectors, their ids (those of vector p at starts[p] to starts[p + 1]), and nodes and neighbours by layer from the lowest."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, s: Settings):
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, starts: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]]):
+        self.vectors, self.ids, self.starts, self.layers = vectors, ids, starts, layers
+
+    @classmethod
+    def built(cls, ids: np.ndarray, vectors: np.ndarray, s: Settings) -> Index:
         order = np.argsort(ids)
         ids, vectors = ids[order], np.ascontiguousarray(vectors[order]) + 0.0  # no -0.0
         _, first, at = np.unique(vectors.view(f"V{vectors.itemsize * vectors.shape[1]}").ravel(), return_index=True, return_inverse=True)
-        self.vectors = vectors[first]
         by = np.argsort(at, kind="stable")
-        self.ids, self.starts = ids[by], np.searchsorted(at[by], np.arange(len(first) + 1))
-        u = (mix(ids[first].view(U64)) >> U64(11)).astype(float) / (1 << 53) + 1e-18
-        level = np.floor(-np.log(u) / np.log(s.links)).astype(int)
-        x = self.vectors.astype(np.float32)
-        self.layers = []
-        for depth in range(int(level.max()) + 1):
-            nodes = np.flatnonzero(level >= depth)
-            if depth and len(nodes) <= s.upper_beam:
-                break
-            self.layers.append((nodes, layer(x, nodes, s.links if depth else 2 * s.links, s.near)))
-        for depth in range(len(self.layers) - 1):
-            (nodes, table), above = self.layers[depth], self.layers[depth + 1][0]
-            self.layers[depth] = nodes, tied(x, nodes, above, table, s.links if depth else 2 * s.links, s.ties)
+        return cls(vectors[first], ids[by], np.searchsorted(at[by], np.arange(len(first) + 1)), layers_of(vectors[first].astype(np.float32), ids[first], s))
+
+    def row(self) -> list[pa.Array]:
+        """The columns of INDEX from `vectors` on."""
+        flat = lambda arrays, kind: pa.array([[np.ascontiguousarray(a).astype(kind).tobytes() for a in arrays]], pa.list_(pa.binary()))
+        one = lambda a, kind: pa.array([np.ascontiguousarray(a).astype(kind).tobytes()], pa.binary())
+        return [one(self.vectors, "<f8"), one(self.ids, "<i8"), one(self.starts, "<i8"), flat([n for n, _ in self.layers], "<i4"), flat([t for _, t in self.layers], "<i4")]
+
+    @classmethod
+    def read(cls, table: pa.Table, dim: int) -> Index:
+        vectors, ids, starts, nodes, links = (table.column(c)[0].as_py() for c in ("vectors", "ids", "starts", "nodes", "links"))
+        nodes = [np.frombuffer(n, "<i4") for n in nodes]
+        layers = [(n, np.frombuffer(t, "<i4").reshape(len(n), -1)) for n, t in zip(nodes, links, strict=True)]
+        return cls(np.frombuffer(vectors, "<f8").reshape(-1, dim), np.frombuffer(ids, "<i8"), np.frombuffer(starts, "<i8"), layers)
 
     def descend(self, q: np.ndarray, s: Settings) -> np.ndarray:
         """The places of the vectors found for each query, a row each; -1 fills up."""
@@ -196,33 +221,30 @@ def beam(x: np.ndarray, q: np.ndarray, nodes: np.ndarray, links: np.ndarray, ent
         join(rows, links[place[node]])
 
 
-INDEX = "dim int, shard int, graph binary"
+INDEX = "dim int, shard int, vectors binary, ids binary, starts binary, nodes array<binary>, links array<binary>"
 FOUND = "query_id long, vec_id long, score double"
 
 
 def builder(s: Settings):
     def run(key, group):
-        import pickle
-
         dim, shard = int(key[0].as_py()), int(key[1].as_py())
-        index = Index(group.column("id").to_numpy(), matrix(group.column("v"), dim), s)
-        return pa.table([pa.array([dim], pa.int32()), pa.array([shard], pa.int32()), pa.array([pickle.dumps(index)], pa.binary())], names=["dim", "shard", "graph"])
+        index = Index.built(group.column("id").to_numpy(), matrix(group.column("v"), dim), s)
+        return pa.table([pa.array([dim], pa.int32()), pa.array([shard], pa.int32()), *index.row()], names=[c.split()[0] for c in INDEX.split(", ")])
 
     return run
 
 
 def searcher(s: Settings):
     def run(key, queries, graph):
-        import pickle
-
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
         if not queries.num_rows or not graph.num_rows:
             return schema.empty_table()
-        index = pickle.loads(graph.column("graph")[0].as_py())
-        ids, q = queries.column("id").to_numpy(), matrix(queries.column("v"), int(key[0].as_py()))
+        dim = int(key[0].as_py())
+        index = Index.read(graph, dim)
+        ids, q = queries.column("id").to_numpy(), matrix(queries.column("v"), dim)
         out = []
-        for at in range(0, len(ids), s.block_rows):
-            for own, v, places in zip(ids[at : at + s.block_rows].tolist(), q[at : at + s.block_rows], index.descend(q[at : at + s.block_rows], s), strict=True):
+        for at in range(0, len(ids), s.beam_rows):
+            for own, v, places in zip(ids[at : at + s.beam_rows].tolist(), q[at : at + s.beam_rows], index.descend(q[at : at + s.beam_rows], s), strict=True):
                 places = places[places >= 0]
                 exact = (index.vectors[places] * v).sum(1)
                 take = [index.ids[index.starts[p] : index.starts[p + 1]][: s.k + 1] for p in places]
@@ -246,7 +268,7 @@ def search(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "
     blocks = rows.where(F.col("id") % every == 0).groupBy("dim").count().select("dim", F.ceil(F.col("count") / s.block_rows).cast("int").alias("blocks"))
     queries = rows.where(F.col("id") % every == 0).join(blocks, "dim").join(sizes, "dim")
     queries = queries.select("dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.pmod(F.xxhash64(F.lit(1), "id"), F.col("blocks")).cast("int").alias("block"), "id", "v")
-    graphs = index.join(blocks, "dim").select("dim", "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "graph")
+    graphs = index.join(blocks, "dim").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     found = queries.groupBy("dim", "shard", "block").cogroup(graphs.groupBy("dim", "shard", "block")).applyInArrow(searcher(s), FOUND)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= s.k).select("query_id", "rank", "vec_id", "score")
