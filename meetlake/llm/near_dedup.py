@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meetlake.llm.common import U64, discard, docs_words, free, mix, staged, text_bytes
+from meetlake.llm.common import U64, discard, docs_words, few_rows, free, mix, staged, text_bytes
 
 WORDS = 5
 LEVELS = 4
@@ -87,7 +87,7 @@ def signatures(settings: Settings):
 
     def run(batches):
         a, b = settings.functions()
-        for batch in batches:
+        for batch in few_rows(batches, 1024):
             n = batch.num_rows
             size, digest, least = np.zeros(n, np.int64), np.zeros((2, n), U64), np.zeros((n, len(a)), U64)
             for place, words in docs_words(text_bytes(batch.column("text"))):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meetlake.llm.common import Lookup, mix, pieces, powers, prefix_hashes, staged, text_bytes, word_spans
+from meetlake.llm.common import Lookup, few_rows, mix, pieces, powers, prefix_hashes, staged, text_bytes, word_spans
 
 CAPACITY = 4096
 END = 2
@@ -44,7 +44,7 @@ def byte_letters() -> dict[int, str]:
 class WordEncoder:
     """Ids of texts by a word-level tokenizer: no token crosses white space, so each distinct word is encoded once."""
 
-    ROOM = 1 << 21  #: distinct words that are kept
+    ROOM = 1 << 18  #: distinct words that are kept, some 30 MB in a worker
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -131,7 +131,7 @@ def cutter(tokenizer: str, capacity: int, end: int):
 
     def run(batches):
         own = encoder(tokenizer)
-        for batch in batches:
+        for batch in few_rows(batches):
             ids_of, out = batch.column("doc_id").to_pylist(), []
             for place, ids in own.texts(text_bytes(batch.column("text"))):
                 ids = np.append(ids, np.uint32(end)).astype("<u4")

@@ -5,7 +5,7 @@ word lengths, repeated words) by a learned layer; gated attention, learned from
 passages; the weighted representation gives the score. So a document of good passages with one bad stretch is judged by
 what the labels say of such stretches, not by its average.
 
-The network is fitted on a bounded sample of labelled rows (Settings.per_class and Settings.max_bytes) with both classes
+The network is fitted in one task on a bounded sample of labelled rows (Settings.per_class and Settings.max_bytes) with both classes
 weighing alike; scoring reads every row and whole texts, partition by partition, without a shuffle.
 
 Defined results: a null or empty text is one empty passage; repeated rows are scored alike; without labels of both
@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meetlake.llm.common import fold, mix, pieces, powers, prefix_hashes, text_bytes, word_spans
-from meetlake.llm.sampling import training_rows
+from meetlake.llm.common import few_rows, fold, mix, pieces, powers, prefix_hashes, text_bytes, word_spans
+from meetlake.llm.sampling import fitted, training_rows
 
 PASSAGE = 384  #: bytes
 
@@ -140,26 +140,38 @@ def bags(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(xs), np.concatenate(at)
 
 
-def fit(texts: list[bytes], y: np.ndarray, s: Settings) -> Network | None:
+def fit(texts: list[bytes], y: np.ndarray, s: Settings) -> dict[str, np.ndarray]:
+    """The weights of the network; nothing without labels of both classes."""
     if len(y) == 0 or np.bincount(y, minlength=2).min() < 2:
-        return None
+        return {}
     x, bag = bags(texts)
-    return Network(s).fit(x, bag, y.astype(np.float32), s)
+    net = Network(s).fit(x, bag, y.astype(np.float32), s)
+    return net.p | {"mean": net.mean, "scale": net.scale}
+
+
+def network(arrays: dict[str, np.ndarray], s: Settings) -> Network | None:
+    if not arrays:
+        return None
+    net = Network(s)
+    net.p = {name: arrays[name] for name in net.p}
+    net.mean, net.scale = arrays["mean"], arrays["scale"]
+    return net
 
 
 def score(docs: DataFrame, labels: DataFrame, held_out_fold: tuple[int, int] = (5, 0), s: Settings = Settings()) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs; learns from labels outside the held-out fold only."""
     n, left = held_out_fold
-    texts, y, share = training_rows(docs, labels, "quality", fold("doc_id", n) != left, s.per_class, s.max_bytes)
-    net = fit(texts, y, s)
+    rows, share = training_rows(docs, labels, "quality", fold("doc_id", n) != left, s.per_class, s.max_bytes)
+    arrays = fitted(rows, lambda texts, y: fit(texts, y, s))
 
     def run(batches):
-        for batch in batches:
+        net = network(arrays, s)
+        for batch in few_rows(batches):
             texts = text_bytes(batch.column("text"))
             out = np.full(len(texts), share)
-            for at in range(0, len(texts) if net else 0, 512):
-                x, bag = bags(texts[at : at + 512])
-                out[at : at + 512] = net.forward(x, bag, len(texts[at : at + 512]))["y"]
+            if net:
+                x, bag = bags(texts)
+                out = net.forward(x, bag, len(texts))["y"].astype(np.float64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(out)], ["doc_id", "held_out", "score"])
 
     rows = docs.select("doc_id", F.coalesce(fold("doc_id", n) == left, F.lit(False)).alias("held_out"), "text")

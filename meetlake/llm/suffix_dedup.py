@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meetlake.llm.common import CHUNK_BYTES, U64, mix, powers, prefix_hashes, staged
+from meetlake.llm.common import CHUNK_BYTES, U64, few_rows, mix, powers, prefix_hashes, staged
 
 LENGTH = 200  #: bytes of a passage
 DIGIT = 80  #: bytes of the first digit
@@ -201,13 +201,6 @@ def cut_out(text: bytes, first: np.ndarray, last: np.ndarray) -> tuple[int, int,
     return len(text) - len(rest), len(a), hashlib.sha256(rest).hexdigest(), rest
 
 
-def few_rows(batches, rows: int = 256):
-    """The batches in slices, so that a worker holds few texts and spans as Python values at a time."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def settle(batches):
     """For mapInArrow: texts with the rows that belong to them; those without open ones are finished here."""
     for batch in few_rows(batches):

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from meetlake.llm import queries
+from meetlake.llm import ann, queries
 from tests.llm.helpers import crc, words
 
 
@@ -84,12 +84,9 @@ def test_classifiers(spark, name, label, fold, threshold, least):
     assert auc >= least
 
 
-def test_nearest(spark, sf):
-    rows = [(r.vec_id, np.array(r.embedding, np.float64)) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect() if r.embedding]
+def recall(rows, got):
+    """Share of the true 20 nearest that were found, after checks of ranks, order and scores."""
     ids, x = np.array([i for i, _ in rows]), np.stack([v for _, v in rows])
-    got = defaultdict(list)
-    for r in queries.op4_nearest(spark, sf).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.rank, r.vec_id, r.score))
     hit = total = 0
     for q in ids[ids % 20 == 0]:
         s = x @ x[ids == q][0]
@@ -101,7 +98,29 @@ def test_nearest(spark, sf):
         assert own == sorted(own, key=lambda r: (-r[2], r[1]))
         hit += len({v for _, v, _ in own} & set(ids[order]))
         total += len(order)
-    assert hit >= 0.9 * total
+    return hit / total
+
+
+def by_query(found):
+    got = defaultdict(list)
+    for r in found.orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    return got
+
+
+def vectors(spark, sf):
+    return [(r.vec_id, np.array(r.embedding, np.float64)) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect() if r.embedding]
+
+
+def test_nearest(spark, sf):
+    assert recall(vectors(spark, sf), by_query(queries.op4_nearest(spark, sf))) >= 0.9
+
+
+def test_nearest_in_several_shards_and_blocks(spark):
+    """The larger table in shards and blocks so small that there are several of both."""
+    sf = "/root/testdata/sf0.1"
+    found = ann.search(spark.read.parquet(f"{sf}/embeddings.parquet"), s=ann.Settings(shard_rows=1_000, block_rows=60, beam_rows=40))
+    assert recall(vectors(spark, sf), by_query(found)) >= 0.9
 
 
 def test_near_dedup(spark, sf, documents):

@@ -1,13 +1,16 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing names."""
 
+import base64
 import hashlib
 import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from meetlake.llm import ann, exact_dedup, language_model, mixing, near_dedup, packing, quality, queries, suffix_dedup, toxicity, warc
+from meetlake.llm.common import shared_dir
 from pyspark.sql import functions as F
-from tests.llm.helpers import CLASHING, awkward, empty, labels
+from tests.llm.helpers import CLASHING, SCHEMA, awkward, empty, labels
 
 
 def test_marking_operators(spark):
@@ -53,6 +56,29 @@ def test_exact_keep(spark):
     assert ids == Counter([2, 3, 5, 6, 8, 9, 10, None, 11])
 
 
+def test_later_arrivals_meet_what_came_before(spark):
+    """Two arrivals in one store, each in several micro-batches: the state of the first is met by the second."""
+    docs = spark.range(300).selectExpr("id AS doc_id", "concat('text ', id % 100) AS text").repartition(4)
+    store = exact_dedup.Store(spark, shared_dir(spark, "two"), docs.dtypes)
+    assert store.arrive(docs.where("doc_id < 150")) > 1
+    first = {r.doc_id: (r.keep_id, r.group_size) for r in store.marks().collect()}
+    assert first == {i: (i + 100 if i < 50 else i, 2 if i % 100 < 50 else 1) for i in range(150)}
+    store.arrive(docs.where("doc_id >= 150"))
+    exact_dedup.Store(spark, store.root, docs.dtypes).arrive(spark.createDataFrame([(None, None), (None, "")], "doc_id long, text string"))
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in store.marks().collect()}
+    assert got == {i: (200 + i % 100, 3) for i in range(300)} | {None: (None, 2)}
+
+
+def test_texts_that_share_a_digest(spark, monkeypatch):
+    """With a digest of the first letter only, bytes are compared and the texts are grouped by them."""
+    monkeypatch.setattr(exact_dedup, "sha", lambda c: F.substring(F.coalesce(c, F.lit("")), 1, 1).cast("binary"))
+    texts = ["a one", "a two", "a one", "b", None, "", "a two", "a three"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: max(j for j, u in enumerate(texts) if (u or "") == (t or "")) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.keep_id for r in exact_dedup.mark(docs).collect()} == want
+    assert {r.doc_id for r in exact_dedup.keep(docs).collect()} == set(want.values())
+
+
 def test_draw_follows_mix(spark):
     docs = awkward(spark)
     want = {r.doc_id: r.n for r in mixing.mix(docs).groupBy("doc_id").agg(F.sum("taken").alias("n")).where("n > 0").collect()}
@@ -61,6 +87,15 @@ def test_draw_follows_mix(spark):
     assert got == want
 
 
+def test_draw_gives_left_over_copies_once(spark):
+    """Equal rows that a budget takes unequally often: as many rows come out as the mix takes, over several partitions."""
+    rows = [(1, "a b c d e f g", "en", "x", 13)] * 7 + [(i, "w " * 11, "en", "y", 22) for i in range(50, 54)] + [(None, "q r s", "en", None, 5)] * 50
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("count", F.lit(1)).withColumn("_p", F.lit(2)).repartition(3)
+    n = {r.doc_id: r.n for r in mixing.mix(docs).groupBy("doc_id").agg(F.sum(F.col("taken") / F.col("size")).alias("n")).collect()}
+    assert n[1] % 7 and n[1] > 0 and n[None] > 0
+    assert Counter(r.doc_id for r in mixing.draw(docs).collect()) == {d: k for d, k in n.items() if k}
+
+
 def test_labels_of_one_class(spark):
     one = spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
     assert {r.score for r in quality.score(awkward(spark), one).collect()} == {1.0}
@@ -83,6 +118,28 @@ def test_warc_awkward(spark):
     assert warc.round_trip(pages.where("false")).count() == 0
 
 
+def test_warc_repeated_ids(spark):
+    """An id with two payloads is two records: each revisits, or is revisited, by its own payload."""
+    rows = [(3, "A"), (5, "A"), (5, "B"), (4, "B"), (7, "C"), (7, "C"), (8, "C")]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string")
+    sha = lambda h: base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
+    want = Counter([(3, sha("A"), "response", None), (5, sha("A"), "revisit", 3), (5, sha("B"), "revisit", 4), (4, sha("B"), "response", None), (8, sha("C"), "revisit", 7)] + [(7, sha("C"), "response", None)] * 2)
+    assert Counter((r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()) == want
+
+
+def test_warc_bundles_roll_over(spark, monkeypatch, tmp_path):
+    """Many frames in many bundles, each read back through its seek table."""
+    rows = [(i, "u", random.Random(i).randbytes(3000).hex()) for i in range(60)]
+    monkeypatch.setattr(warc, "FRAME_BYTES", 20_000)
+    monkeypatch.setattr(warc, "BUNDLE_BYTES", 50_000)
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*((i, u, h, None) for i, u, h in rows), strict=True)], ["page_id", "url", "html", "refers_to"])
+    index = pa.Table.from_batches(list(warc.writer(f"file://{tmp_path}")(iter([batch]))))
+    assert len(set(index["bundle"].to_pylist())) > 1 and max(index["frame"].to_pylist()) > 0
+    ordered = index.sort_by([("bundle", "ascending"), ("frame", "ascending"), ("offset", "ascending")])
+    got = pa.Table.from_batches(list(warc.reader(f"file://{tmp_path}")(iter(ordered.to_batches()))))
+    assert dict(zip(got["page_id"].to_pylist(), got["payload"].to_pylist(), strict=True)) == {i: h.encode() for i, _, h in rows}
+
+
 def test_large_group_of_near_copies(spark):
     """Many documents that differ in one word each: one component, compared in blocks."""
     base = [f"w{i}" for i in range(60)]
