@@ -22,12 +22,22 @@ WEIGHTS = [
     ("talk_ratio", 10.0), ("phrase_final_decay_db", 5.0), ("rising_statements_share", 5.0), ("long_sentences_share", 5.0), ("interruptions_by_me", 5.0),
 ]
 MEETING_TYPES = ["pitch", "demo", "sales", "interview", "standup", "lecture", "one_on_one", "training", "other"]
-METRICS = ["wpm", "articulation_wpm", "filled_pauses_per_min", "crutch_words_per_min", "structural_pauses_per_min", "hesitation_pauses_per_min", "talk_ratio", "mean_sentence_len", "long_sentences_share", "interruptions_by_me", "interruptions_by_other"]
+VOICE = ["pitch_median_hz", "pitch_range_st", "phrase_final_decay_db", "rising_statements_share", "jitter_pct", "shimmer_pct", "loudness_drift_db", "loudness_mean_db"]
+METRICS = [
+    "wpm", "articulation_wpm", "filled_pauses_per_min", "crutch_words_per_min", "structural_pauses_per_min", "hesitation_pauses_per_min", "talk_ratio", "mean_sentence_len", "long_sentences_share",
+    "mtld", "interruptions_by_me", "interruptions_by_other", *VOICE,
+]
+# What progress shows, what its charts show, what a speaker may aim at, and what a compressed report keeps.
+PROGRESS = [m for m in METRICS if m != "interruptions_by_other"]
+CHARTS = ["wpm", "filled_pauses_per_min", "crutch_words_per_min", "pitch_range_st", "hesitation_pauses_per_min", "talk_ratio", "phrase_final_decay_db", "rising_statements_share"]
+GOALS = ["filled_pauses_per_min", "crutch_words_per_min", "wpm", "pitch_range_st", "hesitation_pauses_per_min", "talk_ratio", "phrase_final_decay_db", "rising_statements_share", "mean_sentence_len"]
+COMPRESSED = ["wpm", "articulation_wpm", "filled_pauses_per_min", "crutch_words_per_min", "structural_pauses_per_min", "hesitation_pauses_per_min", "talk_ratio", "mean_sentence_len", "long_sentences_share", "interruptions_by_me", "pitch_range_st", "phrase_final_decay_db", "rising_statements_share", "loudness_drift_db", "jitter_pct"]
 
 # Dictionaries for the given tables (parameters of the operators).
 FILLERS = [("^er+$", "er"), ("^ha+$", "ha"), ("^th$", "th")]
-CRUTCHES = [("of the", False), ("to the", False), ("in the", False), ("it is", False), ("the", True), ("and", True), ("is", True)]
+CRUTCHES = [("le de la", False), ("of the", False), ("to the", False), ("in the", False), ("it is", False), ("the", True), ("and", True), ("is", True)]
 STARTERS = ["that", "was", "this", "for", "que"]
+LONG_STARTERS = ["de la", "in der", "le de"]
 
 
 # Training tasks (id, metric, seconds) in their order, and the weight of a metric that has none.

@@ -17,6 +17,7 @@ def spoken(frames: DataFrame, sentenced: DataFrame) -> DataFrame:
 def decays(frames: DataFrame, sentences: DataFrame, longer_ms: int = 1500, tail: int = 50) -> DataFrame:
     """meeting_id, sentence_i, decay_db: energy of a sentence's middle half less that of its last half second."""
     long_ = sentences.where(f"track = 'mic' AND end_ms - start_ms > {longer_ms}").select("meeting_id", "sentence_i")
+    frames = frames.select("meeting_id", "sentence_i", "t_ms", "i", "db")
     w = Window.partitionBy("meeting_id", "sentence_i")
     rows = frames.join(long_, ["meeting_id", "sentence_i"]).select("meeting_id", "sentence_i", "db", (F.row_number().over(w.orderBy("t_ms", "i")) - 1).alias("r"), F.count(F.lit(1)).over(w).alias("n")).where(f"n >= {tail + 10}")
     middle = (F.col("r") >= F.floor(F.col("n") / 4)) & (F.col("r") < F.floor(3 * F.col("n") / 4))
@@ -28,13 +29,51 @@ def rises(frames: DataFrame, sentences: DataFrame, longer_ms: int = 1000) -> Dat
     """meeting_id, sentence_i, rise_st: pitch of a statement's last 0.4 s of voice less that of the 0.6 s before."""
     own = sentences.where(f"track = 'mic' AND NOT is_question AND end_ms - start_ms > {longer_ms}").select("meeting_id", "sentence_i")
     w = Window.partitionBy("meeting_id", "sentence_i")
-    rows = frames.where("f0 > 0").join(own, ["meeting_id", "sentence_i"]).withColumn("back", F.max("t_ms").over(w) - F.col("t_ms"))
+    rows = frames.where("f0 > 0").select("meeting_id", "sentence_i", "t_ms", "f0").join(own, ["meeting_id", "sentence_i"]).withColumn("back", F.max("t_ms").over(w) - F.col("t_ms"))
     st = A.semitones(F.col("f0"))
     late, early = F.when(F.col("back") <= 400, st), F.when((F.col("back") > 400) & (F.col("back") <= 1000), st)
     out = rows.groupBy("meeting_id", "sentence_i").agg(F.count(F.lit(1)).alias("n"), F.count(late).alias("a"), F.count(early).alias("b"), (F.percentile(late, 0.5) - F.percentile(early, 0.5)).alias("rise_st"))
     return out.where("n >= 10 AND a >= 3 AND b >= 3").select("meeting_id", "sentence_i", "rise_st")
 
 
+def decay_events(decays: DataFrame, sentences: DataFrame, above_db: float = 6.0, last_ms: int = 500) -> DataFrame:
+    """meeting_id, start_ms, end_ms, kind, value: the last half second of sentences that fall by more than above_db."""
+    own = sentences.where("track = 'mic'").select("meeting_id", "sentence_i", F.greatest(F.col("start_ms"), F.col("end_ms") - last_ms).alias("start_ms"), "end_ms")
+    return decays.where(F.col("decay_db") > above_db).join(own, ["meeting_id", "sentence_i"]).select("meeting_id", "start_ms", "end_ms", F.lit("decay").alias("kind"), F.col("decay_db").alias("value"))
+
+
+def rise_events(rises: DataFrame, sentences: DataFrame, least_st: float = 2.0) -> DataFrame:
+    """meeting_id, start_ms, end_ms, kind, value: statements that rise at their end."""
+    own = sentences.where("track = 'mic'").select("meeting_id", "sentence_i", "start_ms", "end_ms")
+    return rises.where(F.col("rise_st") >= least_st).join(own, ["meeting_id", "sentence_i"]).select("meeting_id", "start_ms", "end_ms", F.lit("rising_statement").alias("kind"), F.col("rise_st").alias("value"))
+
+
+def perturbation(frames: DataFrame) -> DataFrame:
+    """meeting_id, jitter_pct, shimmer_pct: mean change of period and amplitude from a voiced frame to the next, of their means."""
+    order = Window.partitionBy("meeting_id", "i").orderBy("t_ms")
+    voiced = frames.where("f0 > 0").select("meeting_id", "i", "t_ms", (1 / F.col("f0")).alias("t"), F.pow(F.lit(10.0), F.col("db") / 20).alias("a"))
+    near = F.col("t_ms") - F.lag("t_ms").over(order) == 10
+    steps = voiced.withColumn("dt", F.when(near, F.abs(F.col("t") - F.lag("t").over(order)))).withColumn("da", F.when(near, F.abs(F.col("a") - F.lag("a").over(order))))
+    return steps.groupBy("meeting_id").agg((100 * F.avg("dt") / F.avg("t")).alias("jitter_pct"), (100 * F.avg("da") / F.avg("a")).alias("shimmer_pct"))
+
+
+def loudness(frames: DataFrame, least: int = 10) -> DataFrame:
+    """meeting_id, loudness_mean_db, loudness_drift_db: the mean of the later half of the frames less that of the earlier."""
+    w = Window.partitionBy("meeting_id")
+    f = frames.select("meeting_id", "t_ms", "i", "db").withColumn("r", F.row_number().over(w.orderBy("t_ms", "i"))).withColumn("n", F.count(F.lit(1)).over(w))
+    late = F.col("r") > F.floor(F.col("n") / 2)
+    drift = F.avg(F.when(late, F.col("db"))) - F.avg(F.when(~late, F.col("db")))
+    return f.groupBy("meeting_id").agg(F.avg("db").alias("loudness_mean_db"), F.when(F.count(F.lit(1)) >= least, drift).alias("loudness_drift_db"))
+
+
+def voice(frames: DataFrame, decays: DataFrame, rises: DataFrame) -> DataFrame:
+    """A row of the voice's metrics for each meeting with frames."""
+    decay = decays.groupBy("meeting_id").agg(F.percentile("decay_db", 0.5).alias("phrase_final_decay_db"))
+    rising = rises.groupBy("meeting_id").agg(F.avg((F.col("rise_st") >= 2).cast("double")).alias("rising_statements_share"))
+    out = A.pitch(frames).join(loudness(frames), "meeting_id", "full").join(perturbation(frames), "meeting_id", "left")
+    return out.join(decay, "meeting_id", "left").join(rising, "meeting_id", "left")
+
+
 def by_window(frames: DataFrame, windows: DataFrame, least: int = 5) -> DataFrame:
     """windows with pitch_st (median less the meeting's) and loudness_db; null with fewer than `least` frames. A frame is dealt to its windows."""
     k = F.explode(F.sequence(F.greatest(F.floor((F.col("t_ms") - SIZE) / STEP) + 1, F.lit(0)), F.floor(F.col("t_ms") / STEP)))

@@ -45,14 +45,19 @@ def sentences(words: DataFrame) -> DataFrame:
     )
 
 
-def utterances(words: DataFrame, starters: list[str], gap_ms: int = 1000) -> DataFrame:
-    """The other party's utterances; a question ends with ? or begins with a starter."""
+def utterances(words: DataFrame, starters: list[str], long_starters: list[str] = (), gap_ms: int = 1000) -> DataFrame:
+    """The other party's utterances; a question ends with ? or begins with a starter, or its first three words begin with one of several words."""
     own = words.where("track = 'system'")
     gap = F.lead("start_ms").over(order()) - F.col("end_ms")
     cut = (T.terminates("text") | F.coalesce(gap >= gap_ms, F.lit(False))).cast("int")
     own = own.withColumn("_cut", cut).withColumn("u", F.coalesce(F.sum("_cut").over(before()), F.lit(0)))
-    out = own.groupBy("meeting_id", "u").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count(F.lit(1)).alias("n_words"), F.min_by("norm", "i").alias("first"), F.max_by("text", "i").alias("last"))
-    return out.select("meeting_id", F.col("u").alias("utterance_i"), "start_ms", "end_ms", "n_words", (F.col("last").rlike(r"\?$") | F.col("first").isin(starters)).alias("is_question"))
+    ahead = lambda k: F.lead("norm", k).over(Window.partitionBy("meeting_id", "u").orderBy("i"))
+    own = own.withColumn("_three", F.concat_ws(" ", "norm", ahead(1), ahead(2)))
+    out = own.groupBy("meeting_id", "u").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count(F.lit(1)).alias("n_words"), F.min_by("norm", "i").alias("first"), F.max_by("text", "i").alias("last"), F.min_by("_three", "i").alias("three"))
+    is_question = F.col("last").rlike(r"\?$") | F.col("first").isin(starters)
+    for phrase in long_starters:
+        is_question = is_question | F.col("three").startswith(phrase)
+    return out.select("meeting_id", F.col("u").alias("utterance_i"), "start_ms", "end_ms", "n_words", is_question.alias("is_question"))
 
 
 def transcript(sentences: DataFrame) -> DataFrame:

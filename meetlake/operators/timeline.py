@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from meetlake.functions import constants as C
 from meetlake.operators import spans as S
 
 SIZE, STEP = 15_000, 5_000
@@ -46,6 +47,13 @@ def medians(points: DataFrame, least: int = 5) -> DataFrame:
     return points.groupBy("meeting_id").agg(F.percentile(own, 0.5).alias("wpm"), F.percentile(spoken, 0.5).alias("articulation_wpm"))
 
 
+def bursts(points: DataFrame, factor: float = 1.2, least: int = 5, usual: float = 130.0) -> DataFrame:
+    """Windows (with type) of enough words that are faster than their type's upper bound by the factor."""
+    refs = points.sparkSession.createDataFrame([(t, h) for t, m, _, h, _ in C.TYPE_RANGES if m == "wpm"], "type string, high double")
+    own = points.join(F.broadcast(refs), "type", "left")
+    return own.where((F.col("n_words") >= least) & (F.col("wpm") > factor * F.coalesce("high", F.lit(usual)))).drop("high")
+
+
 def by_minute(events: DataFrame, durations: DataFrame) -> DataFrame:
     """Events of each minute, empty minutes too; what lies beyond the last counts in it."""
     last = F.greatest(F.ceil(F.col("duration_ms") / 60000) - 1, F.lit(0))

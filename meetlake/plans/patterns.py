@@ -11,26 +11,23 @@ from meetlake.functions import text as T
 from meetlake.operators import catalog as K
 from meetlake.operators import metrics as M
 from meetlake.operators import patterns as P
-from meetlake.operators import segment as G
 from meetlake.operators import timeline as L
-from meetlake.plans.queries import events, judged, line, r6, wide
+from meetlake.plans.meetings import Meetings
+from meetlake.plans.queries import line, r6
 from meetlake.plans.registry import query
 from meetlake.plans.sql import CTES, over, values
 from meetlake.sources import adapters as D
 
 CTES |= {
-    "utter": f"""SELECT meeting_id, regexp_matches(arg_max(text, i), '\\?$') OR arg_min(norm, i) IN {tuple(C.STARTERS)!r} AS q FROM (
-        SELECT *, coalesce(sum(c) OVER (PARTITION BY meeting_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS u FROM (
-        SELECT *, (regexp_matches(text, '[.!?…]["''»)\\]}} ]*$') OR coalesce(lead(start_ms) OVER (PARTITION BY meeting_id ORDER BY i) - end_ms >= 1000, FALSE))::INT AS c FROM words WHERE track = 'system')) GROUP BY meeting_id, u""",
     "compress": """SELECT d.meeting_id, (SELECT round(avg(wpm), 1) FROM line l WHERE l.meeting_id = d.meeting_id AND wpm > 0 AND (a + b) / 2 < 180000) AS wpm_first, (SELECT round(avg(wpm), 1) FROM line l WHERE l.meeting_id = d.meeting_id AND wpm > 0 AND (a + b) / 2 >= 180000) AS wpm_rest,
         CASE WHEN duration_ms > 0 THEN round((SELECT count(*) FROM events_all e WHERE e.meeting_id = d.meeting_id AND kind = 'filler' AND start_ms < 180000) * 60000.0::DOUBLE / least(duration_ms, 180000), 1) END AS fillers_first,
         CASE WHEN duration_ms > 180000 THEN round((SELECT count(*) FROM events_all e WHERE e.meeting_id = d.meeting_id AND kind = 'filler' AND start_ms >= 180000) * 60000.0::DOUBLE / (duration_ms - 180000), 1) END AS fillers_rest,
-        (SELECT count(*) FROM utter u WHERE u.meeting_id = d.meeting_id AND q) AS questions FROM dur d""",
-    "history": "SELECT j.*, speaker, started_at FROM judged j JOIN meetings m ON m.meeting_id = j.meeting_id WHERE m.status = 'ready'",
-    "base_first": "SELECT metric, value, row_number() OVER (PARTITION BY metric ORDER BY started_at, l.meeting_id) AS r FROM long l JOIN (SELECT meeting_id AS mid, started_at, status FROM meetings) m ON mid = l.meeting_id WHERE type <> 'training' AND status = 'ready'",
-    "base_stats": "SELECT metric, mean, greatest(std, 0.05 * abs(mean), 0.01) AS std FROM (SELECT metric, avg(value) AS mean, stddev_pop(value) AS std FROM base_first WHERE r <= 3 AND value IS NOT NULL GROUP BY 1)",
+        (SELECT count(*) FROM utter u WHERE u.meeting_id = d.meeting_id AND is_question) AS questions FROM dur d""",
+    "history": "SELECT j.*, started_at FROM judged j JOIN (SELECT meeting_id AS mid, started_at, status AS done FROM meetings) m ON mid = j.meeting_id WHERE done = 'ready'",
+    "base_first": "SELECT speaker, metric, value, row_number() OVER (PARTITION BY speaker, metric ORDER BY started_at, l.meeting_id) AS r FROM long l JOIN (SELECT meeting_id AS mid, started_at, status FROM meetings) m ON mid = l.meeting_id WHERE type <> 'training' AND status = 'ready'",
+    "base_stats": "SELECT speaker, metric, mean, greatest(std, 0.05 * abs(mean), 0.01) AS std FROM (SELECT speaker, metric, avg(value) AS mean, stddev_pop(value) AS std FROM base_first WHERE r <= 3 AND value IS NOT NULL GROUP BY 1, 2)",
     "zs": """SELECT j.meeting_id, j.metric, CASE WHEN value IS NULL THEN 0.0 WHEN better = 'lower' THEN greatest(0, (value - mean) / std) WHEN better = 'higher' THEN greatest(0, (mean - value) / std)
-        WHEN ref_low IS NULL OR ref_high IS NULL THEN abs((value - mean) / std) WHEN value >= (ref_low + ref_high) / 2 THEN greatest(0, (value - mean) / std) ELSE greatest(0, (mean - value) / std) END AS z FROM judged j JOIN base_stats USING (metric)""",
+        WHEN ref_low IS NULL OR ref_high IS NULL THEN abs((value - mean) / std) WHEN value >= (ref_low + ref_high) / 2 THEN greatest(0, (value - mean) / std) ELSE greatest(0, (mean - value) / std) END AS z FROM judged j JOIN base_stats USING (speaker, metric)""",
     "pen_own": "SELECT meeting_id, metric, w, CASE WHEN z IS NULL OR p IS NULL THEN p ELSE 0.5 * p + 0.5 * least(1.0, z / 2) END AS p FROM pen LEFT JOIN zs USING (meeting_id, metric)",
     "comp_own": "SELECT meeting_id, metric, CASE WHEN p IS NULL THEN 0.0 ELSE round(w * 100 / sum(w) FILTER (p IS NOT NULL) OVER (PARTITION BY meeting_id), 2) END AS weight, coalesce(round(p, 4), 0.0) AS penalty FROM pen_own",
     "worst": "SELECT speaker, metric, harm, row_number() OVER (PARTITION BY speaker ORDER BY harm DESC, o)::INT AS place FROM (SELECT speaker, h.metric, sum(CASE status WHEN 'bad' THEN 2 ELSE 1 END) * any_value(w)::DOUBLE AS harm, any_value(o) AS o FROM history h JOIN "
@@ -41,108 +38,112 @@ CTES |= {
 }
 
 
-def compressed(spark, sf):
-    w = D.words(spark, sf)
-    asked = G.utterances(w, C.STARTERS).where("is_question")
-    return P.compressed(line(spark, sf), events(spark, sf), asked, L.durations(w))
+def compressed(m: Meetings):
+    return P.compressed(m.line, m.events, m.questions, L.durations(m.words))
 
 
-def history(spark, sf):
-    """The judged metrics of ready meetings with speaker and time."""
-    ready = D.meetings(spark, sf).where("status = 'ready'").select("meeting_id", "speaker", "started_at")
-    return judged(spark, sf).join(ready, "meeting_id")
-
-
-def base(spark, sf):
-    ready = D.meetings(spark, sf).where("status = 'ready' AND type <> 'training'").select("meeting_id", "started_at")
-    return M.baseline(M.long_form(wide(spark, sf)).join(ready, "meeting_id"), ["metric"])
+def against_base(rows, m: Meetings):
+    """rows (speaker, metric) with the speaker's mean and std."""
+    return rows.join(m.base.select("speaker", "metric", "mean", "std"), ["speaker", "metric"])
 
 
 @query(over("SELECT * FROM compress"))
 def compress_report(spark, sf):
-    return compressed(spark, sf)
+    return compressed(Meetings(spark, sf))
 
 
 @query(over("SELECT speaker, count(*) FILTER (f) AS n_flag, count(*) AS n, count(*) - coalesce(max(r) FILTER (NOT f), 0) AS run FROM (SELECT speaker, coalesce(wpm_first >= wpm_rest * 1.1 AND wpm_first > 0 AND wpm_rest > 0, FALSE) AS f, row_number() OVER (PARTITION BY speaker ORDER BY started_at, meeting_id) AS r FROM compress JOIN meetings USING (meeting_id) WHERE status = 'ready') GROUP BY 1 HAVING count(*) FILTER (f) >= 2"))
 def fast_start_streak(spark, sf):
-    reports = compressed(spark, sf).join(D.meetings(spark, sf).where("status = 'ready'"), "meeting_id")
+    reports = compressed(Meetings(spark, sf)).join(D.meetings(spark, sf).where("status = 'ready'"), "meeting_id")
     return P.repeated(reports, P.fast_start()).select("speaker", "n_flag", "n", F.col("run").cast("long").alias("run"))
 
 
 @query(over("SELECT speaker, count(*) FILTER (f) AS n_flag, count(*) AS n FROM (SELECT speaker, coalesce(fillers_first >= fillers_rest * 1.5 + 0.5, FALSE) AS f FROM compress JOIN meetings USING (meeting_id) WHERE status = 'ready') GROUP BY 1 HAVING count(*) FILTER (f) >= 2"))
 def filler_start(spark, sf):
-    reports = compressed(spark, sf).join(D.meetings(spark, sf).where("status = 'ready'"), "meeting_id")
+    reports = compressed(Meetings(spark, sf)).join(D.meetings(spark, sf).where("status = 'ready'"), "meeting_id")
     return P.repeated(reports, P.filler_start()).select("speaker", "n_flag", "n")
 
 
 @query(over("SELECT * FROM (SELECT speaker, metric, count(*) FILTER (f) AS n_flag, count(*) AS n, count(*) - coalesce(max(r) FILTER (NOT f), 0) AS run FROM (SELECT speaker, metric, status IN ('warn', 'bad') AS f, row_number() OVER (PARTITION BY speaker, metric ORDER BY started_at, meeting_id) AS r FROM history) GROUP BY 1, 2) WHERE run >= 2 OR (n_flag >= 3 AND n_flag >= 0.6 * n)"))
 def out_of_range_streaks(spark, sf):
-    return P.out_of_range(history(spark, sf)).select("speaker", "metric", "n_flag", "n", F.col("run").cast("long").alias("run"))
+    return P.out_of_range(Meetings(spark, sf).history).select("speaker", "metric", "n_flag", "n", F.col("run").cast("long").alias("run"))
 
 
 @query(over("SELECT * FROM worst"))
 def worst_metrics(spark, sf):
-    return P.worst(history(spark, sf))
+    return P.worst(Meetings(spark, sf).history)
 
 
 @query(over("SELECT speaker, place, task, minutes FROM (SELECT *, row_number() OVER (PARTITION BY speaker ORDER BY pad, r)::INT AS place FROM (SELECT speaker, task, any_value(minutes)::DOUBLE AS minutes, min(pad) AS pad, arg_min(r, pad) AS r FROM wanted GROUP BY 1, 2)) WHERE place <= 4 AND (pad = 0 OR place <= 2)"))
 def exercises(spark, sf):
-    own = history(spark, sf)
+    own = Meetings(spark, sf).history
     return P.exercises(own.select("speaker").distinct(), P.worst(own))
 
 
-@query(over("SELECT speaker, '- meetings: ' || count(*) || chr(10) || '- score: ' || arg_min(score, struct_pack(a := started_at, b := meeting_id)) || ' → ' || arg_max(score, struct_pack(a := started_at, b := meeting_id)) || chr(10) || '- focus: ' || coalesce((SELECT string_agg(metric, ', ' ORDER BY place) FROM worst w WHERE w.speaker = m.speaker AND place <= 3), '—') AS text FROM meetings m JOIN score USING (meeting_id) WHERE status = 'ready' GROUP BY speaker"))
+@query(over("SELECT speaker, '- meetings: ' || count(*) || chr(10) || '- score: ' || arg_min(score, struct_pack(a := started_at, b := meeting_id)) || ' → ' || arg_max(score, struct_pack(a := started_at, b := meeting_id)) || chr(10) || '- focus: ' || coalesce((SELECT string_agg(metric, ', ' ORDER BY place) FROM worst w WHERE w.speaker = m.speaker AND place <= 3), '—') AS text FROM meetings m JOIN score USING (meeting_id) WHERE m.status = 'ready' GROUP BY speaker"))
 def weekly_summary(spark, sf):
-    scores = M.overall(M.components(judged(spark, sf))).join(D.meetings(spark, sf).where("status = 'ready'"), "meeting_id")
-    return P.summary(scores, P.worst(history(spark, sf)))
+    m = Meetings(spark, sf)
+    scores = M.overall(M.components(m.judged)).join(m.meetings.where("status = 'ready'"), "meeting_id")
+    return P.summary(scores, P.worst(m.history))
 
 
-@query(over("SELECT speaker, metric, meeting_id, started_at, round(value, 6) AS value FROM history WHERE value IS NOT NULL"))
+@query(over("SELECT speaker, metric, meeting_id, started_at, round(value, 6) AS value FROM history WHERE value IS NOT NULL AND metric <> 'interruptions_by_other'"))
 def progress_series(spark, sf):
-    return history(spark, sf).where("value IS NOT NULL").select("speaker", "metric", "meeting_id", "started_at", r6("value"))
+    own = Meetings(spark, sf).history.where(F.col("metric").isin(C.PROGRESS))
+    return own.where("value IS NOT NULL").select("speaker", "metric", "meeting_id", "started_at", r6("value"))
 
 
 @query(over("SELECT meeting_id, metric, round(z, 4) AS z FROM zs"))
 def bad_side_z(spark, sf):
-    both = judged(spark, sf).join(F.broadcast(base(spark, sf)), "metric")  # a row for each of the fixed metrics
+    m = Meetings(spark, sf)
+    both = against_base(m.judged, m)
     z = J.bad_side_z(F.col("value"), F.col("mean"), F.col("std"), F.col("better"), F.col("ref_low"), F.col("ref_high"))
     return both.select("meeting_id", "metric", F.round(z, 4).alias("z"))
 
 
 @query(over("SELECT meeting_id, CASE WHEN sum(weight) > 0 THEN greatest(0, least(100, round_even(round(100 - sum(weight * penalty), 6), 0)))::INT ELSE 0 END AS score FROM comp_own GROUP BY 1"))
 def score_baseline(spark, sf):
-    return M.overall(M.components(judged(spark, sf), base(spark, sf)))
+    m = Meetings(spark, sf)
+    return M.overall(M.components(m.judged, m.base))
 
 
 @query(over("SELECT * FROM score").replace("SELECT meeting_id, type, '", "SELECT meeting_id, 'sales' AS type, '"))
 def rescore(spark, sf):
-    """Every stored meeting as if it were of another type: no words are read again."""
-    return M.overall(M.components(M.judged(M.long_form(wide(spark, sf).withColumn("type", F.lit("sales"))))))
+    """Every meeting as if it were of another type, from its stored metrics; its words are read once, for those."""
+    return M.overall(M.components(M.judged(Meetings(spark, sf).long.withColumn("type", F.lit("sales")))))
+
+
+@query(over("SELECT meeting_id, 'fast_burst' AS kind, a AS start_ms, b AS end_ms FROM line WHERE wpm > 1.2 * 130.0"))
+def rescore_bursts(spark, sf):
+    """The fast bursts of every meeting as if it were of another type: from its stored windows alone, so any number of words counts."""
+    return L.bursts(line(spark, sf).withColumn("type", F.lit("sales")), least=0).select("meeting_id", F.lit("fast_burst").alias("kind"), F.col("a").alias("start_ms"), F.col("b").alias("end_ms"))
 
 
-@query(over("SELECT meeting_id, metric, delta, z, place FROM (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY abs(z) DESC, metric)::INT AS place FROM (SELECT meeting_id, metric, round(value - mean, 4) AS delta, round((value - mean) / std, 4) AS z FROM long JOIN base_stats USING (metric) WHERE value IS NOT NULL)) WHERE place <= 6"))
+@query(over("SELECT meeting_id, metric, delta, z, place FROM (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY abs(z) DESC, metric)::INT AS place FROM (SELECT meeting_id, metric, round(value - mean, 4) AS delta, round((value - mean) / std, 4) AS z FROM long JOIN base_stats USING (speaker, metric) WHERE value IS NOT NULL)) WHERE place <= 6"))
 def top_deltas(spark, sf):
-    rows = M.long_form(wide(spark, sf)).where("value IS NOT NULL").join(F.broadcast(base(spark, sf)), "metric")
+    m = Meetings(spark, sf)
+    rows = against_base(m.long.where("value IS NOT NULL"), m)
     rows = rows.select("meeting_id", "metric", F.round(F.col("value") - F.col("mean"), 4).alias("delta"), F.round((F.col("value") - F.col("mean")) / F.col("std"), 4).alias("z"))
     place = F.row_number().over(Window.partitionBy("meeting_id").orderBy(F.abs("z").desc(), "metric"))
     return rows.withColumn("place", place).where("place <= 6")
 
 
-@query(over("SELECT meeting_id, metric, CASE WHEN abs(d) < 0.5 OR better = 'inside' OR d = 0 THEN 'same' WHEN (better = 'higher') = (d > 0) THEN 'better' ELSE 'worse' END AS direction FROM (SELECT j.*, round(value - mean, 6) AS d FROM judged j JOIN base_stats USING (metric) WHERE value IS NOT NULL)"))
+@query(over("SELECT meeting_id, metric, CASE WHEN abs(d) < 0.5 OR better = 'inside' OR d = 0 THEN 'same' WHEN (better = 'higher') = (d > 0) THEN 'better' ELSE 'worse' END AS direction FROM (SELECT j.*, round(value - mean, 6) AS d FROM judged j JOIN base_stats USING (speaker, metric) WHERE value IS NOT NULL)"))
 def delta_direction(spark, sf):
-    both = judged(spark, sf).where("value IS NOT NULL").join(F.broadcast(base(spark, sf)), "metric")
+    m = Meetings(spark, sf)
+    both = against_base(m.judged.where("value IS NOT NULL"), m)
     return both.select("meeting_id", "metric", J.delta_direction(F.round(F.col("value") - F.col("mean"), 6), F.col("better"), 1.0).alias("direction"))
 
 
 @query(over("SELECT DISTINCT type, metric, ref_low, ref_high, better FROM judged"))
 def reference_lookup(spark, sf):
-    return judged(spark, sf).select("type", "metric", "ref_low", "ref_high", "better").distinct()
+    return Meetings(spark, sf).judged.select("type", "metric", "ref_low", "ref_high", "better").distinct()
 
 
 @query(over("""SELECT meeting_id, metric, CASE WHEN lo IS NOT NULL AND hi IS NOT NULL THEN lo || '–' || hi WHEN hi IS NOT NULL THEN '≤ ' || hi WHEN lo IS NOT NULL THEN '≥ ' || lo ELSE '—' END AS text FROM (
     SELECT meeting_id, metric, regexp_replace(ref_low::DECIMAL(18,2)::VARCHAR, '\\.?0+$', '') AS lo, regexp_replace(ref_high::DECIMAL(18,2)::VARCHAR, '\\.?0+$', '') AS hi FROM judged)""".replace("\\\\", "\\")))
 def reference_text(spark, sf):
-    return judged(spark, sf).select("meeting_id", "metric", T.range_label(F.col("ref_low"), F.col("ref_high")).alias("text"))
+    return Meetings(spark, sf).judged.select("meeting_id", "metric", T.range_label(F.col("ref_low"), F.col("ref_high")).alias("text"))
 
 
 @query(over("SELECT speaker, count(*) AS n FROM meetings WHERE status = 'ready' AND type <> 'training' GROUP BY 1"))

@@ -5,25 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from meetlake.functions import constants as C
 from meetlake.operators import events as E
 from meetlake.operators import prosody as P
 from meetlake.operators import segment as G
 from meetlake.operators import signal as A
 from meetlake.operators import spans as S
 from meetlake.operators import timeline as L
+from meetlake.plans.meetings import Meetings
 from meetlake.plans.queries import line, r6, sentenced, speech
 from meetlake.plans.registry import query
 from meetlake.plans.sql import CTES, merged, minus, over
 from meetlake.sources import adapters as D
 
 CTES |= {
-    "framed": "SELECT f.*, s.sentence_i FROM frames f JOIN sentenced s ON s.meeting_id = f.meeting_id AND s.i = f.i",
-    "decay_rows": """SELECT f.meeting_id, f.sentence_i, f.db, row_number() OVER (PARTITION BY f.meeting_id, f.sentence_i ORDER BY t_ms, i) - 1 AS r, count(*) OVER (PARTITION BY f.meeting_id, f.sentence_i) AS n
-        FROM framed f JOIN sentences s ON s.track = 'mic' AND s.meeting_id = f.meeting_id AND s.sentence_i = f.sentence_i AND s.end_ms - s.start_ms > 1500""",
-    "decay": "SELECT meeting_id, sentence_i, 10 * log10(avg(pow(10, db / 10)) FILTER (r >= n // 4 AND r < 3 * n // 4)) - 10 * log10(avg(pow(10, db / 10)) FILTER (r >= n - 50)) AS decay_db FROM decay_rows WHERE n >= 60 GROUP BY 1, 2",
-    "rise_rows": """SELECT f.meeting_id, f.sentence_i, 12 * log2(f0 / 100) AS st, max(t_ms) OVER (PARTITION BY f.meeting_id, f.sentence_i) - t_ms AS back
-        FROM framed f JOIN sentences s ON s.track = 'mic' AND NOT s.is_question AND s.meeting_id = f.meeting_id AND s.sentence_i = f.sentence_i AND s.end_ms - s.start_ms > 1000 WHERE f0 > 0""",
-    "rise": "SELECT meeting_id, sentence_i, median(st) FILTER (back <= 400) - median(st) FILTER (back > 400 AND back <= 1000) AS rise_st FROM rise_rows GROUP BY 1, 2 HAVING count(*) >= 10 AND count(*) FILTER (back <= 400) >= 3 AND count(*) FILTER (back > 400 AND back <= 1000) >= 3",
     "word_spans": merged("(SELECT * FROM words WHERE track = 'mic' AND kind <> 'filler')", 1, "meeting_id"),
     "seg": "SELECT v.meeting_id, v.start_ms, v.end_ms, coalesce((SELECT sum(least(v.end_ms, w.end_ms) - greatest(v.start_ms, w.start_ms)) FROM word_spans w WHERE w.meeting_id = v.meeting_id AND w.start_ms < v.end_ms AND v.start_ms < w.end_ms), 0) AS said FROM vad_mic v",
     "whole_seg": "SELECT meeting_id, start_ms, end_ms FROM seg WHERE end_ms - start_ms BETWEEN 250 AND 2000 AND said <= 0.3 * (end_ms - start_ms)",
@@ -33,26 +28,19 @@ CTES |= {
 }
 
 
-def frames(spark, sf):
-    return P.spoken(D.frames(spark, sf), sentenced(spark, sf))
-
-
 @query(over("SELECT meeting_id, sentence_i, round(decay_db, 6) AS decay_db, decay_db > 6 AS is_event FROM decay"))
 def phrase_decay(spark, sf):
-    d = P.decays(frames(spark, sf), G.sentences(sentenced(spark, sf)))
-    return d.select("meeting_id", "sentence_i", r6("decay_db"), (F.col("decay_db") > 6).alias("is_event"))
+    return Meetings(spark, sf).decays.select("meeting_id", "sentence_i", r6("decay_db"), (F.col("decay_db") > 6).alias("is_event"))
 
 
 @query(over("SELECT meeting_id, round(median(decay_db), 6) AS phrase_final_decay_db FROM decay GROUP BY 1"))
 def phrase_decay_median(spark, sf):
-    d = P.decays(frames(spark, sf), G.sentences(sentenced(spark, sf)))
-    return d.groupBy("meeting_id").agg(F.round(F.percentile("decay_db", 0.5), 6).alias("phrase_final_decay_db"))
+    return Meetings(spark, sf).decays.groupBy("meeting_id").agg(F.round(F.percentile("decay_db", 0.5), 6).alias("phrase_final_decay_db"))
 
 
 @query(over("SELECT meeting_id, count(*) AS n, round(avg((rise_st >= 2)::INT), 6) AS rising_statements_share FROM rise GROUP BY 1"))
 def rising_statements(spark, sf):
-    r = P.rises(frames(spark, sf), G.sentences(sentenced(spark, sf)))
-    return r.groupBy("meeting_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("rise_st") >= 2).cast("double")), 6).alias("rising_statements_share"))
+    return Meetings(spark, sf).rises.groupBy("meeting_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("rise_st") >= 2).cast("double")), 6).alias("rising_statements_share"))
 
 
 @query(over("""SELECT w.meeting_id, a, b, CASE WHEN count(*) FILTER (f0 > 0) >= 5 THEN round(median(12 * log2(f0 / 100)) FILTER (f0 > 0) - any_value(own), 6) END AS pitch_st, CASE WHEN count(f.db) >= 5 AND avg(db) > -100 THEN round(avg(db), 6) END AS loudness_db
@@ -149,10 +137,9 @@ def events_by_sentence(spark, sf):
     return found.groupBy("meeting_id", "sentence_i").agg(F.count(F.lit(1)).alias("n"), kinds.alias("kinds"))
 
 
-@query(over("SELECT meeting_id, start_ms, end_ms, n_words FROM (SELECT meeting_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n_words, regexp_matches(arg_max(text, i), '\\?$') AS q FROM sentenced WHERE track = 'system' GROUP BY meeting_id, sentence_i) WHERE q"))
+@query(over("SELECT meeting_id, start_ms, end_ms, n_words FROM utter WHERE is_question"))
 def questions_from_other(spark, sf):
-    asked = G.sentences(sentenced(spark, sf).withColumn("kind", F.lit("word"))).where("track = 'system' AND is_question")
-    return asked.select("meeting_id", "start_ms", "end_ms", "n_words")
+    return G.utterances(D.words(spark, sf), C.STARTERS, C.LONG_STARTERS).where("is_question").select("meeting_id", "start_ms", "end_ms", "n_words")
 
 
 @query(over("""SELECT meeting_id, track, sentence_i, suspicious, suspicious AND (regexp_matches(lower(text), 'subtitles by|thanks for watching') OR (no_speech > 0.85 AND logprob < -1.0)) AS dropped FROM (

@@ -10,10 +10,12 @@ from meetlake.functions import text as T
 from meetlake.operators import catalog as K
 from meetlake.operators import events as E
 from meetlake.operators import metrics as M
+from meetlake.operators import prosody as P
 from meetlake.operators import segment as G
 from meetlake.operators import signal as A
 from meetlake.operators import spans as S
 from meetlake.operators import timeline as L
+from meetlake.plans.meetings import Meetings
 from meetlake.plans.registry import query
 from meetlake.plans.sql import BOUNDARY, NORM, TERM, minus, over
 from meetlake.sources import adapters as D
@@ -35,30 +37,7 @@ def sentenced(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def line(spark: SparkSession, sf: str) -> DataFrame:
-    w = D.words(spark, sf)
-    return L.timeline(w, S.vad(w))
-
-
-def events(spark: SparkSession, sf: str) -> DataFrame:
-    """meeting_id, start_ms, end_ms, kind: the owner's fillers, crutch phrases, pauses, and interruptions."""
-    s = sentenced(spark, sf)
-    crutches = E.crutches(E.crutch_candidates(s, C.CRUTCHES)).select("meeting_id", "start_ms", F.col("start_ms").alias("end_ms"), F.lit("crutch").alias("kind"))
-    fillers = E.fillers(s).where("track = 'mic'").select("meeting_id", "start_ms", "end_ms", F.lit("filler").alias("kind"))
-    out = fillers.unionByName(crutches).unionByName(E.pauses(s, speech(spark, sf)).select("meeting_id", "start_ms", "end_ms", "kind"))
-    return out.unionByName(E.interruptions(D.raw_spans(spark, sf)))
-
-
-def counts(spark: SparkSession, sf: str) -> DataFrame:
-    return events(spark, sf).groupBy("meeting_id", "kind").agg(F.count(F.lit(1)).alias("n"))
-
-
-def wide(spark: SparkSession, sf: str) -> DataFrame:
-    w = D.words(spark, sf)
-    return M.layer1(w, G.sentences(G.with_sentences(w)), S.vad(w), counts(spark, sf), L.medians(line(spark, sf)), D.meetings(spark, sf))
-
-
-def judged(spark: SparkSession, sf: str) -> DataFrame:
-    return M.judged(M.long_form(wide(spark, sf)))
+    return Meetings(spark, sf).line
 
 
 # spans
@@ -145,11 +124,9 @@ def split_sentences(spark, sf):
     return G.sentences(sentenced(spark, sf))
 
 
-@query(over(f"""SELECT meeting_id, u::BIGINT AS utterance_i, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n_words, regexp_matches(arg_max(text, i), '\\?$') OR arg_min(norm, i) IN {tuple(C.STARTERS)!r} AS is_question FROM (
-    SELECT *, coalesce(sum(c) OVER (PARTITION BY meeting_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS u FROM (
-    SELECT *, ({TERM.format('text')} OR coalesce(lead(start_ms) OVER (PARTITION BY meeting_id ORDER BY i) - end_ms >= 1000, FALSE))::INT AS c FROM words WHERE track = 'system')) GROUP BY meeting_id, u"""))
+@query(over("SELECT * FROM utter"))
 def other_utterances(spark, sf):
-    return G.utterances(D.words(spark, sf), C.STARTERS)
+    return G.utterances(D.words(spark, sf), C.STARTERS, C.LONG_STARTERS)
 
 
 @query(over("""SELECT meeting_id, string_agg('[' || CASE WHEN t >= 3600 THEN t // 3600 || ':' ELSE '' END || lpad((t // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((t % 60)::VARCHAR, 2, '0') || '] ' || CASE WHEN track = 'system' THEN '> ' ELSE '' END || text, chr(10) ORDER BY start_ms, track = 'system', sentence_i) AS text
@@ -228,7 +205,7 @@ def filler_dedup(spark, sf):
 @query(over("SELECT meeting_id, kind, start_ms, end_ms, row_number() OVER (PARTITION BY meeting_id ORDER BY start_ms, end_ms, kind)::INT AS place FROM events_all"))
 def events_sorted(spark, sf):
     place = F.row_number().over(Window.partitionBy("meeting_id").orderBy("start_ms", "end_ms", "kind"))
-    return events(spark, sf).select("meeting_id", "kind", "start_ms", "end_ms", place.alias("place"))
+    return Meetings(spark, sf).events.select("meeting_id", "kind", "start_ms", "end_ms", place.alias("place"))
 
 
 # windows
@@ -255,18 +232,16 @@ def median_wpm(spark, sf):
     return L.medians(line(spark, sf)).select("meeting_id", r6("wpm"), r6("articulation_wpm"))
 
 
-@query(over("SELECT meeting_id, type, a, n_words, round(wpm, 6) AS wpm FROM line JOIN meetings USING (meeting_id) LEFT JOIN (SELECT type AS t, high AS th FROM type_refs WHERE metric = 'wpm') ON t = type WHERE n_words >= 5 AND wpm > 1.2 * coalesce(th, 130.0)"))
+@query(over("SELECT meeting_id, type, a, n_words, round(wpm, 6) AS wpm FROM bursts"))
 def fast_burst(spark, sf):
-    refs = spark.createDataFrame([(t, h) for t, m, _, h, _ in C.TYPE_RANGES if m == "wpm"], "type string, high double")
-    own = line(spark, sf).join(D.meetings(spark, sf), "meeting_id").join(F.broadcast(refs), "type", "left")
-    return own.where((F.col("n_words") >= 5) & (F.col("wpm") > 1.2 * F.coalesce("high", F.lit(130.0)))).select("meeting_id", "type", "a", "n_words", r6("wpm"))
+    return Meetings(spark, sf).bursts.select("meeting_id", "type", "a", "n_words", r6("wpm"))
 
 
 @query(over("""SELECT d.meeting_id, d.minute, count(e.kind) AS n FROM (SELECT meeting_id, duration_ms, unnest(range(0, greatest(ceil(duration_ms / 60000.0)::BIGINT, 1))) AS minute FROM dur) d
     LEFT JOIN events_all e ON e.meeting_id = d.meeting_id AND e.kind IN ('filler', 'crutch') AND least(e.start_ms // 60000, greatest(ceil(d.duration_ms / 60000.0)::BIGINT, 1) - 1) = d.minute GROUP BY 1, 2"""))
 def fillers_by_minute(spark, sf):
-    own = events(spark, sf).where("kind IN ('filler', 'crutch')")
-    return L.by_minute(own, L.durations(D.words(spark, sf)))
+    m = Meetings(spark, sf)
+    return L.by_minute(m.events.where("kind IN ('filler', 'crutch')"), L.durations(m.words))
 
 
 @query(over("SELECT meeting_id, a // 60000 AS minute, round(avg(wpm), 6) AS wpm FROM line WHERE wpm > 0 GROUP BY 1, 2"))
@@ -277,7 +252,7 @@ def wpm_by_minute(spark, sf):
 @query(over("SELECT meeting_id, kind, start_ms FROM (SELECT *, row_number() OVER w - 1 AS r, count(*) OVER (PARTITION BY meeting_id) AS n FROM events_all WINDOW w AS (PARTITION BY meeting_id ORDER BY start_ms, end_ms, kind)) WHERE n <= 10 OR r IN (0, n // 10, 2 * n // 10, 3 * n // 10, 4 * n // 10, 5 * n // 10, 6 * n // 10, 7 * n // 10, 8 * n // 10, 9 * n // 10)"))
 def highlights_sample(spark, sf):
     w = Window.partitionBy("meeting_id")
-    own = events(spark, sf).withColumn("r", F.row_number().over(w.orderBy("start_ms", "end_ms", "kind")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
+    own = Meetings(spark, sf).events.withColumn("r", F.row_number().over(w.orderBy("start_ms", "end_ms", "kind")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
     picked = F.array_contains(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.floor(i * F.col("n") / 10)), F.col("r").cast("long"))
     return own.where((F.col("n") <= 10) | picked).select("meeting_id", "kind", "start_ms")
 
@@ -287,12 +262,12 @@ def highlights_sample(spark, sf):
 
 @query(over("SELECT meeting_id, kind, count(*) AS n FROM events_all GROUP BY 1, 2"))
 def event_counts(spark, sf):
-    return counts(spark, sf)
+    return Meetings(spark, sf).counts
 
 
 @query(over("SELECT meeting_id, type, metric, round(value, 6) AS value FROM long"))
 def metrics_long(spark, sf):
-    return M.long_form(wide(spark, sf)).select("meeting_id", "type", "metric", r6("value"))
+    return Meetings(spark, sf).long.select("meeting_id", "type", "metric", r6("value"))
 
 
 @query(over("SELECT meeting_id, round(mic::DOUBLE / (mic + sys), 6) AS talk_ratio FROM talk JOIN meetings USING (meeting_id) WHERE has_system"))
@@ -324,27 +299,27 @@ def mtld(spark, sf):
 
 @query(over("SELECT meeting_id, metric, ref_low, ref_high, better, status FROM judged"))
 def metric_status(spark, sf):
-    return judged(spark, sf).select("meeting_id", "metric", "ref_low", "ref_high", "better", "status")
+    return Meetings(spark, sf).judged.select("meeting_id", "metric", "ref_low", "ref_high", "better", "status")
 
 
 @query(over("SELECT type, status, grouping(type) AS all_types, grouping(status) AS all_statuses, count(*) AS n FROM judged GROUP BY ROLLUP (type, status)"))
 def metrics_rollup(spark, sf):
-    return judged(spark, sf).rollup("type", "status").agg(F.grouping("type").cast("long").alias("all_types"), F.grouping("status").cast("long").alias("all_statuses"), F.count(F.lit(1)).alias("n"))
+    return Meetings(spark, sf).judged.rollup("type", "status").agg(F.grouping("type").cast("long").alias("all_types"), F.grouping("status").cast("long").alias("all_statuses"), F.count(F.lit(1)).alias("n"))
 
 
 @query(over("SELECT meeting_id, metric, round(weight, 2) AS weight, round(penalty, 4) AS penalty FROM comp"))
 def score_components(spark, sf):
-    return M.components(judged(spark, sf))
+    return M.components(Meetings(spark, sf).judged)
 
 
 @query(over("SELECT meeting_id, metric, round(weight * penalty, 4) AS lost FROM comp WHERE weight > 0"))
 def score_breakdown(spark, sf):
-    return M.components(judged(spark, sf)).where("weight > 0").select("meeting_id", "metric", F.round(F.col("weight") * F.col("penalty"), 4).alias("lost"))
+    return M.components(Meetings(spark, sf).judged).where("weight > 0").select("meeting_id", "metric", F.round(F.col("weight") * F.col("penalty"), 4).alias("lost"))
 
 
 @query(over("SELECT * FROM score"))
 def score_overall(spark, sf):
-    return M.overall(M.components(judged(spark, sf)))
+    return M.overall(M.components(Meetings(spark, sf).judged))
 
 
 @query(over("""SELECT speaker, n, round(mean, 4) AS mean, round(greatest(std, 0.05 * abs(mean), 0.01), 4) AS std FROM (SELECT speaker, count(value) AS n, avg(value) AS mean, stddev_pop(value) AS std FROM (
@@ -368,10 +343,15 @@ def calibration_status(spark, sf):
     return D.catalog(spark, sf).groupBy("speaker").agg(F.least(ready, F.lit(3)).alias("have"), F.lit(3).alias("need"), ready.alias("n_ready"))
 
 
+@query(over("SELECT meeting_id, round(jitter_pct, 6) AS jitter_pct, round(shimmer_pct, 6) AS shimmer_pct FROM shaken"))
+def jitter_shimmer_frames(spark, sf):
+    return P.perturbation(D.frames(spark, sf)).select("meeting_id", r6("jitter_pct"), r6("shimmer_pct"))
+
+
 # prosody and signals
 
 
-@query(over("SELECT meeting_id, round(median(f0), 6) AS pitch_median_hz, CASE WHEN count(*) >= 10 THEN round(quantile_cont(12 * log2(f0 / 100), 0.9) - quantile_cont(12 * log2(f0 / 100), 0.1), 6) END AS pitch_range_st FROM frames WHERE f0 > 0 GROUP BY 1"))
+@query(over("SELECT meeting_id, round(pitch_median_hz, 6) AS pitch_median_hz, round(pitch_range_st, 6) AS pitch_range_st FROM pitched"))
 def pitch_range(spark, sf):
     return A.pitch(D.frames(spark, sf)).select("meeting_id", r6("pitch_median_hz"), r6("pitch_range_st"))
 
@@ -381,13 +361,9 @@ def energy_mean_db(spark, sf):
     return D.frames(spark, sf).groupBy("meeting_id", "i").agg(F.round(A.energy_mean(F.col("db")), 6).alias("energy_db"), F.round(F.avg("db"), 6).alias("mean_db"))
 
 
-@query(over("SELECT meeting_id, round(avg(db), 6) AS loudness_mean_db, CASE WHEN count(*) >= 10 THEN round(avg(db) FILTER (r > n // 2) - avg(db) FILTER (r <= n // 2), 6) END AS loudness_drift_db FROM (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY t_ms, i) AS r, count(*) OVER (PARTITION BY meeting_id) AS n FROM frames) GROUP BY 1"))
+@query(over("SELECT meeting_id, round(loudness_mean_db, 6) AS loudness_mean_db, round(loudness_drift_db, 6) AS loudness_drift_db FROM loud"))
 def loudness_drift(spark, sf):
-    w = Window.partitionBy("meeting_id")
-    f = D.frames(spark, sf).withColumn("r", F.row_number().over(w.orderBy("t_ms", "i"))).withColumn("n", F.count(F.lit(1)).over(w))
-    late = F.col("r") > F.floor(F.col("n") / 2)
-    drift = F.avg(F.when(late, F.col("db"))) - F.avg(F.when(~late, F.col("db")))
-    return f.groupBy("meeting_id").agg(F.round(F.avg("db"), 6).alias("loudness_mean_db"), F.when(F.count(F.lit(1)) >= 10, F.round(drift, 6)).alias("loudness_drift_db"))
+    return P.loudness(D.frames(spark, sf)).select("meeting_id", r6("loudness_mean_db"), r6("loudness_drift_db"))
 
 
 @query("SELECT vec_id, round(greatest(10 * log10(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / len(embedding)), -120.0), 6) AS dbfs, round(greatest(20 * log10(list_max(list_transform(embedding, lambda x: abs(x::DOUBLE)))), -120.0), 6) AS peak_dbfs FROM embeddings WHERE embedding IS NOT NULL")

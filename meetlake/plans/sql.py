@@ -33,7 +33,7 @@ def minus(a: str, b: str) -> str:
 CTES = {
     "tok": r"""SELECT conv_id, turn, role, unnest(string_split_regex(trim(text), '[ \n\t]+')) AS text, generate_subscripts(string_split_regex(trim(text), '[ \n\t]+'), 1) - 1 AS pos FROM conversations""",
     "timed": """SELECT *, 120 + 40 * least(length(text), 12) AS dur,
-        sum(120 + 40 * least(length(text), 12) + ((conv_id * 31 + turn * 17 + pos * 7) % 23) * 55) OVER (PARTITION BY conv_id ORDER BY turn, pos)::BIGINT AS end_ms,
+        sum(120 + 40 * least(length(text), 12) + ((conv_id * 31 + turn * 17 + pos * 7) % 23) * CASE conv_id % 4 WHEN 1 THEN 2 ELSE 55 END) OVER (PARTITION BY conv_id ORDER BY turn, pos)::BIGINT AS end_ms,
         row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos) - 1 AS i FROM tok WHERE text <> ''""",
     "normed": f"SELECT *, {NORM.format('text')} AS norm FROM timed",
     "words": f"""SELECT conv_id AS meeting_id, CASE WHEN role = 'user' THEN 'mic' ELSE 'system' END AS track, turn, i, end_ms - dur AS start_ms, end_ms, text, norm,
@@ -63,9 +63,10 @@ CTES = {
         CASE WHEN s.start_ms - m.start_ms >= 1000 THEN 'by_other' WHEN m.start_ms - s.start_ms >= 1000 THEN 'by_me' END AS kind
         FROM turns m JOIN turns s ON m.meeting_id = s.meeting_id AND m.track = 'mic' AND s.track = 'system' AND least(m.end_ms, s.end_ms) - greatest(m.start_ms, s.start_ms) >= 500) WHERE kind IS NOT NULL""",
     "phrases": "SELECT * FROM " + values(C.CRUTCHES) + " AS p(phrase, conditional)",
-    "own": "SELECT *, coalesce(sentence_i <> lag(sentence_i) OVER o, TRUE) OR coalesce(start_ms - lag(end_ms) OVER o >= 200, TRUE) AS starts, lead(norm) OVER o AS norm2, lead(end_ms) OVER o AS end2, lead(start_ms, 2) OVER o AS start3 FROM mine WINDOW o AS (PARTITION BY meeting_id ORDER BY i)",
+    "own": "SELECT *, coalesce(sentence_i <> lag(sentence_i) OVER o, TRUE) OR coalesce(start_ms - lag(end_ms) OVER o >= 200, TRUE) AS starts, lead(norm) OVER o AS norm2, lead(end_ms) OVER o AS end2, lead(start_ms, 2) OVER o AS start3, lead(norm, 2) OVER o AS norm3, lead(end_ms, 2) OVER o AS end3, lead(start_ms, 3) OVER o AS start4 FROM mine WINDOW o AS (PARTITION BY meeting_id ORDER BY i)",
     "grams": """SELECT meeting_id, i, j, start_ms, starts, 1 AS n, norm AS phrase, coalesce(next_start - end_ms >= 200, TRUE) AS pause FROM own
-        UNION ALL SELECT meeting_id, i, j, start_ms, starts, 2, norm || ' ' || norm2, coalesce(start3 - end2 >= 200, TRUE) FROM own WHERE norm2 IS NOT NULL""",
+        UNION ALL SELECT meeting_id, i, j, start_ms, starts, 2, norm || ' ' || norm2, coalesce(start3 - end2 >= 200, TRUE) FROM own WHERE norm2 IS NOT NULL
+        UNION ALL SELECT meeting_id, i, j, start_ms, starts, 3, norm || ' ' || norm2 || ' ' || norm3, coalesce(start4 - end3 >= 200, TRUE) FROM own WHERE norm3 IS NOT NULL""",
     "crutch": "SELECT meeting_id, i, j, n, start_ms, phrase FROM grams JOIN phrases USING (phrase) WHERE NOT conditional OR starts OR pause",
     "best": "SELECT meeting_id, j, max(n) AS n, arg_max(i, n) AS i, arg_max(start_ms, n) AS start_ms, arg_max(phrase, n) AS phrase FROM crutch GROUP BY 1, 2",
     "ordered": "SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY j) AS r FROM best",
@@ -81,17 +82,45 @@ CTES = {
         coalesce((SELECT sum(least(w.b, v.end_ms) - greatest(w.a, v.start_ms)) FROM other_only v WHERE v.meeting_id = w.meeting_id AND v.start_ms < w.b AND w.a < v.end_ms), 0) AS other_ms FROM win_n w)""",
     "med": "SELECT meeting_id, quantile_cont(wpm, 0.5) FILTER (n_words >= 5) AS wpm, quantile_cont(articulation, 0.5) FILTER (n_words >= 5 AND speech_ms > 0) AS articulation_wpm FROM line GROUP BY 1",
     "events_all": """SELECT meeting_id, start_ms, end_ms, 'filler' AS kind FROM words WHERE kind = 'filler' AND track = 'mic' UNION ALL SELECT meeting_id, start_ms, start_ms, 'crutch' FROM crutches
-        UNION ALL SELECT meeting_id, start_ms, end_ms, kind FROM pauses UNION ALL SELECT meeting_id, start_ms, end_ms, kind FROM inter""",
+        UNION ALL SELECT meeting_id, start_ms, end_ms, kind FROM pauses UNION ALL SELECT meeting_id, start_ms, end_ms, kind FROM inter
+        UNION ALL SELECT meeting_id, start_ms, end_ms, 'question_from_other' FROM utter WHERE is_question
+        UNION ALL SELECT meeting_id, greatest(s.start_ms, s.end_ms - 500), s.end_ms, 'decay' FROM decay JOIN sentences s USING (meeting_id, sentence_i) WHERE track = 'mic' AND decay_db > 6
+        UNION ALL SELECT meeting_id, s.start_ms, s.end_ms, 'rising_statement' FROM rise JOIN sentences s USING (meeting_id, sentence_i) WHERE track = 'mic' AND rise_st >= 2
+        UNION ALL SELECT meeting_id, a, b, 'fast_burst' FROM bursts""",
+    "utter": f"""SELECT meeting_id, u::BIGINT AS utterance_i, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n_words,
+        regexp_matches(arg_max(text, i), '\\?$') OR arg_min(norm, i) IN {tuple(C.STARTERS)!r} OR {' OR '.join(f"starts_with(arg_min(three, i), '{p}')" for p in C.LONG_STARTERS)} AS is_question FROM (
+        SELECT *, concat_ws(' ', norm, lead(norm) OVER o, lead(norm, 2) OVER o) AS three FROM (SELECT *, coalesce(sum(c) OVER (PARTITION BY meeting_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS u FROM (
+        SELECT *, ({TERM.format('text')} OR coalesce(lead(start_ms) OVER (PARTITION BY meeting_id ORDER BY i) - end_ms >= 1000, FALSE))::INT AS c FROM words WHERE track = 'system')) WINDOW o AS (PARTITION BY meeting_id, u ORDER BY i)) GROUP BY meeting_id, u""",
+    "bursts": "SELECT line.*, type FROM line JOIN meetings USING (meeting_id) LEFT JOIN (SELECT type AS t, high AS th FROM type_refs WHERE metric = 'wpm') ON t = type WHERE n_words >= 5 AND wpm > 1.2 * coalesce(th, 130.0)",
+    "framed": "SELECT f.*, s.sentence_i FROM frames f JOIN sentenced s ON s.meeting_id = f.meeting_id AND s.i = f.i",
+    "decay_rows": """SELECT f.meeting_id, f.sentence_i, f.db, row_number() OVER (PARTITION BY f.meeting_id, f.sentence_i ORDER BY t_ms, i) - 1 AS r, count(*) OVER (PARTITION BY f.meeting_id, f.sentence_i) AS n
+        FROM framed f JOIN sentences s ON s.track = 'mic' AND s.meeting_id = f.meeting_id AND s.sentence_i = f.sentence_i AND s.end_ms - s.start_ms > 1500""",
+    "decay": "SELECT meeting_id, sentence_i, 10 * log10(avg(pow(10, db / 10)) FILTER (r >= n // 4 AND r < 3 * n // 4)) - 10 * log10(avg(pow(10, db / 10)) FILTER (r >= n - 50)) AS decay_db FROM decay_rows WHERE n >= 60 GROUP BY 1, 2",
+    "rise_rows": """SELECT f.meeting_id, f.sentence_i, 12 * log2(f0 / 100) AS st, max(t_ms) OVER (PARTITION BY f.meeting_id, f.sentence_i) - t_ms AS back
+        FROM framed f JOIN sentences s ON s.track = 'mic' AND NOT s.is_question AND s.meeting_id = f.meeting_id AND s.sentence_i = f.sentence_i AND s.end_ms - s.start_ms > 1000 WHERE f0 > 0""",
+    "rise": "SELECT meeting_id, sentence_i, median(st) FILTER (back <= 400) - median(st) FILTER (back > 400 AND back <= 1000) AS rise_st FROM rise_rows GROUP BY 1, 2 HAVING count(*) >= 10 AND count(*) FILTER (back <= 400) >= 3 AND count(*) FILTER (back > 400 AND back <= 1000) >= 3",
+    "pitched": "SELECT meeting_id, median(f0) AS pitch_median_hz, CASE WHEN count(*) >= 10 THEN quantile_cont(12 * log2(f0 / 100), 0.9) - quantile_cont(12 * log2(f0 / 100), 0.1) END AS pitch_range_st FROM frames WHERE f0 > 0 GROUP BY 1",
+    "loud": "SELECT meeting_id, avg(db) AS loudness_mean_db, CASE WHEN count(*) >= 10 THEN avg(db) FILTER (r > n // 2) - avg(db) FILTER (r <= n // 2) END AS loudness_drift_db FROM (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY t_ms, i) AS r, count(*) OVER (PARTITION BY meeting_id) AS n FROM frames) GROUP BY 1",
+    "shaken": """SELECT meeting_id, 100 * avg(abs(1 / f0 - 1 / f1)) FILTER (t_ms - t1 = 10) / avg(1 / f0) AS jitter_pct, 100 * avg(abs(pow(10, db / 20) - pow(10, db1 / 20))) FILTER (t_ms - t1 = 10) / avg(pow(10, db / 20)) AS shimmer_pct
+        FROM (SELECT *, lag(f0) OVER o AS f1, lag(db) OVER o AS db1, lag(t_ms) OVER o AS t1 FROM frames WHERE f0 > 0 WINDOW o AS (PARTITION BY meeting_id, i ORDER BY t_ms)) GROUP BY 1""",
+    "voice": """SELECT l.meeting_id, pitch_median_hz, pitch_range_st, loudness_mean_db, loudness_drift_db, jitter_pct, shimmer_pct, phrase_final_decay_db, rising_statements_share FROM loud l LEFT JOIN pitched USING (meeting_id) LEFT JOIN shaken USING (meeting_id)
+        LEFT JOIN (SELECT meeting_id, median(decay_db) AS phrase_final_decay_db FROM decay GROUP BY 1) USING (meeting_id) LEFT JOIN (SELECT meeting_id, avg((rise_st >= 2)::INT) AS rising_statements_share FROM rise GROUP BY 1) USING (meeting_id)""",
+    "said": "SELECT meeting_id, norm, row_number() OVER (PARTITION BY meeting_id ORDER BY i) AS p, count(*) OVER (PARTITION BY meeting_id) AS n FROM words WHERE track = 'mic' AND kind <> 'filler' AND norm <> ''",
+    "both_ways": "SELECT meeting_id, 0 AS way, p, n, norm FROM said UNION ALL SELECT meeting_id, 1, n + 1 - p, n, norm FROM said",
+    "walk": """SELECT meeting_id, way, 0::BIGINT AS p, n, []::VARCHAR[] AS seen, 0 AS k, 0 AS closed FROM both_ways WHERE p = 1 AND n >= 50
+        UNION ALL SELECT meeting_id, way, p, n, CASE WHEN closes THEN [] ELSE seen END, CASE WHEN closes THEN 0 ELSE k END, closed + closes::INT FROM (SELECT *, len(seen)::DOUBLE / k <= 0.72 AS closes FROM (
+        SELECT w.meeting_id, w.way, b.p, w.n, CASE WHEN list_contains(w.seen, b.norm) THEN w.seen ELSE list_append(w.seen, b.norm) END AS seen, w.k + 1 AS k, w.closed FROM walk w JOIN both_ways b ON b.meeting_id = w.meeting_id AND b.way = w.way AND b.p = w.p + 1))""",
+    "diverse": "SELECT meeting_id, avg(CASE WHEN f > 0 THEN n / f ELSE n::DOUBLE END) AS mtld FROM (SELECT meeting_id, way, n, closed + CASE WHEN k > 0 THEN (1 - len(seen)::DOUBLE / k) / (1 - 0.72::DOUBLE) ELSE 0 END AS f FROM walk WHERE p = n) GROUP BY 1",
     "per": "SELECT meeting_id, " + ", ".join(f"count(*) FILTER (kind = '{k}') AS {k}" for k in ("filler", "crutch", "structural_pause", "hesitation_pause", "by_me", "by_other")) + " FROM events_all GROUP BY 1",
     "talk": "SELECT meeting_id, coalesce(sum(end_ms - start_ms) FILTER (track = 'mic'), 0) AS mic, coalesce(sum(end_ms - start_ms) FILTER (track = 'system'), 0) AS sys FROM vad GROUP BY 1",
     "sent": "SELECT meeting_id, avg(n_words) AS mean_sentence_len, avg((n_words > 22)::INT) AS long_sentences_share FROM sentences WHERE track = 'mic' AND n_words > 0 GROUP BY 1",
     "total": "SELECT meeting_id, count(*) AS words_total FROM words WHERE track = 'mic' AND kind <> 'filler' GROUP BY 1",
-    "wide": "SELECT m.meeting_id, m.type, coalesce(words_total, 0) AS words_total, coalesce(mic, 0) AS my_speech_ms, CASE WHEN words_total > 0 THEN coalesce(wpm, CASE WHEN words_total >= 5 AND mic > 0 THEN words_total * 60000.0::DOUBLE / mic END) END AS wpm, CASE WHEN words_total > 0 THEN coalesce(articulation_wpm, CASE WHEN words_total >= 5 AND mic > 0 THEN words_total * 60000.0::DOUBLE / mic END) END AS articulation_wpm, "
+    "wide": "SELECT m.meeting_id, m.type, m.speaker, coalesce(words_total, 0) AS words_total, coalesce(mic, 0) AS my_speech_ms, CASE WHEN words_total > 0 THEN coalesce(wpm, CASE WHEN words_total >= 5 AND mic > 0 THEN words_total * 60000.0::DOUBLE / mic END) END AS wpm, CASE WHEN words_total > 0 THEN coalesce(articulation_wpm, CASE WHEN words_total >= 5 AND mic > 0 THEN words_total * 60000.0::DOUBLE / mic END) END AS articulation_wpm, "
     + ", ".join(f"CASE WHEN words_total > 0 AND mic > 0 THEN coalesce({k}, 0) * 60000.0::DOUBLE / mic END AS {n}" for k, n in (("filler", "filled_pauses_per_min"), ("crutch", "crutch_words_per_min"), ("structural_pause", "structural_pauses_per_min"), ("hesitation_pause", "hesitation_pauses_per_min")))
     + """, CASE WHEN words_total > 0 AND has_system THEN mic::DOUBLE / (mic + sys) END AS talk_ratio, CASE WHEN words_total > 0 THEN mean_sentence_len END AS mean_sentence_len, CASE WHEN words_total > 0 THEN long_sentences_share END AS long_sentences_share,
-        CASE WHEN words_total > 0 AND has_system THEN coalesce(by_me, 0)::DOUBLE END AS interruptions_by_me, CASE WHEN words_total > 0 AND has_system THEN coalesce(by_other, 0)::DOUBLE END AS interruptions_by_other
-        FROM meetings m LEFT JOIN total USING (meeting_id) LEFT JOIN talk USING (meeting_id) LEFT JOIN per USING (meeting_id) LEFT JOIN sent USING (meeting_id) LEFT JOIN med USING (meeting_id)""",
-    "long": " UNION ALL ".join(f"SELECT meeting_id, type, '{m}' AS metric, {m}::DOUBLE AS value FROM wide" for m in C.METRICS),
+        CASE WHEN words_total > 0 AND has_system THEN coalesce(by_me, 0)::DOUBLE END AS interruptions_by_me, CASE WHEN words_total > 0 AND has_system THEN coalesce(by_other, 0)::DOUBLE END AS interruptions_by_other, CASE WHEN words_total > 0 THEN mtld END AS mtld, pitch_median_hz, pitch_range_st, phrase_final_decay_db, rising_statements_share, jitter_pct, shimmer_pct, loudness_drift_db, loudness_mean_db
+        FROM meetings m LEFT JOIN total USING (meeting_id) LEFT JOIN talk USING (meeting_id) LEFT JOIN per USING (meeting_id) LEFT JOIN sent USING (meeting_id) LEFT JOIN med USING (meeting_id) LEFT JOIN voice USING (meeting_id) LEFT JOIN diverse USING (meeting_id)""",
+    "long": " UNION ALL ".join(f"SELECT meeting_id, type, speaker, '{m}' AS metric, {m}::DOUBLE AS value FROM wide" for m in C.METRICS),
     "base_refs": "SELECT * FROM " + values(C.RANGES) + " AS r(metric, low, high, better)",
     "type_refs": "SELECT * FROM " + values(C.TYPE_RANGES) + " AS r(type, metric, low, high, better)",
     "judged0": """SELECT l.*, CASE WHEN t.better IS NOT NULL THEN t.low ELSE b.low END::DOUBLE AS ref_low, CASE WHEN t.better IS NOT NULL THEN t.high ELSE b.high END::DOUBLE AS ref_high, coalesce(t.better, b.better, 'inside') AS better
@@ -114,13 +143,16 @@ CTES = {
 
 
 def over(statement: str) -> str:
-    """The statement with the expressions that it reaches, in order."""
+    """The statement with the expressions that it reaches, each after those that it needs."""
     import re
 
-    need, left = set(), [statement]
-    while left:
-        for name in re.findall(r"\b\w+\b", left.pop()):
-            if name in CTES and name not in need:
-                need.add(name)
-                left.append(CTES[name])
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({s})" for n, s in CTES.items() if n in need) + "\n" + statement
+    done: dict[str, str] = {}
+
+    def need(sql: str, above: tuple[str, ...]) -> None:
+        for name in dict.fromkeys(re.findall(r"(?:\bFROM|\bJOIN|\),)\s+(\w+)", sql)):
+            if name in CTES and name not in done and name not in above:
+                need(CTES[name], (*above, name))
+                done[name] = CTES[name]
+
+    need(statement, ())
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({s})" for n, s in done.items()) + "\n" + statement

@@ -8,7 +8,8 @@ from meetlake.functions import constants as C
 from meetlake.functions import text as T
 from meetlake.operators import quotes as Q
 from meetlake.operators import segment as G
-from meetlake.plans.queries import judged, sentenced
+from meetlake.plans.meetings import Meetings
+from meetlake.plans.queries import sentenced
 from meetlake.plans.registry import query
 from meetlake.plans.sql import over
 from meetlake.sources import adapters as D
@@ -74,7 +75,7 @@ def coerce_values(spark, sf):
 @query(over("SELECT meeting_id, metric FROM judged"))
 def metric_key_fix(spark, sf):
     """Metric keys with or without their layer before them; unknown ones go."""
-    loose = judged(spark, sf).select("meeting_id", F.explode(F.array(F.concat(F.lit("layer1."), "metric"), F.concat(F.lit("x."), "metric", F.lit("y")))).alias("key"))
+    loose = Meetings(spark, sf).judged.select("meeting_id", F.explode(F.array(F.concat(F.lit("layer1."), "metric"), F.concat(F.lit("x."), "metric", F.lit("y")))).alias("key"))
     return loose.select("meeting_id", F.regexp_replace("key", "^[a-z0-9]+[.]", "").alias("metric")).where(F.col("metric").isin(C.METRICS))
 
 

@@ -15,7 +15,8 @@ def words(spark: SparkSession, sf: str) -> DataFrame:
     """meeting_id, track, turn, i, start_ms, end_ms, text, norm, label, kind: the tokens of conversations, one after another."""
     tok = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.posexplode(F.split(F.trim("text"), r"[ \n\t]+")).alias("pos", "text")).where("text <> ''")
     dur = 120 + 40 * F.least(F.length("text"), F.lit(12))
-    gap = ((F.col("conv_id") * 31 + F.col("turn") * 17 + F.col("pos") * 7) % 23) * 55
+    pace = F.when(F.col("conv_id") % 4 == 1, 2).otherwise(55)  # every fourth meeting is a fast one
+    gap = ((F.col("conv_id") * 31 + F.col("turn") * 17 + F.col("pos") * 7) % 23) * pace
     order = Window.partitionBy("conv_id").orderBy("turn", "pos")
     tok = tok.withColumn("dur", dur.cast("long")).withColumn("end_ms", F.sum(F.col("dur") + gap).over(order)).withColumn("i", F.row_number().over(order) - 1)
     label = T.filler_label(F.col("norm"), FILLERS)
@@ -24,9 +25,13 @@ def words(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def raw_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return raw_of(words(spark, sf))
+
+
+def raw_of(words: DataFrame) -> DataFrame:
     """meeting_id, track, start_ms, end_ms: the words moved by turn, so that the tracks overlap."""
     shift = 4000 - ((F.col("meeting_id") * 3 + F.col("turn") * 5) % 7) * 600
-    return words(spark, sf).select("meeting_id", "track", (F.col("start_ms") + shift).alias("start_ms"), (F.col("end_ms") + shift).alias("end_ms"))
+    return words.select("meeting_id", "track", (F.col("start_ms") + shift).alias("start_ms"), (F.col("end_ms") + shift).alias("end_ms"))
 
 
 def meetings(spark: SparkSession, sf: str) -> DataFrame:
@@ -40,11 +45,15 @@ def meetings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf: str) -> DataFrame:
-    """meeting_id, i (word), t_ms, f0, db: ten-millisecond frames of the mic's words; f0 is 0 where unvoiced."""
-    w = words(spark, sf).where("track = 'mic'").select("meeting_id", "i", F.posexplode(F.sequence("start_ms", F.col("end_ms") - 10, F.lit(10).cast("long"))).alias("k", "t_ms"))
+    return frames_of(words(spark, sf).withColumn("sentence_i", F.lit(None).cast("long"))).drop("sentence_i")
+
+
+def frames_of(words: DataFrame) -> DataFrame:
+    """meeting_id, i (word), sentence_i, t_ms, f0, db: ten-millisecond frames of the mic's words; f0 is 0 where unvoiced."""
+    w = words.where("track = 'mic'").select("meeting_id", "i", "sentence_i", F.posexplode(F.sequence("start_ms", F.col("end_ms") - 10, F.lit(10).cast("long"))).alias("k", "t_ms"))
     c, i, k = F.col("meeting_id"), F.col("i"), F.col("k")
     f0 = F.when((c + i + k) % 7 == 0, 0).otherwise(100 + (c * 13 + i * 7 + k * 3) % 60)
-    return w.select("meeting_id", "i", "t_ms", f0.cast("double").alias("f0"), (50 + (c * 5 + i * 11 + k) % 20).cast("double").alias("db"))
+    return w.select("meeting_id", "i", "sentence_i", "t_ms", f0.cast("double").alias("f0"), (50 + (c * 5 + i * 11 + k) % 20).cast("double").alias("db"))
 
 
 def catalog(spark: SparkSession, sf: str) -> DataFrame:

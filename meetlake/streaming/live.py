@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir; where that is unset (local runs), below this machine's temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "meetlake-shared")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from meetlake.sources.shared import shared_dir
 
 
 def rates(stream: DataFrame, key: str, at: str = "ts", size: str = "10 minutes", step: str = "5 minutes", late: str = "30 minutes") -> DataFrame:
