@@ -46,3 +46,6 @@ TASKS = [
     ("plan_then_speak", "hesitation_pauses_per_min", 120), ("short_sentences", "long_sentences_share", 120), ("listen_back", "talk_ratio", 180), ("let_them_finish", "interruptions_by_me", 180),
 ]
 OTHER_WEIGHT = 3.0
+
+# Stages of the work (name, share done before it, its own share), by the event types of the given tables.
+STAGES = [("signup", 0.0, 10.0), ("view", 10.0, 30.0), ("click", 40.0, 35.0), ("purchase", 75.0, 25.0)]

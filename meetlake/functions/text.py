@@ -72,7 +72,7 @@ def as_enum(c: Column, names: list[str], aliases: dict[str, str], fallback: str)
 
 def json_block(c: Column) -> Column:
     """JSON in a reply: the inside of a fence, else from the first { to the last }; null without either."""
-    fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(\{.*\})\s*```", 1)
     bare = F.regexp_extract(c, r"(?s)(\{.*\})", 1)
     return F.nullif(F.when(fenced != "", fenced).otherwise(bare), F.lit(""))
 
@@ -87,3 +87,55 @@ def range_label(low: Column, high: Column) -> Column:
     """A reference range as text: 100-130, up to 2, from 4, or a dash without bounds."""
     text = lambda c: F.regexp_replace(c.cast("decimal(18,2)").cast("string"), r"\.?0+$", "")
     return F.when(low.isNotNull() & high.isNotNull(), F.concat_ws("–", text(low), text(high))).when(high.isNotNull(), F.concat(F.lit("≤ "), text(high))).when(low.isNotNull(), F.concat(F.lit("≥ "), text(low))).otherwise("—")
+
+
+def number(c: Column, digits: int = 1) -> Column:
+    """A number with a decimal comma, a true minus and no zeros at its end; a dash for null and what is not finite."""
+    plain = F.regexp_replace(c.cast(f"decimal(30,{digits})").cast("string"), r"\.?0+$" if digits else "$^", "")
+    plain = F.regexp_replace(F.translate(F.when(plain.isin("-0", "0", "-", ""), "0").otherwise(plain), ".", ","), "^-", "−")
+    return F.when(c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")), "—").otherwise(plain)
+
+
+def signed(c: Column, digits: int = 1) -> Column:
+    """number() with its sign; a plain 0 below half of the last digit."""
+    small = F.abs(c) < 10.0**-digits / 2
+    return F.when(c.isNull() | F.isnan(c), "—").when(small, "0").otherwise(F.concat(F.when(c > 0, "+").otherwise("−"), number(F.abs(c), digits)))
+
+
+def percent(c: Column, digits: int = 0) -> Column:
+    return F.when(c.isNull() | F.isnan(c), "—").otherwise(F.concat(number(c * 100, digits), F.lit(" %")))
+
+
+def duration_words(seconds: Column, s: str = "s", m: str = "min", h: str = "h") -> Column:
+    """'62 s' below two minutes, then whole minutes, then hours and minutes of two digits."""
+    minutes = F.floor(seconds / 60 + 0.5)
+    long_ = F.concat(F.floor(minutes / 60).cast("string"), F.lit(f" {h} "), F.lpad((minutes % 60).cast("string"), 2, "0"), F.lit(f" {m}"))
+    short = F.when(seconds < 120, F.concat(F.floor(seconds + 0.5).cast("string"), F.lit(f" {s}"))).when(minutes < 60, F.concat(minutes.cast("string"), F.lit(f" {m}"))).otherwise(long_)
+    return F.when(seconds.isNull(), "—").otherwise(short)
+
+
+def rounded_timecode(seconds: Column) -> Column:
+    """timecode() of the nearest second."""
+    return timecode(F.greatest(F.floor(seconds + 0.5), F.lit(0)))
+
+
+def day_label(day: Column, today: str, words: tuple[str, str] = ("today", "yesterday")) -> Column:
+    """Today, yesterday, the weekday within a week, else day and month, with the year of other years."""
+    ago = F.datediff(F.lit(today).cast("date"), day)
+    date = F.concat(F.dayofmonth(day).cast("string"), F.lit(" "), F.date_format(day, "MMMM"))
+    date = F.when(F.year(day) == F.year(F.lit(today).cast("date")), date).otherwise(F.concat(date, F.lit(" "), F.year(day).cast("string")))
+    return F.when(ago == 0, words[0]).when(ago == 1, words[1]).when(ago.between(2, 6), F.date_format(day, "EEEE")).otherwise(date)
+
+
+def render(template: str, values: dict[str, Column]) -> Column:
+    """The template with each {name} replaced; a placeholder without a value is an error when the query is built, a null value one when it runs."""
+    import re
+
+    names = re.findall(r"\{(\w+)\}", template)
+    if missing := [n for n in names if n not in values]:
+        raise KeyError(f"no value for {', '.join(missing)}")
+    parts = []
+    for i, piece in enumerate(re.split(r"\{(\w+)\}", template)):
+        own = values[piece].cast("string") if i % 2 else None
+        parts.append(F.lit(piece) if own is None else F.coalesce(own, F.raise_error(F.lit(f"{piece} is null"))))
+    return F.concat(*parts)

@@ -36,7 +36,9 @@ STATE = {
 }
 #: Micro-batches into which what arrives at once is dealt, at most.
 BATCHES = 3
-#: Rows of a locator table up to which it is broadcast (some 100 bytes each).
+#: Hits of a digest that meet the content that stays in one group.
+HITS = 1_000
+#: Rows of a table of ids and digests up to which it is broadcast (some 100 bytes each).
 BROADCAST_ROWS = 200_000
 LOCATOR = "struct<file:string,row:long>"
 CHANGES = f"digest binary, keep_id long, group_size long, locator {LOCATOR}, batch int"
@@ -107,14 +109,18 @@ class Store:
         return staged(changes.groupBy("digest").agg(last).select("digest", "s.*"), "groups")
 
     def unequal(self, groups: DataFrame) -> DataFrame:
-        """Digests under which a hit differs in its bytes from the content at the locator that stays."""
-        hits = groups.where("group_size > 1")
-        text = F.coalesce(self.text, F.lit("")).alias("text")
-        met = staged(self.contents().select("digest", "locator", text).join(hits.select("digest"), "digest", "left_semi"), "hits")
-        at = hits.select(F.col("digest").alias("_d"), F.col("locator").alias("_l"))
-        stays = met.join(at, (F.col("locator.file") == F.col("_l.file")) & (F.col("locator.row") == F.col("_l.row"))).select("_d", F.col("text").alias("kept"))
-        stays = staged(stays, "stays")
-        return staged(met.join(stays, F.col("digest") == F.col("_d")).where("text <> kept").select("digest").distinct(), "collided")
+        """Digests under which a hit differs in its bytes from the content at the locator that stays.
+
+        A digest's hits are dealt out by their locators, a part for every HITS of them, and what stays is sent to each.
+        """
+        parts = F.ceil(F.col("group_size") / HITS).cast("int")
+        hits = groups.where("group_size > 1").select(F.col("digest").alias("_d"), F.col("locator").alias("_l"), parts.alias("_n"))
+        met = self.contents().select("digest", "locator", F.coalesce(self.text, F.lit("")).alias("text")).join(hits, F.col("digest") == F.col("_d"))
+        part = F.pmod(F.xxhash64("locator"), F.col("_n")).cast("int")
+        met = staged(met.select("digest", "text", part.alias("part"), F.when(F.col("locator") == F.col("_l"), F.col("_n")).alias("stays")), "hits")
+        stays = met.where("stays IS NOT NULL").select(F.col("digest").alias("_d"), F.col("text").alias("kept"), F.explode(F.sequence(F.lit(0), F.col("stays") - 1)).alias("_p"))
+        same = (F.col("digest") == F.col("_d")) & (F.col("part") == F.col("_p"))
+        return staged(met.where("stays IS NULL").join(stays, same).where("text <> kept").select("digest").distinct(), "collided")
 
     def marks(self) -> DataFrame:
         """doc_id, digest, locator, keep_id, group_size, keep_at of every row that arrived; keep_at is the locator that stays."""
@@ -123,7 +129,7 @@ class Store:
         marks = slim.join(groups.withColumnRenamed("locator", "keep_at"), "digest")
         collided = self.unequal(groups)
         if not collided.isEmpty():
-            texts = self.contents().select(F.col(self.doc_id).alias("doc_id"), "digest", "locator", F.coalesce(self.text, F.lit("")).alias("text")).join(F.broadcast(collided) if collided.count() <= BROADCAST_ROWS else collided, "digest", "left_semi")
+            texts = self.contents().select(F.col(self.doc_id).alias("doc_id"), "digest", "locator", F.coalesce(self.text, F.lit("")).alias("text")).join(collided, "digest", "left_semi")
             last = F.max_by("locator", F.coalesce("doc_id", F.lit(-(1 << 63))))
             own = texts.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), last.alias("keep_at"))
             own = texts.join(own, ["digest", "text"]).select("digest", "doc_id", "locator", "keep_id", "group_size", "keep_at")
@@ -131,24 +137,36 @@ class Store:
         return marks
 
 
-def stored(docs: DataFrame) -> Store:
-    """A store of its own, in which docs have arrived."""
+    def drop(self) -> None:
+        """Delete everything below the folder."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """marks() of docs alone, by a store that is gone afterwards."""
+    docs = docs.select("doc_id", "text")
     store = Store(docs.sparkSession, shared_dir(docs.sparkSession, "dedup"), docs.dtypes)
     store.arrive(docs)
-    return store
+    marks = staged(store.marks(), "marks")
+    store.drop()
+    return marks
 
 
 def mark(docs: DataFrame) -> DataFrame:
     """doc_id, digest, keep_id, group_size, kept for every row of docs."""
-    marks = stored(docs.select("doc_id", "text")).marks()
-    return marks.select("doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
+    return marked(docs).select("doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, in their own columns: of each group of equal texts the one at the locator that stays."""
-    store = stored(docs)
-    gone = staged(store.marks().where("locator <> keep_at").select(F.col("locator.file").alias("_f"), F.col("locator.row").alias("_r")), "gone")
-    few = gone.count() <= BROADCAST_ROWS
-    rows = store.contents()
-    rows = rows.join(F.broadcast(gone) if few else gone, (F.col("locator.file") == F.col("_f")) & (F.col("locator.row") == F.col("_r")), "left_anti")
-    return rows.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(store.names)))
+    """The rows of docs that stay, in their own columns: one of each group of equal texts, of those with the id that stays."""
+    marks = marked(docs)
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    gone = staged(marks.where(~stays).select(F.col("doc_id").alias("_i"), F.col("digest").alias("_d")).distinct(), "gone")
+    digest, own, other = free(docs, "digest", "_id", "_digest")
+    gone, few = gone.toDF(own, other), gone.count() <= BROADCAST_ROWS
+    rows = docs.withColumn(digest, sha(F.col("text")))
+    rows = rows.join(F.broadcast(gone) if few else gone, F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(digest) == F.col(other)), "left_anti")
+    if not marks.where(stays & (F.col("locator") != F.col("keep_at"))).isEmpty():  # rows that repeat id and text
+        rows = rows.dropDuplicates(["doc_id", digest])
+    return rows.select(*docs.columns)

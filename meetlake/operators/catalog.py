@@ -57,17 +57,40 @@ def recovered(catalog: DataFrame) -> DataFrame:
     return catalog.withColumn("status", F.when(F.col("status").isin("recording", "analyzing"), "recorded").otherwise(F.col("status")))
 
 
-def applied(catalog: DataFrame, reports: DataFrame) -> DataFrame:
-    """catalog with what newer reports say: score replaced, value only where given, type only where the user did not set it.
+def applied(catalog: DataFrame, reports: DataFrame, values: list[str] = ("score", "wpm", "filled_pauses_per_min", "talk_ratio")) -> DataFrame:
+    """catalog with what newer reports say: their values as they are, duration only where given, type only where the user did not set it.
 
-    reports: meeting_id, new_score, new_value, new_type; one row for a meeting.
+    reports: meeting_id, new_duration, new_type and a new_ column for each of `values`; one row for a meeting.
     """
-    both = catalog.join(reports, "meeting_id", "left")
-    found = F.col("new_score").isNotNull()
-    return both.select(
-        "meeting_id", F.when(found, F.col("new_score")).otherwise(F.col("score")).alias("score"), F.coalesce("new_value", "value").alias("value"),
-        F.when(found & (F.col("type_source") == "default"), F.coalesce("new_type", "type")).otherwise(F.col("type")).alias("type"), "type_source",
-    )
+    both = catalog.join(reports.withColumn("_found", F.lit(True)), "meeting_id", "left")
+    kept = [F.when(F.col("_found"), F.col(f"new_{v}")).otherwise(F.col(v)).alias(v) for v in values]
+    kind = F.when(F.col("_found") & (F.col("type_source") == "default"), F.coalesce("new_type", "type")).otherwise(F.col("type"))
+    return both.select("meeting_id", *kept, F.coalesce("new_duration", "duration").alias("duration"), kind.alias("type"), "type_source")
+
+
+def inserted(catalog: DataFrame, new: DataFrame) -> DataFrame:
+    """catalog with new meetings; one that is there already stays as it is, and of new ones with one id one comes in."""
+    fresh = new.dropDuplicates(["meeting_id"]).join(catalog.select("meeting_id"), "meeting_id", "left_anti")
+    return catalog.unionByName(fresh.select(*catalog.columns))
+
+
+def with_values(catalog: DataFrame, changes: DataFrame) -> DataFrame:
+    """catalog with the changes (meeting_id and some of its columns) where these are not null."""
+    names = [c for c in changes.columns if c != "meeting_id"]
+    both = catalog.join(changes.select("meeting_id", *(F.col(n).alias(f"_{n}") for n in names)), "meeting_id", "left")
+    return both.select(*(F.coalesce(f"_{c}", c).alias(c) if c in names else F.col(c) for c in catalog.columns))
+
+
+def deleted(catalog: DataFrame, ids: DataFrame) -> DataFrame:
+    return catalog.join(ids.select("meeting_id"), "meeting_id", "left_anti")
+
+
+def staged_progress(events: DataFrame, stages: list[tuple[str, float, float]], keys: list[str], order: list[str]) -> DataFrame:
+    """events (stage, frac) with pct: the base of the stage and its share times frac, never less than before. stages: (name, base, share)."""
+    known = F.broadcast(events.sparkSession.createDataFrame(stages, "stage string, _base double, _share double"))
+    now = F.coalesce(F.col("_base") + F.col("_share") * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("frac"))), F.lit(0.0))
+    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return events.join(known, "stage", "left").withColumn("pct", F.max(now).over(upto)).drop("_base", "_share")
 
 
 def edited(catalog: DataFrame, edits: DataFrame) -> DataFrame:

@@ -24,6 +24,25 @@ def compressed(points: DataFrame, events: DataFrame, questions: DataFrame, durat
     return wide.select("meeting_id", "wpm_first", "wpm_rest", rate(F.col("nf"), first).alias("fillers_first"), rate(F.col("nr"), rest).alias("fillers_rest"), F.coalesce("questions", F.lit(0)).alias("questions"))
 
 
+def with_metrics(compressed: DataFrame, wide: DataFrame, scores: DataFrame) -> DataFrame:
+    """compressed with type, score and the kept metrics to two places."""
+    kept = wide.select("meeting_id", "type", *(F.round(m, 2).alias(m) for m in C.COMPRESSED))
+    return compressed.join(kept, "meeting_id").join(scores, "meeting_id", "left")
+
+
+def insights(rows: DataFrame, used: DataFrame, known: list[str] = C.METRICS, most: int = 5) -> DataFrame:
+    """rows (speaker, place, title, metric, meeting_ids) that have a title, the first `most` of each speaker: ids only of the speaker's used meetings, metrics only known ones.
+
+    used: speaker, meeting_id.
+    """
+    own = rows.where((F.trim("title") != "") & (F.col("place") <= most)).withColumn("title", F.trim("title"))
+    name = F.regexp_replace(F.trim("metric"), "^layer[12][.]", "")
+    own = own.withColumn("metric", F.when(name.isin(known), name))
+    ids = own.select("speaker", "place", F.posexplode("meeting_ids").alias("_at", "meeting_id")).join(used.distinct(), ["speaker", "meeting_id"])
+    kept = ids.groupBy("speaker", "place").agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "meeting_id"))), lambda x: x["meeting_id"]).alias("_ids"))
+    return own.drop("meeting_ids").join(kept, ["speaker", "place"], "left").withColumn("meeting_ids", F.coalesce("_ids", F.array().cast("array<bigint>"))).drop("_ids")
+
+
 def fast_start() -> Column:
     return F.coalesce((F.col("wpm_first") > 0) & (F.col("wpm_rest") > 0) & (F.col("wpm_first") >= F.col("wpm_rest") * 1.1), F.lit(False))
 

@@ -47,9 +47,38 @@ def against_base(rows, m: Meetings):
     return rows.join(m.base.select("speaker", "metric", "mean", "std"), ["speaker", "metric"])
 
 
-@query(over("SELECT * FROM compress"))
+@query(over("SELECT compress.*, wide.type, " + ", ".join(f"round({m}, 2) AS {m}" for m in C.COMPRESSED) + ", score FROM compress JOIN wide USING (meeting_id) LEFT JOIN score USING (meeting_id)"))
 def compress_report(spark, sf):
-    return compressed(Meetings(spark, sf))
+    m = Meetings(spark, sf)
+    return P.with_metrics(compressed(m), m.wide, M.overall(M.components(m.judged)))
+
+
+INSIGHTS = "SELECT speaker, r::INT AS place, CASE WHEN r % 4 = 3 THEN '  ' ELSE ' Note ' || r END AS title, CASE r % 3 WHEN 0 THEN 'layer1.wpm' WHEN 1 THEN 'mtld' ELSE 'layer3.wpm' END AS metric, [meeting_id, meeting_id + 1, meeting_id + 10] AS meeting_ids FROM (SELECT *, row_number() OVER (PARTITION BY speaker ORDER BY meeting_id) AS r FROM meetings)"
+
+
+@query(over(f"SELECT speaker, place, trim(title) AS title, CASE place % 3 WHEN 0 THEN 'wpm' WHEN 1 THEN 'mtld' END AS metric, list_filter(meeting_ids, lambda x: x IN (SELECT meeting_id FROM meetings m WHERE m.speaker = i.speaker AND m.status = 'ready')) AS meeting_ids FROM ({INSIGHTS}) i WHERE trim(title) <> '' AND place <= 5".replace("list_filter(meeting_ids, lambda x: x IN (SELECT meeting_id FROM meetings m WHERE m.speaker = i.speaker AND m.status = 'ready'))", "list_filter(meeting_ids, lambda x: list_contains((SELECT list(meeting_id) FROM meetings m WHERE m.speaker = i.speaker AND m.status = 'ready'), x))")))
+def insight_validate(spark, sf):
+    """Notes of a speaker with loose metric names, and ids of which some are not the speaker's."""
+    own, k = D.meetings(spark, sf), F.col("place")
+    rows = own.withColumn("place", F.row_number().over(Window.partitionBy("speaker").orderBy("meeting_id")))
+    rows = rows.select("speaker", "place", F.when(k % 4 == 3, "  ").otherwise(F.concat(F.lit(" Note "), k)).alias("title"), F.when(k % 3 == 0, "layer1.wpm").when(k % 3 == 1, "mtld").otherwise("layer3.wpm").alias("metric"), F.array("meeting_id", F.col("meeting_id") + 1, F.col("meeting_id") + 10).alias("meeting_ids"))
+    return P.insights(rows, own.where("status = 'ready'").select("speaker", "meeting_id"))
+
+
+@query(over("SELECT speaker, metric, meeting_id, round(value, 6) AS value FROM history WHERE value IS NOT NULL AND metric IN " + repr(tuple(C.CHARTS))))
+def progress_charts(spark, sf):
+    own = Meetings(spark, sf).history.where(F.col("metric").isin(C.CHARTS) & F.col("value").isNotNull())
+    return own.select("speaker", "metric", "meeting_id", r6("value"))
+
+
+@query(over("SELECT * FROM " + values([(i, m) for i, m in enumerate(C.GOALS)]) + " AS g(place, metric)"))
+def goal_options(spark, sf):
+    return spark.createDataFrame(list(enumerate(C.GOALS)), "place int, metric string")
+
+
+@query(over("SELECT speaker, count(*) FILTER (status = 'ready') AS n_ready, count(*) AS n FROM meetings GROUP BY 1"))
+def progress_totals(spark, sf):
+    return D.meetings(spark, sf).groupBy("speaker").agg(F.count_if(F.col("status") == "ready").alias("n_ready"), F.count(F.lit(1)).alias("n"))
 
 
 @query(over("SELECT speaker, count(*) FILTER (f) AS n_flag, count(*) AS n, count(*) - coalesce(max(r) FILTER (NOT f), 0) AS run FROM (SELECT speaker, coalesce(wpm_first >= wpm_rest * 1.1 AND wpm_first > 0 AND wpm_rest > 0, FALSE) AS f, row_number() OVER (PARTITION BY speaker ORDER BY started_at, meeting_id) AS r FROM compress JOIN meetings USING (meeting_id) WHERE status = 'ready') GROUP BY 1 HAVING count(*) FILTER (f) >= 2"))
@@ -165,10 +194,26 @@ def catalog_list(spark, sf):
 TYPED = "CASE meeting_id % 3 WHEN 0 THEN 'user' ELSE 'default' END"
 
 
-@query(over(f"SELECT c.meeting_id, coalesce(l.n, c.score)::BIGINT AS score, coalesce(l.v, c.value) AS value, CASE WHEN l.n IS NOT NULL AND {TYPED} = 'default' THEN 'demo' ELSE 'other' END AS type, {TYPED} AS type_source FROM catalog c LEFT JOIN (SELECT l_orderkey, count(*) AS n, max(l_extendedprice) FILTER (l_linenumber > 2) AS v FROM lineitem GROUP BY 1) l ON l_orderkey = meeting_id"))
+REPORTS = "SELECT l_orderkey, count(*) AS n, max(l_extendedprice) FILTER (l_linenumber > 2) AS v, max(l_tax) AS t, min(l_discount) AS d FROM lineitem GROUP BY 1"
+
+
+@query(over(f"SELECT c.meeting_id, coalesce(l.n, c.score)::BIGINT AS score, CASE WHEN l.n IS NULL THEN c.value ELSE l.v END AS wpm, l.t AS filled_pauses_per_min, l.d AS talk_ratio, coalesce(l.v, c.value) AS duration, CASE WHEN l.n IS NOT NULL AND {TYPED} = 'default' THEN 'demo' ELSE 'other' END AS type, {TYPED} AS type_source FROM catalog c LEFT JOIN ({REPORTS}) l ON l_orderkey = meeting_id"))
 def catalog_apply_report(spark, sf):
-    reports = D.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("meeting_id")).agg(F.count(F.lit(1)).alias("new_score"), F.max(F.when(F.col("l_linenumber") > 2, F.col("l_extendedprice"))).alias("new_value")).withColumn("new_type", F.lit("demo"))
-    return K.applied(D.catalog(spark, sf).withColumn("type", F.lit("other")).withColumn("type_source", F.expr(TYPED)), reports)
+    v = F.max(F.when(F.col("l_linenumber") > 2, F.col("l_extendedprice")))
+    reports = D.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("meeting_id")).agg(F.count(F.lit(1)).alias("new_score"), v.alias("new_wpm"), F.max("l_tax").alias("new_filled_pauses_per_min"), F.min("l_discount").alias("new_talk_ratio"), v.alias("new_duration")).withColumn("new_type", F.lit("demo"))
+    none = F.lit(None).cast("double")
+    catalog = D.catalog(spark, sf).select("meeting_id", "score", F.col("value").alias("wpm"), none.alias("filled_pauses_per_min"), none.alias("talk_ratio"), F.col("value").alias("duration"), F.lit("other").alias("type"), F.expr(TYPED).alias("type_source"))
+    return K.applied(catalog, reports)
+
+
+@query(over("""SELECT meeting_id, speaker, CASE WHEN meeting_id % 11 = 0 THEN 'failed' ELSE status END AS status FROM (SELECT meeting_id, speaker, status FROM catalog UNION ALL SELECT c_custkey * 100003 + 50000000, c_custkey, 'recorded' FROM customer) WHERE meeting_id % 5 <> 0"""))
+def catalog_changes(spark, sf):
+    """Meetings put in (some of them there already), set to failed, and taken out."""
+    c = D.catalog(spark, sf).select("meeting_id", "speaker", "status")
+    new = D.table(spark, sf, "customer").select((F.col("c_custkey") * 100003 + 50000000).alias("meeting_id"), F.col("c_custkey").alias("speaker"), F.lit("recorded").alias("status"))
+    c = K.inserted(c, new.unionByName(c.where("meeting_id % 7 = 0").withColumn("status", F.lit("lost"))))
+    c = K.with_values(c, c.where("meeting_id % 11 = 0").select("meeting_id", F.lit("failed").alias("status")))
+    return K.deleted(c, c.where("meeting_id % 5 = 0"))
 
 
 @query(over("SELECT meeting_id, CASE WHEN meeting_id % 4 = 0 THEN NULL WHEN meeting_id % 4 = 1 THEN 'Plan' ELSE 'Old' END AS title, CASE WHEN meeting_id % 4 = 1 THEN 'sales' ELSE 'other' END AS type, CASE WHEN meeting_id % 4 = 1 THEN 'user' ELSE 'default' END AS type_source FROM catalog"))

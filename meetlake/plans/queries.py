@@ -17,7 +17,7 @@ from meetlake.operators import spans as S
 from meetlake.operators import timeline as L
 from meetlake.plans.meetings import Meetings
 from meetlake.plans.registry import query
-from meetlake.plans.sql import BOUNDARY, NORM, TERM, minus, over
+from meetlake.plans.sql import BOUNDARY, minus, over, values
 from meetlake.sources import adapters as D
 
 MEETING = ["meeting_id"]
@@ -425,7 +425,8 @@ def latest_progress(spark, sf):
     return D.table(spark, sf, "events").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
 
 
-@query("SELECT event_id, user_id, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pct FROM events")
+@query(f"""SELECT event_id, user_id, round(max(coalesce(base + share * greatest(0, least(1, value / 200)), 0)) OVER (PARTITION BY user_id ORDER BY ts, event_id), 6) AS pct FROM events LEFT JOIN {values(C.STAGES)} AS s(stage, base, share) ON stage = event_type""")
 def progress_monotone(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return D.table(spark, sf, "events").select("event_id", "user_id", F.max("value").over(w).alias("pct"))
+    """Progress by stage of the work and what is done of it, which never goes back."""
+    e = D.table(spark, sf, "events").select("event_id", "user_id", "ts", F.col("event_type").alias("stage"), (F.col("value") / 200).alias("frac"))
+    return K.staged_progress(e, C.STAGES, ["user_id"], ["ts", "event_id"]).select("event_id", "user_id", r6("pct"))
