@@ -56,13 +56,18 @@ def compress_report(spark, sf):
 INSIGHTS = "SELECT speaker, r::INT AS place, CASE WHEN r % 4 = 3 THEN '  ' ELSE ' Note ' || r END AS title, CASE r % 3 WHEN 0 THEN 'layer1.wpm' WHEN 1 THEN 'mtld' ELSE 'layer3.wpm' END AS metric, [meeting_id, meeting_id + 1, meeting_id + 10] AS meeting_ids FROM (SELECT *, row_number() OVER (PARTITION BY speaker ORDER BY meeting_id) AS r FROM meetings)"
 
 
-@query(over(f"SELECT speaker, place, trim(title) AS title, CASE place % 3 WHEN 0 THEN 'wpm' WHEN 1 THEN 'mtld' END AS metric, list_filter(meeting_ids, lambda x: x IN (SELECT meeting_id FROM meetings m WHERE m.speaker = i.speaker AND m.status = 'ready')) AS meeting_ids FROM ({INSIGHTS}) i WHERE trim(title) <> '' AND place <= 5".replace("list_filter(meeting_ids, lambda x: x IN (SELECT meeting_id FROM meetings m WHERE m.speaker = i.speaker AND m.status = 'ready'))", "list_filter(meeting_ids, lambda x: list_contains((SELECT list(meeting_id) FROM meetings m WHERE m.speaker = i.speaker AND m.status = 'ready'), x))")))
+@query(over(f"""
+    SELECT speaker, place, trim(title) AS title, CASE place % 3 WHEN 0 THEN 'wpm' WHEN 1 THEN 'mtld' END AS metric,
+        coalesce(array_to_string(list_filter(meeting_ids, lambda x: coalesce(list_contains(ready, x), FALSE)), ','), '') AS meeting_ids
+    FROM ({INSIGHTS}) LEFT JOIN (SELECT speaker, list(meeting_id) AS ready FROM meetings WHERE status = 'ready' GROUP BY 1) USING (speaker)
+    WHERE trim(title) <> '' AND place <= 5"""))
 def insight_validate(spark, sf):
     """Notes of a speaker with loose metric names, and ids of which some are not the speaker's."""
     own, k = D.meetings(spark, sf), F.col("place")
     rows = own.withColumn("place", F.row_number().over(Window.partitionBy("speaker").orderBy("meeting_id")))
     rows = rows.select("speaker", "place", F.when(k % 4 == 3, "  ").otherwise(F.concat(F.lit(" Note "), k)).alias("title"), F.when(k % 3 == 0, "layer1.wpm").when(k % 3 == 1, "mtld").otherwise("layer3.wpm").alias("metric"), F.array("meeting_id", F.col("meeting_id") + 1, F.col("meeting_id") + 10).alias("meeting_ids"))
-    return P.insights(rows, own.where("status = 'ready'").select("speaker", "meeting_id"))
+    kept = P.insights(rows, own.where("status = 'ready'").select("speaker", "meeting_id"))
+    return kept.withColumn("meeting_ids", F.concat_ws(",", F.col("meeting_ids").cast("array<string>")))
 
 
 @query(over("SELECT speaker, metric, meeting_id, round(value, 6) AS value FROM history WHERE value IS NOT NULL AND metric IN " + repr(tuple(C.CHARTS))))

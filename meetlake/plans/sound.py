@@ -58,21 +58,23 @@ def level_meter(spark, sf):
     return A.meters(R.tones(spark, sf)).groupBy("name").agg(F.count("db").alias("n"))
 
 
-SMOOTH = "smooth AS (SELECT meeting_id, i, t_ms, avg(db) OVER (PARTITION BY meeting_id, i ORDER BY t_ms ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS level FROM frames)"
-
-
 def smoothed(spark, sf):
     near = Window.partitionBy("meeting_id", "i").orderBy("t_ms").rowsBetween(-1, 1)
     return D.frames(spark, sf).select("meeting_id", "i", "t_ms", F.avg("db").over(near).alias("level"))
 
 
-@query(over("SELECT meeting_id, i, t_ms, round(avg(db) OVER (PARTITION BY meeting_id, i ORDER BY t_ms ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS level FROM frames"))
+@query(over("SELECT meeting_id, i, t_ms, round(level, 6) AS level FROM smooth"))
 def envelope_smooth(spark, sf):
     """The envelope of each word's frames, smoothed over three."""
     return smoothed(spark, sf).select("meeting_id", "i", "t_ms", r6("level"))
 
 
-@query(over(f"SELECT meeting_id, i, count(*) FILTER (on_) AS active, count(*) FILTER (near) AS speech FROM (SELECT *, max(on_::INT) OVER (PARTITION BY meeting_id, i ORDER BY t_ms ROWS BETWEEN 20 PRECEDING AND 20 FOLLOWING) = 1 AS near FROM (SELECT s.*, level > greatest(least(mid + 2, top - 3), -75) AS on_ FROM smooth s JOIN (SELECT meeting_id, i, median(level) AS mid, max(level) AS top FROM smooth GROUP BY 1, 2) USING (meeting_id, i))) GROUP BY 1, 2").replace("\nSELECT meeting_id, i, count", f",\n{SMOOTH}\nSELECT meeting_id, i, count"))
+@query(over("""
+    SELECT meeting_id, i, count(*) FILTER (on_) AS active, count(*) FILTER (near) AS speech
+    FROM (SELECT *, max(on_::INT) OVER (PARTITION BY meeting_id, i ORDER BY t_ms ROWS BETWEEN 20 PRECEDING AND 20 FOLLOWING) = 1 AS near
+        FROM (SELECT s.*, level > greatest(least(mid + 2, top - 3), -75) AS on_
+            FROM smooth s JOIN (SELECT meeting_id, i, median(level) AS mid, max(level) AS top FROM smooth GROUP BY 1, 2) USING (meeting_id, i)))
+    GROUP BY 1, 2"""))
 def envelope_activity(spark, sf):
     """Frames above a threshold by median and maximum, and those within 200 ms of one."""
     s = smoothed(spark, sf)

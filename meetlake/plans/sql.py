@@ -139,6 +139,7 @@ CTES = {
     "frames0": "SELECT meeting_id, i, start_ms, unnest(range(0, (end_ms - start_ms) // 10)) AS k FROM words WHERE track = 'mic'",
     "frames": "SELECT meeting_id, i, start_ms + 10 * k AS t_ms, CASE WHEN (meeting_id + i + k) % 7 = 0 THEN 0 ELSE 100 + (meeting_id * 13 + i * 7 + k * 3) % 60 END::DOUBLE AS f0, (50 + (meeting_id * 5 + i * 11 + k) % 20)::DOUBLE AS db FROM frames0",
     "catalog": "SELECT o_orderkey AS meeting_id, o_custkey AS speaker, least(floor(o_totalprice / 1000), 100)::BIGINT AS score, o_totalprice AS value, o_orderdate AS started_at, CASE o_orderstatus WHEN 'F' THEN 'ready' WHEN 'O' THEN 'recorded' ELSE 'analyzing' END AS status FROM orders",
+    "smooth": "SELECT meeting_id, i, t_ms, avg(db) OVER (PARTITION BY meeting_id, i ORDER BY t_ms ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS level FROM frames",
 }
 
 
@@ -155,4 +156,6 @@ def over(statement: str) -> str:
                 done[name] = CTES[name]
 
     need(statement, ())
+    if not done:
+        return statement
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({s})" for n, s in done.items()) + "\n" + statement

@@ -20,8 +20,9 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
 def header_seconds(recordings: DataFrame) -> DataFrame:
     """name, duration_s by the header alone: the bytes of the data chunk over those of a second (a header of 44 bytes)."""
-    little = lambda at, n: F.conv(F.hex(F.reverse(F.col("content").substr(at + 1, n))), 16, 10).cast("long")
-    return recordings.select("name", (little(40, 4) / little(28, 4)).alias("duration_s"))
+    digits = F.hex(F.substring("content", 1, 44))
+    number = lambda at: F.conv(F.concat(*(F.substring(digits, 2 * (at + k) + 1, 2) for k in (3, 2, 1, 0))), 16, 10).cast("long")
+    return recordings.select("name", F.try_divide(number(40), number(28)).alias("duration_s"))
 
 
 def tone(hz: float, seconds: float, rate: int, channels: int, burst: float) -> bytes:
