@@ -43,13 +43,13 @@ def match(query: list[str], keys: list[str], slack: int = 3, by_word: float = 0.
         best = None
         whole = " ".join(query) if chars else query
         matcher = SequenceMatcher(None, autojunk=False)
-        matcher.set_seq2(whole)
+        matcher.set_seq1(whole)  # the ratio depends on which side is which: the quote is the first
         for n in lengths:
             for bound, at in [(1.0, i) for i in range(len(keys) - n + 1)] if chars else _bounds(query, keys, n):
                 floor = max(least, best[2] + 1e-9 if best else 0)
                 if bound < floor:
                     continue
-                matcher.set_seq1(" ".join(keys[at : at + n]) if chars else keys[at : at + n])
+                matcher.set_seq2(" ".join(keys[at : at + n]) if chars else keys[at : at + n])
                 if chars and (matcher.real_quick_ratio() < floor or matcher.quick_ratio() < floor):
                     continue
                 if (ratio := matcher.ratio()) >= floor:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 def best_ratio(query, keys, slack=3):
     """Every window compared, by words."""
     n = len(query)
-    rows = [(SequenceMatcher(None, keys[a : a + k], query, autojunk=False).ratio(), -abs(k - n), -k, -a) for k in range(max(1, n - slack), n + slack + 1) for a in range(len(keys) - k + 1)]
+    rows = [(SequenceMatcher(None, query, keys[a : a + k], autojunk=False).ratio(), -abs(k - n), -k, -a) for k in range(max(1, n - slack), n + slack + 1) for a in range(len(keys) - k + 1)]
     top = max(r[0] for r in rows)
     return max(r for r in rows if r[0] > top - 1e-9) if top >= 0.8 else None
 
