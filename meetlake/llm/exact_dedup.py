@@ -136,7 +136,6 @@ class Store:
             marks = marks.join(collided, "digest", "left_anti").unionByName(own)
         return marks
 
-
     def drop(self) -> None:
         """Delete everything below the folder."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
