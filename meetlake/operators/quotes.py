@@ -95,9 +95,12 @@ def anchor(questions: DataFrame, sentences: DataFrame, least: float = 0.5, bonus
     A sentence that asks gets a bonus. Sentences meet questions by meeting and word, never by meeting alone: by those of
     a question's words that are rarest in the meeting, so many that a sentence without any of them holds too few of all;
     a question of which no sentence holds enough goes to the nearest sentence that asks within the distance, then to the nearest
-    sentence (score null); one that has none stays out.
+    sentence (score null); one that has none keeps its own time (sentence_i and score null). Words of one or two letters
+    count only where a text has no others.
     """
-    split = lambda c: F.array_distinct(F.filter(F.transform(F.split(c, r"\s+"), T.match_key), lambda k: k != ""))
+    every = lambda c: F.array_distinct(F.filter(F.transform(F.split(c, r"\s+"), T.match_key), lambda k: k != ""))
+    long_ = lambda c: F.filter(every(c), lambda k: F.length(k) > 2)
+    split = lambda c: F.when(F.size(long_(c)) > 0, long_(c)).otherwise(every(c))
     q = questions.select("meeting_id", "question_id", F.col("start_ms").alias("at"), split("question").alias("qk"))
     said = sentences.select("meeting_id", "sentence_i", "start_ms", "is_question", split("text").alias("sk"))
     uses = said.select("meeting_id", F.explode("sk").alias("k"))
@@ -117,7 +120,24 @@ def anchor(questions: DataFrame, sentences: DataFrame, least: float = 0.5, bonus
         left = questions.select(*keys, "start_ms").join(best, keys, "left_anti")
         found = nearest(left, marks, "sentence_i", ["question_id"], within_ms)
         best = best.unionByName(found.select(*keys, "sentence_i", F.lit(None).cast("double").alias("score")))
-    return best
+    return questions.select(*keys).join(best, keys, "left")
+
+
+def anchor_terms(terms: DataFrame, words: DataFrame, sentences: DataFrame, within_ms: int = 20_000) -> DataFrame:
+    """meeting_id, term_id, at_ms, how for each of terms (meeting_id, term_id, start_ms, term).
+
+    A term begins where its meeting says it (found by find() with a slack of one word; "said"), else where the nearest
+    sentence within the distance does ("near"), else at its own time ("own").
+    """
+    keys = ["meeting_id", "term_id"]
+    said = find(terms.select("meeting_id", F.col("term_id").alias("quote_id"), F.col("term").alias("quote")), words, slack=1)
+    said = said.select("meeting_id", F.col("quote_id").alias("term_id"), F.col("start_ms").alias("_said"))
+    out = terms.select(*keys, "start_ms").join(said, keys, "left")
+    marks = sentences.select("meeting_id", "start_ms", F.col("start_ms").alias("_near"))
+    near = nearest(out.where("_said IS NULL").select(*keys, "start_ms"), marks, "_near", ["term_id"], within_ms).select(*keys, "_near")
+    out = out.join(near, keys, "left")
+    how = F.when(F.col("_said").isNotNull(), "said").when(F.col("_near").isNotNull(), "near").otherwise("own")
+    return out.select(*keys, F.coalesce("_said", "_near", "start_ms").alias("at_ms"), how.alias("how"))
 
 
 def checklist(items: Column, least: int = 5, most: int = 8) -> Column:

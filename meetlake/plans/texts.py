@@ -13,6 +13,7 @@ from meetlake.plans.queries import sentenced
 from meetlake.plans.registry import query
 from meetlake.plans.sql import over
 from meetlake.sources import adapters as D
+from meetlake.sources.shared import staged
 
 CODE = "CASE WHEN t >= 3600 THEN t // 3600 || ':' ELSE '' END || lpad((t // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((t % 60)::VARCHAR, 2, '0')"
 
@@ -102,11 +103,20 @@ def things_validate(spark, sf):
 @query()
 def anchor_question(spark, sf):
     """Every sentence of the other party without its first word, anchored to where it comes from."""
-    s = G.sentences(sentenced(spark, sf)).where("track = 'system'")
+    s = staged(G.sentences(sentenced(spark, sf)).where("track = 'system'"), "sentences")
     asked = s.select("meeting_id", F.col("sentence_i").alias("question_id"), "start_ms", F.regexp_replace("text", r"^\S+\s+", "").alias("question"))
     return Q.anchor(asked, s)
 
 
+@query()
+def anchor_jargon(spark, sf):
+    """The last two words of each own sentence and, for every other sentence, words that nobody said."""
+    s = staged(G.sentences(sentenced(spark, sf)).where("track = 'mic' AND n_words >= 2"), "sentences")
+    term = F.when(F.col("sentence_i") % 2 == 0, F.regexp_extract("text", r"(\S+\s+\S+)$", 1)).otherwise("zzyzx quux")
+    terms = s.select("meeting_id", F.col("sentence_i").alias("term_id"), "start_ms", term.alias("term"))
+    return Q.anchor_terms(terms, D.words(spark, sf).where("track = 'mic'"), s)
+
+
 @query("SELECT source, list_sort(list_distinct(list(lang))) [1] AS first, least(greatest(count(DISTINCT lang), 5), 8)::INT AS n FROM documents WHERE source IS NOT NULL GROUP BY 1")
 def prep_checklist(spark, sf):
     """Items of a checklist: each once, padded to five from a fixed list, eight at most."""

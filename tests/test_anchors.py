@@ -62,12 +62,20 @@ def test_text_values(spark):
 def test_anchor(spark):
     said = spark.createDataFrame([(1, 0, 0, False, "we begin here"), (1, 1, 5000, True, "when is the launch date?"), (1, 2, 9000, False, "in the launch week")], "meeting_id long, sentence_i long, start_ms long, is_question boolean, text string")
     asked = spark.createDataFrame([(1, 0, 9000, "the launch date"), (1, 1, 9000, "unheard words"), (1, 2, 90_000, "unheard words")], "meeting_id long, question_id long, start_ms long, question string")
-    assert {r.question_id: (r.sentence_i, r.score) for r in Q.anchor(asked, said).collect()} == {0: (1, 1.1), 1: (1, None)}
+    assert {r.question_id: (r.sentence_i, r.score) for r in Q.anchor(asked, said).collect()} == {0: (1, 1.1), 1: (1, None), 2: (None, None)}
+
+
+def test_anchor_terms(spark):
+    words = spark.createDataFrame([(1, i, 1000 * i, w) for i, w in enumerate("we use a feature flag to ship".split())], "meeting_id long, i long, start_ms long, text string")
+    said = spark.createDataFrame([(1, 0), (1, 4000)], "meeting_id long, start_ms long")
+    terms = spark.createDataFrame([(1, 0, 0, "Feature flag"), (1, 1, 3500, "canary"), (1, 2, 90_000, "canary"), (2, 0, 70, "canary")], "meeting_id long, term_id long, start_ms long, term string")
+    got = {(r.meeting_id, r.term_id): (r.at_ms, r.how) for r in Q.anchor_terms(terms, words, said).collect()}
+    assert got == {(1, 0): (3000, "said"), (1, 1): (4000, "near"), (1, 2): (90_000, "own"), (2, 0): (70, "own")}
 
 
 def test_anchor_question_is_brute_force(spark, sf):
     """Every sentence of the track against every sentence of its meeting."""
-    keys = lambda t: set(t) - {""}
+    keys = lambda t: {k for k in t if len(k) > 2} or set(t) - {""}
     s = G.sentences(sentenced(spark, sf)).where("track = 'system'").withColumn("ks", F.transform(F.split("text", r"\s+"), T.match_key))
     s = s.withColumn("qs", F.transform(F.split(F.regexp_replace("text", r"^\S+\s+", ""), r"\s+"), T.match_key))
     of = {}
