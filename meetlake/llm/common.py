@@ -16,6 +16,7 @@ SPACES = b" \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a Python worker holds as numpy arrays at a time.
 CHUNK_BYTES = 1 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -47,10 +48,18 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: its lineage ends there and a lost executor costs nothing."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df to the shared folder and read it again: its lineage ends there and a lost executor costs nothing.
+
+    What the write shuffled is deleted when it ends, as nothing reads it any more, so that disk holds one step's shuffles.
+    """
+    spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
