@@ -9,7 +9,7 @@ The counts grow with the corpus and are nowhere held as a whole. Documents are f
 each of one group, with an id; what follows reads those. Each task counts the n-grams of a chunk and deals the sorted keys
 out by their range; the task of a range sums them over all chunks and hands each chunk the totals of just its own keys, in
 their order. A chunk and those totals then meet in one group, where its documents are tuned on and scored. The number of
-ranges follows from the bytes of text, so that a range's keys fit a task; a range of which a chunk has no key sends
+ranges follows from the bytes of text, so that a range's keys fit a task; they are counted in shares, one after the other; a range of which a chunk has no key sends
 nothing. An n-gram that every document has costs one entry for each chunk, so no key is hot.
 
 Defined results: a null or empty text is the end token alone; repeated rows count and are scored each; a null id is in
@@ -19,6 +19,7 @@ training; without training documents every token has the uniform probability.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,7 @@ class Settings:
     chunk_bytes: int = 5 << 20  #: text that a task counts and scores at a time
     part_bytes: int = 2 << 20  #: text whose keys make up a range, about
     steps: int = 60
+    passes: int = 2  #: shares of the ranges that are counted one after the other, so that disk holds one share's keys
 
 
 def pack_ints(a: np.ndarray) -> bytes:
@@ -122,8 +124,8 @@ def texts_of(lengths: list[int], packed: bytes) -> list[bytes]:
     return [data[b - n : b] for b, n in zip(stops.tolist(), lengths, strict=True)]
 
 
-def counter(parts: int):
-    """Function for mapInArrow: for each chunk and range of keys, the keys in order and their counts in the chunk."""
+def counter(parts: int, passes: int, share: int):
+    """Function for mapInArrow: for each chunk and range of keys of the share, the keys in order and their counts in the chunk."""
     shift = U64(64 - parts.bit_length() + 1)
 
     def run(batches):
@@ -135,7 +137,7 @@ def counter(parts: int):
                 for at in (g.word, g.pair, g.triple):
                     n += np.bincount(at, minlength=len(n)).astype(np.uint32)
             cuts = np.searchsorted(g.unique >> shift, np.arange(parts + 1, dtype=U64)) if parts > 1 else np.array([0, len(n)])
-            rows = [(p, a, b) for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
+            rows = [(p, a, b) for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a and p % passes == share]
             keys = [pack_ints(np.diff(g.unique[a:b], prepend=U64(0))) for _, a, b in rows]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([p for p, _, _ in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array([kind] * len(rows), pa.int32()), pa.array(keys, pa.binary()), pa.array([pack_ints(n[a:b]) for _, a, b in rows], pa.binary())],
@@ -271,7 +273,9 @@ def score(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     chunked = staged(rows.mapInArrow(chunks(s), CHUNKS), "chunks")
     size = chunked.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()["bytes"]
     parts = 1 << (size // s.part_bytes).bit_length()
-    totals = staged(chunked.select("chunk", "kind", "lengths", "texts").mapInArrow(counter(parts), COUNTED).groupBy("part").applyInArrow(summed, SUMMED), "totals")
+    counted = lambda share: chunked.select("chunk", "kind", "lengths", "texts").mapInArrow(counter(parts, s.passes, share), COUNTED)
+    shares = [staged(counted(i).groupBy("part").applyInArrow(summed, SUMMED), "totals") for i in range(s.passes)]
+    totals = reduce(DataFrame.unionByName, shares)
     figures = totals.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in FIGURES)).first().asDict()
     own = totals.select("chunk", "kind", "part", "others", "own")
     met = lambda where, *columns: chunked.where(where).groupBy("chunk").cogroup(own.where(where).select("chunk", "part", *columns).groupBy("chunk"))
