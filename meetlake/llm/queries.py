@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meetlake.llm import ann, exact_dedup, language_model, mixing, near_dedup, packing, quality, suffix_dedup, toxicity, warc
+from meetlake.llm import ann, exact_dedup, language_model, merkle, mixing, near_dedup, packing, quality, suffix_dedup, toxicity, warc
 from meetlake.llm.common import table
 
 
@@ -56,8 +56,12 @@ def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url", "payload")
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.verify(merkle.manifest(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_toxicity, op4_nearest, op5_near_dedup, op6_quality, op7_exact_dedup, op8_mixing, op9_language_model, op10_warc)}
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_toxicity, op4_nearest, op5_near_dedup, op6_quality, op7_exact_dedup, op8_mixing, op9_language_model, op10_warc, op13_merkle)}
 
 ORACLE = {
     "op7_exact_dedup": """
@@ -74,4 +78,39 @@ ORACLE = {
             CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
         FROM d
     """,
+    "op13_merkle": """
+        WITH RECURSIVE d AS (
+            SELECT *, [CASE WHEN x IS NULL THEN '-' ELSE strlen(x) || ':' || x END FOR x IN [doc_id::VARCHAR, source, lang, n_chars::VARCHAR, text, (n_chars + 1)::VARCHAR]] AS f,
+                xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END)) % 7 AS crc
+            FROM documents
+        ),
+        h AS (SELECT doc_id, lang, sha256(f[1] || f[2] || f[3] || f[4] || f[5]) AS leaf, CASE WHEN crc = 0 THEN sha256(f[1] || f[2] || f[3] || f[6] || f[5]) END AS tampered FROM d),
+        leaves AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, row_number() OVER () AS rid FROM h),
+        tree AS (
+            SELECT lang, 0 AS step, list(leaf ORDER BY idx) AS xs FROM leaves GROUP BY lang
+            UNION ALL
+            SELECT lang, step + 1, list_transform(range((len(xs) + 1) // 2), lambda i: sha256(xs[2 * i + 1] || coalesce(xs[2 * i + 2], ''))) FROM tree WHERE len(xs) > 1
+        ),
+        subroots AS (SELECT lang, xs[1] AS subroot, step AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS sub FROM tree WHERE len(xs) = 1),
+        top AS (
+            SELECT 0 AS step, list(subroot ORDER BY sub) AS xs FROM subroots
+            UNION ALL
+            SELECT step + 1, list_transform(range((len(xs) + 1) // 2), lambda i: sha256(xs[2 * i + 1] || coalesce(xs[2 * i + 2], ''))) FROM top WHERE len(xs) > 1
+        ),
+        steps AS (
+            SELECT rid, step, (idx >> step) & 1 AS side, xs[xor(idx >> step, 1) + 1] AS sibling FROM leaves JOIN tree ON leaves.lang IS NOT DISTINCT FROM tree.lang WHERE len(xs) > 1
+            UNION ALL
+            SELECT rid, height + step, (sub >> step) & 1, xs[xor(sub >> step, 1) + 1] FROM leaves JOIN subroots ON leaves.lang IS NOT DISTINCT FROM subroots.lang, top WHERE len(xs) > 1
+        ),
+        folds AS (
+            SELECT rid, 0 AS step, coalesce(tampered, leaf) AS digest FROM leaves
+            UNION ALL
+            SELECT f.rid, f.step + 1, CASE side WHEN 0 THEN sha256(digest || coalesce(sibling, '')) ELSE sha256(sibling || digest) END FROM folds f JOIN steps USING (rid, step)
+        ),
+        proofs AS (SELECT rid, sha256(coalesce(string_agg(sibling, '' ORDER BY step), '')) AS proof_sha256 FROM leaves LEFT JOIN steps USING (rid) GROUP BY rid),
+        ends AS (SELECT rid, max_by(digest, step) AS folded_root FROM folds GROUP BY rid)
+        SELECT doc_id, leaf, subroot, r.root, proof_sha256, folded_root, folded_root = r.root AS verified
+        FROM leaves JOIN subroots ON leaves.lang IS NOT DISTINCT FROM subroots.lang JOIN proofs USING (rid) JOIN ends USING (rid), (SELECT xs[1] AS root FROM top WHERE len(xs) = 1) r
+    """,
 }
