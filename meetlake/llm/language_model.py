@@ -52,7 +52,7 @@ class Settings:
 
 def pack_ints(a: np.ndarray) -> bytes:
     """Unsigned integers, byte plane by byte plane, compressed."""
-    planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 

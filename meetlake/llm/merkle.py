@@ -17,6 +17,8 @@ table gives no rows. Further columns take no part, whatever they are called.
 from __future__ import annotations
 
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ FANOUT = 2
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: An id is tampered with where this divides its crc32.
 TAMPERED = 7
+#: Nodes of a level in a file, about; nodes up to which the paths of a level (a kilobyte or two each) are broadcast.
+FILE_NODES, FEW_NODES = 100_000, 4_000
 STEP = "struct<at:int,others:array<string>>"
 
 
@@ -41,7 +45,20 @@ def leaf(**changed: Column) -> Column:
     return F.sha2(F.concat(*(field(changed.get(f, F.col(f"`{f}`"))) for f in FIELDS)), 256)
 
 
-def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+@dataclass(frozen=True)
+class Size:
+    """What the driver knows of trees: how many there are, the leaves of the widest, and all leaves."""
+
+    trees: int
+    widest: int
+    leaves: int
+
+    def nodes(self, level: int, fanout: int) -> int:
+        """The nodes of a level, at most."""
+        return self.leaves // fanout**level + self.trees
+
+
+def numbered(rows: DataFrame, order: list[str]) -> tuple[DataFrame, Size]:
     """rows with idx, the place (from 0) in their tree by `order`, and n, the rows of their tree; equal rows are told apart by `uid`."""
     ranges = rows.repartitionByRange("tree", *order, "uid").withColumn("range", F.spark_partition_id())
     ranges = staged(ranges, "ranges")
@@ -50,7 +67,8 @@ def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     before = counts.select("range", "tree", (F.sum("here").over(tree.orderBy("range")) - F.col("here")).alias("before"), F.sum("here").over(tree).alias("n"))
     at = F.row_number().over(Window.partitionBy("range", "tree").orderBy(*order, "uid")) - 1
     placed = ranges.withColumn("at", at.cast("long")).join(before, ["range", "tree"])
-    return placed.withColumn("idx", F.col("at") + F.col("before")).drop("range", "at", "before", "uid")
+    of = counts.groupBy("tree").agg(F.sum("here").alias("n")).agg(F.count(F.lit(1)).alias("trees"), F.max("n").alias("widest"), F.sum("n").alias("leaves")).first()
+    return placed.withColumn("idx", F.col("at") + F.col("before")).drop("range", "at", "before", "uid"), Size(of["trees"], of["widest"] or 1, of["leaves"] or 0)
 
 
 def parents(nodes: DataFrame, fanout: int, own: list[str]) -> DataFrame:
@@ -65,23 +83,25 @@ def parents(nodes: DataFrame, fanout: int, own: list[str]) -> DataFrame:
     return up.select("tree", "idx", F.ceil(F.col("below") / fanout).cast("long").alias("n"), digest.alias("digest"), "children", "below")
 
 
-def climb(nodes: DataFrame, fanout: int, own: list[str]) -> list[DataFrame]:
-    """The levels above the leaves, each written once, until every tree has one node."""
-    levels, widest = [], nodes.agg(F.max("n").alias("n")).first()["n"] or 1
+def climb(nodes: DataFrame, size: Size, fanout: int, own: list[str]) -> list[DataFrame]:
+    """The levels above the leaves, each written once, until every tree has one node; a file for every FILE_NODES of them."""
+    levels, widest = [], size.widest
     while widest > 1 or not levels:
-        levels.append(staged(parents(nodes, fanout, [] if levels else own), "level"))
+        up = parents(nodes, fanout, [] if levels else own)
+        levels.append(staged(up.coalesce(1 + size.nodes(len(levels) + 1, fanout) // FILE_NODES), "level"))
         nodes, widest = levels[-1].select("tree", "idx", "n", "digest"), -(-widest // fanout)
     return levels
 
 
-def descend(levels: list[DataFrame], tops: DataFrame, own: list[str], carried: list[str]) -> DataFrame:
+def descend(levels: list[DataFrame], size: Size, fanout: int, tops: DataFrame, own: list[str], carried: list[str]) -> DataFrame:
     """Of each leaf: digest, own columns, `carried` and path, the siblings from its level up, then the path of its top.
 
-    tops: tree, path and the carried columns, a row for each tree.
+    tops: tree, path and the carried columns, a row for each tree. Paths of a level that has FEW_NODES at most are broadcast.
     """
     paths = tops.select("tree", F.lit(0).cast("long").alias("idx"), "path", *carried)
     for depth, level in reversed(list(enumerate(levels))):
-        met = level.select("tree", "idx", "children", "below").join(paths, ["tree", "idx"])
+        few = size.nodes(depth + 1, fanout) <= FEW_NODES
+        met = level.select("tree", "idx", "children", "below").join(F.broadcast(paths) if few else paths, ["tree", "idx"])
         digests = F.col("children.digest")
         each = met.select("tree", "below", "path", *carried, digests.alias("digests"), F.posexplode("children").alias("at", "child"))
         others = F.concat(F.slice("digests", F.lit(1), F.col("at")), F.slice("digests", F.col("at") + 2, F.size("digests")))
@@ -113,15 +133,17 @@ def manifest(docs: DataFrame, fanout: int = FANOUT) -> DataFrame:
     rows = docs.select("doc_id", "lang", field(F.col("lang")).alias("tree"), leaf().alias("digest"), tampered.alias("tampered"), F.monotonically_increasing_id().alias("uid"))
     rows = staged(rows, "leaves")
     own = ["doc_id", "tampered"]
-    levels = climb(numbered(rows, ["doc_id", "digest"]).select("tree", "idx", "n", "digest", *own), fanout, own)
+    leaves, size = numbered(rows, ["doc_id", "digest"])
+    levels = climb(leaves.select("tree", "idx", "n", "digest", *own), size, fanout, own)
     names = rows.groupBy("tree").agg(F.first("lang").alias("lang"))
     subroots = levels[-1].select("tree", "digest").join(names, "tree")
     subroots = subroots.select(F.lit("").alias("tree"), F.col("tree").alias("uid"), "lang", "digest", F.col("tree").alias("key"))
-    above = climb(numbered(subroots, ["lang"]).select("tree", "idx", "n", "digest", "key"), fanout, ["key"])
+    lowest, few = numbered(subroots, ["lang"])
+    above = climb(lowest.select("tree", "idx", "n", "digest", "key"), few, fanout, ["key"])
     top = above[-1].select("digest").first()
     none = F.array().cast(f"array<{STEP}>").alias("path")
-    tops = descend(above, above[-1].select("tree", none), ["key"], []).select(F.col("key").alias("tree"), F.col("digest").alias("subroot"), "path")
-    out = descend(levels, tops, own, ["subroot"])
+    tops = descend(above, few, fanout, above[-1].select("tree", none), ["key"], []).select(F.col("key").alias("tree"), F.col("digest").alias("subroot"), "path")
+    out = descend(levels, size, fanout, tops, own, ["subroot"])
     return out.select("doc_id", F.col("digest").alias("leaf"), "tampered", "subroot", F.lit(top["digest"] if top else None).cast("string").alias("root"), "path")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meetlake.llm import ann, exact_dedup, language_model, merkle, mixing, near_dedup, packing, quality, suffix_dedup, toxicity, warc
+from meetlake.llm import alignment, ann, exact_dedup, language_id, language_model, merkle, mixing, near_dedup, packing, quality, suffix_dedup, toxicity, warc
 from meetlake.llm.common import table
 
 
@@ -15,6 +15,12 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def alignment_settings(**more) -> alignment.Settings:
+    import public_tokenizers
+
+    return alignment.Settings(tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_path("piece_bpe_32k.model"), public_tokenizers.PATTERN, **more)
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -56,12 +62,21 @@ def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url", "payload")
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, pieces = table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken")
+    return language_id.predict(docs, language_id.fit(docs, pieces), pieces)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), alignment_settings())
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = merkle.verify(merkle.manifest(table(spark, sf_dir, "documents")))
     return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_toxicity, op4_nearest, op5_near_dedup, op6_quality, op7_exact_dedup, op8_mixing, op9_language_model, op10_warc, op13_merkle)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_toxicity, op4_nearest, op5_near_dedup, op6_quality, op7_exact_dedup, op8_mixing, op9_language_model, op10_warc, op11_language_id, op12_alignment, op13_merkle)}
 
 ORACLE = {
     "op7_exact_dedup": """
