@@ -73,7 +73,7 @@ def test_plain(spark, sf):
     want = sorted((i, *p) for (i, _), p in zip(rows, plain([t for _, t in rows])))
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5, "doc_id")
     assert got(alignment.align(table, alignment_settings())) == want
-    small = alignment_settings(chunk_bytes=4000, split_chunks=7, stripes=16, held_keys=500)  # many chunks, splits and forgotten words
+    small = alignment_settings(chunk_bytes=100_000, split_chunks=3, stripes=1000, held_keys=500)  # many chunks, splits and forgotten words
     assert got(alignment.align(table, small)) == want
 
 
