@@ -385,10 +385,14 @@ def last_n_reports(spark, sf):
     return K.last_n(D.catalog(spark, sf)).select("meeting_id", "speaker", "score")
 
 
-@query(over(f"""WITH RECURSIVE day AS (SELECT DISTINCT speaker, started_at::DATE AS d FROM catalog WHERE isodow(started_at) < 6), walk AS (
-    SELECT speaker, CASE WHEN EXISTS (SELECT 1 FROM day WHERE day.speaker = s.speaker AND d = DATE '{TODAY}') THEN DATE '{TODAY}' ELSE DATE '{TODAY}' - (CASE WHEN isodow(DATE '{TODAY}') = 1 THEN 3 ELSE 1 END)::INT END AS dt, 0 AS n FROM (SELECT DISTINCT speaker FROM catalog) s
-    UNION ALL SELECT walk.speaker, dt - (CASE WHEN isodow(dt) = 1 THEN 3 ELSE 1 END)::INT, n + 1 FROM walk JOIN day ON day.speaker = walk.speaker AND day.d = walk.dt)
-    SELECT speaker, max(n)::BIGINT AS streak_days FROM walk GROUP BY 1""").replace("\nWITH RECURSIVE day", ", day"))
+STREAK = {
+    "work_days": "SELECT DISTINCT speaker, started_at::DATE AS d FROM catalog WHERE isodow(started_at) < 6",
+    "streak": f"""SELECT speaker, CASE WHEN EXISTS (SELECT 1 FROM work_days WHERE work_days.speaker = s.speaker AND d = DATE '{TODAY}') THEN DATE '{TODAY}' ELSE DATE '{TODAY}' - (CASE WHEN isodow(DATE '{TODAY}') = 1 THEN 3 ELSE 1 END)::INT END AS dt, 0 AS n FROM (SELECT DISTINCT speaker FROM catalog) s
+        UNION ALL SELECT streak.speaker, dt - (CASE WHEN isodow(dt) = 1 THEN 3 ELSE 1 END)::INT, n + 1 FROM streak JOIN work_days ON work_days.speaker = streak.speaker AND work_days.d = streak.dt""",
+}
+
+
+@query(over("SELECT speaker, max(n)::BIGINT AS streak_days FROM streak GROUP BY 1", **STREAK))
 def streak_days(spark, sf):
     return K.streaks(D.catalog(spark, sf), TODAY)
 

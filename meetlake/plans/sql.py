@@ -1,5 +1,8 @@
 """What the queries compute, as SQL over the given tables; each statement carries the common table expressions it needs."""
 
+import re
+from collections import Counter
+
 from meetlake.functions import constants as C
 
 
@@ -30,6 +33,11 @@ def minus(a: str, b: str) -> str:
     ) WHERE end_ms > start_ms"""
 
 
+def long_of(type_: str) -> str:
+    """All metrics of all meetings as rows, judged as meetings of a type."""
+    return " UNION ALL ".join(f"SELECT meeting_id, {type_} AS type, speaker, '{m}' AS metric, {m}::DOUBLE AS value FROM wide" for m in C.METRICS)
+
+
 CTES = {
     "tok": r"""SELECT conv_id, turn, role, unnest(string_split_regex(trim(text), '[ \n\t]+')) AS text, generate_subscripts(string_split_regex(trim(text), '[ \n\t]+'), 1) - 1 AS pos FROM conversations""",
     "timed": """SELECT *, 120 + 40 * least(length(text), 12) AS dur,
@@ -120,7 +128,7 @@ CTES = {
     + """, CASE WHEN words_total > 0 AND has_system THEN mic::DOUBLE / (mic + sys) END AS talk_ratio, CASE WHEN words_total > 0 THEN mean_sentence_len END AS mean_sentence_len, CASE WHEN words_total > 0 THEN long_sentences_share END AS long_sentences_share,
         CASE WHEN words_total > 0 AND has_system THEN coalesce(by_me, 0)::DOUBLE END AS interruptions_by_me, CASE WHEN words_total > 0 AND has_system THEN coalesce(by_other, 0)::DOUBLE END AS interruptions_by_other, CASE WHEN words_total > 0 THEN mtld END AS mtld, pitch_median_hz, pitch_range_st, phrase_final_decay_db, rising_statements_share, jitter_pct, shimmer_pct, loudness_drift_db, loudness_mean_db
         FROM meetings m LEFT JOIN total USING (meeting_id) LEFT JOIN talk USING (meeting_id) LEFT JOIN per USING (meeting_id) LEFT JOIN sent USING (meeting_id) LEFT JOIN med USING (meeting_id) LEFT JOIN voice USING (meeting_id) LEFT JOIN diverse USING (meeting_id)""",
-    "long": " UNION ALL ".join(f"SELECT meeting_id, type, speaker, '{m}' AS metric, {m}::DOUBLE AS value FROM wide" for m in C.METRICS),
+    "long": long_of("type"),
     "base_refs": "SELECT * FROM " + values(C.RANGES) + " AS r(metric, low, high, better)",
     "type_refs": "SELECT * FROM " + values(C.TYPE_RANGES) + " AS r(type, metric, low, high, better)",
     "judged0": """SELECT l.*, CASE WHEN t.better IS NOT NULL THEN t.low ELSE b.low END::DOUBLE AS ref_low, CASE WHEN t.better IS NOT NULL THEN t.high ELSE b.high END::DOUBLE AS ref_high, coalesce(t.better, b.better, 'inside') AS better
@@ -143,19 +151,30 @@ CTES = {
 }
 
 
-def over(statement: str) -> str:
-    """The statement with the expressions that it reaches, each after those that it needs."""
-    import re
+_USED = r"(?:\bFROM|\bJOIN|\),)\s+(\w+)"
+
+
+def over(statement: str, **given: str) -> str:
+    """The statement with the expressions that it reaches, each after those that it needs; `given` ones stand in for those of CTES.
 
-    done: dict[str, str] = {}
+    What is read more than once is worked out once.
+    """
+    known, done = CTES | given, {}
 
     def need(sql: str, above: tuple[str, ...]) -> None:
-        for name in dict.fromkeys(re.findall(r"(?:\bFROM|\bJOIN|\),)\s+(\w+)", sql)):
-            if name in CTES and name not in done and name not in above:
-                need(CTES[name], (*above, name))
-                done[name] = CTES[name]
+        for name in dict.fromkeys(re.findall(_USED, sql)):
+            if name in known and name not in done and name not in above:
+                need(known[name], (*above, name))
+                done[name] = known[name]
 
     need(statement, ())
+    own = set(re.findall(r"\b(\w+) AS (?:MATERIALIZED )?\(\s*SELECT", statement))
+    if clash := own & done.keys():
+        raise ValueError(f"the statement defines {clash} too")
+    if missing := given.keys() - done.keys():
+        raise ValueError(f"the statement does not reach {missing}")
     if not done:
         return statement
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({s})" for n, s in done.items()) + "\n" + statement
+    uses = Counter(x for name, sql in [*done.items(), ("", statement)] for x in re.findall(_USED, sql) if x != name)
+    often = {n for n, k in uses.items() if k > 1 and n in done and n not in re.findall(_USED, done[n])}
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in often else ''}({s})" for n, s in done.items()) + "\n" + statement
