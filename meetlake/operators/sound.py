@@ -1,99 +1,73 @@
-"""Recordings: decoding, resampling, levels, spectra, pitch, and the live tempo, as numpy over the samples of a row.
+"""What recordings sound like: levels, spectra, pitch, the steadiness of the voice and the tempo of syllables.
 
-Each function of samples is a small helper of a task; recordings are rows, so Spark deals them out. Samples are float64
-between -1 and 1, one channel.
+Recordings come in chunks (`operators/chunks.py`); a task holds a chunk's samples, and what a whole recording has is an
+aggregate over the rows of its chunks. Samples are between -1 and 1, one channel.
 """
 
 from __future__ import annotations
 
-import io
-import math
-import wave
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from meetlake.operators import chunks as C
+from meetlake.operators import wav
 
-RATE = 16_000
+RATE = C.RATE
 SILENT_DB, SHORT_S = -55.0, 10.0
 #: Lowest and highest pitch in Hz, and the step of frames in seconds.
 PITCH, STEP_S = (60.0, 400.0), 0.01
-
-
-def decode(data: bytes) -> tuple[np.ndarray, int, int]:
-    """(samples, rate, channels) of a WAV file of whole numbers; channels are averaged."""
-    with wave.open(io.BytesIO(data)) as w:
-        width, channels, rate, raw = w.getsampwidth(), w.getnchannels(), w.getframerate(), w.readframes(w.getnframes())
-    if width == 1:
-        x = np.frombuffer(raw, np.uint8).astype(np.float64) - 128
-    elif width == 3:
-        x = np.frombuffer(b"".join(b"\0" + raw[i : i + 3] for i in range(0, len(raw), 3)), "<i4").astype(np.float64) / 256
-    else:
-        x = np.frombuffer(raw, f"<i{width}").astype(np.float64)
-    x = x[: len(x) // channels * channels].reshape(-1, channels).mean(1) / float(1 << (8 * width - 1))
-    return x, rate, channels
-
-
-def encode(x: np.ndarray, rate: int = RATE) -> bytes:
-    """A WAV file of 16-bit samples, one channel; what is beyond full scale is clipped."""
-    out = io.BytesIO()
-    with wave.open(out, "wb") as w:
-        w.setnchannels(1)
-        w.setsampwidth(2)
-        w.setframerate(rate)
-        w.writeframes(np.rint(np.clip(x, -1, 1) * 32767).astype("<i2").tobytes())
-    return out.getvalue()
-
-
-def resampled(x: np.ndarray, source: int, target: int = RATE, lobes: int = 16) -> np.ndarray:
-    """Samples at another rate: each is a windowed-sinc mean of its neighbours, low-passed below both rates' limits."""
-    if source == target or not len(x):
-        return x
-    n = math.ceil(len(x) * target / source)
-    scale = min(1.0, target / source)
-    reach = math.ceil(lobes / scale)
-    offsets, out = np.arange(-reach + 1, reach + 1), np.empty(n)
-    padded = np.concatenate((np.zeros(reach), x, np.zeros(reach + 1)))
-    for a in range(0, n, 4096):
-        at = np.arange(a, min(a + 4096, n)) * (source / target)
-        near = np.floor(at).astype(np.int64)[:, None] + offsets
-        d = at[:, None] - near
-        kernel = scale * np.sinc(scale * d) * np.where(np.abs(d) < reach, 0.5 + 0.5 * np.cos(np.pi * d / reach), 0)
-        out[a : a + len(at)] = (padded[near + reach] * kernel).sum(1) / np.maximum(kernel.sum(1), 1e-9)
-    return np.clip(out, -1, 1)
+#: Below this centre of its spectrum, in Hz, a sound is a hum.
+HUM_HZ = 500.0
+#: Seconds in which jitter is measured; the first part of a recording, and its least length, for their ratio.
+VOICE_S, FIRST_S, LEAST_S = 30, 120, 240
 
 
 def db(rms: float | np.ndarray, floor: float = -120.0):
     return np.where(np.asarray(rms) > 10 ** (floor / 20), 20 * np.log10(np.maximum(rms, 1e-30)), floor)
 
 
-def frame_rms(x: np.ndarray, size: int) -> np.ndarray:
-    """Root mean square of whole frames; of all samples where there is none."""
+def tenths(x: np.ndarray, rate: int) -> np.ndarray:
+    """Levels in dB of whole tenths of a second; of all samples where there is none, and of none nothing."""
+    size = rate // 10
     if len(x) < size:
-        return np.sqrt(np.mean(x**2, keepdims=True)) if len(x) else np.zeros(1)
-    return np.sqrt((x[: len(x) // size * size].reshape(-1, size) ** 2).mean(1))
+        x = x[: len(x)].reshape(1, -1) if len(x) else np.empty((0, 1))
+    else:
+        x = x[: len(x) // size * size].reshape(-1, size)
+    return db(np.sqrt((np.asarray(x, np.float64) ** 2).mean(1)))
 
 
-def loud_part_db(x: np.ndarray, rate: int = RATE) -> float:
-    """95th percentile of the levels of tenths of a second."""
-    return float(np.percentile(db(frame_rms(x, rate // 10)), 95))
+def centroids(sounds: list[np.ndarray], rate: int = RATE, most: float = 4000.0) -> np.ndarray:
+    """The centre in Hz of the amplitude spectrum up to `most` of each sound under a Hann window; 0 for silence and below 16 samples.
+
+    Sounds of one length are one matrix: its spectra are weighted by their frequencies in one product.
+    """
+    out = np.zeros(len(sounds))
+    length = np.array([len(x) for x in sounds], np.int64)
+    for n in np.unique(length[length >= 16]).tolist():
+        which = np.flatnonzero(length == n)
+        hz = np.fft.rfftfreq(n, 1 / rate)
+        band = hz <= most
+        x = np.array([sounds[i] for i in which], np.float64)
+        amplitude = np.abs(np.fft.rfft((x - x.mean(1, keepdims=True)) * np.hanning(n)))[:, band]
+        total = amplitude.sum(1)
+        out[which] = np.divide(amplitude @ hz[band], total, out=np.zeros(len(which)), where=total > 1e-9)
+    return out
 
 
-def centroid(x: np.ndarray, rate: int = RATE, most: float = 4000.0) -> float:
-    """Mean frequency up to `most`, weighted by the amplitude spectrum under a Hann window; 0 for very few samples or none of sound."""
-    if len(x) < 16:
-        return 0.0
-    spectrum = np.abs(np.fft.rfft((x - x.mean()) * np.hanning(len(x))))
-    f = np.fft.rfftfreq(len(x), 1 / rate)
-    spectrum, f = spectrum[f <= most], f[f <= most]
-    return float((f * spectrum).sum() / spectrum.sum()) if spectrum.sum() > 0 else 0.0
+def pitch_size(rate: int) -> int:
+    return int(3 * rate / PITCH[0])
 
 
-def pitch_frames(x: np.ndarray, rate: int = RATE, voiced: float = 0.45) -> tuple[np.ndarray, np.ndarray]:
-    """(f0, db) every ten milliseconds: f0 by the highest peak of the normalised autocorrelation, 0 where that is below `voiced`."""
-    size, step = int(3 * rate / PITCH[0]), int(rate * STEP_S)
+def pitch_frames(x: np.ndarray, rate: int = RATE, count: int | None = None, voiced: float = 0.45, quiet: float = -60.0) -> tuple[np.ndarray, np.ndarray]:
+    """(f0, db) every ten milliseconds: f0 by the highest peak of the normalised autocorrelation, 0 where that is below `voiced`.
+
+    Quiet frames have no pitch and are not correlated. count: of so many frames only.
+    """
+    size, step = pitch_size(rate), int(rate * STEP_S)
     n = max(0, (len(x) - size) // step + 1)
+    n = n if count is None else min(n, count)
     low, high = int(rate / PITCH[1]), int(rate / PITCH[0])
     window = np.hanning(size)
     own = np.fft.irfft(np.abs(np.fft.rfft(window, 2 * size)) ** 2)[: high + 2]
@@ -102,205 +76,210 @@ def pitch_frames(x: np.ndarray, rate: int = RATE, voiced: float = 0.45) -> tuple
         at = np.arange(a, min(a + 512, n))[:, None] * step + np.arange(size)
         y = x[at] - x[at].mean(1, keepdims=True)
         level[a : a + len(at)] = db(np.sqrt((y**2).mean(1)))
-        r = np.fft.irfft(np.abs(np.fft.rfft(y * window, 2 * size)) ** 2)[:, : high + 2]
+        loud = np.flatnonzero(level[a : a + len(at)] > quiet)
+        if not len(loud):
+            continue
+        r = np.fft.irfft(np.abs(np.fft.rfft(y[loud] * window, 2 * size)) ** 2)[:, : high + 2]
         r = r / np.maximum(r[:, :1], 1e-12) / (own / own[0])
         # the earliest lag that is nearly as high as any: octaves below have peaks too
         part = r[:, low : high + 1]
         peak = (part >= np.maximum(r[:, low - 1 : high], r[:, low + 1 : high + 2])) & (part >= 0.9 * part.max(1, keepdims=True))
         best = peak.argmax(1) + low
-        row = np.arange(len(at))
+        row = np.arange(len(loud))
         left, mid, right = r[row, best - 1], r[row, best], r[row, best + 1]
         shift = np.where(np.abs(left - 2 * mid + right) > 1e-12, 0.5 * (left - right) / (left - 2 * mid + right), 0)
-        ok = (mid >= voiced) & (level[a : a + len(at)] > -60)
-        f0[a : a + len(at)] = np.where(ok, rate / (best + np.clip(shift, -0.5, 0.5)), 0)
+        f0[a + loud] = np.where(mid >= voiced, rate / (best + np.clip(shift, -0.5, 0.5)), 0)
     return f0, level
 
 
-def periods(x: np.ndarray, rate: int = RATE) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths in seconds and peak amplitudes of the periods of voice: from one upward crossing of zero to the next, after a low-pass."""
+def pitches(chunks: DataFrame) -> DataFrame:
+    """name, k, f0, db every ten milliseconds, those across the border of two chunks too."""
+
+    def one(c):
+        step = c.rate * 10 // 1000
+        k = -(-c.first // step)
+        count = min(-(-(c.first + len(c.samples)) // step), (c.n - pitch_size(c.rate)) // step + 1) - k
+        if count > 0:
+            x = np.concatenate((np.asarray(c.samples, np.float64), np.asarray(c.right, np.float64)))
+            f0, level = pitch_frames(x[k * step - c.first :], c.rate, count)
+            yield from zip([c.name] * len(f0), range(k, k + len(f0)), f0.tolist(), level.tolist(), strict=True)
+
+    near = C.bordered(chunks, 0, F.ceil(3 * F.col("rate") / PITCH[0]).cast("int"))
+    return C.each(near, "name string, k long, f0 double, db double", one)
+
+
+def cycles(x: np.ndarray, rate: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths in seconds and peak amplitudes of the cycles of voice: from one upward crossing of zero to the next, after a low-pass."""
     width = max(1, int(rate / PITCH[1] / 2))
     smooth = np.convolve(x, np.ones(width) / width, "same")
     up = np.flatnonzero((smooth[:-1] < 0) & (smooth[1:] >= 0))
     at = up + smooth[up] / (smooth[up] - smooth[up + 1])
-    length = np.diff(at) / rate
-    top = np.array([np.abs(x[a:b]).max() if b > a else 0.0 for a, b in zip(up[:-1], up[1:], strict=True)])
-    return length, top
+    tops = np.maximum.reduceat(np.abs(x), up)[:-1] if len(up) > 1 else np.empty(0)
+    return np.diff(at) / rate, tops
+
 
+def unsteadiness(x: np.ndarray, rate: int = RATE, jump: float = 1.3, amplitude_jump: float = 1.6) -> tuple[float | None, float | None]:
+    """(jitter, shimmer): the mean change from a cycle to the next in percent of the mean, of lengths and of amplitudes.
 
-def jitter_shimmer(x: np.ndarray, rate: int = RATE, jump: float = 1.3, amplitude_jump: float = 1.6) -> tuple[float | None, float | None]:
-    """Mean change from a period to the next in percent of the mean, of lengths and of amplitudes; periods out of bounds and jumps are left out."""
+    Cycles out of bounds and jumps are left out; null below half a second and without two cycles side by side.
+    """
     if len(x) < rate // 2:
         return None, None
-    length, top = periods(x, rate)
-    ok = (length >= 1e-4) & (length <= 0.02)
-    near = ok[:-1] & ok[1:] & (np.maximum(length[:-1], length[1:]) <= jump * np.minimum(length[:-1], length[1:]))
-    if not near.any():
-        return None, None
-    loud = near & (top[:-1] > 0) & (top[1:] > 0)
-    loud &= np.maximum(top[:-1], top[1:]) <= amplitude_jump * np.minimum(top[:-1], top[1:])
-    shimmer = 100 * np.abs(np.diff(top))[loud].mean() / top[ok].mean() if loud.any() else None
-    return float(100 * np.abs(np.diff(length))[near].mean() / length[ok].mean()), None if shimmer is None else float(shimmer)
+    length, top = cycles(np.asarray(x, np.float64), rate)
+    fits = (length >= 1e-4) & (length <= 0.02)
 
+    def change(values: np.ndarray, most: float, ok: np.ndarray) -> float | None:
+        a, b = values[:-1], values[1:]
+        ok = ok & (np.maximum(a, b) <= most * np.minimum(a, b))
+        return float(100 * np.abs(b - a)[ok].mean() / values[fits].mean()) if ok.any() else None
 
-def weighted_jitter_shimmer(x: np.ndarray, spans: list[tuple[float, float]], rate: int = RATE, chunk_s: float = 30.0) -> tuple[float | None, float | None]:
-    """Mean over chunks of the speech in spans (seconds), weighted by their length; chunks below half a second do not count."""
-    parts = [x[int(a * rate) : int(b * rate)] for a, b in spans]
-    said, size = np.concatenate(parts) if parts else np.empty(0), int(chunk_s * rate)
-    found = [(len(p), *jitter_shimmer(p, rate)) for p in (said[a : a + size] for a in range(0, len(said), size))]
-    mean = lambda rows: sum(w * v for w, v in rows) / sum(w for w, _ in rows) if rows else None
-    return mean([(w, j) for w, j, _ in found if j is not None]), mean([(w, s) for w, _, s in found if s is not None])
+    beside = fits[:-1] & fits[1:]
+    near = beside & (np.maximum(length[:-1], length[1:]) <= jump * np.minimum(length[:-1], length[1:]))
+    return change(length, jump, beside), change(top, amplitude_jump, near & (top[:-1] > 0) & (top[1:] > 0))
 
 
-def start_jitter_ratio(x: np.ndarray, spans: list[tuple[float, float]], rate: int = RATE, first_s: float = 120.0, least_s: float = 240.0) -> float | None:
-    """Jitter of the first two minutes over that of the rest; null for short recordings."""
-    if len(x) < least_s * rate:
-        return None
-    first = weighted_jitter_shimmer(x, [(a, min(b, first_s)) for a, b in spans if a < first_s], rate)[0]
-    rest = weighted_jitter_shimmer(x, [(max(a, first_s), b) for a, b in spans if b > first_s], rate)[0]
-    return first / rest if first is not None and rest else None
-
-
-def second_order(x: np.ndarray, cutoff: float, rate: int, high: bool) -> np.ndarray:
-    """A Butterworth low-pass or high-pass of two poles, by blocks: within one the response is a short product, its state goes on."""
-    w = 2 * math.pi * cutoff / rate
-    alpha, c = math.sin(w) / math.sqrt(2), math.cos(w)
-    a0 = 1 + alpha
-    b = np.array([(1 + c) / 2, -(1 + c), (1 + c) / 2] if high else [(1 - c) / 2, 1 - c, (1 - c) / 2]) / a0
-    a = np.array([-2 * c, 1 - alpha]) / a0
-    block = 256
-    impulse, s = np.zeros(block), np.zeros(2)
-    states = np.zeros((2, block))  # what a state of one unit adds to the following outputs
-    for k in range(2):
-        s = np.eye(2)[k]
-        for i in range(block):
-            y = s[0]
-            states[k, i], s = y, np.array([s[1] - a[0] * y, -a[1] * y])
-    s = np.zeros(2)
-    for i in range(block):
-        v = float(i == 0)
-        y = b[0] * v + s[0]
-        impulse[i], s = y, np.array([b[1] * v - a[0] * y + s[1], b[2] * v - a[1] * y])
-    out, s = np.empty(len(x)), np.zeros(2)
-    for at in range(0, len(x), block):
-        v = x[at : at + block]
-        y = np.convolve(v, impulse)[: len(v)] + s @ states[:, : len(v)]
-        out[at : at + len(v)] = y
-        v1, y1 = v[-1], y[-1]
-        v2, y2 = (v[-2], y[-2]) if len(v) > 1 else (0.0, 0.0)
-        s = np.array([b[1] * v1 - a[0] * y1 + b[2] * v2 - a[1] * y2, b[2] * v1 - a[1] * y1])
-    return out
+VOICES = "name string, jitter_pct double, shimmer_pct double, start_jitter_ratio double"
+
+
+def voices(chunks: DataFrame) -> DataFrame:
+    """VOICES of recordings that are all speech: each chunk's unsteadiness is a row, weighted by its samples.
 
+    The ratio is that of the jitter in the first two minutes to that of the rest; null below four minutes. Chunks are of
+    VOICE_S seconds, so that two minutes end with one.
+    """
+    rows = C.each(chunks, "name string, first long, n long, rate int, weight long, jitter double, shimmer double", lambda c: [(c.name, c.first, c.n, c.rate, len(c.samples), *unsteadiness(c.samples, c.rate))])
+    mean = lambda value, where: F.try_divide(F.sum(F.when(where, F.col("weight") * F.col(value))), F.sum(F.when(where & F.col(value).isNotNull(), F.col("weight"))))
+    start, every = F.col("first") < FIRST_S * F.col("rate"), F.lit(True)
+    ratio = F.when(F.max("n") >= LEAST_S * F.max("rate"), F.try_divide(mean("jitter", start), mean("jitter", ~start)))
+    return rows.groupBy("name").agg(mean("jitter", every).alias("jitter_pct"), mean("shimmer", every).alias("shimmer_pct"), ratio.alias("start_jitter_ratio"))
+
+
+def labels(sounds: DataFrame) -> DataFrame:
+    """sounds (keys, rate, samples) with centroid_hz and label: a hum ("mm") or a vowel ("er")."""
+    keys = [c for c in sounds.columns if c not in ("rate", "samples")]
+
+    def run(frames):
+        for f in frames:
+            hz = np.zeros(len(f))
+            for rate in f["rate"].unique():
+                which = np.flatnonzero(f["rate"] == rate)
+                hz[which] = centroids([f["samples"].iloc[i] for i in which], int(rate))
+            yield f[keys].assign(centroid_hz=hz, label=np.where(hz < HUM_HZ, "mm", "er"))
 
-def envelope(x: np.ndarray, rate: int = RATE, frame_ms: int = 10) -> np.ndarray:
-    """Root mean square of ten milliseconds of what lies between 300 and 3000 Hz."""
-    y = second_order(second_order(x, 300.0, rate, True), min(3000.0, 0.45 * rate), rate, False)
-    size = rate * frame_ms // 1000
-    return np.sqrt((y[: len(y) // size * size].reshape(-1, size) ** 2).mean(1))
+    kinds = dict(sounds.dtypes)
+    return sounds.mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "centroid_hz double", "label string"]))
+
+
+def stand_out(level: np.ndarray, at: np.ndarray, reach: int = 50) -> np.ndarray:
+    """How far the peaks at `at` rise over the higher of the lows on their two sides; a side ends before the first higher frame."""
+    top = level[at][:, None]
+    padded = np.concatenate((np.full(reach, np.inf), level, np.full(reach, np.inf)))
+    lows = []
+    for step in (-1, 1):
+        side = padded[(at + reach)[:, None] + step * np.arange(1, reach + 1)]
+        within = np.logical_and.accumulate(side <= top, axis=1)  # past an end the level is infinite
+        lows.append(np.where(within, side, top).min(1))
+    return level[at] - np.maximum(*lows)
+
+
+def apart(height: np.ndarray, at: np.ndarray, least: int = 6) -> np.ndarray:
+    """Of peaks closer than `least` frames the higher, then the earlier: rounds of all that beat every rival, which then go."""
+    kept = np.empty(0, np.int64)
+    while len(at):
+        order = np.lexsort((at, -height))
+        rank = np.empty(len(at), np.int64)
+        rank[order] = np.arange(len(at))
+        low, high = np.searchsorted(at, at - least + 1), np.searchsorted(at, at + least)
+        wins = np.array([rank[a:b].min() for a, b in zip(low, high, strict=True)]) == rank
+        kept = np.sort(np.concatenate((kept, at[wins])))
+        place = np.searchsorted(kept, at)
+        gap = np.minimum(np.abs(at - kept[np.minimum(place, len(kept) - 1)]), np.abs(at - kept[np.maximum(place - 1, 0)]))
+        height, at = height[gap >= least], at[gap >= least]
+    return kept
 
 
 def tempo(rms: np.ndarray, frame_ms: int = 10) -> dict[str, float] | None:
     """Syllables a second, seconds of speech and peaks of an envelope; null with less than two seconds of speech.
 
     The envelope in dB is smoothed over three frames. Frames above the threshold are active, frames within 200 ms of one
-    are speech; peaks among active frames stand out by 1.5 dB, and of peaks within 60 ms the higher stays.
+    are speech; peaks among active frames stand out by 1.5 dB and are 60 ms apart.
     """
     n = len(rms)
     if n < 6:
         return None
-    level = 20 * np.log10(np.maximum(rms, 1e-6))
-    around = np.convolve(level, np.ones(3), "same") / np.convolve(np.ones(n), np.ones(3), "same")
-    ordered = np.sort(around)
-    active = around > max(min(ordered[n // 2] + 6, ordered[-1] - 12), -75)
-    near = np.convolve(active.astype(float), np.ones(41), "same") > 0.5
-    speech_s = near.sum() * frame_ms / 1000
+    ones = np.ones(3)
+    level = np.convolve(20 * np.log10(np.maximum(rms, 1e-6)), ones, "same") / np.convolve(np.ones(n), ones, "same")
+    middle, top = np.partition(level, n // 2)[n // 2], level.max()
+    active = level > max(min(middle + 6, top - 12), -75)
+    speech_s = np.count_nonzero(np.convolve(active, np.ones(41), "same") > 0.5) * frame_ms / 1000
     if speech_s < 2:
         return None
-    rise = np.flatnonzero(active[1:-1] & (around[1:-1] > around[:-2]) & (around[1:-1] >= around[2:])) + 1
-    kept: list[int] = []
-    for i in sorted((i for i in rise if prominence(around, i) >= 1.5), key=lambda i: -around[i]):
-        if all(abs(i - k) >= 6 for k in kept):
-            kept.append(int(i))
-    return {"per_s": len(kept) / speech_s, "speech_s": float(speech_s), "peaks": len(kept), "wpm": len(kept) / speech_s / 0.67 * 60 / 2.7}
+    at = 1 + np.flatnonzero(active[1:-1] & (level[1:-1] > level[:-2]) & (level[1:-1] >= level[2:]))
+    at = at[stand_out(level, at) >= 1.5] if len(at) else at
+    peaks = len(apart(level[at], at))
+    return {"per_s": peaks / speech_s, "speech_s": float(speech_s), "peaks": peaks, "wpm": peaks / speech_s / 0.67 * 60 / 2.7}
 
 
-def prominence(level: np.ndarray, i: int, reach: int = 50) -> float:
-    """Height over the higher of the two lows beside a peak, each looked for up to the first higher frame."""
-    lows = []
-    for side in (level[max(0, i - reach) : i][::-1], level[i + 1 : i + 1 + reach]):
-        higher = np.flatnonzero(side > level[i])
-        side = side[: higher[0]] if len(higher) else side
-        lows.append(min([level[i], *side[:reach]]))
-    return float(level[i] - max(lows))
+TEMPO = "name string, peaks int, speech_s double, wpm double"
 
 
-def mapped(recordings: DataFrame, schema: str, one: Callable[[object, np.ndarray, int, int], Iterator[tuple]]) -> DataFrame:
-    """Rows that `one` (name, samples at RATE, original rate, channels) gives for each recording (name, content); a few recordings in memory at a time."""
-    names = [c.split()[0] for c in schema.split(", ")]
+def tempos(envelopes: DataFrame, last: int = 1000) -> DataFrame:
+    """TEMPO of the last ten seconds of each recording's envelope (name, k, rms); null where there is too little speech."""
+    top = envelopes.groupBy("name").agg(F.max("k").alias("top"))
+    frames = envelopes.join(top, "name").where(F.col("k") > F.col("top") - last)
+    rows = frames.groupBy("name").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "rms"))), lambda x: x["rms"]).alias("rms"))
 
     def run(frames):
         for f in frames:
-            for name, data in zip(f["name"], f["content"], strict=True):
-                x, rate, channels = decode(bytes(data))
-                rows = list(one(name, resampled(np.nan_to_num(x), rate), rate, channels))
-                if rows:
-                    yield pd.DataFrame(rows, columns=names)
-
-    return recordings.select("name", "content").mapInPandas(run, schema)
+            found = [tempo(np.asarray(x)) or {} for x in f["rms"]]
+            yield pd.DataFrame({"name": f["name"], "peaks": pd.array([t.get("peaks") for t in found], "Int32"), "speech_s": [t.get("speech_s") for t in found], "wpm": [t.get("wpm") for t in found]})
 
+    return rows.mapInPandas(run, TEMPO)
 
-TRACKS = "name string, rate int, channels int, duration_s double, peak_db double, rms_db double, loud_db double, silent boolean, short boolean"
 
+def meters(chunks: DataFrame, floor: float = -60.0) -> DataFrame:
+    """name, k, db: the level of each tenth of a second, as a meter shows it. Chunks are of whole seconds."""
 
-def tracks(recordings: DataFrame) -> DataFrame:
-    """What a recording is like: TRACKS."""
+    def one(c):
+        first = c.first * 10 // c.rate
+        yield from ((c.name, first + i, max(floor, float(v))) for i, v in enumerate(tenths(c.samples, c.rate)))
 
-    def one(name, x, rate, channels):
-        loud = loud_part_db(x)
-        yield name, rate, channels, len(x) / RATE, float(db(np.abs(x).max() if len(x) else 0)), float(db(np.sqrt(np.mean(x**2)) if len(x) else 0)), loud, not len(x) or loud < SILENT_DB, len(x) < SHORT_S * RATE
+    return C.each(chunks, "name string, k long, db double", one)
 
-    return mapped(recordings, TRACKS, one)
 
+def tracks(chunks: DataFrame) -> DataFrame:
+    """name, channels, duration_s, peak_db, rms_db, loud_db (95th percentile of tenths of a second), silent, short of each recording."""
 
-def converted(recordings: DataFrame) -> DataFrame:
-    """name, content: each recording as a WAV file of RATE, 16 bits, one channel."""
-    return mapped(recordings, "name string, content binary", lambda name, x, rate, channels: iter([(name, encode(x))]))
-
-
-def pitches(recordings: DataFrame) -> DataFrame:
-    """name, k, f0, db every ten milliseconds."""
-
-    def one(name, x, rate, channels):
-        f0, level = pitch_frames(x)
-        yield from ((name, k, float(f), float(d)) for k, (f, d) in enumerate(zip(f0, level, strict=True)))
-
-    return mapped(recordings, "name string, k int, f0 double, db double", one)
-
+    def one(c):
+        x = np.asarray(c.samples, np.float64)
+        yield c.name, c.channels, c.rate, c.n, float(np.abs(x).max(initial=0)), float((x**2).sum()), tenths(x, c.rate).tolist()
 
-def voices(recordings: DataFrame) -> DataFrame:
-    """name, centroid_hz, label, jitter_pct, shimmer_pct, start_jitter_ratio of recordings that are all speech."""
+    rows = C.each(chunks, "name string, channels int, rate int, n long, peak double, squares double, levels array<double>", one)
+    level = lambda v: F.when(v > 1e-6, 20 * F.log10(v)).otherwise(-120.0)
+    whole = rows.groupBy("name").agg(
+        F.max("channels").alias("channels"),
+        (F.max("n") / F.max("rate")).alias("duration_s"),
+        level(F.max("peak")).alias("peak_db"),
+        level(F.sqrt(F.coalesce(F.try_divide(F.sum("squares"), F.max("n")), F.lit(0.0)))).alias("rms_db"),
+    )
+    loud = rows.select("name", F.explode("levels").alias("level")).groupBy("name").agg(F.percentile("level", 0.95).alias("loud_db"))
+    out = whole.join(loud, "name", "left")
+    return out.withColumns({"silent": F.coalesce(F.col("loud_db") < SILENT_DB, F.lit(True)), "short": F.col("duration_s") < SHORT_S})
 
-    def one(name, x, rate, channels):
-        span = [(0.0, len(x) / RATE)]
-        hz = centroid(x)
-        yield name, hz, "mm" if hz < 500 else "er", *weighted_jitter_shimmer(x, span), start_jitter_ratio(x, span)
 
-    return mapped(recordings, "name string, centroid_hz double, label string, jitter_pct double, shimmer_pct double, start_jitter_ratio double", one)
+def scan(recordings: DataFrame) -> DataFrame:
+    """Every recording (name, content): its rate, what tracks() says of it at RATE, and what is wrong with it; a faulty file has a fault and nulls."""
+    pieces = C.cut(recordings)
+    rates = pieces.where("part = 0").select("name", "rate")
+    known = tracks(C.resampled(pieces)).join(rates, "name")
+    return C.faults(recordings).join(known, "name", "left")
 
 
-def tempos(recordings: DataFrame) -> DataFrame:
-    """name, peaks, speech_s, wpm of the last ten seconds; null where there is too little speech."""
-
-    def one(name, x, rate, channels):
-        t = tempo(envelope(x[-10 * RATE :]))
-        yield (name, t["peaks"], t["speech_s"], t["wpm"]) if t else (name, None, None, None)
-
-    return mapped(recordings, "name string, peaks int, speech_s double, wpm double", one)
-
-
-def meters(recordings: DataFrame, floor: float = -60.0) -> DataFrame:
-    """name, k, db: the level of each tenth of a second, as a meter shows it."""
+def converted(recordings: DataFrame) -> DataFrame:
+    """name, content: each readable recording as a WAV file of RATE, 16 bits, one channel."""
 
-    def one(name, x, rate, channels):
-        yield from ((name, k, max(floor, float(d))) for k, d in enumerate(db(frame_rms(x, RATE // 10))))
+    def whole(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("part")
+        return pd.DataFrame({"name": f["name"][:1], "content": [wav.written(np.concatenate([np.asarray(x, np.float64) for x in f["samples"]]), RATE)]})
 
-    return mapped(recordings, "name string, k int, db double", one)
+    return C.resampled(C.cut(recordings)).select("name", "part", "samples").groupBy("name").applyInPandas(whole, "name string, content binary")

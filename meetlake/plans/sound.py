@@ -1,61 +1,104 @@
-"""Registered queries on recordings; their samples have no form in SQL, what follows from their headers has."""
+"""Registered queries on recordings; the SQL has what the formulas of their tones say."""
 
 from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from meetlake.operators import chunks as C
+from meetlake.operators import prosody as P
+from meetlake.operators import segment as G
 from meetlake.operators import sound as A
-from meetlake.plans.queries import r6
+from meetlake.operators import wav
+from meetlake.plans.queries import r6, sentenced
 from meetlake.plans.registry import query
 from meetlake.plans.sql import over
 from meetlake.sources import adapters as D
 from meetlake.sources import recordings as R
+from meetlake.sources.shared import staged
+
+#: In dB: the root mean square of a steady tone, and of one that swells; and the peak of both.
+STEADY, SWELLING = "round(20 * log10(0.5 / sqrt(2)))", "round(20 * log10(0.5 * sqrt(3) / 4))"
+FACTS = f"round(20 * log10(0.5)) AS peak_db, CASE n_nationkey % 3 WHEN 0 THEN {STEADY} ELSE {SWELLING} END AS rms_db"
 
 
 @query("SELECT 'n' || n_nationkey AS name, (3 + n_nationkey % 4)::DOUBLE AS duration_s FROM nation")
 def wav_duration(spark, sf):
-    return R.header_seconds(R.tones(spark, sf))
+    """By the header alone, whatever chunks stand before the samples."""
+    return R.tones(spark, sf).select("name", wav.seconds(F.col("content")).alias("duration_s"))
 
 
-@query("SELECT 'n' || n_nationkey AS name, [8000, 16000, 44100, 48000][n_nationkey % 4 + 1]::INT AS rate, (1 + n_nationkey % 2)::INT AS channels, (3 + n_nationkey % 4)::DOUBLE AS duration_s, FALSE AS silent, TRUE AS short FROM nation")
+@query(f"SELECT 'n' || n_nationkey AS name, NULL::VARCHAR AS fault, [8000, 16000, 44100, 48000][n_nationkey % 4 + 1]::INT AS rate, (1 + n_nationkey % 2)::INT AS channels, (3 + n_nationkey % 4)::DOUBLE AS duration_s, {FACTS}, FALSE AS silent, TRUE AS short FROM nation")
 def audio_scan(spark, sf):
-    """What recordings of several rates and channels are like at the common rate."""
-    return A.tracks(R.tones(spark, sf)).select("name", "rate", "channels", "duration_s", "silent", "short")
+    """What recordings of several rates, channels and forms are like at the common rate."""
+    return A.scan(R.tones(spark, sf)).select("name", "fault", "rate", "channels", "duration_s", F.round("peak_db").alias("peak_db"), F.round("rms_db").alias("rms_db"), "silent", "short")
 
 
-@query("SELECT 'n' || n_nationkey AS name, 16000 AS rate, 1 AS channels, (3 + n_nationkey % 4)::DOUBLE AS duration_s FROM nation")
+@query(f"SELECT 'n' || n_nationkey AS name, 16000 AS rate, 1 AS channels, (3 + n_nationkey % 4)::DOUBLE AS duration_s, {FACTS} FROM nation")
 def audio_convert(spark, sf):
     """Recordings written in the common form and read again."""
-    return A.tracks(A.converted(R.tones(spark, sf))).select("name", "rate", "channels", "duration_s")
+    return A.scan(A.converted(R.tones(spark, sf))).select("name", "rate", "channels", "duration_s", F.round("peak_db").alias("peak_db"), F.round("rms_db").alias("rms_db"))
 
 
-@query("SELECT 'n' || n_nationkey AS name, (100 + 8 * n_nationkey)::BIGINT AS hz FROM nation WHERE n_nationkey % 3 = 0")
+@query("SELECT 'n' || n_nationkey AS name, (100 + 8 * n_nationkey)::BIGINT AS hz FROM nation")
 def audio_pitch(spark, sf):
-    """The pitch of steady tones: the median of their frames."""
-    steady = R.tones(spark, sf).where("cast(substring(name, 2) AS int) % 3 = 0")
-    return A.pitches(steady).where("f0 > 0").groupBy("name").agg(F.round(F.percentile("f0", 0.5)).cast("long").alias("hz"))
+    """The pitch of tones: the median of their frames."""
+    frames = A.pitches(C.resampled(C.cut(R.tones(spark, sf))))
+    return frames.where("f0 > 0").groupBy("name").agg(F.round(F.percentile("f0", 0.5)).cast("long").alias("hz"))
 
 
-@query("SELECT 'n' || n_nationkey AS name, 'mm' AS label FROM nation")
+@query("SELECT 'n' || n_nationkey AS name, CASE WHEN hz < 500 THEN 'mm' ELSE 'er' END AS label, (hz // 32)::BIGINT AS near FROM (SELECT n_nationkey, 4 * (100 + 8 * n_nationkey) AS hz FROM nation)")
 def audio_voice(spark, sf):
-    """The label that the centre of the spectrum gives: all tones are below 500 Hz."""
-    return A.voices(R.tones(spark, sf)).select("name", "label")
+    """The label that the centre of the spectrum gives, and the centre to some 30 Hz: tones from 400 to 1,168 Hz."""
+    sounds = C.resampled(C.cut(R.tones(spark, sf, pitch=4))).select("name", "rate", "samples")
+    return A.labels(sounds).select("name", "label", F.floor((F.col("centroid_hz") + 8) / 32).alias("near"))
 
 
 @query()
 def audio_jitter(spark, sf):
-    return A.voices(R.tones(spark, sf)).select("name", r6("jitter_pct"), r6("shimmer_pct"), "start_jitter_ratio")
+    return A.voices(C.resampled(C.cut(R.tones(spark, sf), A.VOICE_S))).select("name", r6("jitter_pct"), r6("shimmer_pct"), "start_jitter_ratio")
 
 
 @query()
 def live_tempo(spark, sf):
-    return A.tempos(R.tones(spark, sf)).select("name", "peaks", "speech_s", r6("wpm"))
+    return A.tempos(C.envelopes(C.resampled(C.cut(R.tones(spark, sf))))).select("name", "peaks", "speech_s", r6("wpm"))
 
 
-@query("SELECT 'n' || n_nationkey AS name, (10 * (3 + n_nationkey % 4))::BIGINT AS n FROM nation")
+@query("""
+    SELECT 'n' || n_nationkey AS name, k, round(10 * log10(0.125 * CASE WHEN n_nationkey % 3 = 0 THEN 1 ELSE
+        10 * ((3 * 0.1 / 8) - (sin(8 * pi() * (k + 1) / 10) - sin(8 * pi() * k / 10)) / (16 * pi()) + (sin(16 * pi() * (k + 1) / 10) - sin(16 * pi() * k / 10)) / (128 * pi())) END))::BIGINT AS db
+    FROM nation, range(0, 60) r(k) WHERE k < 10 * (3 + n_nationkey % 4)""")
 def level_meter(spark, sf):
-    return A.meters(R.tones(spark, sf)).groupBy("name").agg(F.count("db").alias("n"))
+    """Levels in whole dB: the mean of the fourth power of a sine over a tenth of a second, where the tone swells."""
+    return A.meters(C.resampled(C.cut(R.tones(spark, sf)))).select("name", "k", F.round("db").cast("long").alias("db"))
+
+
+def recorded(spark, sf):
+    """Frames from the samples of recorded meetings, within their words."""
+    own = staged(sentenced(spark, sf), "recorded-words")
+    return own, staged(R.heard(R.spoken(own), own), "recorded-frames")
+
+
+@query(over("SELECT meeting_id, i, (100 + (meeting_id * 13 + i * 7) % 60)::BIGINT AS hz, (floor((end_ms - 50) / 10) - ceil(start_ms / 10) + 1)::BIGINT AS n, (round(20 * log10(0.5 / sqrt(2))) - (meeting_id * 5 + i * 11) % 20)::BIGINT AS db FROM words WHERE track = 'mic'"))
+def recorded_pitch(spark, sf):
+    """Pitch, frames and level of each word of a recorded meeting, worked out from samples."""
+    _, frames = recorded(spark, sf)
+    level = F.round(F.percentile("db", 0.5)).cast("long")
+    return frames.groupBy("meeting_id", "i").agg(F.round(F.percentile(F.when(F.col("f0") > 0, F.col("f0")), 0.5)).cast("long").alias("hz"), F.count(F.lit(1)).alias("n"), level.alias("db"))
+
+
+@query()
+def recorded_voice(spark, sf):
+    """The metrics of the voice of recorded meetings, from samples."""
+    own, frames = recorded(spark, sf)
+    sentences = G.sentences(own)
+    return P.voice(frames, P.decays(frames, sentences), P.rises(frames, sentences))
+
+
+@query()
+def recorded_jitter(spark, sf):
+    """Unsteadiness of recorded meetings, and that of their first two minutes over the rest."""
+    return A.voices(R.spoken(D.words(spark, sf), seconds=A.VOICE_S))
 
 
 def smoothed(spark, sf):
@@ -72,14 +115,14 @@ def envelope_smooth(spark, sf):
 @query(over("""
     SELECT meeting_id, i, count(*) FILTER (on_) AS active, count(*) FILTER (near) AS speech
     FROM (SELECT *, max(on_::INT) OVER (PARTITION BY meeting_id, i ORDER BY t_ms ROWS BETWEEN 20 PRECEDING AND 20 FOLLOWING) = 1 AS near
-        FROM (SELECT s.*, level > greatest(least(mid + 2, top - 3), -75) AS on_
+        FROM (SELECT s.*, level > greatest(least(mid + 6, top - 12), -75) AS on_
             FROM smooth s JOIN (SELECT meeting_id, i, median(level) AS mid, max(level) AS top FROM smooth GROUP BY 1, 2) USING (meeting_id, i)))
     GROUP BY 1, 2"""))
 def envelope_activity(spark, sf):
-    """Frames above a threshold by median and maximum, and those within 200 ms of one."""
+    """Frames above the threshold of the tempo, by median and maximum, and those within 200 ms of one."""
     s = smoothed(spark, sf)
     bounds = s.groupBy("meeting_id", "i").agg(F.percentile("level", 0.5).alias("mid"), F.max("level").alias("top"))
-    on = F.col("level") > F.greatest(F.least(F.col("mid") + 2, F.col("top") - 3), F.lit(-75.0))
+    on = F.col("level") > F.greatest(F.least(F.col("mid") + 6, F.col("top") - 12), F.lit(-75.0))
     near = Window.partitionBy("meeting_id", "i").orderBy("t_ms").rowsBetween(-20, 20)
     rows = s.join(bounds, ["meeting_id", "i"]).withColumn("on", on).withColumn("near", F.max("on").over(near))
     return rows.groupBy("meeting_id", "i").agg(F.count_if("on").alias("active"), F.count_if("near").alias("speech"))

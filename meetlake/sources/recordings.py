@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import io
-import wave
+import struct
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meetlake.operators import chunks as C
+from meetlake.operators import sound, wav
 from meetlake.sources.adapters import table
 
 
@@ -18,32 +19,65 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("name"), "content")
 
 
-def header_seconds(recordings: DataFrame) -> DataFrame:
-    """name, duration_s by the header alone: the bytes of the data chunk over those of a second (a header of 44 bytes)."""
-    digits = F.hex(F.substring("content", 1, 44))
-    number = lambda at: F.conv(F.concat(*(F.substring(digits, 2 * (at + k) + 1, 2) for k in (3, 2, 1, 0))), 16, 10).cast("long")
-    return recordings.select("name", F.try_divide(number(40), number(28)).alias("duration_s"))
-
-
-def tone(hz: float, seconds: float, rate: int, channels: int, burst: float) -> bytes:
-    """A WAV file of a tone that swells and falls `burst` times a second (always on for 0)."""
+def tone(hz: float, seconds: float, rate: int, channels: int, burst: float, real: bool = False, note: bytes = b"") -> bytes:
+    """A WAV file of a tone that swells and falls `burst` times a second (always on for 0); real: of floating-point samples; note: a chunk before them."""
     t = np.arange(int(seconds * rate)) / rate
     x = 0.5 * np.sin(2 * np.pi * hz * t) * (np.maximum(0.02, np.sin(np.pi * burst * t) ** 2) if burst else 1)
-    out = io.BytesIO()
-    with wave.open(out, "wb") as w:
-        w.setnchannels(channels)
-        w.setsampwidth(2)
-        w.setframerate(rate)
-        w.writeframes(np.repeat(np.rint(x * 32767).astype("<i2"), channels).tobytes())
-    return out.getvalue()
+    raw = np.repeat(x.astype("<f4") if real else np.rint(x * 32767).astype("<i2"), channels).tobytes()
+    width = channels * (4 if real else 2)
+    head = struct.pack("<4sIHHIIHH", b"fmt ", 16, wav.FLOAT if real else wav.WHOLE, channels, rate, rate * width, width, 32 if real else 16)
+    more = struct.pack("<4sI", b"LIST", len(note)) + note + b"\0" * (len(note) % 2) if note else b""
+    body = b"WAVE" + head + more + struct.pack("<4sI", b"data", len(raw)) + raw
+    return struct.pack("<4sI", b"RIFF", len(body)) + body
 
 
-def tones(spark: SparkSession, sf: str) -> DataFrame:
-    """name, content: a recording for each nation; its number sets pitch (100 Hz and 8 more for each), length, rate, channels and bursts."""
+def tones(spark: SparkSession, sf: str, pitch: int = 1) -> DataFrame:
+    """name, content: a recording for each nation; its number sets pitch (100 Hz and 8 more for each, times `pitch`), length, rate, channels, bursts and form."""
     rates = (8_000, 16_000, 44_100, 48_000)
 
     def run(frames):
         for f in frames:
-            yield pd.DataFrame({"name": [f"n{k}" for k in f["n_nationkey"]], "content": [tone(100 + 8 * k, 3 + k % 4, rates[k % 4], 1 + k % 2, 4 if k % 3 else 0) for k in f["n_nationkey"]]})
+            made = [tone(pitch * (100 + 8 * k), 3 + k % 4, rates[k % 4], 1 + k % 2, 4 if k % 3 else 0, k % 7 == 3, b"made" * (k % 5)) for k in f["n_nationkey"]]
+            yield pd.DataFrame({"name": [f"n{k}" for k in f["n_nationkey"]], "content": made})
 
     return table(spark, sf, "nation").select("n_nationkey").mapInPandas(run, "name string, content binary")
+
+
+def spoken(words: DataFrame, rate: int = 8_000, seconds: int = C.CHUNK_S) -> DataFrame:
+    """Chunks (SCHEMA, named by meeting) of what the mic of each meeting would record: a steady tone for each word, silence between.
+
+    A word's pitch is 100 Hz and up to 59 more, its level up to 19 dB below half of full scale, both by meeting and place.
+    """
+    ms = 1000 * seconds
+    m, i = F.col("meeting_id"), F.col("i")
+    mic = words.where("track = 'mic'").select("meeting_id", F.struct("start_ms", "end_ms", (100 + (m * 13 + i * 7) % 60).alias("hz"), ((m * 5 + i * 11) % 20).alias("below")).alias("w"))
+    ends = mic.groupBy("meeting_id").agg(F.max("w.end_ms").alias("end_ms"))
+    parts = ends.select("meeting_id", F.ceil(F.col("end_ms") / ms).cast("int").alias("parts"), (F.col("end_ms") * rate / 1000).cast("long").alias("n"))
+    parts = parts.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    said = mic.select("meeting_id", "w", F.explode(F.sequence(F.floor(F.col("w.start_ms") / ms).cast("int"), F.floor((F.col("w.end_ms") - 1) / ms).cast("int"))).alias("part"))
+    said = said.groupBy("meeting_id", "part").agg(F.collect_list("w").alias("ws"))
+
+    def run(frames):
+        for f in frames:
+            for row in f.itertuples(index=False):
+                first = row.part * seconds * rate
+                t = np.arange(first, min(first + seconds * rate, row.n)) / rate
+                x = np.zeros(len(t), np.float32)
+                for w in row.ws if row.ws is not None else ():
+                    a, b = np.searchsorted(t, (w["start_ms"] / 1000, w["end_ms"] / 1000))
+                    x[a:b] = 0.5 * 10 ** (-w["below"] / 20) * np.sin(2 * np.pi * w["hz"] * (t[a:b] - w["start_ms"] / 1000))
+                yield pd.DataFrame([(str(row.meeting_id), row.part, row.parts, first, row.n, rate, 1, x)], columns=C.COLUMNS)
+
+    return parts.join(said, ["meeting_id", "part"], "left").mapInPandas(run, C.SCHEMA)
+
+
+def heard(chunks: DataFrame, words: DataFrame, window_ms: int = 50) -> DataFrame:
+    """meeting_id, i, sentence_i, t_ms, f0, db: the frames of recorded meetings that lie within a word of the mic.
+
+    Words are dealt to the numbers of their frames, so that both meet by meeting and frame; words: with sentence_i.
+    """
+    step = 10
+    first, last = F.ceil(F.col("start_ms") / step), F.floor((F.col("end_ms") - window_ms) / step)
+    places = words.where("track = 'mic'").select("meeting_id", "i", "sentence_i", F.when(first <= last, F.sequence(first, last)).alias("ks"))
+    places = places.select(F.col("meeting_id").cast("string").alias("name"), "meeting_id", "i", "sentence_i", F.explode("ks").alias("k"))
+    return sound.pitches(chunks).join(places, ["name", "k"]).select("meeting_id", "i", "sentence_i", (F.col("k") * step).alias("t_ms"), "f0", "db")
