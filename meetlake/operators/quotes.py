@@ -8,11 +8,14 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from meetlake.functions import text as T
 from meetlake.operators.events import nearest
+from meetlake.sources.shared import staged
 
-# Items that fill a checklist.
+# Questions that are likely in any meeting, and items that fill a checklist.
+QUESTIONS = ["what should come out of this meeting", "who does what next, and by when", "what could go wrong"]
 CHECKLIST = ["goal of the meeting", "first sentence", "two facts", "likely question", "next step"]
 
 
@@ -31,56 +34,112 @@ def _bounds(query: list[str], keys: list[str], n: int) -> list[tuple[float, int]
     return out
 
 
-def match(query: list[str], keys: list[str], slack: int = 3, by_word: float = 0.8, by_char: float = 0.85) -> tuple[int, int, float] | None:
-    """(start, length, ratio) of the window most like the query; ties go to the length nearest to its own, then the earlier.
+#: Words that begin the windows of a block, and quotes that a task compares with a block at a time.
+BLOCK, QUOTES = 512, 64
+
+
+def _order(query: list[str], slack: int, most: int) -> list[int]:
+    """Lengths of windows, those nearest to the query's first."""
+    n = len(query)
+    return sorted((k for k in range(max(1, n - slack), n + slack + 1) if k <= most), key=lambda k: (abs(k - n), k))
+
 
-    By words first, then by characters. Windows whose bound is below the threshold or the best found are not compared.
+def best_window(query: list[str], keys: list[str], own: int, slack: int = 3, least: float = 0.8, chars: bool = False) -> tuple[float, int, int] | None:
+    """(ratio, length, start) of the window that is most like the query, of those that begin in the first `own` keys; null below `least`.
+
+    Ties go to the length nearest to its own, then the earlier. By words or by characters; windows whose bound is
+    below the threshold or the best found are not compared.
     """
+    best = None
+    whole = " ".join(query) if chars else query
+    matcher = SequenceMatcher(None, autojunk=False)
+    matcher.set_seq1(whole)  # the ratio depends on which side is which: the quote is the first
+    for n in _order(query, slack, len(keys)):
+        starts = min(own, len(keys) - n + 1)
+        for bound, at in [(1.0, i) for i in range(starts)] if chars else _bounds(query, keys[: starts + n - 1], n):
+            floor = max(least, best[0] + 1e-9 if best else 0)
+            if bound < floor:
+                continue
+            matcher.set_seq2(" ".join(keys[at : at + n]) if chars else keys[at : at + n])
+            if chars and (matcher.real_quick_ratio() < floor or matcher.quick_ratio() < floor):
+                continue
+            if (ratio := matcher.ratio()) >= floor:
+                best = ratio, n, at
+    return best
+
+
+def match(query: list[str], keys: list[str], slack: int = 3, by_word: float = 0.8, by_char: float = 0.85) -> tuple[int, int, float] | None:
+    """(start, length, ratio) of the window of all keys most like the query: by words first, then by characters."""
     if not query or not keys:
         return None
-    lengths = sorted((n for n in range(max(1, len(query) - slack), len(query) + slack + 1) if n <= len(keys)), key=lambda n: (abs(n - len(query)), n))
     for chars, least in ((False, by_word), (True, by_char)):
-        best = None
-        whole = " ".join(query) if chars else query
-        matcher = SequenceMatcher(None, autojunk=False)
-        matcher.set_seq1(whole)  # the ratio depends on which side is which: the quote is the first
-        for n in lengths:
-            for bound, at in [(1.0, i) for i in range(len(keys) - n + 1)] if chars else _bounds(query, keys, n):
-                floor = max(least, best[2] + 1e-9 if best else 0)
-                if bound < floor:
-                    continue
-                matcher.set_seq2(" ".join(keys[at : at + n]) if chars else keys[at : at + n])
-                if chars and (matcher.real_quick_ratio() < floor or matcher.quick_ratio() < floor):
-                    continue
-                if (ratio := matcher.ratio()) >= floor:
-                    best = at, n, ratio
-        if best:
-            return best
+        if best := best_window(query, keys, len(keys), slack, least, chars):
+            return best[2], best[1], best[0]
     return None
 
 
-def find(quotes: DataFrame, words: DataFrame, slack: int = 3) -> DataFrame:
-    """meeting_id, quote_id, start_ms, word_from, word_to, ratio, text for each quote (meeting_id, quote_id, quote) that its meeting's words hold.
+def placed(words: DataFrame, block: int = BLOCK) -> DataFrame:
+    """meeting_id, pos, i, start_ms, text, key of the words that have a key; pos counts them, block by block, so that no task numbers a meeting."""
+    said = words.select("meeting_id", "i", "start_ms", "text", T.match_key("text").alias("key")).where("key <> ''").withColumn("_b", F.floor(F.col("i") / block))
+    counts = said.groupBy("meeting_id", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("meeting_id", "_b", (F.sum("_n").over(Window.partitionBy("meeting_id").orderBy("_b")) - F.col("_n")).alias("_before"))
+    at = F.row_number().over(Window.partitionBy("meeting_id", "_b").orderBy("i", "start_ms", "text")) - 1
+    return said.withColumn("_at", at).join(before, ["meeting_id", "_b"]).withColumn("pos", F.col("_at") + F.col("_before")).drop("_b", "_at", "_before")
 
-    One row for a meeting carries its words (some thousands, as long as a person speaks); quotes meet it by meeting.
-    """
-    key = T.match_key("text")
-    said = words.select("meeting_id", F.struct("i", "start_ms", "text", key.alias("key")).alias("w")).where("w.key <> ''").groupBy("meeting_id").agg(F.sort_array(F.collect_list("w")).alias("ws"))
-    asked = quotes.select("meeting_id", "quote_id", F.filter(F.transform(F.split("quote", r"\s+"), T.match_key), lambda k: k != "").alias("q")).groupBy("meeting_id").agg(F.collect_list(F.struct("quote_id", "q")).alias("qs"))
 
-    def run(frames):
-        for f in frames:
-            out = []
-            for meeting, ws, qs in zip(f["meeting_id"], f["ws"], f["qs"], strict=True):
-                keys = [w["key"] for w in ws]
-                for q in qs:
-                    if hit := match(list(q["q"]), keys, slack):
-                        a, n, ratio = hit
-                        out.append((meeting, q["quote_id"], ws[a]["start_ms"], ws[a]["i"], ws[a + n - 1]["i"], round(ratio, 6), " ".join(w["text"] for w in ws[a : a + n])))
-            yield pd.DataFrame(out, columns=["meeting_id", "quote_id", "start_ms", "word_from", "word_to", "ratio", "text"])
+def blocks(said: DataFrame, longest: DataFrame, block: int = BLOCK) -> DataFrame:
+    """meeting_id, block, ws: a block's words and those behind it that its last window needs. said: placed(); longest: meeting_id, longest."""
+    first = F.greatest(F.floor((F.col("pos") - F.col("longest") + 1) / block), F.lit(0))
+    rows = said.join(longest, "meeting_id").withColumn("block", F.explode(F.sequence(first, F.floor(F.col("pos") / block))))
+    return rows.groupBy("meeting_id", "block").agg(F.sort_array(F.collect_list(F.struct("pos", "i", "start_ms", "text", "key"))).alias("ws"))
+
 
-    kinds = dict(quotes.dtypes)
-    return said.join(asked, "meeting_id").mapInPandas(run, f"meeting_id {kinds['meeting_id']}, quote_id {kinds['quote_id']}, start_ms long, word_from long, word_to long, ratio double, text string")
+def find(quotes: DataFrame, words: DataFrame, slack: int = 3, block: int = BLOCK) -> DataFrame:
+    """meeting_id, quote_id, start_ms, word_from, word_to, ratio, text for each quote (meeting_id, quote_id, quote) that its meeting's words hold.
+
+    A meeting's words come in blocks, which overlap by the longest window; a task compares some quotes with a block. By words,
+    a quote meets the blocks that hold one of its words that are rarest in the meeting, so many that a window without any
+    of them holds too few of all. A quote that is not found so is compared by characters with every block of its meeting
+    (a set of queries against all rows, in blocks).
+    """
+    keys, kinds = ["meeting_id", "quote_id"], dict(quotes.dtypes)
+    q = quotes.select(*keys, F.filter(F.transform(F.split("quote", r"\s+"), T.match_key), lambda k: k != "").alias("q")).where(F.size("q") > 0)
+    said = placed(words, block)
+    longest = q.groupBy("meeting_id").agg((F.max(F.size("q")) + slack).alias("longest"))
+    parts = staged(blocks(said, longest, block), "blocks")
+
+    def compared(met: DataFrame, chars: bool, least: float) -> DataFrame:
+        """The best window of each quote, of the blocks that it met (meeting_id, quote_id, q, block)."""
+        some = met.groupBy("meeting_id", "block", F.pmod(F.xxhash64("quote_id"), F.lit(QUOTES)).alias("_s")).agg(F.collect_list(F.struct("quote_id", "q")).alias("qs"))
+
+        def run(frames):
+            for f in frames:
+                out = []
+                for meeting, ws, qs in zip(f["meeting_id"], f["ws"], f["qs"], strict=True):
+                    held, own = [w["key"] for w in ws], sum(w["pos"] // block == ws[0]["pos"] // block for w in ws)
+                    for one in qs:
+                        if hit := best_window(list(one["q"]), held, own, slack, least, chars):
+                            ratio, n, a = hit
+                            out.append((meeting, one["quote_id"], abs(n - len(one["q"])), n, ws[a]["pos"], ws[a]["start_ms"], ws[a]["i"], ws[a + n - 1]["i"], ratio, " ".join(w["text"] for w in ws[a : a + n])))
+                yield pd.DataFrame(out, columns=["meeting_id", "quote_id", "off", "n", "pos", "start_ms", "word_from", "word_to", "ratio", "text"])
+
+        schema = f"meeting_id {kinds['meeting_id']}, quote_id {kinds['quote_id']}, off long, n long, pos long, start_ms long, word_from long, word_to long, ratio double, text string"
+        rows = some.join(parts, ["meeting_id", "block"]).mapInPandas(run, schema)
+        best = F.min_by(F.struct("start_ms", "word_from", "word_to", "ratio", "text"), F.struct(-F.col("ratio"), "off", "n", "pos")).alias("b")
+        return rows.groupBy(*keys).agg(best).select(*keys, "b.*")
+
+    often = said.groupBy("meeting_id", "key").agg(F.count(F.lit(1)).alias("often"))
+    size = F.size("q")
+    need = F.ceil(0.4 * (size + F.greatest(size - slack, F.lit(1))))  # words that a window must share
+    each = F.transform("q", lambda k, n: F.struct(k.alias("key"), n.alias("n")))
+    asked = q.select(*keys, "q", (size - need + 1).alias("rare"), F.inline(each)).join(often, ["meeting_id", "key"], "left")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.coalesce("often", F.lit(0)), "key", "n"))
+    asked = asked.withColumn("place", place).where("place <= rare AND often IS NOT NULL")
+    held = parts.select("meeting_id", "block", F.explode(F.array_distinct("ws.key")).alias("key"))
+    by_word = staged(compared(asked.join(held, ["meeting_id", "key"]).select(*keys, "q", "block").distinct(), False, 0.8), "quotes-by-word")
+    left = q.join(by_word.select(*keys), keys, "left_anti")
+    by_char = compared(left.join(parts.select("meeting_id", "block"), "meeting_id"), True, 0.85)
+    return by_word.unionByName(by_char).withColumn("ratio", F.round("ratio", 6))
 
 
 def first_at(found: DataFrame) -> DataFrame:
@@ -89,32 +148,65 @@ def first_at(found: DataFrame) -> DataFrame:
     return found.withColumn("_p", place).where("_p = 1").drop("_p")
 
 
+@F.pandas_udf(DoubleType())
+def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Twice the words that the longest common runs of two arrays hold, over all their words; 0 where they share too few for a half."""
+
+    def one(x, y) -> float:
+        x, y = list(x), list(y)
+        shared = sum((Counter(x) & Counter(y)).values())
+        return SequenceMatcher(None, x, y, autojunk=False).ratio() if 4 * shared >= len(x) + len(y) else 0.0
+
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+
+
+def rarest(rows: DataFrame, keys: list[str], words: str, count: Column, often: DataFrame) -> DataFrame:
+    """keys, k, o of the `count` words of each row that are rarest in its meeting; o tells a word's occurrences in the row apart."""
+    each = rows.select(*keys, count.alias("_count"), F.explode(words).alias("k"))
+    each = each.withColumn("o", F.row_number().over(Window.partitionBy(*keys, "k").orderBy(F.lit(0)))).join(often, ["meeting_id", "k"], "left")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.coalesce("often", F.lit(0)), "k", "o"))
+    return each.withColumn("_p", place).where("_p <= _count").select(*keys, "k", "o")
+
+
+def alike(q: DataFrame, said: DataFrame, least: float = 0.5) -> DataFrame:
+    """Pairs (meeting_id, question_id, sentence_i) of texts whose sequence ratio may reach `least`; none that does is left out.
+
+    Such texts share so many words that each shares one of its rarest with the other; they meet by meeting and that word.
+    """
+    half = least / 2
+    spare = lambda n: n - F.ceil(half * (n + F.ceil(n * half / (1 - half)))) + 1  # noqa: E731  the other has half / (1 - half) as many words at least
+    often = said.select("meeting_id", F.explode("sa").alias("k")).groupBy("meeting_id", "k").agg(F.count(F.lit(1)).alias("often"))
+    a = rarest(q, ["meeting_id", "question_id"], "qa", spare(F.size("qa")), often)
+    b = rarest(said, ["meeting_id", "sentence_i"], "sa", spare(F.size("sa")), often)
+    return a.join(b, ["meeting_id", "k", "o"]).select("meeting_id", "question_id", "sentence_i").distinct()
+
+
 def anchor(questions: DataFrame, sentences: DataFrame, least: float = 0.5, bonus: float = 0.1, within_ms: int = 20_000) -> DataFrame:
-    """meeting_id, question_id, sentence_i, score: the sentence with the largest share of a question's words, the nearest of equal ones.
+    """meeting_id, question_id, sentence_i, score: the sentence most like a question, the nearest of equal ones.
 
-    A sentence that asks gets a bonus. Sentences meet questions by meeting and word, never by meeting alone: by those of
+    Alike is the larger of the share of the question's words that a sentence holds and the sequence ratio of both. A
+    sentence that asks gets a bonus. Sentences meet questions by meeting and word, never by meeting alone: by those of
     a question's words that are rarest in the meeting, so many that a sentence without any of them holds too few of all;
     a question of which no sentence holds enough goes to the nearest sentence that asks within the distance, then to the nearest
     sentence (score null); one that has none keeps its own time (sentence_i and score null). Words of one or two letters
-    count only where a text has no others.
+    count only where a text has no others, for the share; for the ratio all do.
     """
-    every = lambda c: F.array_distinct(F.filter(F.transform(F.split(c, r"\s+"), T.match_key), lambda k: k != ""))
-    long_ = lambda c: F.filter(every(c), lambda k: F.length(k) > 2)
-    split = lambda c: F.when(F.size(long_(c)) > 0, long_(c)).otherwise(every(c))
-    q = questions.select("meeting_id", "question_id", F.col("start_ms").alias("at"), split("question").alias("qk"))
-    said = sentences.select("meeting_id", "sentence_i", "start_ms", "is_question", split("text").alias("sk"))
+    all_ = lambda c: F.filter(F.transform(F.split(c, r"\s+"), T.match_key), lambda k: k != "")
+    long_ = lambda c: F.filter(c, lambda k: F.length(k) > 2)
+    split = lambda c: F.array_distinct(F.when(F.size(long_(c)) > 0, long_(c)).otherwise(c))
+    q = questions.select("meeting_id", "question_id", F.col("start_ms").alias("at"), all_("question").alias("qa")).withColumn("qk", split(F.col("qa")))
+    said = sentences.select("meeting_id", "sentence_i", "start_ms", "is_question", all_("text").alias("sa")).withColumn("sk", split(F.col("sa")))
     uses = said.select("meeting_id", F.explode("sk").alias("k"))
     often = uses.groupBy("meeting_id", "k").agg(F.count(F.lit(1)).alias("often"))
     nq = F.size("qk")
-    asked = q.select("meeting_id", "question_id", (nq - F.ceil(least * nq) + 1).alias("rare"), F.explode("qk").alias("k")).join(often, ["meeting_id", "k"], "left")
-    place = F.row_number().over(Window.partitionBy("meeting_id", "question_id").orderBy(F.coalesce("often", F.lit(0)), "k"))
-    asked = asked.withColumn("place", place).where("place <= rare AND often IS NOT NULL")
-    met = asked.join(said.select("meeting_id", "sentence_i", F.explode("sk").alias("k")), ["meeting_id", "k"]).select("meeting_id", "question_id", "sentence_i").distinct()
-    shared = met.join(q.withColumn("nq", nq), ["meeting_id", "question_id"]).join(said, ["meeting_id", "sentence_i"])
-    shared = shared.withColumn("n", F.size(F.array_intersect("qk", "sk"))).where(F.col("n") >= least * F.col("nq"))
-    score = F.round(F.col("n") / F.col("nq") + F.when(F.col("is_question"), bonus).otherwise(0.0), 6)
+    asked = rarest(q, ["meeting_id", "question_id"], "qk", nq - F.ceil(least * nq) + 1, often)
+    by_share = asked.join(said.select("meeting_id", "sentence_i", F.explode("sk").alias("k")), ["meeting_id", "k"]).select("meeting_id", "question_id", "sentence_i")
+    met = by_share.unionByName(alike(q, said, least)).distinct()
+    pairs = met.join(q.withColumn("nq", nq), ["meeting_id", "question_id"]).join(said, ["meeting_id", "sentence_i"])
+    pairs = pairs.withColumn("like", F.greatest(F.size(F.array_intersect("qk", "sk")) / F.col("nq"), sequence_ratio("qa", "sa"))).where(F.col("like") >= least)
+    score = F.round(F.col("like") + F.when(F.col("is_question"), bonus).otherwise(0.0), 6)
     rank = F.struct(score.alias("score"), (-F.abs(F.col("start_ms") - F.col("at"))).alias("near"), (-F.col("sentence_i")).alias("i"))
-    best = shared.groupBy("meeting_id", "question_id").agg(F.max_by(F.struct("sentence_i", score.alias("score")), rank).alias("b")).select("meeting_id", "question_id", "b.*")
+    best = pairs.groupBy("meeting_id", "question_id").agg(F.max_by(F.struct("sentence_i", score.alias("score")), rank).alias("b")).select("meeting_id", "question_id", "b.*")
     keys = ["meeting_id", "question_id"]
     for marks in (sentences.where("is_question"), sentences):
         left = questions.select(*keys, "start_ms").join(best, keys, "left_anti")
@@ -145,3 +237,9 @@ def checklist(items: Column, least: int = 5, most: int = 8) -> Column:
     own = F.array_distinct(F.filter(items, lambda x: F.trim(x) != ""))
     spare = F.array_except(F.array(*map(F.lit, CHECKLIST)), own)
     return F.slice(F.concat(own, F.slice(spare, 1, F.greatest(least - F.size(own), F.lit(0)))), 1, most)
+
+
+def likely_questions(asked: Column, count: int = 3) -> Column:
+    """The first questions that are given, without blank ones, filled to `count` from the fixed list."""
+    own = F.filter(F.transform(asked, F.trim), lambda x: x != "")
+    return F.slice(F.concat(own, F.array(*map(F.lit, QUESTIONS))), 1, count)

@@ -86,9 +86,9 @@ def test_anchor_question_is_brute_force(spark, sf):
         for q in own:
             d, qk, best = lambda r: abs(r.start_ms - q.start_ms), keys(q.qs), None  # noqa: B023, E731
             for r in own:
-                n = len(qk & keys(r.ks))
-                if qk and n and 2 * n >= len(qk):
-                    rank = (round(n / len(qk) + 0.1 * r.is_question, 6), -d(r), -r.sentence_i)
+                like = SequenceMatcher(None, [k for k in q.qs if k], [k for k in r.ks if k], autojunk=False).ratio()
+                if qk and (like := max(like, len(qk & keys(r.ks)) / len(qk))) >= 0.5:
+                    rank = (round(like + 0.1 * r.is_question, 6), -d(r), -r.sentence_i)
                     best = max(best or rank, rank)
             if best:
                 want[m, q.sentence_i] = (-best[2], best[0])
@@ -100,3 +100,49 @@ def test_anchor_question_is_brute_force(spark, sf):
     assert set(got) == set(want) and len(want) > 5 * len(of)
     for k, (i, score) in want.items():
         assert got[k][0] == i and (got[k][1] is None) == (score is None) and (score is None or abs(got[k][1] - score) < 1e-6)
+
+
+def test_ratio_join_keeps_every_pair(spark):
+    """Texts of one meeting in all pairs: no pair whose ratio reaches a half is left out, and few others are met."""
+    rng = random.Random(8)
+    texts = [(1, i, [rng.choice("abcdefghijklmnopqrstuvwxyzabab") for _ in range(rng.randrange(0, 14))]) for i in range(120)]
+    said = spark.createDataFrame(texts, "meeting_id long, sentence_i long, sa array<string>")
+    asked = spark.createDataFrame([(1, i, k) for _, i, k in texts[:60]], "meeting_id long, question_id long, qa array<string>")
+    met = {(r.question_id, r.sentence_i) for r in Q.alike(asked, said).collect()}
+    alike = {(i, j) for _, i, a in texts[:60] for _, j, b in texts if a and b and SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.5}
+    assert alike <= met and len(alike) > 60 and len(met) < 0.7 * 60 * 120
+    got = spark.createDataFrame([(a, b) for _, _, a in texts[:30] for _, _, b in texts[:30]], "a array<string>, b array<string>").withColumn("r", Q.sequence_ratio("a", "b")).collect()
+    for r in got:
+        want = SequenceMatcher(None, r.a, r.b, autojunk=False).ratio() if r.a or r.b else 0
+        assert r.r == want if want >= 0.5 else r.r in (0, want) or not (r.a or r.b)
+
+
+def test_find_by_blocks_is_match_over_whole_meetings(spark):
+    """Blocks of a few words, one meeting far longer than the others; quotes with wrong words and wrong letters."""
+    rng = random.Random(11)
+    word = lambda: rng.choice(["lantern", "meadow", "copper", "signal", "harbor", "willow", "ember", "quartz", "thicket", "marble"]) + rng.choice(["", "s", "ed"])
+    said = {m: [word() if rng.random() > 0.1 else "..." for _ in range(n)] for m, n in ((1, 400), (2, 30), (3, 9), (4, 1))}
+    words = spark.createDataFrame([(m, 2 * i, 100 * i, w) for m, own in said.items() for i, w in enumerate(own)], "meeting_id long, i long, start_ms long, text string")
+    asked = []
+    for m, own in said.items():
+        for _ in range(25):
+            a, n = rng.randrange(len(own)), rng.randrange(1, 10)
+            q = own[a : a + n]
+            if rng.random() < 0.5:
+                q[rng.randrange(len(q))] = rng.choice(["zzz", "lanterm", "signall"])
+            elif rng.random() < 0.5:
+                q = [w[:-1] if len(w) > 4 else w for w in q]
+            asked.append((m, len(asked), " ".join(q)))
+    asked += [(1, 900, ""), (1, 901, "..."), (9, 902, "lantern"), (4, 903, "lantern meadow copper signal harbor")]
+    got = {r.quote_id: r for r in Q.find(spark.createDataFrame(asked, "meeting_id long, quote_id long, quote string"), words, block=8).collect()}
+    key = lambda w: "" if w == "..." else w
+    found = 0
+    for m, i, q in asked:
+        held = [(k, w) for k, w in enumerate(said.get(m, [])) if key(w)]
+        want = Q.match([w for w in q.split() if key(w)], [w for _, w in held])
+        assert (i in got) == (want is not None), (m, i, q)
+        if want:
+            a, n, ratio = want
+            found += 1
+            assert (got[i].start_ms, got[i].word_to, got[i].ratio) == (100 * held[a][0], 2 * held[a + n - 1][0], round(ratio, 6)), (m, i, q)
+    assert found > 70
