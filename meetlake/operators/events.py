@@ -53,13 +53,15 @@ def crutch_candidates(sentenced: DataFrame, phrases: list[tuple[str, bool]], pau
 
 
 def crutches(candidates: DataFrame) -> DataFrame:
-    """Of overlapping candidates, from left to right, the longest: a fold over the few candidates of a meeting."""
-    best = candidates.groupBy("meeting_id", "j").agg(F.max_by(F.struct("j", "n", "i", "start_ms", "phrase"), "n").alias("c"))
-    ordered = best.groupBy("meeting_id").agg(F.sort_array(F.collect_list("c")).alias("cs"))
-    start = F.struct(F.lit(-1).alias("free"), F.slice("cs", 1, 0).alias("out"))
-    step = lambda s, c: F.when(c["j"] >= s["free"], F.struct((c["j"] + c["n"]).alias("free"), F.concat(s["out"], F.array(c)).alias("out"))).otherwise(s)
-    picked = F.aggregate("cs", start, step, lambda s: s["out"])
-    return ordered.select("meeting_id", F.explode(picked).alias("c")).select("meeting_id", "c.i", "c.n", "c.start_ms", "c.phrase")
+    """Of overlapping candidates, from left to right, the longest: a running state over a meeting's candidates, the first word that is free."""
+
+    def step(free, row):
+        return (free, []) if free is not None and row.j < free else (row.j + row.n, [(row.i, row.n, row.start_ms, row.phrase)])
+
+    best = candidates.groupBy("meeting_id", "j").agg(F.max_by(F.struct("n", "i", "start_ms", "phrase"), "n").alias("c")).select("meeting_id", "j", "c.*")
+    kinds = dict(candidates.dtypes)
+    schema = f"i {kinds['i']}, n {kinds['n']}, start_ms long, phrase string"
+    return S.folded(best, ["meeting_id"], ["j"], schema, step, lambda free: [])
 
 
 def sentence_at(points: DataFrame, sentenced: DataFrame, at: str) -> DataFrame:
@@ -123,3 +125,19 @@ def hallucinated(segments: DataFrame, speech: DataFrame, phrases: list[str]) ->
     out = out.withColumn("suspicious", (F.col("said_ms") < 0.5 * (F.col("end_ms") - F.col("start_ms"))) | doubt)
     known = F.lower("text").rlike("|".join(phrases)) if phrases else F.lit(False)
     return out.withColumn("dropped", F.col("suspicious") & (known | ((F.col("no_speech") > 0.85) & (F.col("logprob") < -1.0))))
+
+
+def first_within(points: DataFrame, marks: DataFrame, value: str, by: list[str], within_ms: int) -> DataFrame:
+    """points (meeting_id, start_ms, by, ...) with the value of the first mark that begins less than the distance away; null where there is none."""
+    around = points.select("meeting_id", *by, F.col("start_ms").alias("_at"), (F.col("start_ms") - within_ms + 1).alias("start_ms"), (F.col("start_ms") + within_ms).alias("end_ms"))
+    spots = marks.select("meeting_id", "start_ms", (F.col("start_ms") + 1).alias("end_ms"))
+    first = S.overlapping(around, spots, ["meeting_id"]).groupBy("meeting_id", *by, "_at").agg(F.min("b_start").alias("_s"))
+    values = marks.groupBy("meeting_id", F.col("start_ms").alias("_s")).agg(F.min(value).alias(value))
+    found = first.join(values, ["meeting_id", "_s"]).select("meeting_id", *by, F.col("_at").alias("start_ms"), value)
+    return points.join(found, ["meeting_id", *by, "start_ms"], "left")
+
+
+def layers(events: DataFrame, durations: DataFrame, kinds: list[str]) -> DataFrame:
+    """meeting_id, kind, at, wide of the events of these kinds, as shares of their meeting. durations: meeting_id, duration_ms."""
+    own = events.where(F.col("kind").isin(kinds)).join(durations, "meeting_id")
+    return own.select("meeting_id", "kind", (F.col("start_ms") / F.col("duration_ms")).alias("at"), ((F.col("end_ms") - F.col("start_ms")) / F.col("duration_ms")).alias("wide"))

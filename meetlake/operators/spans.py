@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,22 +95,48 @@ def vad(words: DataFrame, gap_ms: int = 150, pad_ms: int = 30) -> DataFrame:
     return merged.select(*KEYS, F.greatest(F.col("start_ms") - pad_ms, F.lit(0)).alias("start_ms"), (F.col("end_ms") + pad_ms).alias("end_ms"))
 
 
-def speech_chunks(spans: DataFrame, gap_ms: int = 1000, longest_ms: int = 28_000, pad_ms: int = 250) -> DataFrame:
-    """Spans joined greedily across gaps below gap_ms up to longest_ms; longer ones split into equal parts; padded.
+def folded(rows: DataFrame, keys: list[str], order: list[str], schema: str, step: Callable[[Any, Any], tuple[Any, list[tuple]]], end: Callable[[Any], list[tuple]]) -> DataFrame:
+    """What a running state emits over the rows of each group in their order: one pass, in the memory of the state.
 
-    The greedy join is a fold over a meeting's spans: Spark's aggregate() on their ordered array.
+    step(state, row) gives the next state (null before a group's first row) and the rows it lets go; end(state) those that
+    are left when the group ends. schema: of what is emitted, without the keys.
     """
-    ordered = normalize(spans).groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("start_ms", "end_ms"))).alias("s"), F.max("end_ms").alias("last"))
+    kinds = dict(rows.dtypes)
+    names = [*keys, *(c.split()[0] for c in schema.split(", "))]
+
+    def run(frames):
+        key, state = None, None
+        for f in frames:
+            out = []
+            for row in f.itertuples(index=False):
+                own = tuple(getattr(row, k) for k in keys)
+                if own != key:
+                    if key is not None:
+                        out += [(*key, *r) for r in end(state)]
+                    key, state = own, None
+                state, done = step(state, row)
+                out += [(*key, *r) for r in done]
+            yield pd.DataFrame(out, columns=names)
+        if key is not None:
+            yield pd.DataFrame([(*key, *r) for r in end(state)], columns=names)
+
+    sorted_ = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return sorted_.mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), schema]))
 
-    def step(done, x):
-        top = F.element_at(done, -1)
-        fits = (F.size(done) > 0) & (x["start_ms"] - F.coalesce(top["end_ms"], F.lit(0)) < gap_ms) & (x["end_ms"] - F.coalesce(top["start_ms"], F.lit(0)) <= longest_ms)
-        grown = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(top["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"))))
-        return F.when(fits, grown).otherwise(F.concat(done, F.array(x)))
 
-    first = F.slice(F.col("s"), 1, 1)
-    joined = F.aggregate(F.slice(F.col("s"), 2, F.greatest(F.size("s"), F.lit(1))), first, step)
-    parts = ordered.select(*KEYS, "last", F.explode(joined).alias("c")).select(*KEYS, "last", "c.*")
+def speech_chunks(spans: DataFrame, gap_ms: int = 1000, longest_ms: int = 28_000, pad_ms: int = 250) -> DataFrame:
+    """Spans joined greedily across gaps below gap_ms up to longest_ms; longer ones split into equal parts; padded.
+
+    The greedy join is a running state over a meeting's spans: the one that may still grow.
+    """
+    def step(open_, row):
+        if open_ and row.start_ms - open_[1] < gap_ms and row.end_ms - open_[0] <= longest_ms:
+            return (open_[0], row.end_ms), []
+        return (row.start_ms, row.end_ms), [open_] if open_ else []
+
+    own = normalize(spans)
+    joined = folded(own, KEYS, ["start_ms", "end_ms"], "start_ms long, end_ms long", step, lambda open_: [open_])
+    parts = joined.join(own.groupBy(*KEYS).agg(F.max("end_ms").alias("last")), KEYS)
     n = F.greatest(F.ceil((F.col("end_ms") - F.col("start_ms")) / longest_ms), F.lit(1))
     parts = parts.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     size = (F.col("end_ms") - F.col("start_ms")) / F.col("n")
