@@ -134,3 +134,18 @@ def rate_limited(rows: DataFrame, allowed: int, window_s: int, key: str = "user_
     at = F.unix_micros(F.col("ts").cast("timestamp")).alias("at")
     dealt = rows.where(F.col("ts").isNotNull()).select("event_id", key, at).repartition(key).sortWithinPartitions(key, "at", "event_id")
     return dealt.mapInPandas(walk, f"event_id {dict(rows.dtypes)['event_id']}, {key} {dict(rows.dtypes)[key]}, allowed boolean")
+
+
+def speakers_of(catalog: DataFrame, year: int) -> DataFrame:
+    """speaker of each ready meeting of a year."""
+    return catalog.where((F.col("status") == "ready") & (F.year("started_at") == year)).select("speaker")
+
+
+def in_both(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows that both have, once each; nulls are equal."""
+    return a.intersect(b)
+
+
+def in_first_only(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of the first that the second has not, once each; nulls are equal."""
+    return a.subtract(b)

@@ -11,12 +11,15 @@ from meetlake.functions import text as T
 from meetlake.operators import catalog as K
 from meetlake.operators import metrics as M
 from meetlake.operators import patterns as P
+from meetlake.operators import rescoring as S
 from meetlake.operators import timeline as L
 from meetlake.plans.meetings import Meetings
-from meetlake.plans.queries import line, r6
+from meetlake.plans.queries import r6
 from meetlake.plans.registry import query
-from meetlake.plans.sql import CTES, over, values
+from meetlake.plans.sql import CTES, long_of, over, values
 from meetlake.sources import adapters as D
+from meetlake.sources.shared import shared_dir
+from meetlake.sources.snapshots import Table
 
 CTES |= {
     "compress": """SELECT d.meeting_id, (SELECT round(avg(wpm), 1) FROM line l WHERE l.meeting_id = d.meeting_id AND wpm > 0 AND (a + b) / 2 < 180000) AS wpm_first, (SELECT round(avg(wpm), 1) FROM line l WHERE l.meeting_id = d.meeting_id AND wpm > 0 AND (a + b) / 2 >= 180000) AS wpm_rest,
@@ -76,11 +79,6 @@ def progress_charts(spark, sf):
     return own.select("speaker", "metric", "meeting_id", r6("value"))
 
 
-@query(over("SELECT * FROM " + values([(i, m) for i, m in enumerate(C.GOALS)]) + " AS g(place, metric)"))
-def goal_options(spark, sf):
-    return spark.createDataFrame(list(enumerate(C.GOALS)), "place int, metric string")
-
-
 @query(over("SELECT speaker, count(*) FILTER (status = 'ready') AS n_ready, count(*) AS n FROM meetings GROUP BY 1"))
 def progress_totals(spark, sf):
     return D.meetings(spark, sf).groupBy("speaker").agg(F.count_if(F.col("status") == "ready").alias("n_ready"), F.count(F.lit(1)).alias("n"))
@@ -141,16 +139,23 @@ def score_baseline(spark, sf):
     return M.overall(M.components(m.judged, m.base))
 
 
-@query(over("SELECT * FROM score").replace("SELECT meeting_id, type, '", "SELECT meeting_id, 'sales' AS type, '"))
+def rescored(spark, sf):
+    """Reports, stored as a snapshot and read back, under the type of a sale."""
+    m, store = Meetings(spark, sf), Table(spark, shared_dir(spark, "reports"))
+    store.commit(S.assembled(m.meetings, m.judged, m.line.select("meeting_id", *S.POINT), m.events))
+    return S.rescored(store.read(), F.lit("sales"))
+
+
+@query(over("SELECT * FROM score", long=long_of("'sales'")))
 def rescore(spark, sf):
-    """Every meeting as if it were of another type, from its stored metrics; its words are read once, for those."""
-    return M.overall(M.components(M.judged(Meetings(spark, sf).long.withColumn("type", F.lit("sales")))))
+    """Every stored report as if it were of another type, from nothing but what it holds."""
+    return rescored(spark, sf).select("meeting_id", F.coalesce("score", F.lit(0)).alias("score"))
 
 
 @query(over("SELECT meeting_id, 'fast_burst' AS kind, a AS start_ms, b AS end_ms FROM line WHERE wpm > 1.2 * 130.0"))
 def rescore_bursts(spark, sf):
-    """The fast bursts of every meeting as if it were of another type: from its stored windows alone, so any number of words counts."""
-    return L.bursts(line(spark, sf).withColumn("type", F.lit("sales")), least=0).select("meeting_id", F.lit("fast_burst").alias("kind"), F.col("a").alias("start_ms"), F.col("b").alias("end_ms"))
+    """The fast bursts of every stored report as if it were of another type: from its windows alone, so any number of words counts."""
+    return rescored(spark, sf).select("meeting_id", F.inline("events")).where("kind = 'fast_burst'").select("meeting_id", "kind", "start_ms", "end_ms")
 
 
 @query(over("SELECT meeting_id, metric, delta, z, place FROM (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY abs(z) DESC, metric)::INT AS place FROM (SELECT meeting_id, metric, round(value - mean, 4) AS delta, round((value - mean) / std, 4) AS z FROM long JOIN base_stats USING (speaker, metric) WHERE value IS NOT NULL)) WHERE place <= 6"))

@@ -130,13 +130,6 @@ def nearest_sentence(spark, sf):
     return E.nearest(at, own, "sentence_i", ["kind"], 20_000)
 
 
-@query(over("SELECT meeting_id, sentence_i, count(*) AS n, string_agg(kind, ',' ORDER BY start_ms, kind) AS kinds FROM pauses WHERE sentence_i IS NOT NULL GROUP BY 1, 2"))
-def events_by_sentence(spark, sf):
-    found = E.pauses(sentenced(spark, sf), speech(spark, sf)).where("sentence_i IS NOT NULL")
-    kinds = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start_ms", "kind"))), lambda x: x["kind"]), ",")
-    return found.groupBy("meeting_id", "sentence_i").agg(F.count(F.lit(1)).alias("n"), kinds.alias("kinds"))
-
-
 @query(over("SELECT meeting_id, start_ms, end_ms, n_words FROM utter WHERE is_question"))
 def questions_from_other(spark, sf):
     return G.utterances(D.words(spark, sf), C.STARTERS, C.LONG_STARTERS).where("is_question").select("meeting_id", "start_ms", "end_ms", "n_words")
