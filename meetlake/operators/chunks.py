@@ -217,3 +217,24 @@ def envelopes(chunks: DataFrame) -> DataFrame:
 
     states = each(near, "name string, part int, rate int, frames int, state array<double>", left_behind).groupBy("name").applyInPandas(entered, "name string, part int, state array<double>")
     return each(near.join(states, ["name", "part"]), "name string, k long, rms double", one)
+
+
+def sounds(chunks: DataFrame, spans: DataFrame, seconds: int = CHUNK_S) -> DataFrame:
+    """name, id, rate, samples of each span (name, id, start_ms, end_ms) of recordings in chunks of so many seconds.
+
+    A chunk gives each span that it overlaps its share; shares are joined by span, so that borders do not matter.
+    """
+    ms = 1000 * seconds
+    wanted = spans.where("end_ms > start_ms").select("name", F.struct("id", "start_ms", "end_ms").alias("s"), F.explode(F.sequence(F.floor(F.col("start_ms") / ms).cast("int"), F.floor((F.col("end_ms") - 1) / ms).cast("int"))).alias("part"))
+    wanted = wanted.groupBy("name", "part").agg(F.collect_list("s").alias("spans"))
+
+    def one(c):
+        x = np.asarray(c.samples)
+        for s in c.spans:
+            a, b = (s[k] * c.rate // 1000 - c.first for k in ("start_ms", "end_ms"))
+            yield c.name, s["id"], c.part, c.rate, x[max(a, 0) : max(b, 0)]
+
+    kind = dict(spans.dtypes)["id"]
+    shares = each(chunks.join(wanted, ["name", "part"]), f"name string, id {kind}, part int, rate int, samples array<float>", one)
+    whole = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("part", "samples"))), lambda x: x["samples"]))
+    return shares.groupBy("name", "id").agg(F.max("rate").alias("rate"), whole.alias("samples"))

@@ -15,7 +15,9 @@ from meetlake.operators import segment as G
 from meetlake.operators import spans as S
 from meetlake.operators import timeline as L
 from meetlake.sources import adapters as D
-from meetlake.sources.shared import staged
+from meetlake.sources.shared import staged, together
+
+EVENT = ["meeting_id", "start_ms", "end_ms", "kind"]
 
 
 class Meetings:
@@ -24,6 +26,11 @@ class Meetings:
     def __init__(self, spark: SparkSession, sf: str):
         self.spark, self.sf = spark, sf
 
+    def ahead(self, *names: str) -> None:
+        """Write some tables at the same time; what they all need comes first."""
+        self.words  # noqa: B018
+        together(self.spark, *(lambda n=n: getattr(self, n) for n in names if n not in self.__dict__))
+
     @cached_property
     def words(self) -> DataFrame:
         """Words with their sentences: the one reading of the source."""
@@ -65,15 +72,25 @@ class Meetings:
     def bursts(self) -> DataFrame:
         return L.bursts(self.line.join(self.meetings.select("meeting_id", "type"), "meeting_id"))
 
+    @cached_property
+    def fillers(self) -> DataFrame:
+        """Fillers and crutch phrases of the owner."""
+        crutches = E.crutches(E.crutch_candidates(self.words, C.CRUTCHES)).select("meeting_id", "start_ms", F.col("start_ms").alias("end_ms"), F.lit("crutch").alias("kind"))
+        return E.fillers(self.words).where("track = 'mic'").withColumn("kind", F.lit("filler")).select(EVENT).unionByName(crutches)
+
+    @cached_property
+    def spoken(self) -> DataFrame:
+        """The events that words and speech alone tell of, and that metrics count."""
+        pauses, interruptions = E.pauses(self.words, self.speech).select(EVENT), E.interruptions(D.raw_of(self.words)).select(EVENT)
+        return self.fillers.unionByName(pauses).unionByName(interruptions)
+
     @cached_property
     def events(self) -> DataFrame:
         """meeting_id, start_ms, end_ms, kind of everything that was noticed."""
-        cols = ["meeting_id", "start_ms", "end_ms", "kind"]
-        crutches = E.crutches(E.crutch_candidates(self.words, C.CRUTCHES)).select("meeting_id", "start_ms", F.col("start_ms").alias("end_ms"), F.lit("crutch").alias("kind"))
-        out = E.fillers(self.words).where("track = 'mic'").withColumn("kind", F.lit("filler")).select(cols).unionByName(crutches)
-        out = out.unionByName(E.pauses(self.words, self.speech).select(cols)).unionByName(E.interruptions(D.raw_of(self.words)).select(cols))
-        out = out.unionByName(self.questions.withColumn("kind", F.lit("question_from_other")).select(cols))
-        out = out.unionByName(P.decay_events(self.decays, self.sentences).select(cols)).unionByName(P.rise_events(self.rises, self.sentences).select(cols))
+        self.ahead("sentences", "speech")
+        self.ahead("line", "decays", "rises")
+        out = self.spoken.unionByName(self.questions.withColumn("kind", F.lit("question_from_other")).select(EVENT))
+        out = out.unionByName(P.decay_events(self.decays, self.sentences).select(EVENT)).unionByName(P.rise_events(self.rises, self.sentences).select(EVENT))
         out = out.unionByName(self.bursts.select("meeting_id", F.col("a").alias("start_ms"), F.col("b").alias("end_ms"), F.lit("fast_burst").alias("kind")))
         return staged(out, "events")
 
@@ -81,12 +98,32 @@ class Meetings:
     def counts(self) -> DataFrame:
         return self.events.groupBy("meeting_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
+    @cached_property
+    def counted(self) -> DataFrame:
+        """counts of the events that metrics count, without a list of events."""
+        return staged(self.spoken.groupBy("meeting_id", "kind").agg(F.count(F.lit(1)).alias("n")), "counts")
+
+    @cached_property
+    def voice(self) -> DataFrame:
+        return staged(P.voice(self.frames, self.decays, self.rises), "voice")
+
+    @cached_property
+    def diversity(self) -> DataFrame:
+        return staged(M.mtld(M.tokens(self.words), "meeting_id", "tokens").select("meeting_id", "mtld"), "diversity")
+
     @cached_property
     def wide(self) -> DataFrame:
-        """A row of all metrics for each meeting."""
-        voice = P.voice(self.frames, self.decays, self.rises)
-        diversity = M.mtld(M.tokens(self.words), "meeting_id", "tokens").select("meeting_id", "mtld")
-        return staged(M.metrics(self.words, self.sentences, self.speech, self.counts, L.medians(self.line), self.meetings, voice, diversity), "metrics")
+        """A row of all metrics for each meeting; what does not need each other is worked out at the same time."""
+        self.ahead("sentences", "speech", "diversity")
+        self.ahead("line", "decays", "rises", "counted")
+        self.ahead("voice")
+        return staged(M.metrics(self.words, self.sentences, self.speech, self.counted, L.medians(self.line), self.meetings, self.voice, self.diversity), "metrics")
+
+    @cached_property
+    def named(self) -> DataFrame:
+        """The references of every metric of each meeting, which do not depend on its values."""
+        each = F.explode(F.array(*map(F.lit, C.METRICS))).alias("metric")
+        return M.judged(self.meetings.select("meeting_id", "type", "speaker", each).withColumn("value", F.lit(None).cast("double"))).drop("status")
 
     @cached_property
     def long(self) -> DataFrame:

@@ -42,7 +42,7 @@ CTES |= {
 
 
 def compressed(m: Meetings):
-    return P.compressed(m.line, m.events, m.questions, L.durations(m.words))
+    return P.compressed(m.line, m.fillers, m.questions, L.durations(m.words))
 
 
 def against_base(rows, m: Meetings):
@@ -176,13 +176,13 @@ def delta_direction(spark, sf):
 
 @query(over("SELECT DISTINCT type, metric, ref_low, ref_high, better FROM judged"))
 def reference_lookup(spark, sf):
-    return Meetings(spark, sf).judged.select("type", "metric", "ref_low", "ref_high", "better").distinct()
+    return Meetings(spark, sf).named.select("type", "metric", "ref_low", "ref_high", "better").distinct()
 
 
 @query(over("""SELECT meeting_id, metric, CASE WHEN lo IS NOT NULL AND hi IS NOT NULL THEN lo || '–' || hi WHEN hi IS NOT NULL THEN '≤ ' || hi WHEN lo IS NOT NULL THEN '≥ ' || lo ELSE '—' END AS text FROM (
     SELECT meeting_id, metric, regexp_replace(ref_low::DECIMAL(18,2)::VARCHAR, '\\.?0+$', '') AS lo, regexp_replace(ref_high::DECIMAL(18,2)::VARCHAR, '\\.?0+$', '') AS hi FROM judged)""".replace("\\\\", "\\")))
 def reference_text(spark, sf):
-    return Meetings(spark, sf).judged.select("meeting_id", "metric", T.range_label(F.col("ref_low"), F.col("ref_high")).alias("text"))
+    return Meetings(spark, sf).named.select("meeting_id", "metric", T.range_label(F.col("ref_low"), F.col("ref_high")).alias("text"))
 
 
 @query(over("SELECT speaker, count(*) AS n FROM meetings WHERE status = 'ready' AND type <> 'training' GROUP BY 1"))

@@ -241,7 +241,7 @@ def fast_burst(spark, sf):
     LEFT JOIN events_all e ON e.meeting_id = d.meeting_id AND e.kind IN ('filler', 'crutch') AND least(e.start_ms // 60000, greatest(ceil(d.duration_ms / 60000.0)::BIGINT, 1) - 1) = d.minute GROUP BY 1, 2"""))
 def fillers_by_minute(spark, sf):
     m = Meetings(spark, sf)
-    return L.by_minute(m.events.where("kind IN ('filler', 'crutch')"), L.durations(m.words))
+    return L.by_minute(m.fillers, L.durations(m.words))
 
 
 @query(over("SELECT meeting_id, a // 60000 AS minute, round(avg(wpm), 6) AS wpm FROM line WHERE wpm > 0 GROUP BY 1, 2"))

@@ -95,6 +95,15 @@ def recorded_voice(spark, sf):
     return P.voice(frames, P.decays(frames, sentences), P.rises(frames, sentences))
 
 
+@query(over("SELECT meeting_id, i, CASE WHEN (meeting_id + i) % 3 = 0 THEN 'er' ELSE 'mm' END AS label, ((100 + (meeting_id * 13 + i * 7) % 60) * CASE WHEN (meeting_id + i) % 3 = 0 THEN 8 ELSE 1 END // 100)::BIGINT AS near FROM words WHERE track = 'mic' AND kind = 'filler'"))
+def recorded_fillers(spark, sf):
+    """What each filler of a recorded meeting sounds like, from its samples: every third one is bright."""
+    words = staged(D.words(spark, sf), "recorded-words")
+    chunks = R.spoken(words, 16_000, bright=(F.col("kind") == "filler") & ((F.col("meeting_id") + F.col("i")) % 3 == 0))
+    own = words.where("track = 'mic' AND kind = 'filler'").select(F.col("meeting_id").cast("string").alias("name"), F.struct("meeting_id", "i").alias("id"), "start_ms", "end_ms")
+    return A.labels(C.sounds(chunks, own)).select("id.meeting_id", "id.i", "label", F.floor((F.col("centroid_hz") + 0.5) / 100).alias("near"))
+
+
 @query()
 def recorded_jitter(spark, sf):
     """Unsteadiness of recorded meetings, and that of their first two minutes over the rest."""

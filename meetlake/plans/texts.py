@@ -76,7 +76,7 @@ def coerce_values(spark, sf):
 @query(over("SELECT meeting_id, metric FROM judged"))
 def metric_key_fix(spark, sf):
     """Metric keys with or without their layer before them; unknown ones go."""
-    loose = Meetings(spark, sf).judged.select("meeting_id", F.explode(F.array(F.concat(F.lit("layer1."), "metric"), F.concat(F.lit("x."), "metric", F.lit("y")))).alias("key"))
+    loose = Meetings(spark, sf).named.select("meeting_id", F.explode(F.array(F.concat(F.lit("layer1."), "metric"), F.concat(F.lit("x."), "metric", F.lit("y")))).alias("key"))
     return loose.select("meeting_id", F.regexp_replace("key", "^[a-z0-9]+[.]", "").alias("metric")).where(F.col("metric").isin(C.METRICS))
 
 

@@ -6,7 +6,7 @@ import struct
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meetlake.operators import chunks as C
@@ -43,14 +43,15 @@ def tones(spark: SparkSession, sf: str, pitch: int = 1) -> DataFrame:
     return table(spark, sf, "nation").select("n_nationkey").mapInPandas(run, "name string, content binary")
 
 
-def spoken(words: DataFrame, rate: int = 8_000, seconds: int = C.CHUNK_S) -> DataFrame:
+def spoken(words: DataFrame, rate: int = 8_000, seconds: int = C.CHUNK_S, bright: Column | None = None) -> DataFrame:
     """Chunks (SCHEMA, named by meeting) of what the mic of each meeting would record: a steady tone for each word, silence between.
 
-    A word's pitch is 100 Hz and up to 59 more, its level up to 19 dB below half of full scale, both by meeting and place.
+    A word's pitch is 100 Hz and up to 59 more, its level up to 19 dB below half of full scale, both by meeting and place;
+    bright ones sound eight times as high.
     """
-    ms = 1000 * seconds
+    ms, bright = 1000 * seconds, F.lit(False) if bright is None else bright
     m, i = F.col("meeting_id"), F.col("i")
-    mic = words.where("track = 'mic'").select("meeting_id", F.struct("start_ms", "end_ms", (100 + (m * 13 + i * 7) % 60).alias("hz"), ((m * 5 + i * 11) % 20).alias("below")).alias("w"))
+    mic = words.where("track = 'mic'").select("meeting_id", F.struct("start_ms", "end_ms", ((100 + (m * 13 + i * 7) % 60) * F.when(bright, 8).otherwise(1)).alias("hz"), ((m * 5 + i * 11) % 20).alias("below")).alias("w"))
     ends = mic.groupBy("meeting_id").agg(F.max("w.end_ms").alias("end_ms"))
     parts = ends.select("meeting_id", F.ceil(F.col("end_ms") / ms).cast("int").alias("parts"), (F.col("end_ms") * rate / 1000).cast("long").alias("n"))
     parts = parts.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))

@@ -218,3 +218,13 @@ def test_metrics_of_a_recorded_meeting(spark):
         assert decay[s] == pytest.approx(power(rows[170 // 4 : 3 * 170 // 4]) - power(rows[-50:]), abs=0.4)
     voice = P.voice(frames, P.decays(frames, sentences), P.rises(frames, sentences)).first()
     assert voice.pitch_median_hz == pytest.approx(np.median([100 + (13 + 7 * i) % 60 for i in range(10) for _ in range(34)]), abs=1) and voice.jitter_pct >= 0
+
+
+def test_sounds_across_borders(recordings):
+    spans = [("a", 1, 0, 500), ("a", 2, 900, 3100), ("a", 3, 7000, 9000), ("b", 1, 1999, 2001), ("b", 2, 100, 100)]
+    asked = recordings.sparkSession.createDataFrame(spans, "name string, id long, start_ms long, end_ms long")
+    got = {(r.name, r.id): r.samples for r in C.sounds(C.cut(recordings, 1), asked, 1).collect()}
+    assert set(got) == {s[:2] for s in spans[:4]}
+    for name, i, a, b in spans[:4]:
+        x, rate = whole(recordings, name)
+        assert np.array_equal(np.asarray(got[name, i], np.float32), x[a * rate // 1000 : b * rate // 1000])
