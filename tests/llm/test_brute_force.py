@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from meetlake.llm import ann, queries
+from meetlake.llm import ann, queries, suffix_dedup
 from tests.llm.helpers import crc, words
 
 
@@ -48,7 +48,10 @@ def test_packing(spark, sf, documents):
     assert sorted(by_sequence) == list(range(len(by_sequence)))
 
 
-def test_suffix_dedup(spark, sf, documents):
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 2])
+def test_suffix_dedup(spark, sf, documents, monkeypatch, hot):
+    """Also with anchors that count as hot as soon as three slices have them."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     n, starts = 200, Counter()
     texts = {r.doc_id: (r.text or "").encode() for r in documents}
     for t in texts.values():

@@ -1,7 +1,6 @@
 """Language identification against sums over every single segmentation, and by held-out accuracy."""
 
 import math
-import random
 import re
 
 import numpy as np
