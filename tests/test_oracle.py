@@ -6,7 +6,7 @@ from meetlake.functions import text as T
 from meetlake.operators import catalog as K
 from meetlake.operators import metrics as M
 from meetlake.operators import spans as S
-from meetlake.plans import patterns, prosody, queries as _queries, registry, reports, sound, streams, texts, values  # noqa: F401
+from meetlake.plans import patterns, prosody, queries as _queries, registry, reports, sound, streams, texts, values, views  # noqa: F401
 from pyspark.sql import functions as F
 from tests.oracle import compare, duck
 
