@@ -66,12 +66,21 @@ def loudness(frames: DataFrame, least: int = 10) -> DataFrame:
     return f.groupBy("meeting_id").agg(F.avg("db").alias("loudness_mean_db"), F.when(F.count(F.lit(1)) >= least, drift).alias("loudness_drift_db"))
 
 
-def voice(frames: DataFrame, decays: DataFrame, rises: DataFrame) -> DataFrame:
-    """A row of the voice's metrics for each meeting with frames."""
+def tone(frames: DataFrame) -> DataFrame:
+    """A row of pitch, loudness and unsteadiness for each meeting with frames."""
+    return A.pitch(frames).join(loudness(frames), "meeting_id", "full").join(perturbation(frames), "meeting_id", "left")
+
+
+def ends(decays: DataFrame, rises: DataFrame) -> DataFrame:
+    """A row for each meeting of how its sentences end."""
     decay = decays.groupBy("meeting_id").agg(F.percentile("decay_db", 0.5).alias("phrase_final_decay_db"))
     rising = rises.groupBy("meeting_id").agg(F.avg((F.col("rise_st") >= 2).cast("double")).alias("rising_statements_share"))
-    out = A.pitch(frames).join(loudness(frames), "meeting_id", "full").join(perturbation(frames), "meeting_id", "left")
-    return out.join(decay, "meeting_id", "left").join(rising, "meeting_id", "left")
+    return decay.join(rising, "meeting_id", "full")
+
+
+def voice(frames: DataFrame, decays: DataFrame, rises: DataFrame) -> DataFrame:
+    """A row of the voice's metrics for each meeting with frames."""
+    return tone(frames).join(ends(decays, rises), "meeting_id", "left")
 
 
 def by_window(frames: DataFrame, windows: DataFrame, least: int = 5) -> DataFrame:

@@ -104,8 +104,8 @@ class Meetings:
         return staged(self.spoken.groupBy("meeting_id", "kind").agg(F.count(F.lit(1)).alias("n")), "counts")
 
     @cached_property
-    def voice(self) -> DataFrame:
-        return staged(P.voice(self.frames, self.decays, self.rises), "voice")
+    def tone(self) -> DataFrame:
+        return staged(P.tone(self.frames), "tone")
 
     @cached_property
     def diversity(self) -> DataFrame:
@@ -114,10 +114,10 @@ class Meetings:
     @cached_property
     def wide(self) -> DataFrame:
         """A row of all metrics for each meeting; what does not need each other is worked out at the same time."""
-        self.ahead("sentences", "speech", "diversity")
+        self.ahead("sentences", "speech", "diversity", "tone")
         self.ahead("line", "decays", "rises", "counted")
-        self.ahead("voice")
-        return staged(M.metrics(self.words, self.sentences, self.speech, self.counted, L.medians(self.line), self.meetings, self.voice, self.diversity), "metrics")
+        voice = self.tone.join(P.ends(self.decays, self.rises), "meeting_id", "left")
+        return staged(M.metrics(self.words, self.sentences, self.speech, self.counted, L.medians(self.line), self.meetings, voice, self.diversity), "metrics")
 
     @cached_property
     def named(self) -> DataFrame:
