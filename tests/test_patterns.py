@@ -9,7 +9,7 @@ from meetlake.operators import patterns as P
 def test_starts_that_repeat(spark):
     """A filler-ridden start counts from half as many again and a half on, in two meetings or more; a fast one from a tenth more on."""
     rng = random.Random(2)
-    rows = [(s, m, rng.choice([None, 0.0, 1.0, 2.0, 3.5]), rng.choice([None, 0.0, 1.0, 2.0]), rng.choice([None, 0.0, 100.0, 110.0, 121.0]), rng.choice([None, 100.0, 110.0])) for s in range(40) for m in range(rng.randint(1, 6))]
+    rows = [(s, m, rng.choice([None, 0.0, 1.0, 2.0, 3.5]), rng.choice([None, 0.0, 1.0, 2.0]), rng.choice([None, 100.0, 120.0, 130.0]), rng.choice([0.0, 100.0, 110.0])) for s in range(40) for m in range(rng.randint(1, 6))]
     reports = spark.createDataFrame([(*r, r[1]) for r in rows], "speaker long, meeting_id long, fillers_first double, fillers_rest double, wpm_first double, wpm_rest double, started_at long")
 
     def plain(flag):
