@@ -61,26 +61,36 @@ def unpack_ints(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
+def keys_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of a chunk of texts: for each, the place of its text, whether it is the first there, and the keys of its word, pair and triple."""
+    parts = list(words_of(texts))
+    place = np.concatenate([np.empty(0, np.int64), *(p for p, _ in parts)])
+    ids = np.concatenate([np.empty(0, U64), *(i for _, i in parts)])
+    del parts
+    ends = np.searchsorted(place, np.arange(len(texts)), side="right")
+    place = np.insert(place, ends, np.arange(len(texts)))
+    word = np.insert(ids, ends, END)
+    first = np.concatenate(([True], place[1:] != place[:-1]))[: len(word)]
+    pair = mix(after(word, first, START) * SPREAD ^ word) | ONE  # odd: of several words
+    triple = mix(after(pair, first, START) * SPREAD ^ mix(word)) | ONE
+    return place, first, word & ~ONE, pair, triple
+
+
+def after(keys: np.ndarray, first: np.ndarray, start) -> np.ndarray:
+    """The key before each; `start` where a text begins."""
+    return np.where(first, start, np.concatenate(([start], keys[:-1]))[: len(keys)])
+
+
 class Grams:
     """The tokens of a chunk of texts: for each, the place of its text, and places in `unique` of its word, pair and triple, and of their contexts."""
 
     def __init__(self, texts: list[bytes]):
-        parts = list(words_of(texts))
-        place = np.concatenate([np.empty(0, np.int64), *(p for p, _ in parts)])
-        ids = np.concatenate([np.empty(0, U64), *(i for _, i in parts)])
-        del parts
-        ends = np.searchsorted(place, np.arange(len(texts)), side="right")
-        self.place = np.insert(place, ends, np.arange(len(texts)))
-        word = np.insert(ids, ends, END)
-        first = np.concatenate(([True], self.place[1:] != self.place[:-1]))[: len(word)]
-        after = lambda keys, start: np.where(first, start, np.concatenate(([start], keys[:-1]))[: len(keys)])
-        pair = mix(after(word, START) * SPREAD ^ word) | ONE  # odd: of several words
-        triple = mix(after(pair, START) * SPREAD ^ mix(word)) | ONE
+        self.place, first, word, pair, triple = keys_of(texts)
         # a text's start is seen as often as its end
-        self.unique, at = np.unique(np.concatenate((word & ~ONE, pair, triple, [END & ~ONE])), return_inverse=True)
+        self.unique, at = np.unique(np.concatenate((word, pair, triple, [END & ~ONE])), return_inverse=True)
         n = len(word)
         self.word, self.pair, self.triple, end = at[:n], at[n : 2 * n], at[2 * n : 3 * n], at[-1]
-        self.after_word, self.after_pair = after(self.word, end), after(self.pair, end)
+        self.after_word, self.after_pair = after(self.word, first, end), after(self.pair, first, end)
 
 
 def chunks(s: Settings):
@@ -131,14 +141,12 @@ def counter(parts: int, passes: int, share: int):
     def run(batches):
         for batch in few_rows(batches, 1):
             chunk, kind, lengths, texts = (batch.column(c)[0].as_py() for c in ("chunk", "kind", "lengths", "texts"))
-            g = Grams(texts_of(lengths, texts))
-            n = np.zeros(len(g.unique), np.uint32)
-            if kind != HELD:
-                for at in (g.word, g.pair, g.triple):
-                    n += np.bincount(at, minlength=len(n)).astype(np.uint32)
-            cuts = np.searchsorted(g.unique >> shift, np.arange(parts + 1, dtype=U64)) if parts > 1 else np.array([0, len(n)])
+            # every chunk has an end token, so that these are the keys of Grams; counting needs no places of theirs
+            unique, n = np.unique(np.concatenate(keys_of(texts_of(lengths, texts))[2:]), return_counts=True)
+            n = n.astype(np.uint32) * np.uint32(kind != HELD)
+            cuts = np.searchsorted(unique >> shift, np.arange(parts + 1, dtype=U64)) if parts > 1 else np.array([0, len(n)])
             rows = [(p, a, b) for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a and p % passes == share]
-            keys = [pack_ints(np.diff(g.unique[a:b], prepend=U64(0))) for _, a, b in rows]
+            keys = [pack_ints(np.diff(unique[a:b], prepend=U64(0))) for _, a, b in rows]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([p for p, _, _ in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array([kind] * len(rows), pa.int32()), pa.array(keys, pa.binary()), pa.array([pack_ints(n[a:b]) for _, a, b in rows], pa.binary())],
                 ["part", "chunk", "kind", "keys", "n"],
