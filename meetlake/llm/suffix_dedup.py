@@ -33,6 +33,7 @@ from meetlake.llm.common import CHUNK_BYTES, U64, few_rows, mix, powers, prefix_
 
 LENGTH = 200  #: bytes of a passage
 DIGIT = 80  #: bytes of the first digit
+RANGE_BYTES = 1 << 20  #: bytes of text whose runs make up a range, about, however large the table is
 LOW = U64(21)  #: bits for a place in a run of text; CHUNK_BYTES + LENGTH must fit
 
 
@@ -311,9 +312,8 @@ def finish(with_text: bool):
 
 def remove(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs."""
-    spark = docs.sparkSession
-    parts = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce("text", F.lit(""))
+    parts = 8 + (docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) // RANGE_BYTES
     rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("key"), (F.crc32(text.cast("binary")) - F.lit(1 << 31)).cast("int").alias("crc"))
     runs = rows.select("key", "crc", "text").where(F.octet_length("text") >= LENGTH).mapInArrow(first_digit(parts), ROWS)
     found = runs.groupBy("part").applyInArrow(decided, DECIDED)
