@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meetlake.operators import wav
+from meetlake.sources.shared import staged
 
 RATE = 16_000
 SCHEMA = "name string, part int, parts int, first long, n long, rate int, channels int, samples array<float>"
@@ -25,6 +26,8 @@ COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 #: Seconds of a chunk, and lobes of the resampling kernel on either side.
 CHUNK_S, LOBES = 10, 16
 FRAME_MS = 10
+#: Chunks whose spans (some hundred bytes each) are broadcast, at most.
+BROADCAST_CHUNKS = 100_000
 #: The band of syllables in Hz.
 LOW, HIGH = 300.0, 3000.0
 
@@ -235,6 +238,8 @@ def sounds(chunks: DataFrame, spans: DataFrame, seconds: int = CHUNK_S) -> DataF
             yield c.name, s["id"], c.part, c.rate, x[max(a, 0) : max(b, 0)]
 
     kind = dict(spans.dtypes)["id"]
-    shares = each(chunks.join(wanted, ["name", "part"]), f"name string, id {kind}, part int, rate int, samples array<float>", one)
+    wanted = staged(wanted, "wanted")  # few beside the samples, which stay where they are unless there are very many
+    few = wanted.count() <= BROADCAST_CHUNKS
+    shares = each(chunks.join(F.broadcast(wanted) if few else wanted, ["name", "part"]), f"name string, id {kind}, part int, rate int, samples array<float>", one)
     whole = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("part", "samples"))), lambda x: x["samples"]))
     return shares.groupBy("name", "id").agg(F.max("rate").alias("rate"), whole.alias("samples"))

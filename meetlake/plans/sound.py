@@ -99,7 +99,7 @@ def recorded_voice(spark, sf):
 def recorded_fillers(spark, sf):
     """What each filler of a recorded meeting sounds like, from its samples: every third one is bright."""
     words = staged(D.words(spark, sf), "recorded-words")
-    chunks = R.spoken(words, 16_000, bright=(F.col("kind") == "filler") & ((F.col("meeting_id") + F.col("i")) % 3 == 0))
+    chunks = R.spoken(words, bright=(F.col("kind") == "filler") & ((F.col("meeting_id") + F.col("i")) % 3 == 0))
     own = words.where("track = 'mic' AND kind = 'filler'").select(F.col("meeting_id").cast("string").alias("name"), F.struct("meeting_id", "i").alias("id"), "start_ms", "end_ms")
     return A.labels(C.sounds(chunks, own)).select("id.meeting_id", "id.i", "label", F.floor((F.col("centroid_hz") + 0.5) / 100).alias("near"))
 

@@ -69,7 +69,9 @@ def spoken(words: DataFrame, rate: int = 8_000, seconds: int = C.CHUNK_S, bright
                     x[a:b] = 0.5 * 10 ** (-w["below"] / 20) * np.sin(2 * np.pi * w["hz"] * (t[a:b] - w["start_ms"] / 1000))
                 yield pd.DataFrame([(str(row.meeting_id), row.part, row.parts, first, row.n, rate, 1, x)], columns=C.COLUMNS)
 
-    return parts.join(said, ["meeting_id", "part"], "left").mapInPandas(run, C.SCHEMA)
+    # few bytes become many samples: by a number of partitions, or they would be merged into one task
+    n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return parts.join(said, ["meeting_id", "part"], "left").repartition(n, "meeting_id", "part").mapInPandas(run, C.SCHEMA)
 
 
 def heard(chunks: DataFrame, words: DataFrame, window_ms: int = 50) -> DataFrame:

@@ -40,7 +40,8 @@ class Limits:
     floor_db: float = -60.0
 
 
-STATE = "seq long, rate int, done long, squares double, band array<double>, rest array<double>, ring array<double>, last long, ended boolean"
+#: Arrays of numbers are kept as bytes: eight for each.
+STATE = "seq long, rate int, done long, squares double, band binary, rest binary, ring binary, last long, ended boolean"
 
 
 class Recording:
@@ -48,12 +49,12 @@ class Recording:
 
     def __init__(self, limits: Limits, kept: tuple | None = None):
         self.limits = limits
-        seq, rate, done, squares, state, rest, ring, last, ended = kept or (0, 0, 0, 0.0, [0.0] * 4, [], [], 0, False)
+        seq, rate, done, squares, state, rest, ring, last, ended = kept or (0, 0, 0, 0.0, bytes(32), b"", b"", 0, False)
         self.seq, self.rate, self.done, self.squares, self.last, self.ended = seq, rate, done, squares, last, ended
-        self.state, self.rest, self.ring = (np.array(x, np.float64) for x in (state, rest, ring))
+        self.state, self.rest, self.ring = (np.frombuffer(bytes(x), np.float64) for x in (state, rest, ring))
 
     def kept(self) -> tuple:
-        return self.seq, self.rate, self.done, float(self.squares), self.state.tolist(), self.rest.tolist(), self.ring.tolist(), self.last, self.ended
+        return self.seq, self.rate, self.done, float(self.squares), *(np.ascontiguousarray(x, np.float64).tobytes() for x in (self.state, self.rest, self.ring)), self.last, self.ended
 
     def row(self, kind: str, **more) -> dict:
         return dict.fromkeys(NAMES) | {"kind": kind, "at_ms": self.done * FRAME_MS} | more
@@ -93,7 +94,7 @@ class Recorder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.kept = handle.getValueState("recording", STATE)
-        self.waiting = handle.getMapState("waiting", "seq long", "rate int, samples array<float>")
+        self.waiting = handle.getMapState("waiting", "seq long", "rate int, samples binary")
 
     def handleInputRows(self, key, rows, timerValues):
         own = Recording(self.limits, self.kept.get() if self.kept.exists() else None)
@@ -101,7 +102,7 @@ class Recorder(StatefulProcessor):
             for seq, at, rate, samples in zip(f["seq"], f["at"], f["rate"], f["samples"], strict=True):
                 own.last = max(own.last, int(at.timestamp() * 1000))
                 if not own.ended and seq >= own.seq:
-                    self.waiting.updateValue((int(seq),), (int(rate), np.asarray(samples).tolist()))
+                    self.waiting.updateValue((int(seq),), (int(rate), np.asarray(samples, np.float32).tobytes()))
         yield from self.drain(key, own, self.limits.patience)
         self.watch(own)
 
@@ -125,7 +126,7 @@ class Recorder(StatefulProcessor):
             if seq > own.seq and len(left) <= patience:
                 break
             rate, samples = self.waiting.getValue((seq,))
-            x = np.asarray(samples, np.float64)
+            x = np.frombuffer(bytes(samples), np.float32).astype(np.float64)
             if seq > own.seq:
                 rows.append(own.row("gap"))
                 rows += own.take(np.zeros(len(x)), rate)
