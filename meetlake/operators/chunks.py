@@ -26,6 +26,8 @@ COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 #: Seconds of a chunk, and lobes of the resampling kernel on either side.
 CHUNK_S, LOBES = 10, 16
 FRAME_MS = 10
+#: Frames whose states are worked out at once.
+BLOCK = 25
 #: Chunks whose spans (some hundred bytes each) are broadcast, at most.
 BROADCAST_CHUNKS = 100_000
 #: The band of syllables in Hz.
@@ -160,6 +162,12 @@ class Band:
             response.append(c @ power @ b)
             power = a @ power
         self.step, self.adds, self.follows = power, np.array(adds), np.array(follows[::-1])
+        # the states behind each of BLOCK frames, of the state before them and of what each frame adds
+        powers = [np.eye(4)]
+        for _ in range(BLOCK):
+            powers.append(self.step @ powers[-1])
+        self.powers = np.vstack(powers[1:])
+        self.carried = np.block([[powers[k - j] if j <= k else np.zeros((4, 4)) for j in range(BLOCK)] for k in range(BLOCK)])
         lag = np.subtract.outer(np.arange(self.size), np.arange(self.size))
         self.response = np.where(lag >= 0, np.array(response)[np.maximum(lag, 0)], 0.0)
 
@@ -178,8 +186,10 @@ class Band:
         v = np.asarray(x, np.float64)[: len(x) // self.size * self.size].reshape(-1, self.size)
         fresh, states = v @ self.follows, np.empty((len(v) + 1, 4))
         states[0] = state
-        for k in range(len(v)):
-            states[k + 1] = self.step @ states[k] + fresh[k]
+        for k in range(0, len(v), BLOCK):
+            part = fresh[k : k + BLOCK]
+            n = 4 * len(part)
+            states[k + 1 : k + 1 + len(part)] = (self.carried[:n, :n] @ part.ravel() + self.powers[:n] @ states[k]).reshape(-1, 4)
         y = v @ self.response.T + states[:-1] @ self.adds.T
         return np.sqrt((y**2).mean(1)), states[-1]
 
@@ -240,6 +250,10 @@ def sounds(chunks: DataFrame, spans: DataFrame, seconds: int = CHUNK_S) -> DataF
     kind = dict(spans.dtypes)["id"]
     wanted = staged(wanted, "wanted")  # few beside the samples, which stay where they are unless there are very many
     few = wanted.count() <= BROADCAST_CHUNKS
-    shares = each(chunks.join(F.broadcast(wanted) if few else wanted, ["name", "part"]), f"name string, id {kind}, part int, rate int, samples array<float>", one)
+    return joined(each(chunks.join(F.broadcast(wanted) if few else wanted, ["name", "part"]), f"name string, id {kind}, part int, rate int, samples array<float>", one))
+
+
+def joined(shares: DataFrame) -> DataFrame:
+    """name, id, rate, samples of spans of which each chunk (part) has given its share."""
     whole = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("part", "samples"))), lambda x: x["samples"]))
     return shares.groupBy("name", "id").agg(F.max("rate").alias("rate"), whole.alias("samples"))

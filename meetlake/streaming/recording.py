@@ -99,10 +99,18 @@ class Recorder(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         own = Recording(self.limits, self.kept.get() if self.kept.exists() else None)
         for f in rows:
-            for seq, at, rate, samples in zip(f["seq"], f["at"], f["rate"], f["samples"], strict=True):
-                own.last = max(own.last, int(at.timestamp() * 1000))
-                if not own.ended and seq >= own.seq:
-                    self.waiting.updateValue((int(seq),), (int(rate), np.asarray(samples, np.float32).tobytes()))
+            out, f = [], f.sort_values("seq", kind="stable")
+            own.last = max(own.last, *(int(at.timestamp() * 1000) for at in f["at"]))
+            for seq, rate, samples in zip(f["seq"], f["rate"], f["samples"], strict=True):
+                if own.ended or seq < own.seq:
+                    continue
+                x = np.asarray(samples, np.float32)
+                if seq == own.seq:  # its turn: it need not wait
+                    out += own.take(x.astype(np.float64), int(rate))
+                else:
+                    self.waiting.updateValue((int(seq),), (int(rate), x.tobytes()))
+            if out:
+                yield self.frame(key, out)
         yield from self.drain(key, own, self.limits.patience)
         self.watch(own)
 
