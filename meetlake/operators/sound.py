@@ -6,6 +6,8 @@ aggregate over the rows of its chunks. Samples are between -1 and 1, one channel
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,6 +24,8 @@ PITCH, STEP_S = (60.0, 400.0), 0.01
 HUM_HZ = 500.0
 #: Seconds in which jitter is measured; the first part of a recording, and its least length, for their ratio.
 VOICE_S, FIRST_S, LEAST_S = 30, 120, 240
+#: Seconds of the longest cycle of voice.
+LONGEST_S = 0.02
 
 
 def db(rms: float | np.ndarray, floor: float = -120.0):
@@ -60,23 +64,25 @@ def pitch_size(rate: int) -> int:
     return int(3 * rate / PITCH[0])
 
 
-def pitch_frames(x: np.ndarray, rate: int = RATE, count: int | None = None, voiced: float = 0.45, quiet: float = -60.0) -> tuple[np.ndarray, np.ndarray]:
+def pitch_frames(x: np.ndarray, rate: int = RATE, count: int | None = None, voiced: float = 0.45, quiet: float = -60.0, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(f0, db) every ten milliseconds: f0 by the highest peak of the normalised autocorrelation, 0 where that is below `voiced`.
 
-    Quiet frames have no pitch and are not correlated. count: of so many frames only.
+    Quiet frames have no pitch and are not correlated. count: of so many frames only; at: of the frames that begin at these samples.
     """
     size, step = pitch_size(rate), int(rate * STEP_S)
     n = max(0, (len(x) - size) // step + 1)
     n = n if count is None else min(n, count)
+    starts = np.arange(n) * step if at is None else at
+    n = len(starts)
     low, high = int(rate / PITCH[1]), int(rate / PITCH[0])
     window = np.hanning(size)
     own = np.fft.irfft(np.abs(np.fft.rfft(window, 2 * size)) ** 2)[: high + 2]
     f0, level = np.zeros(n), np.full(n, -120.0)
     for a in range(0, n, 512):
-        at = np.arange(a, min(a + 512, n))[:, None] * step + np.arange(size)
-        y = x[at] - x[at].mean(1, keepdims=True)
-        level[a : a + len(at)] = db(np.sqrt((y**2).mean(1)))
-        loud = np.flatnonzero(level[a : a + len(at)] > quiet)
+        y = x[starts[a : a + 512, None] + np.arange(size)]
+        y = y - y.mean(1, keepdims=True)
+        level[a : a + len(y)] = db(np.sqrt((y**2).mean(1)))
+        loud = np.flatnonzero(level[a : a + len(y)] > quiet)
         if not len(loud):
             continue
         r = np.fft.irfft(np.abs(np.fft.rfft(y[loud] * window, 2 * size)) ** 2)[:, : high + 2]
@@ -118,15 +124,29 @@ def cycles(x: np.ndarray, rate: int) -> tuple[np.ndarray, np.ndarray]:
     return np.diff(at) / rate, tops
 
 
+def without_rests(x: np.ndarray, most: int) -> np.ndarray:
+    """x with `most` zeros left of a longer stretch of zeros on either side of what sounds."""
+    at = np.flatnonzero(x)
+    if not len(at):
+        return x[:0]
+    cut = np.flatnonzero(np.diff(at) > 2 * most + 1)
+    starts, ends = np.concatenate((at[:1], at[cut + 1])), np.concatenate((at[cut], at[-1:]))
+    return np.concatenate([x[max(a - most, 0) : b + most + 1] for a, b in zip(starts, ends, strict=True)])
+
+
 def unsteadiness(x: np.ndarray, rate: int = RATE, jump: float = 1.3, amplitude_jump: float = 1.6) -> tuple[float | None, float | None]:
     """(jitter, shimmer): the mean change from a cycle to the next in percent of the mean, of lengths and of amplitudes.
 
-    Cycles out of bounds and jumps are left out; null below half a second and without two cycles side by side.
+    Cycles out of bounds and jumps are left out; null below half a second and without two cycles side by side. Silence that
+    outlasts the longest cycle is cut short before: no cycle across it counts.
     """
     if len(x) < rate // 2:
         return None, None
-    length, top = cycles(np.asarray(x, np.float64), rate)
-    fits = (length >= 1e-4) & (length <= 0.02)
+    x = without_rests(np.asarray(x, np.float64), int(LONGEST_S * rate) + rate // 100)
+    if not len(x):
+        return None, None
+    length, top = cycles(x, rate)
+    fits = (length >= 1e-4) & (length <= LONGEST_S)
 
     def change(values: np.ndarray, most: float, ok: np.ndarray) -> float | None:
         a, b = values[:-1], values[1:]
@@ -141,13 +161,18 @@ def unsteadiness(x: np.ndarray, rate: int = RATE, jump: float = 1.3, amplitude_j
 VOICES = "name string, jitter_pct double, shimmer_pct double, start_jitter_ratio double"
 
 
-def voices(chunks: DataFrame) -> DataFrame:
+def voices(chunks: DataFrame, samples: Callable = lambda c: c.samples) -> DataFrame:
     """VOICES of recordings that are all speech: each chunk's unsteadiness is a row, weighted by its samples.
 
     The ratio is that of the jitter in the first two minutes to that of the rest; null below four minutes. Chunks are of
-    VOICE_S seconds, so that two minutes end with one.
+    VOICE_S seconds, so that two minutes end with one. samples: how those of a row are come by.
     """
-    rows = C.each(chunks, "name string, first long, n long, rate int, weight long, jitter double, shimmer double", lambda c: [(c.name, c.first, c.n, c.rate, len(c.samples), *unsteadiness(c.samples, c.rate))])
+
+    def one(c):
+        x = samples(c)
+        yield c.name, c.first, c.n, c.rate, len(x), *unsteadiness(x, c.rate)
+
+    rows = C.each(chunks, "name string, first long, n long, rate int, weight long, jitter double, shimmer double", one)
     mean = lambda value, where: F.try_divide(F.sum(F.when(where, F.col("weight") * F.col(value))), F.sum(F.when(where & F.col(value).isNotNull(), F.col("weight"))))
     start, every = F.col("first") < FIRST_S * F.col("rate"), F.lit(True)
     ratio = F.when(F.max("n") >= LEAST_S * F.max("rate"), F.try_divide(mean("jitter", start), mean("jitter", ~start)))
