@@ -13,7 +13,7 @@ from meetlake.plans.queries import sentenced
 from meetlake.plans.registry import query
 from meetlake.plans.sql import over
 from meetlake.sources import adapters as D
-from meetlake.sources.shared import staged
+from meetlake.sources.shared import dealt, staged
 
 CODE = "CASE WHEN t >= 3600 THEN t // 3600 || ':' ELSE '' END || lpad((t // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((t % 60)::VARCHAR, 2, '0')"
 
@@ -103,9 +103,10 @@ def things_validate(spark, sf):
 @query()
 def anchor_question(spark, sf):
     """Every sentence of the other party without its first word, anchored to where it comes from."""
-    s = staged(G.sentences(sentenced(spark, sf)).where("track = 'system'"), "sentences")
+    parts = D.parts(spark, sf)
+    s = dealt(G.sentences(G.with_sentences(D.words(spark, sf, parts))).where("track = 'system'"), "sentences", "meeting_id", parts)
     asked = s.select("meeting_id", F.col("sentence_i").alias("question_id"), "start_ms", F.regexp_replace("text", r"^\S+\s+", "").alias("question"))
-    return Q.anchor(asked, s)
+    return Q.anchor(asked, s, parts=parts)
 
 
 @query()
