@@ -184,14 +184,17 @@ class Band:
     def frames(self, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Root mean square of the band in each whole frame of x, and the state behind the last."""
         v = np.asarray(x, np.float64)[: len(x) // self.size * self.size].reshape(-1, self.size)
-        fresh, states = v @ self.follows, np.empty((len(v) + 1, 4))
-        states[0] = state
-        for k in range(0, len(v), BLOCK):
-            part = fresh[k : k + BLOCK]
-            n = 4 * len(part)
-            states[k + 1 : k + 1 + len(part)] = (self.carried[:n, :n] @ part.ravel() + self.powers[:n] @ states[k]).reshape(-1, 4)
+        blocks = -(-len(v) // BLOCK)
+        fresh = np.zeros((blocks * BLOCK, 4))
+        fresh[: len(v)] = v @ self.follows
+        # what the frames of a block leave behind, the states that blocks are entered with, and both in all frames
+        own, entered = fresh.reshape(blocks, 4 * BLOCK) @ self.carried.T, np.empty((blocks + 1, 4))
+        entered[0], over = state, self.powers[-4:].T
+        for k in range(blocks):
+            entered[k + 1] = entered[k] @ over + own[k, -4:]
+        states = np.concatenate((entered[:1], (own + entered[:-1] @ self.powers.T).reshape(-1, 4)[: len(v)]))
         y = v @ self.response.T + states[:-1] @ self.adds.T
-        return np.sqrt((y**2).mean(1)), states[-1]
+        return np.sqrt(np.einsum("ij,ij->i", y, y) / self.size), states[-1]
 
 
 @lru_cache(8)

@@ -26,6 +26,10 @@ HUM_HZ = 500.0
 VOICE_S, FIRST_S, LEAST_S = 30, 120, 240
 #: Seconds of the longest cycle of voice.
 LONGEST_S = 0.02
+#: Frames on either side in which a peak of the envelope stands out, how far it does in dB, and frames between two peaks.
+REACH, RISE_DB, APART = 50, 1.5, 6
+#: Windows of an envelope that are worked out at once.
+WINDOWS = 256
 
 
 def db(rms: float | np.ndarray, floor: float = -120.0):
@@ -195,19 +199,23 @@ def labels(sounds: DataFrame) -> DataFrame:
     return sounds.mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "centroid_hz double", "label string"]))
 
 
-def stand_out(level: np.ndarray, at: np.ndarray, reach: int = 50) -> np.ndarray:
+def stand_out(level: np.ndarray, at: np.ndarray, reach: int = REACH) -> np.ndarray:
     """How far the peaks at `at` rise over the higher of the lows on their two sides; a side ends before the first higher frame."""
-    top = level[at][:, None]
-    padded = np.concatenate((np.full(reach, np.inf), level, np.full(reach, np.inf)))
+    return rises(np.concatenate((np.full(reach, np.inf), level, np.full(reach, np.inf))), at + reach, reach)
+
+
+def rises(padded: np.ndarray, at: np.ndarray, reach: int = REACH) -> np.ndarray:
+    """stand_out() of frames that have so many others on either side; past an end the level is infinite."""
+    top = padded[at][:, None]
     lows = []
     for step in (-1, 1):
-        side = padded[(at + reach)[:, None] + step * np.arange(1, reach + 1)]
-        within = np.logical_and.accumulate(side <= top, axis=1)  # past an end the level is infinite
+        side = padded[at[:, None] + step * np.arange(1, reach + 1)]
+        within = np.logical_and.accumulate(side <= top, axis=1)
         lows.append(np.where(within, side, top).min(1))
-    return level[at] - np.maximum(*lows)
+    return padded[at] - np.maximum(*lows)
 
 
-def apart(height: np.ndarray, at: np.ndarray, least: int = 6) -> np.ndarray:
+def apart(height: np.ndarray, at: np.ndarray, least: int = APART) -> np.ndarray:
     """Of peaks closer than `least` frames the higher, then the earlier: rounds of all that beat every rival, which then go."""
     kept = np.empty(0, np.int64)
     while len(at):
@@ -240,11 +248,53 @@ def tempo(rms: np.ndarray, frame_ms: int = 10) -> dict[str, float] | None:
     if speech_s < 2:
         return None
     at = 1 + np.flatnonzero(active[1:-1] & (level[1:-1] > level[:-2]) & (level[1:-1] >= level[2:]))
-    at = at[stand_out(level, at) >= 1.5] if len(at) else at
-    peaks = len(apart(level[at], at))
+    at = at[stand_out(level, at) >= RISE_DB] if len(at) else at
+    return spoken_at(len(apart(level[at], at)), speech_s)
+
+
+def spoken_at(peaks: int, speech_s: float) -> dict[str, float]:
     return {"per_s": peaks / speech_s, "speech_s": float(speech_s), "peaks": peaks, "wpm": peaks / speech_s / 0.67 * 60 / 2.7}
 
 
+def rolling_tempo(rms: np.ndarray, ends: np.ndarray, last: int) -> list[dict[str, float] | None]:
+    """tempo() of the last frames, `last` at most, before each of the ascending `ends`, frame by frame the same.
+
+    Windows that overlap share their smoothed envelope and how far its peaks stand out; only what is near an end of a window
+    is its own.
+    """
+    n = last if last > 2 * REACH + 4 else len(rms) + 1
+    short = int(np.searchsorted(ends, n))
+    out = [tempo(rms[max(0, e - last) : e]) for e in ends[:short].tolist()]
+    if short == len(ends):
+        return out
+    raw, place = 20 * np.log10(np.maximum(rms, 1e-6)), np.arange(n)
+    smooth = np.convolve(raw, np.ones(3), "same") / 3
+    for a in range(short, len(ends), WINDOWS):
+        starts = ends[a : a + WINDOWS] - n
+        padded = np.full((len(starts), n + 2 * REACH), np.inf)
+        level = padded[:, REACH:-REACH]
+        level[:] = np.lib.stride_tricks.sliding_window_view(smooth, n)[starts]
+        level[:, 0], level[:, -1] = (raw[starts] + raw[starts + 1]) / 2, (raw[starts + n - 2] + raw[starts + n - 1]) / 2
+        middle, top = np.partition(level, n // 2, axis=1)[:, n // 2], level.max(1)
+        active = level > np.maximum(np.minimum(middle + 6, top - 12), -75)[:, None]
+        before = np.zeros((len(starts), n + 1), np.int32)
+        np.cumsum(active, axis=1, out=before[:, 1:])
+        speech_s = np.count_nonzero(before[:, np.minimum(place + 21, n)] > before[:, np.maximum(place - 20, 0)], axis=1) * 10 / 1000
+        row, at = np.nonzero(active[:, 1:-1] & (level[:, 1:-1] > level[:, :-2]) & (level[:, 1:-1] >= level[:, 2:]))
+        at += 1
+        inner, rise = (at > REACH) & (at < n - REACH - 1), np.empty(len(at))
+        shared, which = np.unique(starts[row[inner]] + at[inner], return_inverse=True)
+        rise[inner] = rises(smooth, shared)[which]
+        rise[~inner] = rises(padded.ravel(), (row * padded.shape[1] + at + REACH)[~inner])
+        row, at = row[rise >= RISE_DB], at[rise >= RISE_DB]
+        peaks = np.bincount(row, minlength=len(starts))
+        for k in np.unique(row[1:][(np.diff(row) == 0) & (np.diff(at) < APART)]).tolist():
+            own = at[row == k]
+            peaks[k] = len(apart(level[k, own], own))
+        out += [spoken_at(p, s) if s >= 2 else None for p, s in zip(peaks.tolist(), speech_s.tolist(), strict=True)]
+    return out
+
+
 TEMPO = "name string, peaks int, speech_s double, wpm double"
 
 

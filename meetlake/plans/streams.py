@@ -45,10 +45,11 @@ def live_sessions(spark, sf):
     SELECT meeting_id, ms // 1000 AS ticks, least(ms // 1000 * 100, 1000)::INT AS frames, CASE WHEN ms >= {LONGEST_MS} THEN 'longest' WHEN ended + 5000 <= max(ended) OVER () - 2000 THEN 'silent' END AS reason
     FROM (SELECT meeting_id, least({LONGEST_MS}, 10 * (n // {LIVE_RATE // 100})) AS ms, 1000 * n // {LIVE_RATE} AS ended FROM (SELECT meeting_id, max(end_ms) * {LIVE_RATE} // 1000 AS n FROM words WHERE track = 'mic' GROUP BY 1))"""))
 def live_recording(spark, sf):
-    """Recorded meetings as a stream of chunks: ticks, the frames behind the last, and why each ended; a meeting still runs if others did not outlast it."""
+    """Recorded meetings as a stream of chunks, whose samples are made where they are taken: ticks, the frames behind the last, and why each ended; a meeting still runs if others did not outlast it."""
     path, own = shared_dir(spark, "arriving"), live.on_disk(spark)
-    recording.cut(R.spoken(D.words(spark, sf), LIVE_RATE, 2)).write.parquet(path)
+    chunks = recording.cut(R.scored(D.words(spark, sf, D.parts(spark, sf)), LIVE_RATE, 2, spread=False))
+    chunks.write.parquet(path)
     limits = recording.Limits(tick_ms=1_000, longest_ms=LONGEST_MS, silence_ms=5_000)
-    rows = live.drained(recording.live(own.readStream.schema(recording.CHUNKS).parquet(path), limits), "recording", "append")
+    rows = live.drained(recording.live(own.readStream.schema(chunks.schema).parquet(path), limits, samples=R.played), "recording", "append")
     last = F.max_by("frames", F.when(F.col("kind") == "tick", F.col("at_ms")))
     return rows.groupBy("meeting_id").agg(F.count_if(F.col("kind") == "tick").alias("ticks"), F.max("reason").alias("reason"), last.alias("frames"))

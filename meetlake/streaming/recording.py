@@ -13,6 +13,7 @@ source has been silent for `forget_ms`.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,11 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from meetlake.operators.chunks import FRAME_MS, band
-from meetlake.operators.sound import db, tempo
+from meetlake.operators.sound import db, rolling_tempo
 
 CHUNKS = "meeting_id long, seq long, at timestamp, rate int, samples array<float>"
 ROWS = "meeting_id long, kind string, at_ms long, level_db double, frames int, peaks int, speech_s double, wpm double, reason string"
 NAMES = [c.split()[0] for c in ROWS.split(", ")]
+#: Samples of chunks in their turn that are taken together, at most.
+TOGETHER = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -63,33 +66,38 @@ class Recording:
         self.ended, self.rest, self.ring = True, np.empty(0), np.empty(0)
         return self.row("stop", reason=reason)
 
-    def take(self, samples: np.ndarray, rate: int) -> list[dict]:
-        """The rows that the samples of the next chunk give: a tick for each `tick_ms` that is full, and the end."""
-        rows, self.rate, self.seq = [], rate, self.seq + 1
+    def take(self, samples: np.ndarray, rate: int, count: int = 1) -> list[dict]:
+        """The rows that the samples of the next `count` chunks give: a tick for each `tick_ms` that is full, and the end."""
+        limits, self.rate, self.seq = self.limits, rate, self.seq + count
         filters, x = band(rate), np.concatenate((self.rest, samples))
-        tick = self.limits.tick_ms // FRAME_MS
-        while not self.ended and len(x) >= filters.size:
-            frames = min(len(x) // filters.size, tick - self.done % tick)
-            part, x = x[: frames * filters.size], x[frames * filters.size :]
-            rms, self.state = filters.frames(part, self.state)
-            self.ring = np.concatenate((self.ring, rms))[-self.limits.ring :]
-            self.squares += float((part**2).sum())
-            self.done += frames
-            if self.done % tick == 0:
-                level = max(self.limits.floor_db, float(db(np.sqrt(self.squares / (tick * filters.size)))))
-                rows.append(self.row("tick", level_db=level, frames=len(self.ring), **{k: v for k, v in (tempo(self.ring) or {}).items() if k in NAMES}))
-                self.squares = 0.0
-            if self.limits.longest_ms is not None and self.done * FRAME_MS >= self.limits.longest_ms:
-                rows.append(self.end("longest"))
-        self.rest = np.empty(0) if self.ended else x
+        tick, frames = limits.tick_ms // FRAME_MS, len(x) // filters.size
+        if limits.longest_ms is not None:
+            frames = min(frames, max(-(-limits.longest_ms // FRAME_MS) - self.done, 0))
+        part, self.rest = x[: frames * filters.size], x[frames * filters.size :]
+        rms, self.state = filters.frames(part, self.state)
+        # the ticks that become full, and the squares that each of them and the unfinished one behind them got
+        ends = np.arange(tick - self.done % tick, frames + 1, tick)
+        own = part.reshape(-1, filters.size)
+        squares = np.diff(np.concatenate((np.zeros(1), np.cumsum(np.einsum("ij,ij->i", own, own))))[np.concatenate(([0], ends, [frames]))])
+        squares[0] += self.squares
+        self.squares = float(squares[-1])
+        level = np.maximum(limits.floor_db, db(np.sqrt(squares[:-1] / (tick * filters.size))))
+        heard = np.concatenate((self.ring, rms))
+        behind = ends + len(self.ring)
+        rows = []
+        for at, v, end, found in zip((self.done + ends).tolist(), level.tolist(), behind.tolist(), rolling_tempo(heard, behind, limits.ring), strict=True):
+            rows.append(self.row("tick", level_db=v, frames=min(end, limits.ring), **{k: v for k, v in (found or {}).items() if k in NAMES}) | {"at_ms": at * FRAME_MS})
+        self.ring, self.done = heard[-limits.ring :], self.done + frames
+        if limits.longest_ms is not None and self.done * FRAME_MS >= limits.longest_ms:
+            rows.append(self.end("longest"))
         return rows
 
 
 class Recorder(StatefulProcessor):
     """The state of each meeting: its Recording, and the chunks that wait for their turn."""
 
-    def __init__(self, limits: Limits):
-        self.limits = limits
+    def __init__(self, limits: Limits, samples: Callable = lambda c: c.samples):
+        self.limits, self.samples = limits, samples
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -97,22 +105,31 @@ class Recorder(StatefulProcessor):
         self.waiting = handle.getMapState("waiting", "seq long", "rate int, samples binary")
 
     def handleInputRows(self, key, rows, timerValues):
-        own = Recording(self.limits, self.kept.get() if self.kept.exists() else None)
+        known = self.kept.exists()
+        own = Recording(self.limits, self.kept.get() if known else None)
         for f in rows:
-            out, f = [], f.sort_values("seq", kind="stable")
-            own.last = max(own.last, *(int(at.timestamp() * 1000) for at in f["at"]))
-            for seq, rate, samples in zip(f["seq"], f["rate"], f["samples"], strict=True):
-                if own.ended or seq < own.seq:
+            out, turn, held = [], [], 0
+            own.last = max(own.last, int(f["at"].max().timestamp() * 1000))
+            for c in f.sort_values("seq", kind="stable").itertuples(index=False):
+                if own.ended or c.seq < own.seq + len(turn):
+                    continue
+                x = np.asarray(self.samples(c), np.float32)
+                if c.seq > own.seq + len(turn):
+                    self.waiting.updateValue((int(c.seq),), (int(c.rate), x.tobytes()))
                     continue
-                x = np.asarray(samples, np.float32)
-                if seq == own.seq:  # its turn: it need not wait
-                    out += own.take(x.astype(np.float64), int(rate))
-                else:
-                    self.waiting.updateValue((int(seq),), (int(rate), x.tobytes()))
+                # its turn: it need not wait
+                if turn and (c.rate != rate or held + len(x) > TOGETHER):
+                    out += own.take(np.concatenate(turn, dtype=np.float64), rate, len(turn))
+                    turn, held = [], 0
+                rate = int(c.rate)
+                turn.append(x)
+                held += len(x)
+            if turn and not own.ended:
+                out += own.take(np.concatenate(turn, dtype=np.float64), rate, len(turn))
             if out:
                 yield self.frame(key, out)
         yield from self.drain(key, own, self.limits.patience)
-        self.watch(own)
+        self.watch(own, known)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         if not self.kept.exists():
@@ -144,12 +161,12 @@ class Recorder(StatefulProcessor):
                     rows += own.take(x, rate)
             if rows:
                 yield self.frame(key, rows)
-        if own.ended:
+        if own.ended and left:
             self.waiting.clear()
 
-    def watch(self, own: Recording) -> None:
-        """Keep the state and set its timer anew."""
-        for t in list(self.handle.listTimers()):
+    def watch(self, own: Recording, known: bool = True) -> None:
+        """Keep the state and set its timer anew; a meeting that was not known has none."""
+        for t in list(self.handle.listTimers()) if known else ():
             self.handle.deleteTimer(t)
         self.handle.registerTimer(own.last + (self.limits.forget_ms if own.ended else self.limits.silence_ms))
         self.kept.update(own.kept())
@@ -164,13 +181,15 @@ class Recorder(StatefulProcessor):
         pass
 
 
-def live(chunks: DataFrame, limits: Limits = Limits(), late: str = "2 seconds") -> DataFrame:
-    """ROWS of a stream of CHUNKS, in append mode; chunks later than the watermark count as lost."""
+def live(chunks: DataFrame, limits: Limits = Limits(), late: str = "2 seconds", samples: Callable = lambda c: c.samples) -> DataFrame:
+    """ROWS of a stream of CHUNKS, in append mode; chunks later than the watermark count as lost. samples: how those of a row are come by."""
     stream = chunks.withWatermark("at", late).groupBy("meeting_id")
-    return stream.transformWithStateInPandas(Recorder(limits), ROWS, "Append", "EventTime")
+    return stream.transformWithStateInPandas(Recorder(limits, samples), ROWS, "Append", "EventTime")
 
 
 def cut(recorded: DataFrame, began: str = "2024-01-01 00:00:00") -> DataFrame:
-    """CHUNKS of recordings in chunks (`operators/chunks.py`) named by meeting: a chunk arrives when its last sample is recorded."""
-    end = F.unix_millis(F.lit(began).cast("timestamp")) + F.floor(1000 * (F.col("first") + F.size("samples")) / F.col("rate"))
-    return recorded.select(F.col("name").cast("long").alias("meeting_id"), F.col("part").cast("long").alias("seq"), F.timestamp_millis(end.cast("long")).alias("at"), "rate", "samples")
+    """CHUNKS of recordings in chunks (`operators/chunks.py`) named by meeting, or what their samples are made of instead of these: a chunk arrives when its last sample is recorded."""
+    made = [c for c in recorded.columns if c not in ("name", "part", "parts", "channels", "meeting_id", "rate", "samples")]
+    size, rest = (F.size("samples"), ["samples"]) if "samples" in recorded.columns else (F.col("size"), made)
+    end = F.unix_millis(F.lit(began).cast("timestamp")) + F.floor(1000 * (F.col("first") + size) / F.col("rate"))
+    return recorded.select(F.col("name").cast("long").alias("meeting_id"), F.col("part").cast("long").alias("seq"), F.timestamp_millis(end.cast("long")).alias("at"), "rate", *rest)
