@@ -6,7 +6,9 @@ aggregate over the rows of its chunks. Samples are between -1 and 1, one channel
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,6 +32,8 @@ LONGEST_S = 0.02
 REACH, RISE_DB, APART = 50, 1.5, 6
 #: Windows of an envelope that are worked out at once.
 WINDOWS = 256
+#: Frames that are correlated at once.
+CORRELATED = 256
 
 
 def db(rms: float | np.ndarray, floor: float = -120.0):
@@ -68,6 +72,17 @@ def pitch_size(rate: int) -> int:
     return int(3 * rate / PITCH[0])
 
 
+@lru_cache(8)
+def _lags(rate: int) -> tuple[int, int, int, np.ndarray, np.ndarray]:
+    """Lowest and highest lag of a pitch, the length of transforms in which lags up to one more do not meet their mirror, the window and its own autocorrelation from one lag less."""
+    size, low, high = pitch_size(rate), int(rate / PITCH[1]), int(rate / PITCH[0])
+    plain = lambda n: n % 2 == 0 and 60 ** n.bit_length() % n == 0  # noqa: E731  a product of twos, threes and fives
+    length = next(n for n in itertools.count(size + high + 1) if plain(n))
+    window = np.hanning(size)
+    own = np.fft.irfft(np.abs(np.fft.rfft(window, 2 * size)) ** 2)[: high + 2]
+    return low, high, length, window, own[low - 1 :] / own[0]
+
+
 def pitch_frames(x: np.ndarray, rate: int = RATE, count: int | None = None, voiced: float = 0.45, quiet: float = -60.0, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(f0, db) every ten milliseconds: f0 by the highest peak of the normalised autocorrelation, 0 where that is below `voiced`.
 
@@ -78,27 +93,34 @@ def pitch_frames(x: np.ndarray, rate: int = RATE, count: int | None = None, voic
     n = n if count is None else min(n, count)
     starts = np.arange(n) * step if at is None else at
     n = len(starts)
-    low, high = int(rate / PITCH[1]), int(rate / PITCH[0])
-    window = np.hanning(size)
-    own = np.fft.irfft(np.abs(np.fft.rfft(window, 2 * size)) ** 2)[: high + 2]
     f0, level = np.zeros(n), np.full(n, -120.0)
-    for a in range(0, n, 512):
-        y = x[starts[a : a + 512, None] + np.arange(size)]
-        y = y - y.mean(1, keepdims=True)
-        level[a : a + len(y)] = db(np.sqrt((y**2).mean(1)))
+    if not n:
+        return f0, level
+    low, high, length, window, own = _lags(rate)
+    frames = np.lib.stride_tricks.sliding_window_view(x, size)
+    for a in range(0, n, CORRELATED):
+        y = frames[starts[a : a + CORRELATED]]
+        y -= y.mean(1, keepdims=True)
+        level[a : a + len(y)] = db(np.sqrt(np.einsum("ij,ij->i", y, y) / size))
         loud = np.flatnonzero(level[a : a + len(y)] > quiet)
         if not len(loud):
             continue
-        r = np.fft.irfft(np.abs(np.fft.rfft(y[loud] * window, 2 * size)) ** 2)[:, : high + 2]
-        r = r / np.maximum(r[:, :1], 1e-12) / (own / own[0])
+        y = y if len(loud) == len(y) else y[loud]
+        y *= window
+        spectrum = np.fft.rfft(y, length)
+        power = spectrum.real**2
+        power += spectrum.imag**2
+        # from the lag before the lowest to the one behind the highest
+        r = np.fft.irfft(power, length)[:, low - 1 : high + 2] / (np.maximum(np.einsum("ij,ij->i", y, y), 1e-12)[:, None] * own)
         # the earliest lag that is nearly as high as any: octaves below have peaks too
-        part = r[:, low : high + 1]
-        peak = (part >= np.maximum(r[:, low - 1 : high], r[:, low + 1 : high + 2])) & (part >= 0.9 * part.max(1, keepdims=True))
-        best = peak.argmax(1) + low
+        part = r[:, 1:-1]
+        peak = (part >= np.maximum(r[:, :-2], r[:, 2:])) & (part >= 0.9 * part.max(1, keepdims=True))
+        best = peak.argmax(1) + 1
         row = np.arange(len(loud))
         left, mid, right = r[row, best - 1], r[row, best], r[row, best + 1]
-        shift = np.where(np.abs(left - 2 * mid + right) > 1e-12, 0.5 * (left - right) / (left - 2 * mid + right), 0)
-        f0[a + loud] = np.where(mid >= voiced, rate / (best + np.clip(shift, -0.5, 0.5)), 0)
+        bend = left - 2 * mid + right
+        shift = np.divide(0.5 * (left - right), bend, out=np.zeros(len(loud)), where=np.abs(bend) > 1e-12)
+        f0[a + loud] = np.where(mid >= voiced, rate / (low - 1 + best + np.clip(shift, -0.5, 0.5)), 0)
     return f0, level
 
 
